@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from . import queries as q
 
-QUERIES = {"op1_exact_dedup": q.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": q.op1_exact_dedup,
+    "op6_secret_scan": q.op6_secret_scan,
+    "op8_packing": q.op8_packing,
+    "op10_decontamination": q.op10_decontamination,
+}
 
 ORACLES = {
     "op1_exact_dedup": """

@@ -1,0 +1,180 @@
+"""Exact dedup, secret scan, packing and decontamination against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from pairlens.llm import decontaminate, exact_dedup, packing, queries, secret_scan
+
+from .cases import HARD, SF, documents, empty, hard, rows
+
+TOK = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_exact_dedup_hard_rows(spark):
+    for keep, best in (("min", min), ("max", max)):
+        for weak in (exact_dedup.content_hash, lambda t: F.substring(F.md5(t), 1, 1)):  # the second collides all the time
+            got = exact_dedup.exact_dedup(hard(spark), keep=keep, hash_text=weak).collect()
+            groups = defaultdict(list)
+            for i, t in HARD:
+                groups[t or ""].append(i)
+            want = Counter()
+            for i, t in HARD:
+                ids = [x for x in groups[t or ""] if x is not None]
+                k = best(ids) if ids else None
+                want[(i, k, len(groups[t or ""]), i == k, hashlib.sha256((t or "").encode()).hexdigest())] += 1
+            assert Counter(map(tuple, got)) == want
+    assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+    kept = exact_dedup.drop_copies(hard(spark)).filter("doc_id in (1,2,4,5)").count()
+    assert kept == 2
+
+
+def brute_spans(text):
+    kinds = [
+        ("assign", re.compile(r"""([pP][aA][sS]{2}[wW][oO][rR][dD]|[pP][aA][sS]{2}[wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    return [(m.start(), k, m.end(), n) for k, (n, p, ok) in enumerate(kinds) for m in p.finditer(text) if ok(m)]
+
+
+def check_spans(r, text):
+    base = sorted(brute_spans(text or ""))
+    said = ",".join(f"{n}:{s}:{e}" for s, _, e, n in base)
+    assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[3] == k for x in base) for k in ("assign", "access", "hex")]
+    assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    spans = r["spans"].split(",") if r["spans"] else []
+    assert [x for x in spans if not x.startswith("markov")] == (said.split(",") if said else [])
+    assert len([x for x in spans if x.startswith("markov")]) == r["n_markov"]
+
+
+def test_secret_scan(spark):
+    got = queries.op6_secret_scan(spark, SF).collect()
+    docs = documents()
+    assert len(got) == len(docs)
+    for r in got:
+        check_spans(r, docs[r["doc_id"]])
+    model = secret_scan.train(spark.read.parquet(f"{SF}/documents.parquet"), sample_docs=50)
+    hardly = secret_scan.secret_scan(hard(spark), model)
+    marks = {r["doc_id"]: (r["base"], r["markov"], r["text"]) for r in hardly.collect()}
+    for i in (13, 14):
+        assert [tuple(x) for x in marks[i][0]] == sorted(x[:3] for x in brute_spans(marks[i][2]))
+    assert [marks[14][2][x["s"] : x["e"]] for x in marks[14][1]] == ["Zx9QwLk2VbT7rYp1MnS4dHj8GcF5aEuW0oIiXq3"]
+    assert not marks[8][1] and not marks[9][1] and hardly.count() == len(HARD)
+    assert secret_scan.secret_scan(empty(spark)).count() == 0
+    # random strings against words run together, both unseen
+    import random
+
+    rnd, words = random.Random(5), [w for t in docs.values() for w in re.findall("[a-z]{4,12}", t or "")]
+    tests = [(i, "".join(rnd.choice(secret_scan.ALPHABET) for _ in range(32))) for i in range(100)] + [(i, "_".join(rnd.choice(words) for _ in range(4))) for i in range(100, 200)]
+    flagged = {r["doc_id"] for r in secret_scan.secret_scan(spark.createDataFrame(tests, "doc_id long, text string"), model).collect() if r["markov"]}
+    assert len([i for i in flagged if i < 100]) >= 98 and len([i for i in flagged if i >= 100]) <= 2
+
+
+def test_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(TOK), packing.Encoder(TOK, most=2000)
+    odd = ["ÀÉ Ǆ ǅ ß ſ İI ıi ñ² ½x a'S b'LL 'd Σας e\u0301 a\u0301b x\x00y \x85 \xa0z a\u00adb <|endoftext|>x <| 12ab34 ÷× ª º µ ŉ ǰ"]
+    for t in [*documents().values(), *(t for _, t in HARD), *odd]:
+        assert enc(t or "") == np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), (t or "")[:80]
+
+
+def check_packing(got, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOK)
+    want = Counter()
+    for i, t in texts:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            cut = ids[at : at + 4096]
+            want[(i, n, at, len(cut), zlib.crc32(np.array(cut, "<u4").tobytes()))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 4096
+    total = sum(r["length"] for r in got)
+    return len(bins), -(-total // 4096)
+
+
+def test_packing(spark):
+    used, least = check_packing(queries.op8_packing(spark, SF).collect(), list(documents().items()))
+    assert used <= least * 1.02 + 1
+    check_packing(packing.pack(hard(spark), TOK).collect(), HARD)
+    check_packing(packing.pack(hard(spark), TOK, bucket_rows=3).collect(), HARD)
+    assert packing.pack(empty(spark), TOK).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_places_every_piece_once(seed):
+    rnd = np.random.default_rng(seed)
+    histogram = {int(s): int(n) for s, n in zip(rnd.choice(np.arange(1, 4097), 300, replace=False), rnd.integers(1, 5000, 300), strict=True)}
+    if seed == 5:
+        histogram = {1500: 7}
+    places = packing.plan(histogram)
+    seen, fill = defaultdict(list), defaultdict(list)
+    for s, first, count, sequence, offset in places:
+        seen[s].append((first, count))
+        fill[s, offset].append((sequence, count))
+    for s, n in histogram.items():
+        at = 0
+        for first, count in sorted(seen[s]):
+            assert first == at
+            at += count
+        assert at == n
+    load = defaultdict(int)
+    for s, _, count, sequence, _ in places:
+        for j in range(count):
+            load[sequence + j] += s
+    least = -(-sum(s * n for s, n in histogram.items()) // 4096)
+    assert max(load.values()) <= 4096 and len(load) <= max(least * 1.15 + 1, 4)
+
+
+def brute_hits(docs, items, window=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    table = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for a in range(len(w) - n + 1 if n else 0):
+            table[tuple(w[a : a + n])].add(str(i))
+    sizes = {len(k) for k in table}
+    out = Counter()
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in sizes:
+            for a in range(len(w) - n + 1):
+                if got := table.get(tuple(w[a : a + n])):
+                    found |= got
+                    hit |= set(range(a, a + n))
+        out[(i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
+    return out
+
+
+def test_decontamination(spark):
+    items = [(r["item_id"], r["text"]) for r in rows("benchmark")]
+    got = queries.op10_decontamination(spark, SF).collect()
+    assert Counter(map(tuple, got)) == brute_hits(documents().items(), items)
+    some = [(1, "one"), (2, "b C d"), (3, None), (4, ""), (5, "d e f g h i j k l m n"), (6, "a b c d e f g h i j"), (7, "Word word word word word word word word word word word"), (8, "lower é ü"), (8, "x y")]
+    it = spark.createDataFrame(some, "item_id long, text string")
+    for block in (1_000_000, 8):
+        hits = decontaminate.benchmark_hits(hard(spark), it, block_words=block)
+        got = hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0).collect()
+        want = brute_hits(HARD, some)
+        assert Counter(map(tuple, got)) == want, block
+    assert decontaminate.benchmark_hits(empty(spark), it).count() == 0
+    none = decontaminate.benchmark_hits(hard(spark), spark.createDataFrame([], "item_id long, text string"))
+    assert none.filter("n_hit > 0").count() == 0 and none.count() == len(HARD)
