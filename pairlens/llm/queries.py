@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import benchmark_hits
 from .exact_dedup import exact_dedup
+from .lm_score import lm_score
 from .packing import pack
 from .secret_scan import secret_scan, written_spans
+from .toxicity import toxicity
+from .toxicity import train as train_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,3 +44,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+def remainder(column: str, n: int):
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels, remainder("doc_id", 5) != 0)
+    return toxicity(docs, model, keep_columns=["doc_id"]).select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected"
+    )
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lm_score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return got.select("doc_id", (~F.col("used")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

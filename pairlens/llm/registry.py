@@ -6,6 +6,8 @@ from . import queries as q
 
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
+    "op3_lm_scoring": q.op3_lm_scoring,
+    "op5_toxicity": q.op5_toxicity,
     "op6_secret_scan": q.op6_secret_scan,
     "op8_packing": q.op8_packing,
     "op10_decontamination": q.op10_decontamination,
