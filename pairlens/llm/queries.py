@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import benchmark_hits
 from .exact_dedup import exact_dedup
+from .jaccard_join import similar_classes
 from .lm_score import lm_score
 from .packing import pack
 from .secret_scan import secret_scan, written_spans
@@ -61,3 +62,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lm_score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
     return got.select("doc_id", (~F.col("used")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"), words=3, p=90, q=100)

@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": q.op5_toxicity,
     "op6_secret_scan": q.op6_secret_scan,
     "op8_packing": q.op8_packing,
+    "op9_jaccard_join": q.op9_jaccard_join,
     "op10_decontamination": q.op10_decontamination,
 }
 
