@@ -281,7 +281,7 @@ def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 24, larg
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, groups: int = 24, bucket_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, groups: int = 24, bucket_rows: int = 5_000) -> DataFrame:
     """Packs all texts into sequences of at most ``capacity`` tokens; one row per piece.
 
     Returns ``id, piece, start, length, ids_crc32, sequence_id, offset``. A document is its ids followed by
