@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import similar_classes
 from .lm_score import lm_score
 from .packing import pack
+from .repeats import drop_repeats
 from .secret_scan import secret_scan, written_spans
 from .toxicity import toxicity
 from .toxicity import train as train_toxicity
@@ -66,3 +67,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"), words=3, p=90, q=100)
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"), least=50).drop("spans")

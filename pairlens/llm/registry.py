@@ -7,6 +7,7 @@ from . import queries as q
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
     "op3_lm_scoring": q.op3_lm_scoring,
+    "op4_repeats": q.op4_repeats,
     "op5_toxicity": q.op5_toxicity,
     "op6_secret_scan": q.op6_secret_scan,
     "op8_packing": q.op8_packing,
