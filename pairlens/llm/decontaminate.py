@@ -99,11 +99,11 @@ def _matches(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(hit, n), np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 4, block_words: int = 1_000_000) -> DataFrame:
+def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 4, block_words: int = 1_000_000, carry: list[str] | None = None) -> DataFrame:
     """Per document: ``id, n_words, n_hit, n_items, items, spans``.
 
     items: ids of the items with occurring windows, as strings, sorted. spans: first word and end (exclusive)
-    of each run of hit words, flat.
+    of each run of hit words, flat. carry: columns of ``docs`` to pass along, in a struct ``carried`` in the id's place.
 
     Winnowing keeps the smallest k-gram hash of every ``window - k + 1`` consecutive ones, of items and of
     documents; a shared run of ``window`` words therefore has a shared fingerprint. Fingerprint hits are
@@ -119,7 +119,10 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carry = carry or []
+    along = [f"c{i}" for i in range(len(carry))]
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(a) for a, c in zip(along, carry, strict=True)])
+    fields = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
     blocks: list[Index] = []
     chunk, n = [], 0
     for r in items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(item_text_col, F.lit("")).alias("t")).toLocalIterator():
@@ -145,8 +148,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                     found: list[list[str]] = [[] for _ in range(hi - lo)]
                     for d, i in np.unique(np.stack([row[starts], which], 1), axis=0).tolist() if len(starts) else []:
                         found[d].append(index.ids[i])
-                    if batch.num_columns > 2:  # what earlier blocks have found
-                        for d, (was, i) in enumerate(zip(batch.column(2).slice(lo, hi - lo).to_pylist(), batch.column(3).slice(lo, hi - lo).to_pylist(), strict=True)):
+                    if batch.num_columns > 2 + len(along):  # what earlier blocks have found
+                        for d, (was, i) in enumerate(zip(batch.column("spans").slice(lo, hi - lo).to_pylist(), batch.column("items").slice(lo, hi - lo).to_pylist(), strict=True)):
                             found[d] += i
                             starts = np.append(starts, np.array(was[::2], np.int64) + first[d])
                             sizes = np.append(sizes, np.array(was[1::2], np.int64) - np.array(was[::2], np.int64))
@@ -162,20 +165,22 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays(
                         [
                             *batch.slice(lo, hi - lo).columns[: 1 if last else 2],
+                            *batch.slice(lo, hi - lo).columns[2 : 2 + len(along)],
                             pa.ListArray.from_arrays(pa.array(2 * in_doc, pa.int32()), pa.array(runs, pa.int64())),
                             pa.array(found, pa.list_(pa.string())),
                             pa.array(np.diff(first), pa.int64()),
                         ],
-                        ["id", *["text"] * (not last), "spans", "items", "n_words"],
+                        ["id", *["text"] * (not last), *along, "spans", "items", "n_words"],
                     )
 
-        return df.mapInArrow(run, f"id {kind}, {'' if last else 'text string, '}spans array<long>, items array<string>, n_words long")
+        return df.mapInArrow(run, f"id {kind}, {'' if last else 'text string, '}{fields}spans array<long>, items array<string>, n_words long")
 
     got = src
     for index in blocks[:-1]:
         got = written(one(got, index, False).drop("n_words"), "hits")
     got = one(got, blocks[-1], True)
     size = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return got.select(F.col("id").alias(id_col), "n_words", size.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans")
+    kept = [F.col(a).alias(c) for a, c in zip(along, carry, strict=True)]
+    return got.select(F.struct(*kept).alias("carried") if kept else F.col("id").alias(id_col), "n_words", size.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans")
 
 

@@ -161,7 +161,7 @@ def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: i
     for lang in sorted({b[2] for b in held}):
         of = np.array([b[2] == lang for b in held])
         if y[of].sum() >= 8 and (1 - y[of]).sum() >= 8:
-            cuts = np.unique(np.append(np.clip(s[of], 0.05, 0.95), 0.5))
+            cuts = np.unique(np.append(np.clip(s[of], 0.25, 0.75), 0.5))
             f1 = [2 * (w[of] * y[of] * (s[of] >= c)).sum() / ((w[of] * y[of]).sum() + (w[of] * (s[of] >= c)).sum()) for c in cuts]
             best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
             m.cuts[lang] = float(cuts[best[len(best) // 2]])
