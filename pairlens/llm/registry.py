@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import queries as q
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_packing": q.op8_packing,
     "op9_jaccard_join": q.op9_jaccard_join,
     "op10_decontamination": q.op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -22,3 +25,6 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
