@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.flat(batch.column(3))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, 1 << 19):
                 row, f = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 blobs = [f[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
@@ -220,7 +220,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
         model = shipped.value
         for batch in batches:
             data, off = K.flat(batch.column(0))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, 1 << 19):
                 row, f = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 score = model.score(model.logits(row, f, hi - lo))
                 part = batch.slice(lo, hi - lo)
