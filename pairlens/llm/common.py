@@ -33,3 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/pairlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished, written steps now, not at the driver's next collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -225,8 +225,10 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     rest = rest.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(linked(rest))
     known = components(links)
-    placed = rows.join(known, "node", "left").withColumn("__c", F.coalesce("component", "node"))
-    best = placed.filter(F.col("node") != 0).groupBy("__c").agg(F.min("id").alias("__best"))
-    return placed.join(best, "__c", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("node") == 0, F.col("id")).otherwise(F.col("__best"))).alias("component_id")
+    # a class's smallest id by way of its nodes, so that rows are joined by node alone and never gathered by class
+    nodes = rows.filter(F.col("id").isNotNull() & (F.col("node") != 0)).groupBy("node").agg(F.min("id").alias("id")).join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    best = nodes.groupBy("c").agg(F.min("id").alias("best"))
+    named = nodes.select("node", "c").join(best, "c").select("node", "best")
+    return rows.join(named, "node", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("best", "id")).alias("component_id")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import written
+from .common import forget, written
 
 U = K.U
 GRAM = 16
@@ -121,6 +121,38 @@ def maximal_repeats(texts: list[bytes], windows: np.ndarray, owner: np.ndarray,
                 values.append(v)
 
 
+class Filter:
+    """A Bloom filter of 64-bit hashes: 12 bits for each up to a bounded size, fuller beyond it, never missing one."""
+
+    def __init__(self, keys: DataFrame, column: str, most_mb: int) -> None:
+        number = keys.count()
+        self.parts = parts = max(1, min(number * 12, most_mb << 23) >> FILTER_BITS)
+
+        def build(table: pa.Table) -> pa.Table:
+            bits = np.zeros(1 << FILTER_BITS, bool)
+            h = table.column("h").to_numpy().view(U)
+            for j in range(4):
+                bits[_probe(h, j)] = True
+            return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        self.bits = np.zeros(parts << (FILTER_BITS - 3), np.uint8)
+        dealt = keys.select(F.col(column).alias("h"), F.pmod(column, F.lit(parts)).cast("int").alias("part"))
+        for r in dealt.groupBy("part").applyInArrow(build, "part int, bits binary").toLocalIterator():
+            self.bits[r["part"] << (FILTER_BITS - 3) :][: 1 << (FILTER_BITS - 3)] = np.frombuffer(r["bits"], np.uint8)
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        of = np.mod(K.signed(h), self.parts).astype(np.int64) << FILTER_BITS
+        keep = np.ones(len(h), bool)
+        for j in range(4):
+            pos = of | _probe(h, j).astype(np.int64)
+            keep &= (self.bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
+        return keep
+
+
+def _probe(h: np.ndarray, j: int) -> np.ndarray:
+    return K.mix(h + U(j)) & U((1 << FILTER_BITS) - 1)
+
+
 def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 64, group_rows: int = 20_000, bucket_rows: int = 30_000) -> tuple[DataFrame, DataFrame]:
     """Strings of at least ``least`` bytes that start in several documents, in segments.
 
@@ -130,8 +162,9 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
 
     Anchors that occur under more than one id are found by grouped minima and go to a Bloom filter of bounded
     size, with which a second scan keeps the segments that can agree with another one; a filter that is
-    too full keeps more, never fewer. Segments of equal bytes are one, with their smallest id. The others
-    meet by anchor, in buckets of about ``bucket_rows``, each one enhanced suffix array. An anchor with more than
+    too full keeps more, never fewer. Segments of equal bytes are one, with their smallest id. Where an
+    anchor has different segments, a third scan fetches their bytes, which meet by anchor, in buckets of about
+    ``bucket_rows``, each one enhanced suffix array. An anchor with more than
     ``group_rows`` different segments is not one bucket's work: its windows are grouped by their bytes' hash instead.
     Texts are told apart by 64-bit hashes of their bytes.
     """
@@ -170,27 +203,11 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
 
     shared = src.mapInArrow(anchors, "anchor long, id long").groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("anchor")
     shared = written(shared, "anchors")
-    number = shared.count()
-    parts = max(1, min(number * 12, most_filter_mb << 23) >> FILTER_BITS)
-    mask = U((1 << FILTER_BITS) - 1)
-    probe = lambda h, j: (K.mix(h + U(j)) & mask)
-
-    def build(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        h = table.column("anchor").to_numpy().view(U)
-        for j in range(4):
-            bits[probe(h, j)] = True
-        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    n_parts = parts
-    bits = np.zeros(parts << (FILTER_BITS - 3), np.uint8)
-    for r in shared.withColumn("part", F.pmod("anchor", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(build, "part int, bits binary").toLocalIterator():
-        bits[r["part"] << (FILTER_BITS - 3) :][: 1 << (FILTER_BITS - 3)] = np.frombuffer(r["bits"], np.uint8)
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)  # most_filter_mb at most
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
-        names = ["seg", "id", "row", "at", "anchor", "windows", "bytes"]
+    forget(docs.sparkSession)
+    some = docs.sparkSession.sparkContext.broadcast(Filter(shared, "anchor", most_filter_mb))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["seg", "id", "row", "at", "anchor", "windows"]
         seen: dict[int, int] = {}
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -198,62 +215,60 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
             for lo, hi in K.pieces(off):
                 part, base = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 row, start, windows, anchor = segments(part, base, least)
-                keep = np.ones(len(row), bool)
-                of = np.mod(K.signed(anchor), n_parts).astype(np.int64) << FILTER_BITS
-                for j in range(4):
-                    pos = of | probe(anchor, j).astype(np.int64)
-                    keep &= (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
+                keep = some.value.may_hold(anchor)
                 row, start, windows, anchor = row[keep], start[keep], windows[keep], anchor[keep]
                 seg = content(part, start, windows + least - 1)
-                n = len(seg)
                 doc = ids[lo:hi][row]
-                if len(seen) > 300_000:
-                    seen.clear()
-                fresh = np.zeros(n, bool)
-                for i, (s, d) in enumerate(zip(seg.tolist(), doc.tolist(), strict=True)):
-                    if seen.get(s, d + 1) > d:  # bytes go along for the smallest id met so far in this task
-                        seen[s] = d
-                        fresh[i] = True
-                raw = part.tobytes()
-                blobs = [raw[a : a + k + least - 1] if f else None for a, k, f in zip(start.tolist(), windows.tolist(), fresh.tolist(), strict=True)]
-                for a in range(0, n, 50_000):
+                again = ~_lower(seen, seg, doc)  # a segment is described once a task, or for a smaller id
+                for a in range(0, len(seg), 50_000):
                     b = slice(a, a + 50_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(K.signed(seg[b])), pa.array(doc[b]), pa.array(keys[lo:hi][row[b]]), pa.array((start[b] - base[row[b]]).astype(np.int32)), pa.array(K.signed(anchor[b])), pa.array(windows[b].astype(np.int32)), pa.array(blobs[a : a + 50_000], pa.binary())], names
+                        [pa.array(K.signed(seg[b])), pa.array(doc[b]), pa.array(keys[lo:hi][row[b]]), pa.array((start[b] - base[row[b]]).astype(np.int32)), pa.array(K.signed(anchor[b]), mask=again[b]), pa.array(windows[b].astype(np.int32), mask=again[b])], names
                     )
 
-    found = written(src.withColumn("row", F.xxhash64("id", "text")).mapInArrow(cut, "seg long, id long, row long, at int, anchor long, windows int, bytes binary"), "segments")
+    found = written(src.withColumn("row", F.hash("text")).mapInArrow(spots, "seg long, id long, row int, at int, anchor long, windows int"), "segments")
     places = found.select("seg", "id", "row", "at")
-    kinds = found.filter(F.col("bytes").isNotNull()).groupBy("seg").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    kinds = found.filter(F.col("anchor").isNotNull()).groupBy("seg").agg(F.min("id").alias("id"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"))
     kinds = written(kinds, "kinds")
     many = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")
-    range_type = "array<struct<f:int,t:int,m:long>>"
+    forget(docs.sparkSession)
+    differ = docs.sparkSession.sparkContext.broadcast(Filter(many, "anchor", most_filter_mb))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            data, off = K.flat(batch.column(1))
+            for lo, hi in K.pieces(off):
+                part, base = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                row, start, windows, anchor = segments(part, base, least)
+                keep = np.flatnonzero(differ.value.may_hold(anchor))
+                seg = content(part, start[keep], windows[keep] + least - 1)
+                new = _lower(seen, seg, ids[lo:hi][row[keep]])
+                keep, seg = keep[new], seg[new]
+                raw = part.tobytes()
+                blobs = [raw[a : a + k + least - 1] for a, k in zip(start[keep].tolist(), windows[keep].tolist(), strict=True)]
+                for a in range(0, len(seg), 50_000):
+                    b = slice(a, a + 50_000)
+                    k = keep[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(seg[b])), pa.array(ids[lo:hi][row[k]]), pa.array(K.signed(anchor[k])), pa.array(windows[k].astype(np.int32)), pa.array(blobs[a : a + 50_000], pa.binary())], ["seg", "id", "anchor", "windows", "bytes"])
+
+    met = src.mapInArrow(fetch, "seg long, id long, anchor long, windows int, bytes binary")
+    size = many.agg(F.sum(F.when(F.col("n") <= group_rows, F.col("n"))).alias("cold"), F.count_if(F.col("n") > group_rows).alias("hot")).first()
+    buckets = max(1, int(size["cold"] or 0) // bucket_rows)
 
     def suffixes(table: pa.Table) -> pa.Table:
-        seg, low = table.column("seg").to_numpy(), table.column("id").to_numpy()
-        order = np.argsort(table.column("anchor").to_numpy(), kind="stable")
-        out_seg, out_f, out_t, out_m = [], [], [], []
-        texts, windows, owner = table.column("bytes").to_pylist(), table.column("windows").to_numpy(), table.column("anchor").to_numpy()
-        for length, text, offset in maximal_repeats([texts[i] for i in order], windows[order].astype(np.int64), owner[order], least):
-            which = order[text]
-            m = int(low[which].min())
-            later = low[which] >= m
-            out_seg.append(seg[which[later]])
-            out_f.append(offset[later])
-            out_t.append(offset[later] + length - least + 1)
-            out_m.append(np.full(int(later.sum()), m))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"seg": pa.array(cat(out_seg).astype(np.int64)), "f": pa.array(cat(out_f).astype(np.int32)), "t": pa.array(cat(out_t).astype(np.int32)), "m": pa.array(cat(out_m).astype(np.int64))})
-
-    met = kinds.join(many, "anchor")
-    buckets = max(1, int(many.filter(F.col("n") <= group_rows).agg(F.sum("n")).first()[0] or 0) // bucket_rows)
-    by_array = (
-        met.filter(F.col("n") <= group_rows)
-        .select("seg", "id", "anchor", "windows", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("b"))
-        .groupBy("b")
-        .applyInArrow(suffixes, "seg long, f int, t int, m long")
-    )
-    hot = met.filter(F.col("n") > group_rows)
+        seg, ids = table.column("seg").to_numpy(), table.column("id").to_numpy()
+        one = np.lexsort((ids, seg))
+        one = one[np.append(True, seg[one][1:] != seg[one][:-1])]  # of a segment met in several tasks, its smallest id
+        one = one[np.argsort(table.column("anchor").to_numpy()[one], kind="stable")]
+        seg, low = seg[one], ids[one]
+        texts, windows, owner = table.column("bytes").take(pa.array(one)).to_pylist(), table.column("windows").to_numpy()[one], table.column("anchor").to_numpy()[one]
+        out: list[tuple[np.ndarray, ...]] = []
+        for length, text, offset in maximal_repeats(texts, windows.astype(np.int64), owner, least):
+            out.append((seg[text], offset, offset + length - least + 1, np.full(len(text), low[text].min())))
+        s, f, t, m = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+        return pa.table({"seg": pa.array(s, pa.int64()), "f": pa.array(f.astype(np.int32)), "t": pa.array(t.astype(np.int32)), "m": pa.array(m, pa.int64())})
 
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,17 +280,34 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                 of = np.repeat(np.arange(lo, lo + len(k)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(seg[of]), pa.array(low[of]), pa.array(offset.astype(np.int32)), pa.array(K.signed(content(data, off[of] + offset, np.full(len(of), least))))], ["seg", "id", "f", "window"])
 
-    ranges = by_array
-    if not hot.select("seg").isEmpty():
-        exploded = written(hot.select("seg", "id", "windows", "bytes").mapInArrow(each_window, "seg long, id long, f int, window long"), "windows")
-        least_id = exploded.groupBy("window").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("window", "m")
-        ranges = ranges.unionByName(exploded.join(least_id, "window").select("seg", "f", (F.col("f") + 1).alias("t"), "m"))
+    ranges = None
+    if size["hot"]:
+        met = written(met, "met-bytes")
+        crowded = F.broadcast(many.filter(F.col("n") > group_rows).select("anchor"))  # at most one in group_rows segments
+        exploded = written(met.join(crowded, "anchor", "left_semi").select("seg", "id", "windows", "bytes").mapInArrow(each_window, "seg long, id long, f int, window long"), "windows")
+        smallest = exploded.groupBy("window").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("window", "m")
+        ranges = exploded.join(smallest, "window").select("seg", "f", (F.col("f") + 1).alias("t"), "m").distinct()
+        met = met.join(crowded, "anchor", "left_anti")
+    by_array = met.withColumn("b", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("b").applyInArrow(suffixes, "seg long, f int, t int, m long")
+    ranges = by_array if ranges is None else ranges.unionByName(by_array)
     # a segment that itself occurs again, and what the arrays have found
     itself = kinds.select("seg", F.lit(0).alias("f"), F.col("windows").alias("t"), F.col("id").alias("m"))
-    groups = itself.unionByName(ranges).groupBy("seg").agg(F.collect_list(F.struct("f", "t", "m")).cast(range_type).alias("ranges"))
+    groups = itself.unionByName(ranges).groupBy("seg").agg(F.collect_list(F.struct("f", "t", "m")).alias("ranges"))
     return groups, places
 
 
+def _lower(seen: dict[int, int], seg: np.ndarray, doc: np.ndarray, most: int = 300_000) -> np.ndarray:
+    """Which segments are new to ``seen``, or have a smaller id than there; it is emptied when too large."""
+    if len(seen) > most:
+        seen.clear()
+    out = np.zeros(len(seg), bool)
+    for i, (s, d) in enumerate(zip(seg.tolist(), doc.tolist(), strict=True)):
+        if seen.get(s, d + 1) > d:
+            seen[s] = d
+            out[i] = True
+    return out
+
+
 def drop_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Every document without the bytes that a string of ``least`` bytes covers which starts under a smaller id too.
 
@@ -285,11 +317,11 @@ def drop_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     remove nothing; texts shorter than ``least`` lose nothing. An empty table gives an empty result.
     """
     groups, places = repeat_groups(docs, least, id_col, text_col, **settings)
-    hit = places.join(groups, "seg").select("row", "at", F.filter("ranges", lambda r: r["m"] < F.col("id")).alias("r")).filter(F.size("r") > 0)
-    spans = hit.groupBy("row").agg(F.flatten(F.collect_list(F.transform("r", lambda x: F.struct((F.col("at") + x["f"]).alias("s"), (F.col("at") + x["t"] - 1 + least).alias("e"))))).alias("cut"))
+    hit = places.join(groups, "seg").select("id", "row", "at", F.filter("ranges", lambda r: r["m"] < F.col("id")).alias("r")).filter(F.size("r") > 0)
+    spans = hit.withColumnRenamed("id", "doc").groupBy("doc", "row").agg(F.flatten(F.collect_list(F.transform("r", lambda x: F.struct((F.col("at") + x["f"]).alias("s"), (F.col("at") + x["t"] - 1 + least).alias("e"))))).alias("cut"))
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.when(F.col("id").isNotNull(), F.xxhash64(F.col("id").cast("long"), "text")))
-    whole = src.join(spans, "row", "left").select("id", "text", F.transform("cut", lambda x: x["s"]).alias("s"), F.transform("cut", lambda x: x["e"]).alias("e"))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = src.withColumn("doc", F.col("id").cast("long")).withColumn("row", F.hash("text")).join(spans, ["doc", "row"], "left").select("id", "text", F.transform("cut", lambda x: x["s"]).alias("s"), F.transform("cut", lambda x: x["e"]).alias("e"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
