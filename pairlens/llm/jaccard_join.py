@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import written
+from .bloom import Filter
+from .common import forget, written
 from .components import components
 
 U = K.U
@@ -105,7 +106,7 @@ def names(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", largest: int = 1 << 26) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", largest: int = 1 << 26, most_filter_mb: int = 128) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least p / q of their word shingles.
 
     One row per document: ``id, n_shingles, component_id``, the smallest id reachable by links, itself
@@ -119,15 +120,17 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
 
     A text without words (null, empty) has no shingles, links with nothing and is its own component. A null id
     gives a null component and takes no part. Repeated rows of one id are one node or are linked as their
-    texts are. Other columns are ignored. largest: the most shingles of a text for which bands are laid out.
+    texts are. Other columns are ignored. largest: the most shingles of a text for which bands
+    are laid out. most_filter_mb: the bound of the broadcast filter of keys that occur more than once; where it
+    is too small for them more keys are sent, none is lost.
     """
     bands = Bands(p, q, largest)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Of each part of a batch: its rows, and (row, key) of the nodes that this task has not met before."""
         done: set[int] = set()
-        columns = ["id", "n", "node", "key"]
         for batch in batches:
             data, off = K.flat(batch.column(1))
             for lo, hi in K.pieces(off):
@@ -135,7 +138,6 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                 n = hi - lo
                 size, node = np.bincount(row, minlength=n), names(row, g, n)
                 ids = batch.column(0).slice(lo, n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(K.signed(node)), pa.nulls(n, pa.int64())], columns)
                 if len(done) > 500_000:
                     done.clear()
                 real = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -144,18 +146,37 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                     if (x := int(node[d])) not in done:  # copies met in this task need no second set of keys
                         done.add(x)
                         fresh.append(d)
-                r, key = signatures(row, g, np.array(fresh, np.int64), bands)
-                for a in range(0, len(r), 200_000):
-                    b = slice(a, a + 200_000)
-                    k = len(r[b])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.array(K.signed(node[r[b]])), pa.array(K.signed(key[b]))], columns)
+                yield ids, size, node, *signatures(row, g, np.array(fresh, np.int64), bands)
+
+    def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, key in scan(batches):
+            for a in range(0, len(key), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(key[a : a + 200_000]))], ["key"])
 
-    scanned = written(src.mapInArrow(scan, f"id {kind}, n long, node long, key long"), "signatures")
+    # The keys alone are counted first. Those that occur once, nearly all, are then never sent with their nodes.
+    often = written(src.mapInArrow(all_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "keys")
+    forget(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(often, "key", most_filter_mb))
+
+    def rows_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["id", "n", "node", "key"]
+        for ids, size, node, r, key in scan(batches):
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(K.signed(node)), pa.nulls(n, pa.int64())], columns)
+            keep = shared.value.may_hold(key)
+            r, key = r[keep], key[keep]
+            for a in range(0, len(r), 200_000):
+                b = slice(a, a + 200_000)
+                k = len(r[b])
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.array(K.signed(node[r[b]])), pa.array(K.signed(key[b]))], columns)
+
+    scanned = written(src.mapInArrow(rows_and_keys, f"id {kind}, n long, node long, key long"), "signatures")
     rows = scanned.filter(F.col("key").isNull()).drop("key")
     keys = scanned.filter(F.col("key").isNotNull()).select("key", "node")
 
     met = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key", "hub")
     meets = written(keys.join(met, "key").distinct(), "meetings")
+    forget(docs.sparkSession)
 
     # whole sets and folded sketches of the nodes that meet any other, from one row of each
     some = rows.filter(F.col("id").isNotNull()).join(meets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
