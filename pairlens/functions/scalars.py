@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def half_wins(a: Column, b: Column) -> Column:
@@ -67,7 +68,7 @@ def bias_label(share: Column) -> Column:
     return F.when(share >= 0.75, "strong").when(share >= 0.65, "moderate").when(share >= 0.55, "weak").otherwise("none")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bf16(x: pd.Series) -> pd.Series:
     """Nearest value with bfloat16's 16 bits, ties to even."""
     bits = x.to_numpy(np.float32).view(np.uint32).astype(np.uint64)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .resample import permuted
 
@@ -76,7 +77,7 @@ def regression(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of discordant counts b and c (also the exact binomial test at a half); 1 if there are none."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def p(b: pd.Series, c: pd.Series) -> pd.Series:
         def one(x: int, y: int) -> float:
             n, k = x + y, min(x, y)
