@@ -10,8 +10,10 @@ from .decontaminate import benchmark_hits
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_classes
 from .lm_score import lm_score
+from .licenses import licence_scan
 from .packing import pack
 from .repeats import drop_repeats
+from .revisits import resolve_revisits
 from .secret_scan import secret_scan, written_spans
 from .toxicity import toxicity
 from .toxicity import train as train_toxicity
@@ -71,3 +73,29 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"), least=50).drop("spans")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from source and language; short English or other documents that name a licence stand for licence files."""
+    d = table(spark, sf_dir, "documents")
+    short = F.length("text") <= 200
+    name = F.when(short & F.col("text").rlike("(?i)licen[cs]e"), F.when(F.col("lang") == "en", F.concat("source", F.lit("/LICENSE"))).otherwise(F.concat("source", F.lit("/"), "lang", F.lit("/LICENSE"))))
+    path = F.coalesce(name, F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licence_scan(d.select("doc_id", path.alias("path"), "text"))
+
+
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page is a response; a revisit follows it, one in five with another ETag, and some come before any response."""
+    p = table(spark, sf_dir, "pages")
+    i, tag = F.col("page_id"), F.md5("html")
+    both = F.explode(
+        F.array(
+            F.struct((3 * i).alias("record_id"), F.lit("response").alias("kind"), (10 * i).alias("ts"), tag.alias("etag"), F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), (10 * i).cast("string")).alias("headers")),
+            F.struct((3 * i + 1).alias("record_id"), F.lit("revisit").alias("kind"), (10 * i + 25).alias("ts"), F.when(i % 5 == 0, F.lit("other")).otherwise(tag).alias("etag"), F.create_map(F.lit("content-type"), F.lit("none"), F.lit("date"), (10 * i + 25).cast("string")).alias("headers")),
+            F.struct((3 * i + 2).alias("record_id"), F.when(i % 7 == 0, "revisit").alias("kind"), (10 * i - 5).alias("ts"), F.lit(None).cast("string").alias("etag"), F.create_map(F.lit("vary"), F.lit("accept")).alias("headers")),
+        )
+    ).alias("r")
+    records = p.select("url", both).select("url", "r.*").withColumn("last_modified", F.lit(None).cast("string"))
+    got = resolve_revisits(records)
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return got.select("record_id", "url", "response_id", "outcome", said.alias("headers"))
