@@ -40,23 +40,22 @@ def segments(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray,
         return none, none, none, none.view(U)
     key = byte_grams(data)
     low = K.window_min(key, w)
-    last = np.arange(n) + w - 1
-    at = np.where(key[last] == low, last, 0)
-    lost = np.flatnonzero(at == 0)
-    lost = lost[(lost == 0) | (low[lost] != low[np.maximum(lost - 1, 0)])]
-    for a in range(0, len(lost), 50_000):  # the smallest has left the window: look for the next
-        i = lost[a : a + 50_000]
+    start = np.arange(n, dtype=np.int32)
+    at = np.where(key[w - 1 :][:n] == low, start + np.int32(w - 1), np.int32(0))
+    lost = np.flatnonzero((at == 0) & np.append(True, low[1:] != low[:-1]))
+    for a in range(0, len(lost), 20_000):  # the smallest has left the window: look for the next
+        i = lost[a : a + 20_000]
         same = key[i[:, None] + np.arange(w)] == low[i][:, None]
         at[i] = i + w - 1 - same[:, ::-1].argmax(1)
     at = np.maximum.accumulate(at)
-    start = np.arange(n)
-    row = np.searchsorted(off, start, "right") - 1
-    ok = np.flatnonzero(start + least <= off[row + 1])
+    size = np.diff(off)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[:n]
+    ok = np.flatnonzero(row == np.repeat(np.arange(len(size), dtype=np.int32), size)[least - 1 :][:n])
     if not len(ok):
         return none, none, none, none.view(U)
     new = np.append(True, (at[ok[1:]] != at[ok[:-1]]) | (row[ok[1:]] != row[ok[:-1]]))
     first = np.flatnonzero(new)
-    return row[ok[first]], ok[first], np.diff(np.append(first, len(ok))), key[at[ok[first]]]
+    return row[ok[first]].astype(np.int64), ok[first], np.diff(np.append(first, len(ok))), key[at[ok[first]]]
 
 
 def content(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -124,8 +123,8 @@ def maximal_repeats(texts: list[bytes], windows: np.ndarray, owner: np.ndarray,
 def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 64, group_rows: int = 20_000, bucket_rows: int = 30_000) -> tuple[DataFrame, DataFrame]:
     """Strings of at least ``least`` bytes that start in several documents, in segments.
 
-    Returns (groups, places): groups has ``seg, ranges``, for each segment of text the ranges of its windows
-    (``f`` to ``t``, end exclusive) with ``m``, the smallest id in which these windows occur; places has ``seg, id,
+    Returns (groups, places): groups has ``seg, f, t, m`` rows: of a segment of text, a range of its windows (``f`` to
+    ``t``, end exclusive) and the smallest id in which these windows occur; places has ``seg, id,
     row, at``: where each segment occurs, row being a hash of id and text.
 
     Anchors that occur under more than one id are found by grouped minima and go to a Bloom filter of bounded
@@ -159,7 +158,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, off = K.flat(batch.column(1))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, 1 << 18):
                 row, _, _, anchor = segments(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], least)
                 if len(row):
                     held.append((anchor, ids[lo:hi][row]))
@@ -180,7 +179,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, off = K.flat(batch.column(1))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, 1 << 18):
                 part, base = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 row, start, windows, anchor = segments(part, base, least)
                 keep = some.value.may_hold(anchor)
@@ -207,7 +206,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, off = K.flat(batch.column(1))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, 1 << 18):
                 part, base = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 row, start, windows, anchor = segments(part, base, least)
                 keep = np.flatnonzero(differ.value.may_hold(anchor))
@@ -232,11 +231,23 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         one = one[np.argsort(table.column("anchor").to_numpy()[one], kind="stable")]
         seg, low = seg[one], ids[one]
         texts, windows, owner = table.column("bytes").take(pa.array(one)).to_pylist(), table.column("windows").to_numpy()[one], table.column("anchor").to_numpy()[one]
+        windows = windows.astype(np.int64)
+        base = np.cumsum(windows) - windows
+        m = np.repeat(low, windows)  # of each window, the smallest id of the repeats that cover it
         out: list[tuple[np.ndarray, ...]] = []
-        for length, text, offset in maximal_repeats(texts, windows.astype(np.int64), owner, least):
-            out.append((seg[text], offset, offset + length - least + 1, np.full(len(text), low[text].min())))
-        s, f, t, m = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-        return pa.table({"seg": pa.array(s, pa.int64()), "f": pa.array(f.astype(np.int32)), "t": pa.array(t.astype(np.int32)), "m": pa.array(m, pa.int64())})
+        for length, text, offset in maximal_repeats(texts, windows, owner, least):
+            out.append((base[text] + offset, np.full(len(text), length - least + 1), np.full(len(text), low[text].min())))
+        if out:
+            f, k, least_id = (np.concatenate(x) for x in zip(*out, strict=True))
+            better = np.flatnonzero(least_id < m[f])  # what is larger at its start is so all along: the text has it itself
+            f, k, least_id = f[better], k[better], least_id[better]
+            at = np.repeat(f - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            np.minimum.at(m, at, np.repeat(least_id, k))
+        of = np.repeat(np.arange(len(seg)), windows)
+        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (m[1:] != m[:-1])))
+        begin = first - base[of[first]]
+        stop = begin + np.diff(np.append(first, len(m)))
+        return pa.table({"seg": pa.array(seg[of[first]]), "f": pa.array(begin.astype(np.int32)), "t": pa.array(stop.astype(np.int32)), "m": pa.array(m[first])})
 
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,12 +266,16 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         exploded = written(met.join(crowded, "anchor", "left_semi").select("seg", "id", "windows", "bytes").mapInArrow(each_window, "seg long, id long, f int, window long"), "windows")
         smallest = exploded.groupBy("window").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("window", "m")
         ranges = exploded.join(smallest, "window").select("seg", "f", (F.col("f") + 1).alias("t"), "m").distinct()
+        # a crowded segment's own repeats
+        own = met.join(crowded, "anchor", "left_semi").groupBy("seg").agg(F.lit(0).alias("f"), F.max("windows").alias("t"), F.min("id").alias("m"))
+        ranges = ranges.unionByName(own)
         met = met.join(crowded, "anchor", "left_anti")
     by_array = met.withColumn("b", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("b").applyInArrow(suffixes, "seg long, f int, t int, m long")
     ranges = by_array if ranges is None else ranges.unionByName(by_array)
-    # a segment that itself occurs again, and what the arrays have found
-    itself = kinds.select("seg", F.lit(0).alias("f"), F.col("windows").alias("t"), F.col("id").alias("m"))
-    groups = itself.unionByName(ranges).groupBy("seg").agg(F.collect_list(F.struct("f", "t", "m")).alias("ranges"))
+    # a segment alone with its anchor occurs again as a whole
+    itself = kinds.join(many, "anchor", "left_anti").select("seg", F.lit(0).alias("f"), F.col("windows").alias("t"), F.col("id").alias("m"))
+    groups = written(itself.unionByName(ranges), "ranges")
+    forget(docs.sparkSession)
     return groups, places
 
 
@@ -285,8 +300,9 @@ def drop_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     remove nothing; texts shorter than ``least`` lose nothing. An empty table gives an empty result.
     """
     groups, places = repeat_groups(docs, least, id_col, text_col, **settings)
-    hit = places.join(groups, "seg").select("id", "row", "at", F.filter("ranges", lambda r: r["m"] < F.col("id")).alias("r")).filter(F.size("r") > 0)
-    spans = hit.withColumnRenamed("id", "doc").groupBy("doc", "row").agg(F.flatten(F.collect_list(F.transform("r", lambda x: F.struct((F.col("at") + x["f"]).alias("s"), (F.col("at") + x["t"] - 1 + least).alias("e"))))).alias("cut"))
+    hit = places.join(groups, "seg").filter("m < id").select(F.col("id").alias("doc"), "row", F.struct((F.col("at") + F.col("f")).alias("s"), (F.col("at") + F.col("t") - 1 + least).alias("e")).alias("cut"))
+    spans = written(hit.groupBy("doc", "row").agg(F.collect_list("cut").alias("cut")), "spans")
+    forget(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = src.withColumn("doc", F.col("id").cast("long")).withColumn("row", F.hash("text")).join(spans, ["doc", "row"], "left").select("id", "text", F.transform("cut", lambda x: x["s"]).alias("s"), F.transform("cut", lambda x: x["e"]).alias("e"))
