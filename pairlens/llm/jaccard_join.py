@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -42,8 +42,9 @@ class Bands:
 
     Linked sets have sizes whose ratio is at least p / q, so they are in one band or in two neighbouring
     ones; a set also joins the next band if a partner can be there. Linked sets of a band differ in at most
-    D elements, which change at most D segments: of D + 1 + slack segments 1 + slack are equal. A set
-    with more than ``slack`` empty segments gives these too; otherwise an equal segment is not empty.
+    D elements, which change at most D segments: of D + 1 + slack segments 1 + slack are equal, and more
+    for a pair that may differ in less than D. A set with more than ``slack`` empty segments gives these too;
+    otherwise an equal segment is not empty.
     """
 
     def __init__(self, p: int, q: int, largest: int) -> None:
@@ -55,19 +56,22 @@ class Bands:
         self.low = np.array(low, np.int64)
         top = np.append(self.low[1:] - 1, self.low[-1] * 4)
         self.differ = 2 * top * (q - p) // (q + p)
-        self.slack = 2 + self.differ // 16
+        self.slack = 2 + self.differ // 4
+        self.top = top
         self.segments = self.differ + 1 + self.slack
 
 
-def signatures(row: np.ndarray, g: np.ndarray, docs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows in ``docs``: (row, key) for each segment of the parity sketch.
+def signatures(row: np.ndarray, g: np.ndarray, docs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows in ``docs``: (row, key, band, spare) for each segment of the parity sketch.
+
+    spare: one less than the number of keys of the band that the set shares with any set it is linked with there.
 
     Every shingle flips one bit of a sketch as long as the hash range, cut into segments by the hash's high
     bits. Of a segment only the exclusive or of its flipped positions, scattered, is kept: it is equal for
     equal segments.
     """
     size = np.bincount(row, minlength=int(docs.max(initial=-1)) + 1)
-    out_row, out_key = [], []
+    out_row, out_key, out_band, out_spare = [], [], [], []
     for ahead in (0, 1):
         band = np.searchsorted(bands.low, size, "right") - 1 + ahead
         on = np.zeros(len(size), bool)
@@ -87,13 +91,20 @@ def signatures(row: np.ndarray, g: np.ndarray, docs: np.ndarray, bands: Bands) -
         name = K.mix(band[r].astype(U) << U(40) | segment)
         out_row.append(r)
         out_key.append(K.mix(flips ^ name))
+        out_band.append(band[r])
         filled = np.bincount(r, minlength=len(size))
+        b = np.minimum(band, len(bands.segments) - 1)
+        most = (size + np.minimum(size * bands.q // bands.p, bands.top[b])) * (bands.q - bands.p) // (bands.q + bands.p)
+        spare = np.maximum(bands.segments[b] - most - np.minimum(bands.segments[b] - filled, bands.slack[b]) - 1, 0)
+        out_spare.append(spare[r])
         for d in np.flatnonzero(on & (bands.segments[np.minimum(band, len(bands.segments) - 1)] - filled > bands.slack[np.minimum(band, len(bands.slack) - 1)])):
             empty = np.setdiff1d(np.arange(bands.segments[band[d]]), segment[r == d].astype(np.int64)).astype(U)
             out_row.append(np.full(len(empty), d))
+            out_band.append(np.full(len(empty), band[d]))
+            out_spare.append(np.full(len(empty), spare[d]))
             out_key.append(K.mix(U(0xE3A7) ^ K.mix(U(int(band[d])) << U(40) | empty)))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return cat(out_row, np.int64), cat(out_key, U)
+    return cat(out_row, np.int64), cat(out_key, U), cat(out_band, np.int64), cat(out_spare, np.int64)
 
 
 def names(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
@@ -106,14 +117,14 @@ def names(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", largest: int = 1 << 26, most_filter_mb: int = 128) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", largest: int = 1 << 26, most_filter_mb: int = 128, rounds: int = 3, hubs_each: int = 3) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least p / q of their word shingles.
 
     One row per document: ``id, n_shingles, component_id``, the smallest id reachable by links, itself
     included. Rows with equal shingle sets are one node, so copies are never paired. Nodes meet where a segment of
     their parity sketches is equal (see Bands; no linked pair is missed). Meeting nodes are not paired
-    among each other: each is first compared with the one node it meets most often among its segments'
-    smallest nodes; pairs of one segment that are then still in different classes are compared if sizes and
+    among each other: in ``rounds`` rounds one node of each segment is its hub, and each node is compared with
+    the ``hubs_each`` hubs of other classes that it meets most often; pairs of one segment that are then still in different classes are compared if sizes and
     the sketches' Hamming distance, which is never more than the sets' difference, allow a link. Every
     comparison is of whole sets. Classes are connected components of the links found; links inside a class
     that could not change it are not looked for.
@@ -129,7 +140,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Of each part of a batch: its rows, and (row, key) of the nodes that this task has not met before."""
+        """Of each part of a batch: its rows, and (row, key, band, spare) of the nodes that this task has not met before."""
         done: set[int] = set()
         for batch in batches:
             data, off = K.flat(batch.column(1))
@@ -149,7 +160,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                 yield ids, size, node, *signatures(row, g, np.array(fresh, np.int64), bands)
 
     def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, key in scan(batches):
+        for *_, key, _, _ in scan(batches):
             for a in range(0, len(key), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(key[a : a + 200_000]))], ["key"])
 
@@ -159,23 +170,29 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     shared = docs.sparkSession.sparkContext.broadcast(Filter(often, "key", most_filter_mb))
 
     def rows_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["id", "n", "node", "key"]
-        for ids, size, node, r, key in scan(batches):
+        columns = ["id", "n", "node", "key", "band", "spare"]
+        for ids, size, node, r, key, band, spare in scan(batches):
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(K.signed(node)), pa.nulls(n, pa.int64())], columns)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(K.signed(node)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], columns)
             keep = shared.value.may_hold(key)
-            r, key = r[keep], key[keep]
+            r, key, band, spare = r[keep], key[keep], band[keep].astype(np.int32), spare[keep].astype(np.int32)
             for a in range(0, len(r), 200_000):
                 b = slice(a, a + 200_000)
                 k = len(r[b])
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.array(K.signed(node[r[b]])), pa.array(K.signed(key[b]))], columns)
-
-    scanned = written(src.mapInArrow(rows_and_keys, f"id {kind}, n long, node long, key long"), "signatures")
-    rows = scanned.filter(F.col("key").isNull()).drop("key")
-    keys = scanned.filter(F.col("key").isNotNull()).select("key", "node")
-
-    met = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key", "hub")
-    meets = written(keys.join(met, "key").distinct(), "meetings")
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.array(K.signed(node[r[b]])), pa.array(K.signed(key[b])), pa.array(band[b]), pa.array(spare[b])], columns)
+
+    scanned = written(src.mapInArrow(rows_and_keys, f"id {kind}, n long, node long, key long, band int, spare int"), "signatures")
+    rows = scanned.filter(F.col("key").isNull()).drop("key", "band", "spare")
+    keys = scanned.filter(F.col("key").isNotNull()).select("key", "node", "band", "spare")
+
+    met = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n")).filter("hub < top").select("key", "n")
+    # A linked pair shares more than ``spare`` keys, so its rarest shared key is among none's ``spare`` most frequent ones:
+    # each node leaves these out, the keys of common phrases before all others.
+    by_frequency = Window.partitionBy("node", "band").orderBy(F.desc("n"), "key")
+    few = keys.join(met, "key").distinct().withColumn("at", F.row_number().over(by_frequency)).filter("at > spare").select("key", "node")
+    few = written(few, "rare-keys")
+    met = few.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key")
+    meets = written(few.join(met, "key", "left_semi"), "meetings")
     forget(docs.sparkSession)
 
     # whole sets and folded sketches of the nodes that meet any other, from one row of each
@@ -220,17 +237,29 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         near = pairs.join(one("a"), "a").join(one("b"), "b").filter(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
         return near.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
-    votes = meets.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("v"))
-    star = votes.groupBy("node").agg(F.max_by("hub", F.struct("v", -F.col("hub"))).alias("b")).select(F.col("node").alias("a"), "b")
-    links = written(linked(star), "links")
-    known = components(links)
-
     def open_keys(known: DataFrame) -> DataFrame:
         """Meetings whose nodes are in different classes as yet, with the nodes' classes."""
         placed = meets.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
         return placed.join(apart, "key", "left_semi")
 
+    spark = docs.sparkSession
+    known = spark.createDataFrame([], "node long, component long")
+    links = tried = spark.createDataFrame([], "a long, b long")
+    for turn in range(rounds):
+        here = open_keys(known)
+        hubs = here.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(turn))).alias("hub"))
+        meet = here.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("v"))
+        best = Window.partitionBy("node").orderBy(F.desc("v"), F.xxhash64("node", "hub"))
+        star = meet.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= hubs_each).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        star = written(star.join(tried, ["a", "b"], "left_anti"), "stars")
+        tried = tried.unionByName(star)
+        new = written(linked(star), "links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        known = components(links)
+
     left = written(open_keys(known).join(whole.drop("set"), "node"), "open")
     side = lambda c: left.select("key", *[F.col(x).alias(f"{c}_{x}") for x in left.columns if x != "key"])
     gap = sum((F.bit_count(F.col(f"l_s{j}").bitwiseXOR(F.col(f"r_s{j}"))) for j in range(WORDS)), F.lit(0))
@@ -243,7 +272,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         & (gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
     )
     rest = l.join(r, possible).select(F.col("l_node").alias("b"), F.col("r_node").alias("a")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    rest = rest.join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(linked(rest))
     known = components(links)
     # a class's smallest id by way of its nodes, so that rows are joined by node alone and never gathered by class

@@ -86,8 +86,11 @@ def test_linked_sets_share_a_signature():
             if 100 * both < p * (len(x) + len(y) - both):
                 continue
             row = np.repeat([0, 1], [len(x), len(y)])
-            r, k = jaccard_join.signatures(row, np.concatenate([x, y]), np.array([0, 1]), bands)
-            assert np.intersect1d(k[r == 0], k[r == 1]).size
+            r, k, band, spare = jaccard_join.signatures(row, np.concatenate([x, y]), np.array([0, 1]), bands)
+            shared = np.intersect1d(k[r == 0], k[r == 1])
+            assert shared.size
+            for j in set(band[r == 0]) & set(band[r == 1]):
+                assert np.isin(shared, k[band == j]).sum() > spare[band == j].max()
 
 
 def test_components(spark):
