@@ -278,7 +278,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     # a class's smallest id by way of its nodes, so that rows are joined by node alone and never gathered by class
     nodes = rows.filter(F.col("id").isNotNull() & (F.col("node") != 0)).groupBy("node").agg(F.min("id").alias("id")).join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
     best = nodes.groupBy("c").agg(F.min("id").alias("best"))
-    named = nodes.select("node", "c").join(best, "c").select("node", "best")
+    named = written(nodes.select("node", "c").join(best, "c").select("node", "best"), "classes")  # so the last join is of two plain exchanges, which Spark can split
     return rows.join(named, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("best", "id")).alias("component_id")
     )
