@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bloom import Filter
-from .common import forget, written
+from .common import discard, forget, written
 
 U = K.U
 GRAM = 16
@@ -197,6 +197,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
     places = found.select("seg", "id", "row", "at")
     kinds = found.filter(F.col("anchor").isNotNull()).groupBy("seg").agg(F.min("id").alias("id"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"))
     kinds = written(kinds, "kinds")
+    forget(docs.sparkSession)
     many = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")
     forget(docs.sparkSession)
     differ = docs.sparkSession.sparkContext.broadcast(Filter(many, "anchor", most_filter_mb))
@@ -259,11 +260,13 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                 of = np.repeat(np.arange(lo, lo + len(k)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(seg[of]), pa.array(low[of]), pa.array(offset.astype(np.int32)), pa.array(K.signed(content(data, off[of] + offset, np.full(len(of), least))))], ["seg", "id", "f", "window"])
 
-    ranges = None
+    ranges, used = None, [shared, kinds, many]
     if size["hot"]:
         met = written(met, "met-bytes")
+        used.append(met)
         crowded = F.broadcast(many.filter(F.col("n") > group_rows).select("anchor"))  # at most one in group_rows segments
         exploded = written(met.join(crowded, "anchor", "left_semi").select("seg", "id", "windows", "bytes").mapInArrow(each_window, "seg long, id long, f int, window long"), "windows")
+        used.append(exploded)
         smallest = exploded.groupBy("window").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("window", "m")
         ranges = exploded.join(smallest, "window").select("seg", "f", (F.col("f") + 1).alias("t"), "m").distinct()
         # a crowded segment's own repeats
@@ -275,6 +278,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
     # a segment alone with its anchor occurs again as a whole
     itself = kinds.join(many, "anchor", "left_anti").select("seg", F.lit(0).alias("f"), F.col("windows").alias("t"), F.col("id").alias("m"))
     groups = written(itself.unionByName(ranges), "ranges")
+    discard(*used)
     forget(docs.sparkSession)
     return groups, places
 
@@ -302,6 +306,7 @@ def drop_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     groups, places = repeat_groups(docs, least, id_col, text_col, **settings)
     hit = places.join(groups, "seg").filter("m < id").select(F.col("id").alias("doc"), "row", F.struct((F.col("at") + F.col("f")).alias("s"), (F.col("at") + F.col("t") - 1 + least).alias("e")).alias("cut"))
     spans = written(hit.groupBy("doc", "row").agg(F.collect_list("cut").alias("cut")), "spans")
+    discard(groups, places)
     forget(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
