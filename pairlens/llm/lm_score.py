@@ -59,19 +59,32 @@ class Model:
     weight: float
 
     def levels(self, key: np.ndarray, order: int) -> np.ndarray:
-        """Repeated membership probes: the last level whose bits are all set, 0 if the first is not."""
-        key = K.mix(key + U(order))
-        out = np.zeros(len(key), np.int64)
-        alive = np.arange(len(key))
-        n = U(self.segments)
-        for lev in range(1, len(self.value[order - 1])):
-            for probe in range(PROBES):
-                pos = positions(key[alive], lev, probe, n)
-                alive = alive[(self.bits[pos >> U(3)] >> (pos & U(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    return out
-            out[alive] = lev
-        return out
+        return probed(self.bits, K.mix(key + U(order)), self.segments, len(self.value[order - 1]))
+
+
+def probed(bits: np.ndarray, key: np.ndarray, segments: int, levels: int) -> np.ndarray:
+    """Repeated membership probes: the last level whose bits are all set, 0 if the first is not."""
+    out = np.zeros(len(key), np.int64)
+    alive = np.arange(len(key))
+    n = U(segments)
+    for lev in range(1, levels):
+        for probe in range(PROBES):
+            pos = positions(key[alive], lev, probe, n)
+            alive = alive[(bits[pos >> U(3)] >> (pos & U(7)).astype(np.uint8)) & 1 == 1]
+            if not len(alive):
+                return out
+        out[alive] = lev
+    return out
+
+
+def one_segment(key: np.ndarray, lev: np.ndarray) -> np.ndarray:
+    """Packed bits of the segment that holds these (mixed) keys."""
+    bits = np.zeros(1 << SEGMENT_BITS, bool)
+    for j in range(1, int(lev.max(initial=0)) + 1):
+        of = key[lev >= j]
+        for probe in range(PROBES):
+            bits[positions(of, j, probe, U(1)) & U((1 << SEGMENT_BITS) - 1)] = True
+    return np.packbits(bits, bitorder="little")
 
 
 def count_ngrams(docs: DataFrame, used: Column, text_col: str, most: int = 1_000_000) -> DataFrame:
@@ -117,17 +130,17 @@ def count_ngrams(docs: DataFrame, used: Column, text_col: str, most: int = 1_000
     return docs.filter(used).select(text_col).mapInArrow(run, "order int, key long, n long").groupBy("order", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, used: Column, text_col: str = "text", least_pairs: int = 2, bits_per_level: int = 12, most_filter_mb: int = 512, head: int = 1 << 17, weight: float = 0.3) -> tuple[Model, DataFrame]:
-    """The model, and the table of exact word counts ``key, n``.
+def learn(docs: DataFrame, used: Column, text_col: str = "text", bits_per_level: int = 12, most_filter_mb: int = 512, head: int = 1 << 17, weight: float = 0.3) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model, the table of exact word counts ``key, n``, and the filter's entries if it is too large to ship.
 
-    Counts cover the whole training text. Word pairs seen fewer than ``least_pairs`` times are left to the
-    words' own probabilities (a cutoff of the model, the same at every size). The filter has
-    ``bits_per_level`` bits for each (n-gram, level); where that would pass ``most_filter_mb``, the bound of
-    what is broadcast, it stays at that size and false positives grow instead. ``head`` bounds the broadcast
+    Counts cover the whole training text, every word and every word pair. The filter always has
+    ``bits_per_level`` bits for each (n-gram, level). Up to ``most_filter_mb`` it is built here and comes with the
+    model; beyond, the model has no bits and the entries ``key, level, segment`` (mixed keys) are
+    returned, from which each segment is built where it is asked. ``head`` bounds the broadcast
     table of exact counts of the most frequent words; the others are joined by shuffle.
     """
     spark = docs.sparkSession
-    counts = count_ngrams(docs, used, text_col).filter((F.col("order") == 1) | (F.col("n") >= least_pairs)).withColumn("level", level(F.col("n")))
+    counts = count_ngrams(docs, used, text_col).withColumn("level", level(F.col("n")))
     counts = written(counts, "ngrams")
     rows = counts.groupBy("order", "level").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()  # some dozens
     value = []
@@ -140,7 +153,7 @@ def fit(docs: DataFrame, used: Column, text_col: str = "text", least_pairs: int
     total = sum(r["n"] for r in rows if r["order"] == 1)
     distinct = sum(r["keys"] for r in rows if r["order"] == 1)
     entries = sum(r["keys"] * r["level"] for r in rows)
-    segments = max(1, -(-min(entries * bits_per_level, most_filter_mb << 23) >> SEGMENT_BITS))
+    segments = max(1, -(-entries * bits_per_level >> SEGMENT_BITS))
     least, words = math.inf, 0
     for r in sorted((r for r in rows if r["order"] == 1), key=lambda r: -r["level"]):
         words += r["keys"]
@@ -151,28 +164,153 @@ def fit(docs: DataFrame, used: Column, text_col: str = "text", least_pairs: int
     top = top.sort_values("key")
 
     def build(table: pa.Table) -> pa.Table:
-        key = K.mix(table.column("key").to_numpy().view(U) + table.column("order").to_numpy().astype(U))
-        lev = table.column("level").to_numpy()
-        bits = np.zeros(1 << SEGMENT_BITS, bool)
-        for j in range(1, int(lev.max()) + 1):
-            of = key[lev >= j]
-            for probe in range(PROBES):
-                bits[positions(of, j, probe, U(1)) & U((1 << SEGMENT_BITS) - 1)] = True
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    n_segments = segments
+        bits = one_segment(table.column("key").to_numpy().view(U), table.column("level").to_numpy())
+        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = K.mix(b.column(1).to_numpy().view(U) + b.column(0).to_numpy().astype(U))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(((key >> U(40)) % U(n_segments)).astype(np.int32))], ["order", "key", "level", "segment"])
-
-    parts = counts.select("order", "key", "level").mapInArrow(dealt, "order int, key long, level int, segment int")
-    bits = np.zeros(segments << (SEGMENT_BITS - 3), np.uint8)
-    for r in parts.groupBy("segment").applyInArrow(build, "segment int, bits binary").toLocalIterator():
-        bits[r["segment"] << (SEGMENT_BITS - 3) :][: 1 << (SEGMENT_BITS - 3)] = np.frombuffer(r["bits"], np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), b.column(2), segment_of(key, segments)], ["key", "level", "segment"])
+
+    parts = counts.select("order", "key", "level").mapInArrow(dealt, "key long, level int, segment int")
+    shipped = segments << (SEGMENT_BITS - 3) <= max(most_filter_mb << 20, 0)
+    bits = np.zeros(segments << (SEGMENT_BITS - 3) if shipped else 0, np.uint8)
+    if shipped:
+        for r in parts.groupBy("segment").applyInArrow(build, "segment int, bits binary").toLocalIterator():
+            bits[r["segment"] << (SEGMENT_BITS - 3) :][: 1 << (SEGMENT_BITS - 3)] = np.frombuffer(r["bits"], np.uint8)
     model = Model(bits, segments, value, int(total), int(distinct), top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), weight)
-    return model, counts.filter("order = 1").select("key", "n")
+    return model, counts.filter("order = 1").select("key", "n"), None if shipped else parts
+
+
+def fit(docs: DataFrame, used: Column, text_col: str = "text", **settings) -> tuple[Model, DataFrame]:
+    """The model and the table of exact word counts of ``learn``."""
+    return learn(docs, used, text_col, **settings)[:2]
+
+
+def segment_of(key: np.ndarray, segments: int) -> pa.Array:
+    return pa.array(((key >> U(40)) % U(segments)).astype(np.int32))
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows: each token's row and context, the distinct words (and the start) with the tokens' places in them, the same of the pairs."""
+    row, h = tokens(data, offsets)
+    before, both = pairs(row, h)
+    words, back = np.unique(np.append(h, START), return_inverse=True)
+    two, back_two = np.unique(both, return_inverse=True)
+    return row, before, words, back, two, back_two
+
+
+NAMES = ["row", "id", "used", "n_tokens", "n_known", "base", "score", "key", "tf"]
+PIECE_ROWS, PIECE_BYTES = 1 << 16, 1 << 22  # of a piece whose n-grams are asked together
+
+
+def score_rows(m: Model, parts: tuple[np.ndarray, ...], lev: np.ndarray, got: np.ndarray, at: int, ids: pa.Array, used: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Scores of rows from their n-grams and the levels of the distinct words and pairs; then the words to be joined."""
+    row, before, words, back, _, back_two = parts
+    n = len(ids)
+    types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    new = m.distinct / (m.total + m.distinct) if m.total else 1.0
+    v1, v2 = m.value
+    value = v1[lev] if len(v1) else np.zeros(len(words))
+    if lev[np.searchsorted(words, START)] == 0:  # as many starts as ends
+        value[back[-1]] = value[np.searchsorted(words, END)]
+    p = np.where(value > 0, (1 - new) * value / max(m.total, 1), new)[back[:-1]]
+    context = value[np.searchsorted(words, before)]
+    seen = (v2[got] if len(v2) else np.zeros(len(got)))[back_two]
+    ratio = np.minimum(seen / np.maximum(context, 1), 1)
+    p = np.where(context > 0, m.weight * ratio + (1 - m.weight) * p, p)
+    score = np.bincount(row, np.log10(p), n)
+    n_tokens = np.bincount(row, minlength=n)
+    # exact counts: frequent words here, the others by join
+    signed = K.signed(words)
+    where = np.minimum(np.searchsorted(m.head_keys, signed), max(len(m.head_keys) - 1, 0))
+    known = m.head_keys[where] == signed if len(m.head_keys) else np.zeros(len(words), bool)
+    value = np.where(known, np.log10(m.head_counts[where] + 1.0), 0.0) if len(m.head_keys) else np.zeros(len(words))
+    mine, in_head = back[:-1], known[back[:-1]]
+    base = np.bincount(row, value[mine], n)
+    n_known = np.bincount(row, in_head, n).astype(np.int64)
+    none = lambda t, k: pa.nulls(k, t)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(at + np.arange(n)), ids, used, pa.array(n_tokens, pa.int64()), pa.array(n_known), pa.array(base), pa.array(score), none(pa.int64(), n), none(pa.int64(), n)], NAMES
+    )
+    rest = np.flatnonzero(~in_head)
+    if len(rest):
+        w = len(words)
+        one, tf = np.unique(row[rest] * w + mine[rest], return_counts=True)
+        k = len(one)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at + one // w), none(ids.type, k), *[none(t, k) for t in types[2:7]], pa.array(signed[one % w]), pa.array(tf, pa.int64())], NAMES
+        )
+
+
+def asked(sent: DataFrame, model: Model, entries: DataFrame, kind: str, schema: str) -> DataFrame:
+    """``score_rows`` of the rows ``id, used, text`` by a filter that no task holds whole.
+
+    Rows are dealt into pieces; each piece sends its distinct n-grams to their segments of the filter, gets
+    their levels back, and is scored with them. Bits, and so scores, are those of the filter shipped whole.
+    """
+    segments, sizes = model.segments, [len(v) for v in model.value]
+    names = ["piece", "at", "id", "used", "text", "ask", "key", "segment"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        piece = TaskContext.get().partitionId() << 40
+        held, size, count = [], 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            n = t.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), pa.array(np.arange(n)), *t.columns, *[pa.nulls(n, x) for x in (pa.int64(), pa.int64(), pa.int32())]], names)
+            _, _, words, _, two, _ = ngrams(*K.flat(t.column(2)))
+            key = np.concatenate([K.mix(words + U(1)), K.mix(two + U(2))])
+            ask = np.concatenate([np.arange(len(words)), -1 - np.arange(len(two))])  # pairs count from -1 down
+            for lo in range(0, len(key), 200_000):
+                k, a = key[lo : lo + 200_000], ask[lo : lo + 200_000]
+                n = len(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), *[pa.nulls(n, x) for x in (pa.int64(), *t.schema.types)], pa.array(a), pa.array(K.signed(k)), segment_of(k, segments)], names)
+
+        for batch in batches:
+            _, off = K.flat(batch.column(2))
+            for lo, hi in ((a, min(a + PIECE_ROWS, b)) for lo, b in K.pieces(off, PIECE_BYTES) for a in range(lo, b, PIECE_ROWS)):
+                more = int(off[hi] - off[lo])
+                if held and (size + more > PIECE_BYTES or count + hi - lo > PIECE_ROWS):
+                    yield from out()
+                    held, size, count, piece = [], 0, 0, piece + 1
+                held.append(batch.slice(lo, hi - lo))
+                size, count = size + more, count + hi - lo
+        if held:
+            yield from out()
+
+    def answer(entries: pa.Table, asks: pa.Table) -> pa.Table:
+        ask = asks.column("ask").to_numpy()
+        lev = np.zeros(len(ask), np.int16)
+        if len(ask):
+            key = asks.column("key").to_numpy().view(U)
+            bits = one_segment(entries.column("key").to_numpy().view(U), entries.column("level").to_numpy())
+            for of, levels in ((ask >= 0, sizes[0]), (ask < 0, sizes[1])):
+                lev[of] = probed(bits, key[of], 1, levels)
+        return pa.table({"piece": asks.column("piece"), "ask": asks.column("ask"), "lev": pa.array(lev)})
+
+    shipped = sent.sparkSession.sparkContext.broadcast(model)  # without bits
+
+    def score(rows: pa.Table, levels: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at").combine_chunks()
+        batch = rows.to_batches()[0]
+        parts = ngrams(*K.flat(batch.column("text")))
+        ask, lev = levels.column("ask").to_numpy(), levels.column("lev").to_numpy()
+        one, two = np.zeros(len(parts[2]), np.int64), np.zeros(len(parts[4]), np.int64)
+        one[ask[ask >= 0]] = lev[ask >= 0]
+        two[-1 - ask[ask < 0]] = lev[ask < 0]
+        piece = batch.column("piece")[0].as_py()
+        at = (piece >> 40 << 40) + (piece & ((1 << 40) - 1)) * PIECE_ROWS  # places of a task's rows
+        return pa.Table.from_batches(score_rows(shipped.value, parts, one, two, at, batch.column("id"), batch.column("used")))
+
+    both = written(sent.toDF("id", "used", "text").mapInArrow(deal, f"piece long, at long, id {kind}, used boolean, text string, ask long, key long, segment int"), "pieces")
+    asks = both.filter(F.col("ask").isNotNull()).select("piece", "ask", "key", "segment")
+    answers = entries.groupBy("segment").cogroup(asks.groupBy("segment")).applyInArrow(answer, "piece long, ask long, lev short")
+    texts = both.filter(F.col("ask").isNull()).select("piece", "at", "id", "used", "text")
+    return texts.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, schema)
 
 
 def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -181,7 +319,7 @@ def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: st
     Tokens: A-Z lower-cased words between ASCII white space, then one end. Texts where ``used`` (a condition on
     ``docs``) is true are learned from. base_score: add-one word model with exact counts (frequent words from
     a broadcast table of bounded size, the others by a shuffle join). score: log10 probability of a word-pair
-    model whose counts come from the filter alone: P(w|v) = weight * c(vw) / c(v) + (1 - weight) * P(w), where
+    model of all pairs whose counts come from the filter alone: P(w|v) = weight * c(vw) / c(v) + (1 - weight) * P(w), where
     P(w) shares out what new words leave (an unknown word has V / (N + V), as one class) by the words' counts.
 
     Null ``used`` counts as true; null text is empty (one end token). Repeated rows are scored and learned
@@ -189,8 +327,8 @@ def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     used = F.coalesce(used, F.lit(True))
-    model, counts = fit(docs, used, text_col, **settings)
-    shipped = spark.sparkContext.broadcast(model)
+    model, counts, entries = learn(docs, used, text_col, **settings)
+    shipped = spark.sparkContext.broadcast(model) if entries is None else None
     kind = docs.schema[id_col].dataType.simpleString()
     n_all, v_all = model.total, model.distinct
 
@@ -199,56 +337,17 @@ def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: st
 
         m = shipped.value
         at = TaskContext.get().partitionId() << 40
-        new = v_all / (n_all + v_all) if n_all else 1.0
-        v1, v2 = m.value
-        logs = np.log10(m.head_counts + 1.0)
-        names = ["row", "id", "used", "n_tokens", "n_known", "base", "score", "key", "tf"]
-        types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
             data, off = K.flat(batch.column(2))
             for lo, hi in K.pieces(off):
                 n = hi - lo
-                row, h = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                before, both = pairs(row, h)
-                words, back = np.unique(np.append(h, START), return_inverse=True)
-                lev = m.levels(words, 1)
-                value = v1[lev] if len(v1) else np.zeros(len(words))
-                if START in words and lev[back[-1]] == 0:  # as many starts as ends
-                    value[back[-1]] = value[np.searchsorted(words, END)]
-                p = np.where(value > 0, (1 - new) * value / max(n_all, 1), new)[back[:-1]]
-                context = value[np.searchsorted(words, before)]
-                got = m.levels(both, 2)
-                seen = v2[got] if len(v2) else np.zeros(len(both))
-                ratio = np.minimum(seen / np.maximum(context, 1), 1)
-                p = np.where(context > 0, m.weight * ratio + (1 - m.weight) * p, p)
-                score = np.bincount(row, np.log10(p), n)
-                n_tokens = np.bincount(row, minlength=n)
-                # exact counts: frequent words here, the others by join
-                signed = K.signed(words)
-                where = np.minimum(np.searchsorted(m.head_keys, signed), max(len(m.head_keys) - 1, 0))
-                known = m.head_keys[where] == signed if len(m.head_keys) else np.zeros(len(words), bool)
-                value = np.where(known, logs[where], 0.0) if len(m.head_keys) else np.zeros(len(words))
-                mine, in_head = back[:-1], known[back[:-1]]
-                base = np.bincount(row, value[mine], n)
-                n_known = np.bincount(row, in_head, n).astype(np.int64)
-                ids = batch.column(0).slice(lo, n)
-                rows = at + np.arange(n)
-                none = lambda t, k: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), ids, batch.column(1).slice(lo, n), pa.array(n_tokens, pa.int64()), pa.array(n_known), pa.array(base), pa.array(score), none(pa.int64(), n), none(pa.int64(), n)], names
-                )
-                rest = np.flatnonzero(~in_head)
-                if len(rest):
-                    w = len(words)
-                    one, tf = np.unique(row[rest] * w + mine[rest], return_counts=True)
-                    k = len(one)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at + one // w), none(ids.type, k), *[none(t, k) for t in types[2:7]], pa.array(signed[one % w]), pa.array(tf, pa.int64())], names
-                    )
+                parts = ngrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                yield from score_rows(m, parts, m.levels(parts[2], 1), m.levels(parts[4], 2), at, batch.column(0).slice(lo, n), batch.column(1).slice(lo, n))
                 at += n
 
     sent = docs.select(F.col(id_col), used.alias("__used"), F.col(text_col))
-    scored = written(sent.mapInArrow(run, f"row long, id {kind}, used boolean, n_tokens long, n_known long, base double, score double, key long, tf long"), "scored")
+    schema = f"row long, id {kind}, used boolean, n_tokens long, n_known long, base double, score double, key long, tf long"
+    scored = written(sent.mapInArrow(run, schema) if entries is None else asked(sent, model, entries, kind, schema), "scored")
     rest = scored.filter(F.col("key").isNotNull()).select("row", "key", "tf")
     rest = rest.join(counts, "key").groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("more"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

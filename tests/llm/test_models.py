@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairlens.llm import lm_score, queries, toxicity
@@ -55,6 +56,16 @@ def test_filter_holds_quantised_counts(spark):
     assert (model.levels(stranger, 1) > 0).mean() < 0.02
 
 
+def test_all_pairs_count_and_a_filter_of_any_size_scores_alike(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i % 3} d") for i in range(50)], "doc_id long, text string")
+    model, *_ = lm_score.fit(docs, F.lit(True))
+    row, h = lm_score.tokens(*lm_score.K.flat(pa.array([r["text"] for r in docs.collect()])))
+    assert (model.levels(lm_score.pairs(row, h)[1], 2) >= 1).all()  # most of them are seen once
+    for d, used in ((spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), F.expr("doc_id % 7 != 2")), (hard(spark), F.expr("doc_id % 5 != 4")), (empty(spark), F.lit(True)), (hard(spark), F.lit(False))):
+        whole, asked = (Counter(map(tuple, lm_score.lm_score(d, used, most_filter_mb=mb).select("doc_id", "used", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6), F.round("score", 6)).collect())) for mb in (512, 0))
+        assert whole == asked and whole.total() == d.count()
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
