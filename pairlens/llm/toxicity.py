@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .bloom import Filter
 
 U = K.U
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 16, (1, 2, 3)
@@ -47,6 +48,10 @@ class Model:
     shift: float = 0.0
     scale: float = 1.0
     cuts: dict[str, float] = field(default_factory=dict)
+    other_cut: float = 0.5  # of a language that has too few labels
+
+    def cut(self, lang: str) -> float:
+        return self.cuts.get(lang, self.other_cut) if lang else 0.5
 
     def pooled(self, f: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Word vectors, the largest filter values of each document, and all filter values."""
@@ -77,11 +82,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -40, 40).astype(np.float64)))
 
 
-def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: int = 7, rate: float = 0.08) -> Model:
-    """Trains on (features, label, language, weight of the row's stratum) rows.
+def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: int = 7, rate: float = 0.08) -> tuple[Model, list[int]]:
+    """Trains on (features, label, language, weight of the row's stratum) rows; also the places of the rows that the weights saw.
 
-    The last sixth is kept to set the scale of the scores (Platt's method, with the strata's weights) and
-    one threshold a language. With no rows, or one class, scores are the share of toxic rows or a half.
+    The last sixth is kept to set the scale of the scores (Platt's method, with the strata's weights).
+    With no rows, or one class, scores are the share of toxic rows or a half.
     """
     rng = np.random.default_rng(seed)
     nf = FILTERS * len(WIDTHS)
@@ -91,13 +96,15 @@ def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: i
         np.full(nf, 0.05, np.float32),
         np.append(np.abs(rng.normal(0, 0.3, nf)), -1.0).astype(np.float32),
     )
-    docs = [docs[i] for i in rng.permutation(len(docs))]
+    places = [int(i) for i in rng.permutation(len(docs))]
+    places = [i for i in places if len(docs[i][0])] or places
+    given = docs
     share = sum(y * w for _, y, _, w in docs) / max(sum(w for *_, w in docs), 1e-9)
     if not docs or not 0 < share < 1:
         m.out[:], m.scale = 0, 1.0
         m.shift = 0.0 if not docs else float(np.log((share + 0.01) / (1.01 - share)))
-        return m
-    docs = [d for d in docs if len(d[0])] or docs
+        return m, []
+    docs = [given[i] for i in places]
     part = max(1, len(docs) // 6)
     train, held = docs[part:] or docs, docs[:part]
     memory = [np.full(len(m.table), 1e-3, np.float32), *[np.full(w.shape, 1e-3, np.float32) for w in m.filters], np.full(nf, 1e-3, np.float32), np.full(nf + 1, 1e-3, np.float32)]
@@ -157,20 +164,41 @@ def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: i
         step_ = np.linalg.solve(hess, grad)
         a, b = a - 0.5 * step_[0], b - 0.5 * step_[1]
     m.scale, m.shift = float(max(a, 0.05)), float(b)
-    s = m.score(z)
-    for lang in sorted({b[2] for b in held}):
-        of = np.array([b[2] == lang for b in held])
-        if y[of].sum() >= 8 and (1 - y[of]).sum() >= 8:
-            cuts = np.unique(np.append(np.clip(s[of], 0.25, 0.75), 0.5))
-            f1 = [2 * (w[of] * y[of] * (s[of] >= c)).sum() / ((w[of] * y[of]).sum() + (w[of] * (s[of] >= c)).sum()) for c in cuts]
-            best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
-            m.cuts[lang] = float(cuts[best[len(best) // 2]])
-    return m
+    return m, places[part:] or places
+
+
+BINS = 1024  # of the scores; a power of two, so that a bin's edge is an exact score
+
+
+def thresholds(counts: list[tuple[str, int, int, int]], weight: dict[int, float], least: int = 8) -> tuple[dict[str, float], float]:
+    """The cut of best F1 of each language, and that of all languages together, from (language, label, bin, rows).
+
+    A language with fewer than ``least`` rows of either label has no cut of its own. ``weight`` of a label brings its
+    rows back to the labels' real share. Of equally good cuts the middle one.
+    """
+
+    def best(rows: list[tuple[int, int, int]]) -> float | None:
+        n = np.zeros((2, BINS + 1))
+        for y, at, rows_ in rows:
+            n[y, at] += rows_
+        if n.sum(1).min() < least:
+            return None
+        n *= np.array([[weight[0]], [weight[1]]])
+        above = n[:, ::-1].cumsum(1)[:, ::-1]  # rejected by a cut at the bin's lower edge
+        f1 = 2 * above[1] / (n[1].sum() + above.sum(0))
+        top = np.flatnonzero(f1 >= f1.max() - 1e-12)
+        return float(top[len(top) // 2]) / BINS
+
+    of = {lang: best([r[1:] for r in counts if r[0] == lang]) for lang in sorted({r[0] for r in counts if r[0]})}
+    everything = best([r[1:] for r in counts])
+    return {lang: c for lang, c in of.items() if c is not None}, 0.5 if everything is None else everything
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", per_class: int = 2500) -> Model:
     """Fits on a bounded sample of labelled rows: at most ``per_class`` of each label, by smallest id hash.
 
+    Only the fit takes a sample: the thresholds come from all other usable labelled rows, scored by Spark and
+    counted by language, label and score. A language with too few of them has the threshold of all languages.
     ``usable``, a condition on ``labels``, says whose labels may be learned from. Rows are weighted back to
     the labels' real shares. An id with several labels has the largest; null ids or labels are left out.
     """
@@ -200,13 +228,37 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     sampled = got["y"].value_counts().to_dict()
     weight = {y: counts.get(y, 0) / max(sampled.get(y, 0), 1) for y in (0, 1)}
     mean = sum(weight[y] for y in got["y"]) / max(len(got), 1) or 1.0
-    return fit([(np.frombuffer(f, np.int32).reshape(-1, FEATURES), int(y), lang, weight[y] / mean) for f, y, lang in zip(got["f"], got["y"], got["lang"], strict=True)])
+    model, seen = fit([(np.frombuffer(f, np.int32).reshape(-1, FEATURES), int(y), lang, weight[y] / mean) for f, y, lang in zip(got["f"], got["y"], got["lang"], strict=True)])
+    if not seen:
+        return model
+    fitted = F.broadcast(spark.createDataFrame([(got["id"].iloc[i].item() if hasattr(got["id"].iloc[i], "item") else got["id"].iloc[i],) for i in seen], f"__id {id_kind}"))
+    rest = named.filter(F.col("__y").isin(0, 1)).join(fitted, "__id", "left_anti")
+    labelled = Filter(rest.select(F.xxhash64("__id").alias("h")), "h", 64)  # lets few others through; the join is exact
+    held = spark.sparkContext.broadcast(labelled)
+    shipped = spark.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(held.value.may_hold(batch.column(0).to_numpy().view(U))))
+            data, off = K.flat(batch.column(3))
+            for lo, hi in K.pieces(off, 1 << 19):
+                row, f = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                s = shipped.value.score(shipped.value.logits(row, f, hi - lo))
+                at = pa.array(np.floor(s * BINS).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:3], at], ["__id", "lang", "at"])
+
+    sent = docs.filter(F.col(id_col).isNotNull()).select(F.xxhash64(id_col), F.col(id_col), lang, F.col(text_col))
+    bins = sent.mapInArrow(scored, f"__id {id_kind}, lang string, at int").join(rest, "__id")
+    counts_ = [(r["lang"], r["__y"], r["at"], r["count"]) for r in bins.groupBy("lang", "__y", "at").count().collect()]  # 2 * BINS rows a language at most
+    outside = {y: sum(n for _, y_, _, n in counts_ if y_ == y) for y in (0, 1)}
+    model.cuts, model.other_cut = thresholds(counts_, {y: counts.get(y, 0) / max(outside[y], 1) for y in (0, 1)})
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", keep_columns: list[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``threshold`` of the row's language, and ``rejected``.
 
-    The score depends on the text alone; the language only chooses the threshold (0.5 where it has none).
+    The score depends on the text alone; the language only chooses the threshold (0.5 without a language).
     Null text counts as empty; a text without words gets the score of no filter firing. Repeated rows get
     equal results, an empty table an empty one. Columns named like the three results are replaced.
     """
@@ -224,7 +276,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
                 row, f = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 score = model.score(model.logits(row, f, hi - lo))
                 part = batch.slice(lo, hi - lo)
-                cut = np.array([model.cuts.get(x, 0.5) for x in part.column(1).to_pylist()])
+                cut = np.array([model.cut(x) for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(score), pa.array(cut, pa.float64()), pa.array(score >= cut)], [*keep, "score", "threshold", "rejected"])
 
     sent = docs.select(F.col(text_col).alias("__text"), lang.alias("__lang"), *[F.col(f"`{c}`") for c in keep])

@@ -86,6 +86,25 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(hard(spark), none).collect()} == {0.5}
 
 
+def test_thresholds_come_from_all_labelled_rows(spark):
+    rows_ = [(i, "fr" if i % 20 == 7 else "es" if i % 100 == 3 else "en", f"w{i % 11} {'vile' if i % 3 == 0 else 'kind'} w{i % 7}", int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows_, "doc_id long, lang string, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.lit(True), per_class=20)
+    assert set(model.cuts) == {"en", "fr"}  # es has six rows only, and the threshold of all
+    got = toxicity.toxicity(docs.unionByName(docs.limit(1).withColumn("lang", F.lit(None).cast("string"))), model).collect()
+    assert {r["lang"]: r["threshold"] for r in got} == {**model.cuts, "es": model.other_cut, None: 0.5}
+    low = [("a", 1, b, 2) for b in range(60, 70)] + [("a", 0, b, 3) for b in range(40, 62)] + [("b", 1, 900, 3), ("b", 0, 10, 90)]
+    cuts, other = toxicity.thresholds(low, {0: 1.0, 1: 0.5})
+
+    def f1(rows_, c):
+        tp, fp = (sum(n * w for _, y, b, n in rows_ if y == k and b >= c) for k, w in ((1, 0.5), (0, 1.0)))
+        return 2 * tp / (sum(n * 0.5 for _, y, _, n in rows_ if y) + tp + fp)
+
+    for c, of in ((cuts["a"], [r for r in low if r[0] == "a"]), (other, low)):
+        assert f1(of, c * toxicity.BINS) == max(f1(of, b) for b in range(toxicity.BINS + 1)) and c < 0.25
+    assert set(cuts) == {"a"}
+
+
 def test_toxicity_query(spark):
     got = queries.op5_toxicity(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(documents())
