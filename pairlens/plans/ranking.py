@@ -131,7 +131,7 @@ FACT = "CASE WHEN b + c = 0 THEN 1.0 WHEN b + c <= 20 THEN least(1.0, 2.0 * (SEL
 @query(f"""WITH {POOLS}, g AS (SELECT pool, (count(*) FILTER (marked AND score > 0.9))::INTEGER AS b, (count(*) FILTER (NOT marked AND score > 0.9))::INTEGER AS c FROM pools GROUP BY pool) SELECT pool, b::BIGINT AS b, c::BIGINT AS c, round({FACT}, 6) AS p FROM g""")
 def h6_h7_mcnemar(spark, sf):
     p = pools(spark, sf).groupBy("pool").agg(F.count_if(F.col("marked") & (F.col("score") > 0.9)).alias("b"), F.count_if(~F.col("marked") & (F.col("score") > 0.9)).alias("c"))
-    return p.select("pool", "b", "c", six(tests.mcnemar_small(F.col("b"), F.col("c"))).alias("p"))
+    return p.select("pool", "b", "c", six(tests.mcnemar(F.col("b"), F.col("c"))).alias("p"))
 
 
 def h6_mcnemar_any_size(spark, sf):

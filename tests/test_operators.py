@@ -150,3 +150,13 @@ def test_streams(spark, tmp_path):
     assert budget.run_to_table(budget.running_share(read(), "key"), "shares", mode="complete").filter("key = 'a'").first()["n"] == 3
     table = spark.read.schema("key string, value double, ts timestamp").json(str(tmp_path / "in"))
     assert [r["rolling"] for r in budget.rolling_sum(table, F.col("value"), 3, "key").filter("key = 'a'").orderBy("ts").collect()] == [0.0, 2.0, 7.0]
+
+
+def test_mcnemar_query_has_a_p_for_every_pool(spark):
+    from pairlens import plans
+
+    rows = plans.QUERIES["h6_h7_mcnemar"](spark, "/root/testdata/sf0.1").collect()
+    assert max(r["b"] + r["c"] for r in rows) > 20
+    for r in rows:
+        n, k = r["b"] + r["c"], min(r["b"], r["c"])
+        assert r["p"] == pytest.approx(min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n), abs=1e-6)
