@@ -100,7 +100,7 @@ def secret_scan(docs: DataFrame, model: list[float] | None = None, id_col: str =
     Base spans come from the fixed patterns BASE (k 0 to 2), leftmost and non-overlapping per kind; a match
     that is too short is passed over whole. The Markov models add spans (k 3): runs of ``least`` or more
     characters of ALPHABET whose log-likelihood ratio, random string against ordinary identifier, is above
-    ``min_ratio`` in all and ``min_mean`` a character pair, which have ``min_chars`` different characters and overlap no base span. Positions are code points, the end is exclusive.
+    ``min_ratio`` in all and ``min_mean`` a character pair, which have ``min_chars`` different characters; base spans are cut out of a run first, and each part left is tested on its own. Positions are code points, the end is exclusive.
 
     model: the output of ``train``; trained on ``docs`` if not given. Null text counts as empty and has no
     spans; repeated rows give repeated results; an empty table an empty one; other columns are ignored.
@@ -129,8 +129,20 @@ def secret_scan(docs: DataFrame, model: list[float] | None = None, id_col: str =
             1,
         )
 
-    free = F.filter("__c", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    df = df.withColumn("__f", free)
+    def meets(b: Column, c: Column) -> Column:
+        return (b["s"] < c["e"]) & (c["s"] < b["e"])
+
+    def part(s: Column, e: Column) -> Column:
+        one = F.array(F.struct(s.alias("s"), F.lit(3).alias("k"), e.alias("e")))
+        return F.when(e - s >= least, one).otherwise(F.array().cast(_SPAN))
+
+    def rest(c: Column) -> Column:
+        """What the base spans, in order of their starts, leave of a run."""
+        start = F.struct(c["s"].alias("at"), F.array().cast(_SPAN).alias("parts"))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.concat(acc["parts"], part(acc["at"], b["s"])).alias("parts"))
+        return F.aggregate(F.filter("base", lambda b: meets(b, c)), start, step, lambda acc: F.concat(acc["parts"], part(acc["at"], c["e"])))
+
+    df = df.withColumn("__f", F.flatten(F.transform("__c", lambda c: F.when(F.exists("base", lambda b: meets(b, c)), rest(c)).otherwise(F.array(c)))))
     return df.select(F.col(id_col), "base", F.when(F.size("__f") > 0, F.filter("__f", lambda c: (F.size(F.array_distinct(_codes(F.substring(F.col("__t"), c["s"] + 1, c["e"] - c["s"])))) >= min_chars) & (score(c) > F.greatest(F.lit(min_ratio), min_mean * (c["e"] - c["s"] - 1))))).otherwise(F.col("__f")).alias("markov"), F.col("__t").alias("text"))
 
 
