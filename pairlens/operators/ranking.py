@@ -71,15 +71,15 @@ def simulate(pool: DataFrame, draws: int, k: int, s: int, seed: str, by: str = "
 def counterfactual_flips(pool: DataFrame, forms: Column, depths: list[int], by: str = "pool", member: str = "member", score: str = "score", tb: str = "tb") -> DataFrame:
     """Would a member's place among the best k change with its other form's score?
 
-    ``forms`` is the counterfactual score. rank' = 1 + the number of others ahead of it: one join within the
-    pool against the distinct scores' counts, not a re-ranking for each member. Others ahead by score come from
-    running counts; only equal scores are compared by tie-break.
+    ``forms`` is the counterfactual score. rank' = 1 + the number of others ahead of it: one running count of the
+    real rows over real and counterfactual rows in one order of score and tie-break, less the member's own row.
+    A member is in its pool once; scores and tie-breaks are not null.
     """
     p = pool.withColumn("other", forms).withColumn("rank", ordinal_rank(score, tb, by))
-    f, o = p.alias("f"), p.alias("o")
-    ahead = (F.col(f"o.{score}") > F.col("f.other")) | ((F.col(f"o.{score}") == F.col("f.other")) & (F.col(f"o.{tb}") < F.col(f"f.{tb}")))
-    moved = f.join(o, (F.col(f"f.{by}") == F.col(f"o.{by}")) & (F.col(f"f.{member}") != F.col(f"o.{member}")) & ahead, "left")
-    r = moved.groupBy(F.col(f"f.{by}").alias(by), F.col(f"f.{member}").alias(member), F.col("f.rank").alias("rank")).agg((1 + F.count(f"o.{member}")).cast("int").alias("other_rank"))
+    kinds = F.array(F.struct(F.lit(0).alias("real"), F.col("other").cast("double").alias("at")), F.struct(F.lit(1).alias("real"), F.col(score).cast("double").alias("at")))
+    both = p.select(by, tb, "rank", (F.col(score) > F.col("other")).cast("int").alias("own"), F.inline(kinds))
+    w = Window.partitionBy(by).orderBy(F.desc("at"), tb, "real").rowsBetween(Window.unboundedPreceding, 0)  # of equal ones the counterfactual comes first
+    r = both.withColumn("ahead", F.sum("real").over(w)).filter("real = 0").select("rank", (1 + F.col("ahead") - F.col("own")).cast("int").alias("other_rank"))
     grid = pool.sparkSession.createDataFrame([(k,) for k in depths], "k int")
     x = r.crossJoin(F.broadcast(grid))
     a, b = F.col("rank") <= F.col("k"), F.col("other_rank") <= F.col("k")

@@ -48,5 +48,6 @@ def filled_pools(queries: DataFrame, members: DataFrame, size: int, on: int, see
 
 
 def every_nth(df: DataFrame, step: int, most: int, order: list[str]) -> DataFrame:
-    r = df.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    first = df.orderBy(*order).limit(step * most)  # no later row is taken, so only these are numbered in one task
+    r = first.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
     return r.filter((F.col("i") % step == 0) & (F.col("i") < step * most)).drop("i")

@@ -160,3 +160,18 @@ def test_mcnemar_query_has_a_p_for_every_pool(spark):
     for r in rows:
         n, k = r["b"] + r["c"], min(r["b"], r["c"])
         assert r["p"] == pytest.approx(min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n), abs=1e-6)
+
+
+def test_flips_and_every_nth_without_all_pairs_or_a_whole_table_in_one_task(spark):
+    from pairlens.operators import sampling
+
+    rows = [(i % 3, i, (i * 7 % 11) / 4.0, (i * 5 % 11) / 4.0, i * 37 % 101) for i in range(60)]
+    df = ranking.counterfactual_flips(spark.createDataFrame(rows, "pool int, member int, score double, other2 double, tb int"), F.col("other2"), [1, 3, 5])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashJoin" not in plan
+    ahead = lambda r, s: 1 + sum(o[0] == r[0] and o[1] != r[1] and (-o[2], o[4]) < (-s, r[4]) for o in rows)
+    for x in df.collect():
+        ins = [(ahead(r, r[2]) <= x["k"], ahead(r, r[3]) <= x["k"]) for r in rows]
+        assert (x["n"], x["only_original"], x["only_other"], x["both_in"]) == (60, ins.count((True, False)), ins.count((False, True)), ins.count((True, True)))
+    nth = sampling.every_nth(spark.range(1000), 9, 5, ["id"])
+    assert "Limit" in nth._jdf.queryExecution().optimizedPlan().toString() and sorted(r[0] for r in nth.collect()) == [0, 9, 18, 27, 36]
