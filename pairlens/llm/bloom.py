@@ -14,11 +14,18 @@ FILTER_BITS = 22  # of one part
 
 
 class Filter:
-    """A Bloom filter of 64-bit hashes: 12 bits for each up to a bounded size, fuller beyond it, never missing one."""
+    """A Bloom filter of 64-bit hashes, 12 bits for each, if that stays within ``most_mb``.
+
+    With more hashes there is no filter: ``may_hold`` lets everything through, and the joins that follow every use do
+    the work. A part is built in one group, of some 350,000 hashes whatever their number is.
+    """
 
     def __init__(self, keys: DataFrame, column: str, most_mb: int) -> None:
         number = keys.count()
-        self.parts = parts = max(1, min(number * 12, most_mb << 23) >> FILTER_BITS)
+        self.parts = parts = max(1, number * 12 >> FILTER_BITS)
+        self.bits: np.ndarray | None = None
+        if number * 12 > most_mb << 23:
+            return
 
         def build(table: pa.Table) -> pa.Table:
             bits = np.zeros(1 << FILTER_BITS, bool)
@@ -33,6 +40,8 @@ class Filter:
             self.bits[r["part"] << (FILTER_BITS - 3) :][: 1 << (FILTER_BITS - 3)] = np.frombuffer(r["bits"], np.uint8)
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.ones(len(h), bool)
         of = np.mod(K.signed(h), self.parts).astype(np.int64) << FILTER_BITS
         keep = np.ones(len(h), bool)
         for j in range(4):

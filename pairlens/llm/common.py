@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,26 +14,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or the context's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where neither is set and driver and executors are one process (``local[...]``, as in tests) a temporary folder
+    is made and set; on a cluster that is an error, as executors would write to their own disks.
     """
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="spark-pairlens-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
 
+_folders: dict[str, SparkSession] = {}  # of this driver's applications
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts the lineage: what was computed once is not computed again when an executor is lost or when
-    two later steps read it, and both read the very same rows.
+    two later steps read it, and both read the very same rows. The table lives until ``discard`` or the driver's end.
     """
-    path = f"{shared_dir(df.sparkSession)}/pairlens/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/pairlens/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders[folder] = spark
+        atexit.register(_sweep, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _sweep(folder: str) -> None:
+    """At the driver's end: all tables of the application, if its context still runs."""
+    spark = _folders.pop(folder)
+    if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc().isStopped() is False:
+        _delete(spark, folder)
 
 
 def forget(spark: SparkSession) -> None:
@@ -46,7 +74,4 @@ def forget(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` once all that is made from them is written itself."""
     for df in tables:
-        if files := df.inputFiles():
-            sc = df.sparkSession.sparkContext
-            folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, df.written_path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import written
+from .common import discard, written
 
 U = K.U
 
@@ -123,16 +123,19 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     along = [f"c{i}" for i in range(len(carry))]
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(a) for a, c in zip(along, carry, strict=True)])
     fields = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    blocks: list[Index] = []
-    chunk, n = [], 0
-    for r in items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(item_text_col, F.lit("")).alias("t")).toLocalIterator():
-        size = len(r["t"]) // 2 + 1  # a word and its separator take two characters at least
-        if chunk and n + size > block_words:
-            blocks.append(Index(chunk, window, k))
-            chunk, n = [], 0
-        chunk.append((r["i"], r["t"]))
-        n += size
-    blocks.append(Index(chunk, window, k))
+    texts = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(item_text_col, F.lit("")).alias("t"))
+
+    def blocks() -> Iterator[tuple[Index, bool]]:
+        """Indexes one after another, and whether one is the last; only one block's texts are held at a time."""
+        chunk, n = [], 0
+        for r in texts.toLocalIterator():
+            size = len(r["t"]) // 2 + 1  # a word and its separator take two characters at least
+            if chunk and n + size > block_words:
+                yield Index(chunk, window, k), False
+                chunk, n = [], 0
+            chunk.append((r["i"], r["t"]))
+            n += size
+        yield Index(chunk, window, k), True
 
     def one(df: DataFrame, index: Index, last: bool) -> DataFrame:
         shipped = spark.sparkContext.broadcast(index)
@@ -175,10 +178,14 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
         return df.mapInArrow(run, f"id {kind}, {'' if last else 'text string, '}{fields}spans array<long>, items array<string>, n_words long")
 
-    got = src
-    for index in blocks[:-1]:
-        got = written(one(got, index, False).drop("n_words"), "hits")
-    got = one(got, blocks[-1], True)
+    got, before = src, None
+    for index, last in blocks():
+        got = one(got, index, last)
+        if not last:
+            got = written(got.drop("n_words"), "hits")
+            if before is not None:
+                discard(before)
+            before = got
     size = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
     kept = [F.col(a).alias(c) for a, c in zip(along, carry, strict=True)]
     return got.select(F.struct(*kept).alias("carried") if kept else F.col("id").alias(id_col), "n_words", size.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans")

@@ -7,6 +7,7 @@ size); the pieces are numbered within their length and find their place on the w
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,25 +21,53 @@ from .common import written
 ODD_SPACE = tuple(map(chr, range(0x1C, 0x20)))  # white space to str.split, not to the tokenizer
 
 
+# The normaliser, splitter and model settings of a tokenizer file for which words can be encoded one by one.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_BY_WORD = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+]
+
+
 class Encoder:
     """Texts to little-endian 32-bit ids, with a bounded memory of the words met before.
 
     The tokenizer drops white space and never lets a token cross it, so a text's ids are those of its
     white-space-separated words, one after another. Texts with characters that Python alone holds for
-    white space are encoded whole.
+    white space are encoded whole. So is every text where the file's own normaliser, splitter or model is not what
+    the shortcut relies on (WORD_BY_WORD): any tokenizer file gives its own ids.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
+        spec = json.loads(self.tokenizer_file(path))
+        model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+        self.by_word = (
+            [spec["normalizer"], spec["pre_tokenizer"], model] == WORD_BY_WORD
+            and spec.get("post_processor") is None
+            and all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+        )
         self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
         # The file's own split pattern, for words of Latin letters (no composition, one-to-one lower case).
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split = regex.compile(WORDS)
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
         others = [b for b in range(256) if b not in plain]
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
+    @staticmethod
+    def tokenizer_file(path: str) -> str:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+
     def part(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letter.__getitem__, piece.encode()))
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
@@ -60,7 +89,7 @@ class Encoder:
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):
+        if not self.by_word or any(c in text for c in ODD_SPACE):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.split()
         known = self.known

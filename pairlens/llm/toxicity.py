@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,8 +82,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -40, 40).astype(np.float64)))
 
 
-def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: int = 7, rate: float = 0.08) -> tuple[Model, list[int]]:
-    """Trains on (features, label, language, weight of the row's stratum) rows; also the places of the rows that the weights saw.
+class Vocabulary:
+    """Texts as places in a table of the features of their distinct words: four bytes a word and not FEATURES times as many."""
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        known: dict[int, int] = {}
+        self.texts, new = [], []
+        for text in texts:
+            data, off = K.flat(pa.array([text], pa.string()))
+            _, f = features(data, off)
+            name, first, back = np.unique(f[:, 0].astype(np.int64) << 32 | f[:, 1], return_index=True, return_inverse=True)
+            at = np.empty(len(name), np.int32)
+            for i, (n, j) in enumerate(zip(name.tolist(), first.tolist(), strict=True)):
+                if n not in known:
+                    known[n] = len(new)
+                    new.append(f[j])
+                at[i] = known[n]
+            self.texts.append(at[back])
+        self.features = np.array(new, np.int32).reshape(-1, FEATURES)
+
+
+def fit(docs: list[tuple[np.ndarray, int, str, float]], of: np.ndarray, epochs: int = 6, seed: int = 7, rate: float = 0.08) -> tuple[Model, list[int]]:
+    """Trains on (words, label, language, weight of the row's stratum) rows; also the places of the rows that the weights saw.
+
+    Words are places in ``of``, the features of the distinct words.
 
     The last sixth is kept to set the scale of the scores (Platt's method, with the strata's weights).
     With no rows, or one class, scores are the share of toxic rows or a half.
@@ -117,7 +139,7 @@ def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: i
                 continue
             size = np.array([len(b[0]) for b in batch])
             first = np.cumsum(size) - size
-            f = np.concatenate([b[0] for b in batch])
+            f = of[np.concatenate([b[0] for b in batch])]
             x, top, values = m.pooled(f, first)
             act = top + m.bias
             hidden = np.maximum(act, 0)
@@ -153,7 +175,7 @@ def fit(docs: list[tuple[np.ndarray, int, str, float]], epochs: int = 6, seed: i
                 np.add.at(g_rows, back, np.repeat(g_words, FEATURES, 0))
                 memory[0][buckets] += (g_rows**2).mean(1)
                 m.table[buckets] -= step * g_rows / np.sqrt(memory[0][buckets])[:, None]
-    z = np.concatenate([m.logits(np.zeros(len(f), np.int64), f, 1) for f, *_ in held])
+    z = np.concatenate([m.logits(np.zeros(len(f), np.int64), of[f], 1) for f, *_ in held])
     y, w = np.array([b[1] for b in held], float), np.array([b[3] for b in held])
     a, b = 1.0, 0.0
     for _ in range(60):  # damped Newton steps on the weighted log loss, held near the start by a small penalty
@@ -211,24 +233,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         picked = one if picked is None else picked.unionByName(one)
     picked = F.broadcast(picked)  # 2 * per_class rows at most
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
-    rows = docs.join(picked, docs[id_col] == F.col("__id")).select("__id", "__y", lang.alias("__lang"), F.col(text_col).alias("__t")).dropDuplicates(["__id"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.flat(batch.column(3))
-            for lo, hi in K.pieces(off, 1 << 19):
-                row, f = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                blobs = [f[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:3], pa.array(blobs, pa.binary())], ["id", "y", "lang", "f"])
-
+    sent = docs.select(F.col(id_col).alias("__id"), F.struct(lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("__t"))
+    rows = sent.join(picked, "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t"))  # of several rows of one id the least text
     id_kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {id_kind}, y int, lang string, f binary").toPandas()
-    got = got.sort_values("id")
+    got = rows.select(F.col("__id").alias("id"), F.col("__y").alias("y"), F.col("__t.lang").alias("lang"), F.col("__t.text").alias("text")).toPandas().sort_values("id")
+    words = Vocabulary(got.pop("text"))
     sampled = got["y"].value_counts().to_dict()
     weight = {y: counts.get(y, 0) / max(sampled.get(y, 0), 1) for y in (0, 1)}
     mean = sum(weight[y] for y in got["y"]) / max(len(got), 1) or 1.0
-    model, seen = fit([(np.frombuffer(f, np.int32).reshape(-1, FEATURES), int(y), lang, weight[y] / mean) for f, y, lang in zip(got["f"], got["y"], got["lang"], strict=True)])
+    model, seen = fit([(f, int(y), lang, weight[y] / mean) for f, y, lang in zip(words.texts, got["y"], got["lang"], strict=True)], words.features)
     if not seen:
         return model
     fitted = F.broadcast(spark.createDataFrame([(got["id"].iloc[i].item() if hasattr(got["id"].iloc[i], "item") else got["id"].iloc[i],) for i in seen], f"__id {id_kind}"))
@@ -255,8 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     return model
 
 
-def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", keep_columns: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1), ``threshold`` of the row's language, and ``rejected``.
+def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", keep_columns: list[str] | None = None, results: tuple[str, str, str] = ("score", "threshold", "rejected")) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1), ``threshold`` of the row's language, and ``rejected``, or what ``results`` calls them.
 
     The score depends on the text alone; the language only chooses the threshold (0.5 without a language).
     Null text counts as empty; a text without words gets the score of no filter firing. Repeated rows get
@@ -264,7 +277,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)  # of fixed size
-    keep = [c for c in (keep_columns or docs.columns) if c not in ("score", "threshold", "rejected")]
+    keep = [c for c in (keep_columns or docs.columns) if c not in results]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
 
@@ -277,7 +290,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
                 score = model.score(model.logits(row, f, hi - lo))
                 part = batch.slice(lo, hi - lo)
                 cut = np.array([model.cut(x) for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(score), pa.array(cut, pa.float64()), pa.array(score >= cut)], [*keep, "score", "threshold", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(score), pa.array(cut, pa.float64()), pa.array(score >= cut)], [*keep, *results])
 
     sent = docs.select(F.col(text_col).alias("__text"), lang.alias("__lang"), *[F.col(f"`{c}`") for c in keep])
-    return sent.mapInArrow(run, f"{fields}{', ' if keep else ''}score double, threshold double, rejected boolean")
+    return sent.mapInArrow(run, f"{fields}{', ' if keep else ''}{results[0]} double, {results[1]} double, {results[2]} boolean")

@@ -16,7 +16,7 @@ HARD = [
 def hard(spark, more=True):
     df = spark.createDataFrame(HARD, "doc_id long, text string")
     if more:  # extra columns with names that operators might use themselves
-        for c in ("id", "row", "spans", "items", "length", "keep_id", "text_sha256", "kept", "__n"):
+        for c in ("id", "row", "spans", "items", "length", "keep_id", "text_sha256", "kept", "__n", "gone", "score", "threshold", "rejected", "component_id", "n_hit", "carried", "text2"):
             from pyspark.sql import functions as F
 
             df = df.withColumn(c, F.lit(7))
