@@ -15,7 +15,8 @@ from .common import forget, written
 from .components import components
 
 U = K.U
-WORDS = 8  # 64-bit words of a document's folded parity sketch
+WORDS = 8  # 64-bit words of a set's folded parity sketch
+LARGEST = 1 << 31  # no text that Spark can hold has more words
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +48,9 @@ class Bands:
     otherwise an equal segment is not empty.
     """
 
-    def __init__(self, p: int, q: int, largest: int) -> None:
+    def __init__(self, p: int, q: int, most_bits: int = 8192) -> None:
         low = [1, 2]
-        while low[-1] <= largest * q // p + 1:
+        while low[-1] <= LARGEST * q // p + 1:
             top = low[-1]
             low.append(max((low[-1] - 1) * q // p + 1, top + 1, int(top * (q / p) ** 3)))
         self.p, self.q = p, q
@@ -59,6 +60,13 @@ class Bands:
         self.slack = 2 + self.differ // 4
         self.top = top
         self.segments = self.differ + 1 + self.slack
+        #: 64-bit words of the sketch by which sets of a band are compared: two bits and more for each element, up to a bound
+        self.words = np.array([max(WORDS, min(most_bits, 1 << (2 * t - 1).bit_length()) >> 6) for t in top.tolist()], np.int64)
+
+    def places(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each set size: its band, and whether a set of the next band can be a partner."""
+        band = np.searchsorted(self.low, size, "right") - 1
+        return band, (size > 0) & (size * self.q // self.p >= self.low[band + 1])
 
 
 def signatures(row: np.ndarray, g: np.ndarray, docs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,13 +80,12 @@ def signatures(row: np.ndarray, g: np.ndarray, docs: np.ndarray, bands: Bands) -
     """
     size = np.bincount(row, minlength=int(docs.max(initial=-1)) + 1)
     out_row, out_key, out_band, out_spare = [], [], [], []
+    own, reaches = bands.places(size)
     for ahead in (0, 1):
-        band = np.searchsorted(bands.low, size, "right") - 1 + ahead
+        band = own + ahead
         on = np.zeros(len(size), bool)
         on[docs] = True
-        on &= size > 0
-        if ahead:
-            on &= size * bands.q // bands.p >= bands.low[np.minimum(band, len(bands.low) - 1)]
+        on &= reaches if ahead else size > 0
         mine = on[row]
         r, h = row[mine], g[mine]
         if not len(r):
@@ -93,11 +100,10 @@ def signatures(row: np.ndarray, g: np.ndarray, docs: np.ndarray, bands: Bands) -
         out_key.append(K.mix(flips ^ name))
         out_band.append(band[r])
         filled = np.bincount(r, minlength=len(size))
-        b = np.minimum(band, len(bands.segments) - 1)
-        most = (size + np.minimum(size * bands.q // bands.p, bands.top[b])) * (bands.q - bands.p) // (bands.q + bands.p)
-        spare = np.maximum(bands.segments[b] - most - np.minimum(bands.segments[b] - filled, bands.slack[b]) - 1, 0)
+        most = (size + np.minimum(size * bands.q // bands.p, bands.top[band])) * (bands.q - bands.p) // (bands.q + bands.p)
+        spare = np.maximum(bands.segments[band] - most - np.minimum(bands.segments[band] - filled, bands.slack[band]) - 1, 0)
         out_spare.append(spare[r])
-        for d in np.flatnonzero(on & (bands.segments[np.minimum(band, len(bands.segments) - 1)] - filled > bands.slack[np.minimum(band, len(bands.slack) - 1)])):
+        for d in np.flatnonzero(on & (bands.segments[band] - filled > bands.slack[band])):
             empty = np.setdiff1d(np.arange(bands.segments[band[d]]), segment[r == d].astype(np.int64)).astype(U)
             out_row.append(np.full(len(empty), d))
             out_band.append(np.full(len(empty), band[d]))
@@ -117,25 +123,27 @@ def names(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", largest: int = 1 << 26, most_filter_mb: int = 128, rounds: int = 3, hubs_each: int = 3) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 128, rounds: int = 3, hubs_each: int = 3, most_bits: int = 8192) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least p / q of their word shingles.
 
     One row per document: ``id, n_shingles, component_id``, the smallest id reachable by links, itself
     included. Rows with equal shingle sets are one node, so copies are never paired. Nodes meet where a segment of
     their parity sketches is equal (see Bands; no linked pair is missed). Meeting nodes are not paired
     among each other: in ``rounds`` rounds one node of each segment is its hub, and each node is compared with
-    the ``hubs_each`` hubs of other classes that it meets most often; pairs of one segment that are then still in different classes are compared if sizes and
-    the sketches' Hamming distance, which is never more than the sets' difference, allow a link. Every
+    the ``hubs_each`` hubs of other classes that it meets most often. What then still meets in different classes is
+    compared with the members outside the largest class of its segment, and only if sizes and
+    the sketches' Hamming distance, which is never more than the sets' difference, allow a link: sketches as long as
+    the sets leave hardly more than the pairs close to the threshold. Every
     comparison is of whole sets. Classes are connected components of the links found; links inside a class
     that could not change it are not looked for.
 
     A text without words (null, empty) has no shingles, links with nothing and is its own component. A null id
     gives a null component and takes no part. Repeated rows of one id are one node or are linked as their
-    texts are. Other columns are ignored. largest: the most shingles of a text for which bands
-    are laid out. most_filter_mb: the bound of the broadcast filter of keys that occur more than once; where it
-    is too small for them more keys are sent, none is lost.
+    texts are. Other columns are ignored. most_bits: the longest sketch; beyond it
+    more pairs are compared, no result changes. most_filter_mb: the bound of the broadcast filter of keys that occur more than once; where it
+    is too small for them there is no filter and all keys are sent; none is lost.
     """
-    bands = Bands(p, q, largest)
+    bands = Bands(p, q, most_bits)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -189,7 +197,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     # A linked pair shares more than ``spare`` keys, so its rarest shared key is among none's ``spare`` most frequent ones:
     # each node leaves these out, the keys of common phrases before all others.
     by_frequency = Window.partitionBy("node", "band").orderBy(F.desc("n"), "key")
-    few = keys.join(met, "key").distinct().withColumn("at", F.row_number().over(by_frequency)).filter("at > spare").select("key", "node")
+    few = keys.join(met, "key").distinct().withColumn("at", F.row_number().over(by_frequency)).filter("at > spare").select("key", "node", "band")
     few = written(few, "rare-keys")
     met = few.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key")
     meets = written(few.join(met, "key", "left_semi"), "meetings")
@@ -208,14 +216,26 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                 n = hi - lo
                 ok = np.flatnonzero(names(row, g, n) == want[lo:hi])  # another row of the same id may differ
                 cut = np.searchsorted(row, np.arange(n + 1))
-                sketch = np.zeros((n, WORDS), U)
-                np.bitwise_xor.at(sketch, (row, (g >> U(6)) % U(WORDS)), U(1) << (g & U(63)))
+                size = np.diff(cut)
+                band, reaches = bands.places(size)
+
+                def sketch(d: int, words: int) -> np.ndarray:
+                    out, h = np.zeros(words, U), g[cut[d] : cut[d + 1]]
+                    np.bitwise_xor.at(out, (h >> U(6)) & U(words - 1), U(1) << (h & U(63)))
+                    return K.signed(out)
+
+                folded = np.array([sketch(d, WORDS) for d in ok], np.int64).reshape(-1, WORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(want[lo:hi][ok].view(np.int64)), pa.array(np.diff(cut)[ok], pa.int64()), pa.array([g[cut[d] : cut[d + 1]].tobytes() for d in ok], pa.binary()), *[pa.array(K.signed(sketch[ok, j].copy())) for j in range(WORDS)]],
-                    ["node", "n", "set", *[f"s{j}" for j in range(WORDS)]],
+                    [
+                        *[pa.array(want[lo:hi][ok].view(np.int64)), pa.array(size[ok], pa.int64()), pa.array([g[cut[d] : cut[d + 1]].tobytes() for d in ok], pa.binary())],
+                        *[pa.array(folded[:, j].copy()) for j in range(WORDS)],
+                        pa.array(band[ok], pa.int32()),
+                        *[pa.array([sketch(d, bands.words[band[d] + ahead]) if reaches[d] or not ahead else None for d in ok], pa.list_(pa.int64())) for ahead in (0, 1)],
+                    ],
+                    ["node", "n", "set", *[f"s{j}" for j in range(WORDS)], "own", "here", "next"],
                 )
 
-    fields = "node long, n long, set binary, " + ", ".join(f"s{j} long" for j in range(WORDS))
+    fields = "node long, n long, set binary, " + ", ".join(f"s{j} long" for j in range(WORDS)) + ", own int, here array<long>, next array<long>"
     whole = written(texts.select("text", "node").mapInArrow(sets, fields).dropDuplicates(["node"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +259,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
 
     def open_keys(known: DataFrame) -> DataFrame:
         """Meetings whose nodes are in different classes as yet, with the nodes' classes."""
-        placed = meets.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        placed = meets.join(known, "node", "left").select("key", "node", "band", F.coalesce("component", "node").alias("component"))
         apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
         return placed.join(apart, "key", "left_semi")
 
@@ -260,18 +280,25 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         links = links.unionByName(new)
         known = components(links)
 
-    left = written(open_keys(known).join(whole.drop("set"), "node"), "open")
+    left = written(open_keys(known), "open")
+    by_class = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = by_class.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
+    facts = whole.select("node", "n", *[f"s{j}" for j in range(WORDS)], "own", "here", "next")
+    left = left.join(largest, "key").join(facts, "node").withColumn("sketch", F.when(F.col("band") == F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("own", "here", "next", "band")
+    left = written(left.withColumn("inner", F.col("component") == F.col("largest")).drop("largest"), "open-sketches")
     side = lambda c: left.select("key", *[F.col(x).alias(f"{c}_{x}") for x in left.columns if x != "key"])
     gap = sum((F.bit_count(F.col(f"l_s{j}").bitwiseXOR(F.col(f"r_s{j}"))) for j in range(WORDS)), F.lit(0))
-    l, r = side("l"), side("r")
+    whole_gap = F.aggregate(F.zip_with("l_sketch", "r_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    l, r = side("l"), side("r").filter("not r_inner")  # of the largest class of a key no two members meet
     possible = (
         (l["key"] == r["key"])
-        & (F.col("l_node") < F.col("r_node"))
         & (F.col("l_component") != F.col("r_component"))
+        & (F.col("l_inner") | (F.col("l_node") < F.col("r_node")))
         & (F.least("l_n", "r_n") * q >= F.greatest("l_n", "r_n") * p)
         & (gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
+        & (whole_gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
     )
-    rest = l.join(r, possible).select(F.col("l_node").alias("b"), F.col("r_node").alias("a")).distinct()
+    rest = l.join(r, possible).select(F.least("l_node", "r_node").alias("b"), F.greatest("l_node", "r_node").alias("a")).distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(linked(rest))
     known = components(links)

@@ -75,7 +75,7 @@ def test_query_and_hard_rows(spark):
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for p in (80, 90):
-        bands = jaccard_join.Bands(p, 100, 1 << 20)
+        bands = jaccard_join.Bands(p, 100)
         for _ in range(300):
             size = int(rng.integers(1, 400))
             most = size * (100 - p) // (100 + p)
