@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import kernels as K
 from .bloom import Filter
@@ -18,12 +19,16 @@ U = K.U
 GRAM = 16
 
 
-def byte_grams(data: np.ndarray) -> np.ndarray:
-    """Hash of each GRAM consecutive bytes, by doubling."""
-    h, size, p = K.BYTE[data], 1, K.powers(GRAM + 1)
-    while size < GRAM:
-        h = h[: len(h) - size] + h[size:] * p[size]
-        size *= 2
+def byte_grams(data: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """Hash of each n consecutive bytes, by doubling; the last step overlaps."""
+    h, size = K.BYTE[data], 1
+    while size < n:
+        step = min(size, n - size)
+        m = len(h) - step
+        if m <= 0:
+            return np.zeros(0, U)
+        h = h[:m] * K.powers(2 * GRAM)[step] + K.mix(h[step:]) if step < size else h[:m] + h[step:] * K.powers(size + 1)[size]
+        size += step
     return K.mix(h)
 
 
@@ -58,69 +63,109 @@ def segments(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray,
     return row[ok[first]].astype(np.int64), ok[first], np.diff(np.append(first, len(ok))), key[at[ok[first]]]
 
 
-def content(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start : start + size] for each."""
+def content(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """64-bit hash of data[start : start + size] for each, of at least ``least`` bytes: from the hashes of overlapping grams."""
     if not len(start):
         return np.zeros(0, U)
-    first = np.cumsum(size) - size
-    within = np.arange(int(size.sum())) - np.repeat(first, size)
-    h = np.add.reduceat(K.BYTE[data[np.repeat(start, size) + within]] * K.powers(int(size.max()))[within], first)
-    return K.mix(h ^ K.mix(size.astype(U)))
+    n = min(2 * GRAM, least)
+    h = byte_grams(data, n)
+    out = K.mix(size.astype(U))
+    for j in range(k := -(-(2 * least - GRAM) // n)):  # no segment is longer
+        out = K.mix(out * U(0xD6E8FEB86659FD93) + h[start + (size - n) * j // max(k - 1, 1)])
+    return out
 
 
-def maximal_repeats(texts: list[bytes], windows: np.ndarray, owner: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeats of at least ``least`` bytes: (length, text of each occurrence, its offset).
+class Repeats:
+    """Maximal repeats of at least ``least`` bytes among the windows of some texts.
 
     An enhanced suffix array of the texts (the suffixes that start at a window), cut at the texts' ends, is
     scanned with a stack: each interval of suffixes with a common prefix is a node of the common-prefix interval
     tree. It is a maximal repeat if the bytes before its occurrences differ; a text's start differs from
-    every byte, as what stands before it is known to its neighbour segment only. Yields all occurrences of each.
-    owner: what texts are compared with each other only (their anchor), in the order of the texts.
+    every byte, as what stands before it is known to its neighbour segment only. Suffixes whose first ``least`` bytes
+    no other one has by hash are in no such interval and are left out before sorting; those with equal
+    ones stand together, in the order of what follows. All prefixes are compared byte by byte. An interval whose inner prefixes all have its
+    own length needs no stack.
+    owner: what texts are compared with each other only (their anchor).
+
+    ``order``: the window of each suffix; repeat i has the suffixes ``lo[i]:hi[i]``, all its occurrences, and ``length[i]`` bytes.
     """
-    size = np.array([len(t) for t in texts])
-    base = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(texts) + bytes(int(size.max()) + 8), np.uint8)
-    text = np.repeat(np.arange(len(texts)), windows)
-    offset = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-    left = size[text] - offset
-    width = -(-int(left.max()) // 8) * 8
-    block = data[(base[text] + offset)[:, None] + np.arange(width)]
-    block[np.arange(width) >= left[:, None]] = 0
-    columns = block.view(">u8")
-    order = np.lexsort([left, *[columns[:, j] for j in range(columns.shape[1] - 1, -1, -1)], owner[text]])
-    a, b = order[:-1], order[1:]
-    lcp = np.zeros(len(order) + 1, np.int64)
-    for lo in range(0, len(a), 100_000):
-        x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
-        differ = block[x] != block[y]
-        common = np.where(differ.any(1), differ.argmax(1), width)
-        lcp[1 + lo : 1 + lo + len(x)] = np.where(owner[text[x]] == owner[text[y]], np.minimum(common, np.minimum(left[x], left[y])), 0)
-    before = np.where(offset > 0, data[np.maximum(base[text] + offset - 1, 0)].astype(np.int64), -1)[order]
-    # an interval is diverse if neighbours in it differ before, or a text starts in it
-    change = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0) | (before[:-1] < 0))])
-    starts, values = [], []
-    active = np.flatnonzero(lcp >= least)
-    if not len(active):
-        return
-    ends = np.append(np.flatnonzero(np.diff(active) > 1), len(active) - 1)
-    begin = 0
-    for end in ends.tolist():
-        lo, hi = int(active[begin]) - 1, int(active[end])
-        begin = end + 1
-        starts, values = [], []
-        for i, v in zip([*range(lo + 1, hi + 1), hi + 1], [*lcp[lo + 1 : hi + 1].tolist(), 0], strict=True):
-            left_at = i - 1
-            while values and values[-1] > v:
-                left_at, length = starts.pop(), values.pop()
-                if change[i - 1] > change[left_at]:
-                    of = order[left_at:i]
-                    yield length, text[of], offset[of]
-            if v and (not values or values[-1] < v):
-                starts.append(left_at)
-                values.append(v)
-
-
-def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 64, group_rows: int = 20_000, bucket_rows: int = 30_000) -> tuple[DataFrame, DataFrame]:
+
+    def __init__(self, texts: list[bytes], windows: np.ndarray, owner: np.ndarray, least: int) -> None:
+        size = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(size) - size
+        longest = int(size.max(initial=0))
+        data = np.frombuffer(b"".join(texts) + bytes(longest + least + 8), np.uint8)
+        self.text = np.repeat(np.arange(len(texts)), windows)
+        self.offset = np.arange(len(self.text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = base[self.text] + self.offset
+        left = size[self.text] - self.offset
+        key = K.mix(byte_grams(data, least)[at] ^ K.mix(owner.astype(np.int64).view(U))[self.text])
+        sort = np.argsort(key)
+        same = key[sort][1:] == key[sort][:-1]
+        with_other = sort[np.append(False, same) | np.append(same, False)]
+        with_other = with_other[left[with_other] >= least]
+        width = max(-(-(longest - least) // 8) * 8, 8)
+        at, left, key = at[with_other], left[with_other] - least, key[with_other]
+        tail = np.lib.stride_tricks.sliding_window_view(data, width)[at + least]  # a copy of the bytes alone
+        tail[np.arange(width) >= left[:, None]] = 0
+        columns = tail.view(">u8")
+        sort = np.lexsort([left, *[columns[:, j].astype(U) for j in range(width // 8 - 1, -1, -1)], key])
+        self.order, at, left, key, tail = with_other[sort], at[sort], left[sort], key[sort], tail[sort]
+        n = len(self.order)
+        lcp = np.zeros(n + 1, np.int64)
+        heads = np.lib.stride_tricks.sliding_window_view(data, least)
+        for lo in range(0, n - 1, 100_000):
+            x = slice(lo, min(lo + 100_000, n - 1))
+            y = slice(x.start + 1, x.stop + 1)
+            differ = tail[x] != tail[y]
+            common = np.where(differ.any(1), differ.argmax(1), width)
+            equal = (key[x] == key[y]) & (heads[at[x]] == heads[at[y]]).all(1)
+            lcp[1 + x.start : 1 + x.stop] = np.where(equal, least + np.minimum(common, np.minimum(left[x], left[y])), 0)
+        before = np.where(self.offset[self.order] > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1)
+        # an interval is diverse if neighbours in it differ before, or a text starts in it
+        change = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0) | (before[:-1] < 0))]) if n else np.zeros(1, np.int64)
+        edge = np.flatnonzero(lcp == 0)  # runs of suffixes of one prefix begin here
+        begin, end = edge[:-1], edge[1:]
+        begin, end = begin[end - begin > 1], end[end - begin > 1]
+        changes = np.append(0, np.cumsum(lcp[1:] != lcp[:-1]))
+        plain = changes[end - 1] == changes[begin + 1]
+        length = lcp[begin + 1]
+        lo, hi, deep = [begin[plain]], [end[plain]], [length[plain]]
+        for i, j in zip(begin[~plain].tolist(), end[~plain].tolist(), strict=True):
+            got = _intervals(lcp[i + 1 : j].tolist())
+            lo.append(i + np.array([x for x, _, _ in got]))
+            hi.append(i + np.array([x for _, x, _ in got]))
+            deep.append(np.array([x for _, _, x in got]))
+        lo, hi, deep = (np.concatenate(x).astype(np.int64) for x in (lo, hi, deep))
+        diverse = change[hi - 1] > change[lo]
+        self.lo, self.hi, self.length = lo[diverse], hi[diverse], deep[diverse]
+
+
+def _intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
+    """(first, end, common prefix) of every node of the interval tree of neighbours' common prefixes, by a stack."""
+    starts: list[int] = []
+    values: list[int] = []
+    out = []
+    for i, v in enumerate([*lcp, 0]):
+        left_at = i
+        while values and values[-1] > v:
+            left_at = starts.pop()
+            out.append((left_at, i + 1, values.pop()))
+        if v and (not values or values[-1] < v):
+            starts.append(left_at)
+            values.append(v)
+    return out
+
+
+def maximal_repeats(texts: list[bytes], windows: np.ndarray, owner: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each maximal repeat (see Repeats): its length, and the text of each occurrence and its offset there."""
+    r = Repeats(texts, windows, owner, least)
+    for lo, hi, length in zip(r.lo.tolist(), r.hi.tolist(), r.length.tolist(), strict=True):
+        of = r.order[lo:hi]
+        yield length, r.text[of], r.offset[of]
+
+
+def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 64, group_rows: int = 20_000, bucket_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Strings of at least ``least`` bytes that start in several documents, in segments.
 
     Returns (groups, places): groups has ``seg, f, t, m`` rows: of a segment of text, a range of its windows (``f`` to
@@ -128,13 +173,15 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
     row, at``: where each segment occurs, row being a hash of id and text.
 
     Anchors that occur under more than one id are found by grouped minima and go to a Bloom filter of bounded
-    size, with which a second scan keeps the segments that can agree with another one; a filter that is
-    too full keeps more, never fewer. Segments of equal bytes are one, with their smallest id. Where an
+    size, with which a second scan keeps the segments that can agree with another one; beyond that size there is
+    no filter and all are kept. Segments of equal bytes are one, with their smallest id. Where an
     anchor has different segments, a third scan fetches their bytes, which meet by anchor, in buckets of about
     ``bucket_rows``, each one enhanced suffix array. An anchor with more than
     ``group_rows`` different segments is not one bucket's work: its windows are grouped by their bytes' hash instead.
     Texts are told apart by 64-bit hashes of their bytes.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: ids are compared by size")
     if least < GRAM + 2:
         raise ValueError(f"least must be {GRAM + 2} at least")
     src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -145,14 +192,13 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 h, d = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.lexsort((d, h))
+                order = np.argsort(h)
                 h, d = h[order], d[order]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                last = np.append(first[1:], len(h)) - 1
-                both = last[d[last] != d[first]]
-                h, d = np.append(h[first], h[both]), np.append(d[first], d[both])
+                several = np.logical_or.reduceat(d != np.repeat(d[first], np.diff(np.append(first, len(h)))), first)
+                h = np.append(h[first], h[first[several]])  # twice where this part has it under several ids
                 for lo in range(0, len(h), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[lo : lo + 200_000])), pa.array(d[lo : lo + 200_000])], ["anchor", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[lo : lo + 200_000]))], ["anchor"])
                 held.clear()
 
         for batch in batches:
@@ -168,7 +214,8 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                     total = 0
         yield from flush()
 
-    shared = src.mapInArrow(anchors, "anchor long, id long").groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("anchor")
+    # an id whose rows lie in several parts counts as several: its anchors are followed up in vain, no result changes
+    shared = src.mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     shared = written(shared, "anchors")
     forget(docs.sparkSession)
     some = docs.sparkSession.sparkContext.broadcast(Filter(shared, "anchor", most_filter_mb))
@@ -184,7 +231,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                 row, start, windows, anchor = segments(part, base, least)
                 keep = some.value.may_hold(anchor)
                 row, start, windows, anchor = row[keep], start[keep], windows[keep], anchor[keep]
-                seg = content(part, start, windows + least - 1)
+                seg = content(part, start, windows + least - 1, least)
                 doc = ids[lo:hi][row]
                 again = ~_lower(seen, seg, doc)  # a segment is described once a task, or for a smaller id
                 for a in range(0, len(seg), 50_000):
@@ -194,7 +241,6 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                     )
 
     found = written(src.withColumn("row", F.hash("text")).mapInArrow(spots, "seg long, id long, row int, at int, anchor long, windows int"), "segments")
-    places = found.select("seg", "id", "row", "at")
     kinds = found.filter(F.col("anchor").isNotNull()).groupBy("seg").agg(F.min("id").alias("id"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"))
     kinds = written(kinds, "kinds")
     forget(docs.sparkSession)
@@ -211,7 +257,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                 part, base = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 row, start, windows, anchor = segments(part, base, least)
                 keep = np.flatnonzero(differ.value.may_hold(anchor))
-                seg = content(part, start[keep], windows[keep] + least - 1)
+                seg = content(part, start[keep], windows[keep] + least - 1, least)
                 new = _lower(seen, seg, ids[lo:hi][row[keep]])
                 keep, seg = keep[new], seg[new]
                 raw = part.tobytes()
@@ -235,15 +281,16 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         windows = windows.astype(np.int64)
         base = np.cumsum(windows) - windows
         m = np.repeat(low, windows)  # of each window, the smallest id of the repeats that cover it
-        out: list[tuple[np.ndarray, ...]] = []
-        for length, text, offset in maximal_repeats(texts, windows, owner, least):
-            out.append((base[text] + offset, np.full(len(text), length - least + 1), np.full(len(text), low[text].min())))
-        if out:
-            f, k, least_id = (np.concatenate(x) for x in zip(*out, strict=True))
+        r = Repeats(texts, windows, owner, least)
+        place = base[r.text] + r.offset
+        for at in range(0, len(r.lo), 200_000):  # each interval's occurrences, flat
+            lo, k, length = r.lo[at : at + 200_000], (r.hi - r.lo)[at : at + 200_000], r.length[at : at + 200_000]
+            of = r.order[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+            least_id = np.repeat(np.minimum.reduceat(low[r.text[of]], np.cumsum(k) - k), k)
+            f, n = place[of], np.repeat(length - least + 1, k)
             better = np.flatnonzero(least_id < m[f])  # what is larger at its start is so all along: the text has it itself
-            f, k, least_id = f[better], k[better], least_id[better]
-            at = np.repeat(f - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            np.minimum.at(m, at, np.repeat(least_id, k))
+            f, n, least_id = f[better], n[better], least_id[better]
+            np.minimum.at(m, np.repeat(f - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(least_id, n))
         of = np.repeat(np.arange(len(seg)), windows)
         first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (m[1:] != m[:-1])))
         begin = first - base[of[first]]
@@ -258,7 +305,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                 k = windows[lo : lo + 2000]
                 offset = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
                 of = np.repeat(np.arange(lo, lo + len(k)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(seg[of]), pa.array(low[of]), pa.array(offset.astype(np.int32)), pa.array(K.signed(content(data, off[of] + offset, np.full(len(of), least))))], ["seg", "id", "f", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(seg[of]), pa.array(low[of]), pa.array(offset.astype(np.int32)), pa.array(K.signed(content(data, off[of] + offset, np.full(len(of), least), least)))], ["seg", "id", "f", "window"])
 
     ranges, used = None, [shared, kinds, many]
     if size["hot"]:
@@ -280,7 +327,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
     groups = written(itself.unionByName(ranges), "ranges")
     discard(*used)
     forget(docs.sparkSession)
-    return groups, places
+    return groups, found
 
 
 def _lower(seen: dict[int, int], seg: np.ndarray, doc: np.ndarray, most: int = 300_000) -> np.ndarray:
@@ -304,7 +351,7 @@ def drop_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     remove nothing; texts shorter than ``least`` lose nothing. An empty table gives an empty result.
     """
     groups, places = repeat_groups(docs, least, id_col, text_col, **settings)
-    hit = places.join(groups, "seg").filter("m < id").select(F.col("id").alias("doc"), "row", F.struct((F.col("at") + F.col("f")).alias("s"), (F.col("at") + F.col("t") - 1 + least).alias("e")).alias("cut"))
+    hit = places.select("seg", "id", "row", "at").join(groups, "seg").filter("m < id").select(F.col("id").alias("doc"), "row", F.struct((F.col("at") + F.col("f")).alias("s"), (F.col("at") + F.col("t") - 1 + least).alias("e")).alias("cut"))
     spans = written(hit.groupBy("doc", "row").agg(F.collect_list("cut").alias("cut")), "spans")
     discard(groups, places)
     forget(docs.sparkSession)
