@@ -17,12 +17,13 @@ from .common import written
 U = K.U
 BASE = 1.5  # counts are kept as 1 + floor(log_BASE(count))
 END, START = K.mix(np.array([0xE17D, 0x57A7], U))
-SEGMENT_BITS = 22
+BLOCK_BITS = 19  # of the filter; all bits of a key lie in one block, neighbouring keys in neighbouring blocks
+BLOCK_BYTES = 1 << (BLOCK_BITS - 3)
 PROBES = 5
 
 
-def level(n: Column) -> Column:
-    return (F.floor(F.log(n.cast("double")) / math.log(BASE) + 1e-9) + 1).cast("int")
+def level(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64) + 1
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,17 +41,27 @@ def pairs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, K.mix(before * U(0xD6E8FEB86659FD93) + h)
 
 
-def positions(key: np.ndarray, lev: np.ndarray | int, probe: int, mask: np.ndarray | np.uint64) -> np.ndarray:
-    """Bit of one probe of (key, level); all of a key's bits lie in the segment that its high bits name."""
-    a = K.mix(key ^ (np.asarray(lev).astype(U) * U(0x9E3779B97F4A7C15)))
-    inner = (a + U(probe) * ((a >> U(32)) | U(1))) & U((1 << SEGMENT_BITS) - 1)
-    return ((key >> U(40)) % mask << U(SEGMENT_BITS)) | inner
+def bucket_of(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``buckets`` ranges of keys each is in, and where in it, as a fraction of 2**32."""
+    x = (key >> U(32)) * U(buckets)
+    return (x >> U(32)).astype(np.int64), x & U(0xFFFFFFFF)
+
+
+def probes(key: np.ndarray, lev: int) -> Iterator[np.ndarray]:
+    """Bits of (key, level) within its block."""
+    a = K.mix(key ^ U(lev * 0x9E3779B97F4A7C15 % 2**64))
+    step = (a >> U(32)) | U(1)
+    for _ in range(PROBES):
+        yield a & U((1 << BLOCK_BITS) - 1)
+        a = a + step
 
 
 @dataclass
 class Model:
-    bits: np.ndarray
-    segments: int
+    bits: np.ndarray | None
+    buckets: int
+    first: list[np.ndarray]  # of order 1 and 2: first block of each bucket
+    blocks: list[np.ndarray]  # their number
     value: list[np.ndarray]  # of order 1 and 2: mean count of each level
     total: int  # N, training tokens
     distinct: int  # V
@@ -59,55 +70,72 @@ class Model:
     weight: float
 
     def levels(self, key: np.ndarray, order: int) -> np.ndarray:
-        return probed(self.bits, K.mix(key + U(order)), self.segments, len(self.value[order - 1]))
+        bucket, within = bucket_of(key, self.buckets)
+        block = self.first[order - 1][bucket] + (within * self.blocks[order - 1][bucket].astype(U) >> U(32)).astype(np.int64)
+        return probed(self.bits, block, key, len(self.value[order - 1]))
 
 
-def probed(bits: np.ndarray, key: np.ndarray, segments: int, levels: int) -> np.ndarray:
+def probed(bits: np.ndarray, block: np.ndarray, key: np.ndarray, levels: int) -> np.ndarray:
     """Repeated membership probes: the last level whose bits are all set, 0 if the first is not."""
     out = np.zeros(len(key), np.int64)
-    alive = np.arange(len(key))
-    n = U(segments)
+    alive, base, k = np.arange(len(key)), block * BLOCK_BYTES, key
     for lev in range(1, levels):
-        for probe in range(PROBES):
-            pos = positions(key[alive], lev, probe, n)
-            alive = alive[(bits[pos >> U(3)] >> (pos & U(7)).astype(np.uint8)) & 1 == 1]
-            if not len(alive):
-                return out
+        if not len(alive):
+            break
+        ok = np.ones(len(k), bool)
+        at = np.arange(len(k))
+        for n, pos in enumerate(probes(k, lev)):
+            pos = pos[at]
+            hit = (bits[base[at] + (pos >> U(3)).astype(np.int64)] >> (pos & U(7)).astype(np.uint8)) & 1 == 1
+            if n == PROBES - 1:
+                ok = at[hit]
+            else:
+                at = at[hit]
+        alive, base, k = alive[ok], base[ok], k[ok]
         out[alive] = lev
     return out
 
 
-def one_segment(key: np.ndarray, lev: np.ndarray) -> np.ndarray:
-    """Packed bits of the segment that holds these (mixed) keys."""
-    bits = np.zeros(1 << SEGMENT_BITS, bool)
+def filled(key: np.ndarray, lev: np.ndarray, buckets: int, bits_per_level: int) -> np.ndarray:
+    """Packed bits of a bucket that holds these keys, up to their levels; its size follows from their number."""
+    blocks = max(1, -(-int(lev.sum()) * bits_per_level >> BLOCK_BITS))
+    bits = np.zeros(blocks << BLOCK_BITS, bool)
+    block = (bucket_of(key, buckets)[1] * U(blocks)) >> U(32) << U(BLOCK_BITS)
     for j in range(1, int(lev.max(initial=0)) + 1):
-        of = key[lev >= j]
-        for probe in range(PROBES):
-            bits[positions(of, j, probe, U(1)) & U((1 << SEGMENT_BITS) - 1)] = True
+        of = lev >= j
+        for pos in probes(key[of], j):
+            bits[block[of] | pos] = True
     return np.packbits(bits, bitorder="little")
 
 
-def count_ngrams(docs: DataFrame, used: Column, text_col: str, most: int = 1_000_000) -> DataFrame:
-    """``order, key, n`` of words and word pairs, combined within each task before the shuffle."""
+def count_ngrams(docs: DataFrame, used: Column, text_col: str, buckets: int, bits_per_level: int, most: int = 1_000_000) -> DataFrame:
+    """Counts of words and word pairs, by ranges of their keys.
+
+    One row for each order and bucket: ``order, bucket, bits`` (its part of the filter), ``keys, ns, least`` (of each
+    level: how many n-grams, their counts' sum and minimum); and one row ``key, n`` for each word. Tasks send their
+    n-grams combined and packed, a row for each bucket; a bucket's size is bounded as their number follows the input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {1: [], 2: []}
         size = {1: 0, 2: 0}
 
         def combined(order: int) -> None:
-            key = np.concatenate([k for k, _ in held[order]])
-            n = np.concatenate([c for _, c in held[order]])
-            sort = np.argsort(key)
-            key, n = key[sort], n[sort]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-            held[order] = [(key[first], np.add.reduceat(n, first) if len(first) else n)]
-            size[order] = len(first)
+            held[order] = [_summed(*(np.concatenate(x) for x in zip(*held[order], strict=True)))]
+            size[order] = len(held[order][0][0])
 
         def out(order: int) -> Iterator[pa.RecordBatch]:
             for key, n in held[order]:
-                for lo in range(0, len(key), 200_000):
-                    k = key[lo : lo + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), order, np.int32)), pa.array(K.signed(k)), pa.array(n[lo : lo + 200_000])], ["order", "key", "n"])
+                bucket = bucket_of(key, buckets)[0]
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
+                ends = np.append(first[1:], len(key))
+                n = n.astype(np.uint32)  # of a task's part
+                for lo in range(0, len(first), 1000):
+                    f, e = first[lo : lo + 1000], ends[lo : lo + 1000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(f), order, np.int32)), pa.array(bucket[f]), *[pa.array([x[i:j].tobytes() for i, j in zip(f.tolist(), e.tolist(), strict=True)], pa.binary()) for x in (key, n)]],
+                        ["order", "bucket", "keys", "counts"],
+                    )
             held[order], size[order] = [], 0
 
         for batch in batches:
@@ -127,22 +155,52 @@ def count_ngrams(docs: DataFrame, used: Column, text_col: str, most: int = 1_000
                 combined(order)
                 yield from out(order)
 
-    return docs.filter(used).select(text_col).mapInArrow(run, "order int, key long, n long").groupBy("order", "key").agg(F.sum("n").alias("n"))
+    def merge(table: pa.Table) -> pa.Table:
+        key, n = (np.concatenate([np.frombuffer(v.as_buffer(), t) for v in table.column(c)]) for c, t in (("keys", U), ("counts", np.uint32)))
+        key, n = _summed(key, n.astype(np.int64))
+        order, bucket, lev = table.column("order")[0].as_py(), table.column("bucket")[0].as_py(), level(n)
+        each, total = np.bincount(lev), np.bincount(lev, n).astype(np.int64)
+        least = np.full(len(each), 1 << 62)
+        np.minimum.at(least, lev, n)
+        words = len(key) if order == 1 else 0
+        many = pa.list_(pa.int64())
+        return pa.table(
+            {
+                "order": pa.array(np.full(1 + words, order, np.int32)),
+                "bucket": pa.array(np.full(1 + words, bucket)),
+                "bits": pa.array([filled(key, lev, buckets, bits_per_level).tobytes(), *[None] * words], pa.binary()),
+                **{c: pa.array([x.tolist(), *[None] * words], many) for c, x in (("keys", each), ("ns", total), ("least", least))},
+                "key": pa.array([None, *K.signed(key[:words]).tolist()], pa.int64()),
+                "n": pa.array([None, *n[:words].tolist()], pa.int64()),
+            }
+        )
+
+    packed = docs.filter(used).select(text_col).mapInArrow(run, "order int, bucket long, keys binary, counts binary")
+    return packed.groupBy("order", "bucket").applyInArrow(merge, "order int, bucket long, bits binary, keys array<long>, ns array<long>, least array<long>, key long, n long")
+
 
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sort = np.argsort(key)
+    key, n = key[sort], n[sort]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
-def learn(docs: DataFrame, used: Column, text_col: str = "text", bits_per_level: int = 12, most_filter_mb: int = 512, head: int = 1 << 17, weight: float = 0.3) -> tuple[Model, DataFrame, DataFrame | None]:
-    """The model, the table of exact word counts ``key, n``, and the filter's entries if it is too large to ship.
 
-    Counts cover the whole training text, every word and every word pair. The filter always has
-    ``bits_per_level`` bits for each (n-gram, level). Up to ``most_filter_mb`` it is built here and comes with the
-    model; beyond, the model has no bits and the entries ``key, level, segment`` (mixed keys) are
-    returned, from which each segment is built where it is asked. ``head`` bounds the broadcast
+def learn(docs: DataFrame, used: Column, text_col: str = "text", bits_per_level: int = 12, most_filter_mb: int = 256, head: int = 1 << 17, weight: float = 0.3, bucket_bytes: int = 1 << 23) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model, the table of exact word counts ``key, n``, and the filter's parts if it is too large to ship.
+
+    Counts cover the whole training text, every word and every word pair. The filter is laid out in ranges of keys, one
+    for each ``bucket_bytes`` of text, and always has ``bits_per_level`` bits for each (n-gram, level). Up to
+    ``most_filter_mb`` it comes with the model; beyond, the model has no bits and the parts ``order, bucket, bits`` are
+    returned, which are asked where they lie. ``head`` bounds the broadcast
     table of exact counts of the most frequent words; the others are joined by shuffle.
     """
-    spark = docs.sparkSession
-    counts = count_ngrams(docs, used, text_col).withColumn("level", level(F.col("n")))
-    counts = written(counts, "ngrams")
-    rows = counts.groupBy("order", "level").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()  # some dozens
+    size = docs.filter(used).agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, size // bucket_bytes)
+    counts = written(count_ngrams(docs, used, text_col, buckets, bits_per_level), "ngrams")
+    parts = counts.filter(F.col("bits").isNotNull())
+    by_level = parts.select("order", F.posexplode(F.arrays_zip("keys", "ns", "least")).alias("level", "of")).filter("of.keys > 0")
+    rows = by_level.groupBy("order", "level").agg(F.sum("of.keys").alias("keys"), F.sum("of.ns").alias("n"), F.min("of.least").alias("least")).collect()  # some dozens
     value = []
     for order in (1, 2):
         of = {r["level"]: r["n"] / r["keys"] for r in rows if r["order"] == order}
@@ -152,34 +210,30 @@ def learn(docs: DataFrame, used: Column, text_col: str = "text", bits_per_level:
         value.append(v)
     total = sum(r["n"] for r in rows if r["order"] == 1)
     distinct = sum(r["keys"] for r in rows if r["order"] == 1)
-    entries = sum(r["keys"] * r["level"] for r in rows)
-    segments = max(1, -(-entries * bits_per_level >> SEGMENT_BITS))
     least, words = math.inf, 0
     for r in sorted((r for r in rows if r["order"] == 1), key=lambda r: -r["level"]):
         words += r["keys"]
         if words > head:
             break
         least = r["least"]
-    top = counts.filter((F.col("order") == 1) & (F.col("n") >= (least if least < math.inf else 1 << 62))).select("key", "n").toPandas()
-    top = top.sort_values("key")
-
-    def build(table: pa.Table) -> pa.Table:
-        bits = one_segment(table.column("key").to_numpy().view(U), table.column("level").to_numpy())
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = K.mix(b.column(1).to_numpy().view(U) + b.column(0).to_numpy().astype(U))
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), b.column(2), segment_of(key, segments)], ["key", "level", "segment"])
-
-    parts = counts.select("order", "key", "level").mapInArrow(dealt, "key long, level int, segment int")
-    shipped = segments << (SEGMENT_BITS - 3) <= max(most_filter_mb << 20, 0)
-    bits = np.zeros(segments << (SEGMENT_BITS - 3) if shipped else 0, np.uint8)
-    if shipped:
-        for r in parts.groupBy("segment").applyInArrow(build, "segment int, bits binary").toLocalIterator():
-            bits[r["segment"] << (SEGMENT_BITS - 3) :][: 1 << (SEGMENT_BITS - 3)] = np.frombuffer(r["bits"], np.uint8)
-    model = Model(bits, segments, value, int(total), int(distinct), top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), weight)
-    return model, counts.filter("order = 1").select("key", "n"), None if shipped else parts
+    counts = counts.filter(F.col("key").isNotNull()).select("key", "n")
+    top = counts.filter(F.col("n") >= (least if least < math.inf else 1 << 62)).toPandas()
+    keys = top["key"].to_numpy(np.int64).view(U)
+    sort = np.argsort(keys)
+
+    blocks = [np.ones(buckets, np.int64) for _ in range(2)]
+    for r in parts.select("order", "bucket", F.octet_length("bits").alias("size")).toLocalIterator():  # two numbers for bucket_bytes of text
+        blocks[r["order"] - 1][r["bucket"]] = r["size"] // BLOCK_BYTES
+    ends = np.cumsum(np.concatenate(blocks))
+    first = [(ends - np.concatenate(blocks))[:buckets], (ends - np.concatenate(blocks))[buckets:]]
+    bits = None
+    if int(ends[-1]) * BLOCK_BYTES <= most_filter_mb << 20:
+        bits = np.zeros(int(ends[-1]) * BLOCK_BYTES, np.uint8)
+        for r in parts.select("order", "bucket", "bits").toLocalIterator():
+            at = int(first[r["order"] - 1][r["bucket"]]) * BLOCK_BYTES
+            bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    model = Model(bits, buckets, first, blocks, value, int(total), int(distinct), keys[sort], top["n"].to_numpy(np.int64)[sort], weight)
+    return model, counts, None if bits is not None else parts.select("order", "bucket", "bits")
 
 
 def fit(docs: DataFrame, used: Column, text_col: str = "text", **settings) -> tuple[Model, DataFrame]:
@@ -187,16 +241,13 @@ def fit(docs: DataFrame, used: Column, text_col: str = "text", **settings) -> tu
     return learn(docs, used, text_col, **settings)[:2]
 
 
-def segment_of(key: np.ndarray, segments: int) -> pa.Array:
-    return pa.array(((key >> U(40)) % U(segments)).astype(np.int32))
-
-
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of rows: each token's row and context, the distinct words (and the start) with the tokens' places in them, the same of the pairs."""
+    """Of rows: each token's row, the distinct words (and the start) with the tokens' and their contexts' places in them, the distinct pairs with the tokens' places."""
     row, h = tokens(data, offsets)
-    before, both = pairs(row, h)
     words, back = np.unique(np.append(h, START), return_inverse=True)
-    two, back_two = np.unique(both, return_inverse=True)
+    before = np.append(back[-1:], back[:-2])
+    before[np.append(True, row[1:] != row[:-1])[: len(before)]] = back[-1]
+    two, back_two = np.unique(pairs(row, h)[1], return_inverse=True)
     return row, before, words, back, two, back_two
 
 
@@ -215,7 +266,7 @@ def score_rows(m: Model, parts: tuple[np.ndarray, ...], lev: np.ndarray, got: np
     if lev[np.searchsorted(words, START)] == 0:  # as many starts as ends
         value[back[-1]] = value[np.searchsorted(words, END)]
     p = np.where(value > 0, (1 - new) * value / max(m.total, 1), new)[back[:-1]]
-    context = value[np.searchsorted(words, before)]
+    context = value[before]
     seen = (v2[got] if len(v2) else np.zeros(len(got)))[back_two]
     ratio = np.minimum(seen / np.maximum(context, 1), 1)
     p = np.where(context > 0, m.weight * ratio + (1 - m.weight) * p, p)
@@ -223,8 +274,8 @@ def score_rows(m: Model, parts: tuple[np.ndarray, ...], lev: np.ndarray, got: np
     n_tokens = np.bincount(row, minlength=n)
     # exact counts: frequent words here, the others by join
     signed = K.signed(words)
-    where = np.minimum(np.searchsorted(m.head_keys, signed), max(len(m.head_keys) - 1, 0))
-    known = m.head_keys[where] == signed if len(m.head_keys) else np.zeros(len(words), bool)
+    where = np.minimum(np.searchsorted(m.head_keys, words), max(len(m.head_keys) - 1, 0))
+    known = m.head_keys[where] == words if len(m.head_keys) else np.zeros(len(words), bool)
     value = np.where(known, np.log10(m.head_counts[where] + 1.0), 0.0) if len(m.head_keys) else np.zeros(len(words))
     mine, in_head = back[:-1], known[back[:-1]]
     base = np.bincount(row, value[mine], n)
@@ -243,14 +294,14 @@ def score_rows(m: Model, parts: tuple[np.ndarray, ...], lev: np.ndarray, got: np
         )
 
 
-def asked(sent: DataFrame, model: Model, entries: DataFrame, kind: str, schema: str) -> DataFrame:
+def asked(sent: DataFrame, model: Model, parts: DataFrame, kind: str, schema: str) -> DataFrame:
     """``score_rows`` of the rows ``id, used, text`` by a filter that no task holds whole.
 
-    Rows are dealt into pieces; each piece sends its distinct n-grams to their segments of the filter, gets
+    Rows are dealt into pieces; each piece sends its distinct n-grams to their buckets of the filter, gets
     their levels back, and is scored with them. Bits, and so scores, are those of the filter shipped whole.
     """
-    segments, sizes = model.segments, [len(v) for v in model.value]
-    names = ["piece", "at", "id", "used", "text", "ask", "key", "segment"]
+    buckets, sizes = model.buckets, [len(v) for v in model.value]
+    names = ["piece", "at", "id", "used", "text", "order", "bucket", "ask", "keys"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -261,14 +312,18 @@ def asked(sent: DataFrame, model: Model, entries: DataFrame, kind: str, schema:
         def out() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             n = t.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), pa.array(np.arange(n)), *t.columns, *[pa.nulls(n, x) for x in (pa.int64(), pa.int64(), pa.int32())]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), pa.array(np.arange(n)), *t.columns, *[pa.nulls(n, x) for x in (pa.int32(), pa.int64(), pa.int64(), pa.binary())]], names)
             _, _, words, _, two, _ = ngrams(*K.flat(t.column(2)))
-            key = np.concatenate([K.mix(words + U(1)), K.mix(two + U(2))])
-            ask = np.concatenate([np.arange(len(words)), -1 - np.arange(len(two))])  # pairs count from -1 down
-            for lo in range(0, len(key), 200_000):
-                k, a = key[lo : lo + 200_000], ask[lo : lo + 200_000]
-                n = len(k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), *[pa.nulls(n, x) for x in (pa.int64(), *t.schema.types)], pa.array(a), pa.array(K.signed(k)), segment_of(k, segments)], names)
+            for order, key in ((1, words), (2, two)):  # sorted, so a bucket's keys stand together
+                bucket = bucket_of(key, buckets)[0]
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
+                ends = np.append(first[1:], len(key)).tolist()
+                for lo in range(0, len(first), 1000):
+                    f = first[lo : lo + 1000]
+                    k = len(f)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(k, piece)), *[pa.nulls(k, x) for x in (pa.int64(), *t.schema.types)], pa.array(np.full(k, order, np.int32)), pa.array(bucket[f]), pa.array(f), pa.array([key[i:j].tobytes() for i, j in zip(f.tolist(), ends[lo : lo + 1000], strict=True)], pa.binary())], names
+                    )
 
         for batch in batches:
             _, off = K.flat(batch.column(2))
@@ -282,15 +337,18 @@ def asked(sent: DataFrame, model: Model, entries: DataFrame, kind: str, schema:
         if held:
             yield from out()
 
-    def answer(entries: pa.Table, asks: pa.Table) -> pa.Table:
-        ask = asks.column("ask").to_numpy()
-        lev = np.zeros(len(ask), np.int16)
-        if len(ask):
-            key = asks.column("key").to_numpy().view(U)
-            bits = one_segment(entries.column("key").to_numpy().view(U), entries.column("level").to_numpy())
-            for of, levels in ((ask >= 0, sizes[0]), (ask < 0, sizes[1])):
-                lev[of] = probed(bits, key[of], 1, levels)
-        return pa.table({"piece": asks.column("piece"), "ask": asks.column("ask"), "lev": pa.array(lev)})
+    def answer(filter_part: pa.Table, asks: pa.Table) -> pa.Table:
+        out, bits = [], None
+        if filter_part.num_rows:
+            bits = np.frombuffer(filter_part.column("bits")[0].as_buffer(), np.uint8)
+        for order, k in zip(asks.column("order").to_pylist(), asks.column("keys"), strict=True):
+            key = np.frombuffer(k.as_buffer(), U)
+            if bits is None:
+                out.append(bytes(len(key) * 2))
+                continue
+            block = (bucket_of(key, buckets)[1] * U(len(bits) // BLOCK_BYTES) >> U(32)).astype(np.int64)
+            out.append(probed(bits, block, key, sizes[order - 1]).astype(np.int16).tobytes())
+        return pa.table({**{c: asks.column(c) for c in ("piece", "order", "ask")}, "levels": pa.array(out, pa.binary())})
 
     shipped = sent.sparkSession.sparkContext.broadcast(model)  # without bits
 
@@ -298,17 +356,17 @@ def asked(sent: DataFrame, model: Model, entries: DataFrame, kind: str, schema:
         rows = rows.sort_by("at").combine_chunks()
         batch = rows.to_batches()[0]
         parts = ngrams(*K.flat(batch.column("text")))
-        ask, lev = levels.column("ask").to_numpy(), levels.column("lev").to_numpy()
         one, two = np.zeros(len(parts[2]), np.int64), np.zeros(len(parts[4]), np.int64)
-        one[ask[ask >= 0]] = lev[ask >= 0]
-        two[-1 - ask[ask < 0]] = lev[ask < 0]
+        for order, ask, lev in zip(levels.column("order").to_pylist(), levels.column("ask").to_pylist(), levels.column("levels"), strict=True):
+            lev = np.frombuffer(lev.as_buffer(), np.int16)
+            (one, two)[order - 1][ask : ask + len(lev)] = lev
         piece = batch.column("piece")[0].as_py()
         at = (piece >> 40 << 40) + (piece & ((1 << 40) - 1)) * PIECE_ROWS  # places of a task's rows
         return pa.Table.from_batches(score_rows(shipped.value, parts, one, two, at, batch.column("id"), batch.column("used")))
 
-    both = written(sent.toDF("id", "used", "text").mapInArrow(deal, f"piece long, at long, id {kind}, used boolean, text string, ask long, key long, segment int"), "pieces")
-    asks = both.filter(F.col("ask").isNotNull()).select("piece", "ask", "key", "segment")
-    answers = entries.groupBy("segment").cogroup(asks.groupBy("segment")).applyInArrow(answer, "piece long, ask long, lev short")
+    both = written(sent.toDF("id", "used", "text").mapInArrow(deal, f"piece long, at long, id {kind}, used boolean, text string, order int, bucket long, ask long, keys binary"), "pieces")
+    asks = both.filter(F.col("ask").isNotNull()).select("piece", "order", "bucket", "ask", "keys")
+    answers = parts.groupBy("order", "bucket").cogroup(asks.groupBy("order", "bucket")).applyInArrow(answer, "piece long, order int, ask long, levels binary")
     texts = both.filter(F.col("ask").isNull()).select("piece", "at", "id", "used", "text")
     return texts.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, schema)
 
@@ -327,8 +385,8 @@ def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     used = F.coalesce(used, F.lit(True))
-    model, counts, entries = learn(docs, used, text_col, **settings)
-    shipped = spark.sparkContext.broadcast(model) if entries is None else None
+    model, counts, parts = learn(docs, used, text_col, **settings)
+    shipped = spark.sparkContext.broadcast(model) if parts is None else None
     kind = docs.schema[id_col].dataType.simpleString()
     n_all, v_all = model.total, model.distinct
 
@@ -341,13 +399,13 @@ def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: st
             data, off = K.flat(batch.column(2))
             for lo, hi in K.pieces(off):
                 n = hi - lo
-                parts = ngrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                yield from score_rows(m, parts, m.levels(parts[2], 1), m.levels(parts[4], 2), at, batch.column(0).slice(lo, n), batch.column(1).slice(lo, n))
+                of = ngrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                yield from score_rows(m, of, m.levels(of[2], 1), m.levels(of[4], 2), at, batch.column(0).slice(lo, n), batch.column(1).slice(lo, n))
                 at += n
 
     sent = docs.select(F.col(id_col), used.alias("__used"), F.col(text_col))
     schema = f"row long, id {kind}, used boolean, n_tokens long, n_known long, base double, score double, key long, tf long"
-    scored = written(sent.mapInArrow(run, schema) if entries is None else asked(sent, model, entries, kind, schema), "scored")
+    scored = written(sent.mapInArrow(run, schema) if parts is None else asked(sent, model, parts, kind, schema), "scored")
     rest = scored.filter(F.col("key").isNotNull()).select("row", "key", "tf")
     rest = rest.join(counts, "key").groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("more"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -66,6 +66,39 @@ def test_all_pairs_count_and_a_filter_of_any_size_scores_alike(spark):
         assert whole == asked and whole.total() == d.count()
 
 
+def test_scores_are_those_of_a_plain_model(spark):
+    """Every score by dictionaries of the levels that the filter tells, token by token."""
+    docs = {i: t for i, t in documents().items() if t is None or len(t) < 3000}
+    docs[10**6], docs[10**6 + 1] = "never seen Before never", None
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    used = F.expr("doc_id % 3 != 0 and doc_id < 1000000")
+    m, _ = lm_score.fit(df, used)
+    words, both = Counter(), Counter()
+    for i, t in docs.items():
+        if i % 3 and i < 10**6:
+            w = toks(t)
+            words.update(w)
+            both.update(zip(["<start> ", *w], w))  # noqa: B905
+    lev = lambda n: 1 + math.floor(math.log(n) / math.log(lm_score.BASE) + 1e-9) if n else 0
+    mean = [{k: sum(v) / len(v) for k in {lev(n) for n in c.values()} for v in [[n for n in c.values() if lev(n) == k]]} for c in (words, both)]
+    for order in (0, 1):
+        assert all(abs(m.value[order][k] - v) < 1e-9 for k, v in mean[order].items())
+    n, v = sum(words.values()), len(words)
+    one = lambda w: mean[0].get(lev(words["<end> " if w == "<start> " else w]), 0)
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(df, used).collect()}
+    alike = 0
+    for i, t in docs.items():
+        w, want = toks(t), 0.0
+        for a, b in zip(["<start> ", *w], w):  # noqa: B905
+            p = (1 - v / (n + v)) * one(b) / n if one(b) else v / (n + v)
+            if one(a):
+                p = m.weight * min(mean[1].get(lev(both[a, b]), 0) / max(one(a), 1), 1) + (1 - m.weight) * p
+            want += math.log10(p)
+        alike += abs(got[i] - want) < 1e-6
+        assert abs(got[i] - want) < 0.02 * abs(want) + 1e-6  # a probe in some hundred errs
+    assert alike > 0.3 * len(docs)
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
