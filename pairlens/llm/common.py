@@ -50,6 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of several tables made by ``written``, of one schema, as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.written_path for t in tables])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bloom import Filter
-from .common import forget, written
+from .common import forget, together, written
 from .components import components
 
 U = K.U
@@ -204,7 +204,8 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     forget(docs.sparkSession)
 
     # whole sets and folded sketches of the nodes that meet any other, from one row of each
-    some = rows.filter(F.col("id").isNotNull()).join(meets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    smallest = written(rows.filter(F.col("id").isNotNull() & (F.col("node") != 0)).groupBy("node").agg(F.min("id").alias("id")), "nodes")  # copies combine before the shuffle
+    some = smallest.join(meets.select("node").distinct(), "node", "left_semi")
     texts = src.join(some, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,20 +266,21 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
 
     spark = docs.sparkSession
     known = spark.createDataFrame([], "node long, component long")
-    links = tried = spark.createDataFrame([], "a long, b long")
+    none = written(spark.createDataFrame([], "a long, b long"), "links")
+    links, tried = [none], [none]
     for turn in range(rounds):
         here = open_keys(known)
         hubs = here.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(turn))).alias("hub"))
         meet = here.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("v"))
         best = Window.partitionBy("node").orderBy(F.desc("v"), F.xxhash64("node", "hub"))
         star = meet.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= hubs_each).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        star = written(star.join(tried, ["a", "b"], "left_anti"), "stars")
-        tried = tried.unionByName(star)
+        star = written(star.join(together(tried), ["a", "b"], "left_anti"), "stars")
+        tried.append(star)
         new = written(linked(star), "links")
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-        known = components(links)
+        links.append(new)
+        known = written(components(together(links)), "classes")
 
     left = written(open_keys(known), "open")
     by_class = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -299,11 +301,11 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         & (whole_gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
     )
     rest = l.join(r, possible).select(F.least("l_node", "r_node").alias("b"), F.greatest("l_node", "r_node").alias("a")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(linked(rest))
-    known = components(links)
+    rest = rest.join(together(tried), ["a", "b"], "left_anti")
+    links.append(written(linked(rest), "links"))
+    known = written(components(together(links)), "classes")
     # a class's smallest id by way of its nodes, so that rows are joined by node alone and never gathered by class
-    nodes = rows.filter(F.col("id").isNotNull() & (F.col("node") != 0)).groupBy("node").agg(F.min("id").alias("id")).join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    nodes = smallest.join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
     best = nodes.groupBy("c").agg(F.min("id").alias("best"))
     named = written(nodes.select("node", "c").join(best, "c").select("node", "best"), "classes")  # so the last join is of two plain exchanges, which Spark can split
     return rows.join(named, "node", "left").select(

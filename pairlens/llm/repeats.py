@@ -219,6 +219,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
     shared = written(shared, "anchors")
     forget(docs.sparkSession)
     some = docs.sparkSession.sparkContext.broadcast(Filter(shared, "anchor", most_filter_mb))
+    discard(shared)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["seg", "id", "row", "at", "anchor", "windows"]
@@ -307,7 +308,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
                 of = np.repeat(np.arange(lo, lo + len(k)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(seg[of]), pa.array(low[of]), pa.array(offset.astype(np.int32)), pa.array(K.signed(content(data, off[of] + offset, np.full(len(of), least), least)))], ["seg", "id", "f", "window"])
 
-    ranges, used = None, [shared, kinds, many]
+    ranges, used = None, [kinds, many]
     if size["hot"]:
         met = written(met, "met-bytes")
         used.append(met)

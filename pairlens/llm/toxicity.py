@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,21 +85,22 @@ class Model:
 class Vocabulary:
     """Texts as places in a table of the features of their distinct words: four bytes a word and not FEATURES times as many."""
 
-    def __init__(self, texts: Iterable[str]) -> None:
-        known: dict[int, int] = {}
-        self.texts, new = [], []
-        for text in texts:
-            data, off = K.flat(pa.array([text], pa.string()))
-            _, f = features(data, off)
-            name, first, back = np.unique(f[:, 0].astype(np.int64) << 32 | f[:, 1], return_index=True, return_inverse=True)
-            at = np.empty(len(name), np.int32)
-            for i, (n, j) in enumerate(zip(name.tolist(), first.tolist(), strict=True)):
-                if n not in known:
-                    known[n] = len(new)
-                    new.append(f[j])
-                at[i] = known[n]
-            self.texts.append(at[back])
-        self.features = np.array(new, np.int32).reshape(-1, FEATURES)
+    def __init__(self, texts: Sequence[str]) -> None:
+        data, off = K.flat(pa.array(texts, pa.string()))
+        names, ends, seen, rows = [], [], [], []
+        for lo, hi in K.pieces(off, 1 << 19):
+            row, f = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            name = f[:, 0].astype(np.int64) << 32 | f[:, 1]
+            one, first = np.unique(name, return_index=True)
+            names.append(name)
+            ends.append(np.bincount(row, minlength=hi - lo))
+            seen.append(one)
+            rows.append(f[first])
+        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        one, first = np.unique(cat(seen, np.int64), return_index=True)
+        self.features = np.concatenate([*rows, np.zeros((0, FEATURES), np.int32)])[first]
+        places = np.searchsorted(one, cat(names, np.int64)).astype(np.int32)
+        self.texts = np.split(places, np.cumsum(cat(ends, np.int64))[:-1]) if ends else []
 
 
 def fit(docs: list[tuple[np.ndarray, int, str, float]], of: np.ndarray, epochs: int = 6, seed: int = 7, rate: float = 0.08) -> tuple[Model, list[int]]:
@@ -237,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     rows = sent.join(picked, "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t"))  # of several rows of one id the least text
     id_kind = docs.schema[id_col].dataType.simpleString()
     got = rows.select(F.col("__id").alias("id"), F.col("__y").alias("y"), F.col("__t.lang").alias("lang"), F.col("__t.text").alias("text")).toPandas().sort_values("id")
-    words = Vocabulary(got.pop("text"))
+    words = Vocabulary(got.pop("text").tolist())
     sampled = got["y"].value_counts().to_dict()
     weight = {y: counts.get(y, 0) / max(sampled.get(y, 0), 1) for y in (0, 1)}
     mean = sum(weight[y] for y in got["y"]) / max(len(got), 1) or 1.0

@@ -111,14 +111,24 @@ def test_toxicity(spark):
     assert (rank[y == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * n0) > 0.9
     assert y[s >= 0.5].mean() > 0.85
     result = toxicity.toxicity(hard(spark), model)
-    assert result.columns == [*hard(spark).columns, "score", "threshold", "rejected"]
+    assert result.columns == [*[c for c in hard(spark).columns if c not in ("score", "threshold", "rejected")], "score", "threshold", "rejected"]
     rows_ = result.collect()
     assert len(rows_) == len(HARD) and all(0 <= r["score"] <= 1 and r["threshold"] == 0.5 for r in rows_)
+    beside = toxicity.toxicity(hard(spark), model, results=("s", "t", "r"))
+    assert beside.columns == [*hard(spark).columns, "s", "t", "r"] and all(r["score"] == 7 and 0 <= r["s"] <= 1 for r in beside.collect())
     assert toxicity.toxicity(empty(spark), model).count() == 0
     none = toxicity.train(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert {r["score"] for r in toxicity.toxicity(hard(spark), none).collect()} == {0.5}
 
 
+def test_vocabulary():
+    texts = ["a b a longerword", "", "b longerword2 B"]
+    words = toxicity.Vocabulary(texts)
+    for text, places in zip(texts, words.texts, strict=True):
+        assert (words.features[places] == toxicity.features(*toxicity.K.flat(pa.array([text])))[1]).all()
+    assert len(words.features) == 4 and toxicity.Vocabulary([]).texts == []
+
+
 def test_thresholds_come_from_all_labelled_rows(spark):
     rows_ = [(i, "fr" if i % 20 == 7 else "es" if i % 100 == 3 else "en", f"w{i % 11} {'vile' if i % 3 == 0 else 'kind'} w{i % 7}", int(i % 3 == 0)) for i in range(600)]
     docs = spark.createDataFrame(rows_, "doc_id long, lang string, text string, toxic int")
