@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 PRONOUNS = ["he", "she", "him", "her", "his", "hers", "himself", "herself"]
 GRAMMATICAL = [("he", "they"), ("she", "they"), ("him", "them"), ("his", "their"), ("hers", "theirs"), ("himself", "themselves"), ("herself", "themselves")]
 MASCULINE, FEMININE = ["he", "him", "his", "himself"], ["she", "her", "hers", "herself"]
-STOP = ["a", "an", "and", "as", "at", "because", "but", "by", "for", "from", "in", "into", "of", "on", "or", "that", "the", "to", "when", "where", "which", "while", "who", "with", "yesterday", "today"]
+STOP = [
+    "is", "was", "are", "were", "and", "or", "but", "to", "for", "as", "with", "in", "on", "at", "by", "from", "that", "who", "which", "than", "then",
+    "both", "very", "so", "too", "not", "well", "again", "also",
+]
 VARIANTS = ("none", "names_only", "pronouns_only", "full", "gram_her_their", "gram_her_them", "gram_pos")
 
 
@@ -32,12 +35,18 @@ def grammatical(text: Column, her: str) -> Column:
     return replace_words(text, [("her", her), *GRAMMATICAL])
 
 
+#: White space that Python strips, an ASCII letter, and one of the stop words as a whole token of letters and apostrophes.
+_GAP = r"[\s\x1c-\x1f]*"
+_LETTER = r"(?-iUu:[A-Za-z'])"
+_STOPPED = rf"{_GAP}(?i-Uu:{'|'.join(sorted(STOP, key=len, reverse=True))})(?!{_LETTER})"
+#: What follows a possessive: a word that is not a stop word.
+NOUN = rf"(?={_GAP}{_LETTER})(?!{_STOPPED})"
+
+
 def grammatical_by_next(text: Column) -> Column:
-    """"her" is an object at the end, before a non-word or before a stop word; possessive else."""
-    stop = "|".join(sorted(STOP, key=len, reverse=True))
-    text = F.regexp_replace(text, F.lit(r"(?iU)\bher\b(?!\s*[A-Za-z'])"), F.lit("them"))
-    text = F.regexp_replace(text, F.lit(rf"(?iU)\bher\b(?=\s*(?:{stop})(?![A-Za-z']))"), F.lit("them"))
-    return replace_words(text, [("her", "their"), *GRAMMATICAL])
+    """"her" is possessive before a word, in ASCII letters, that is no stop word; an object else."""
+    text = F.regexp_replace(text, F.lit(word("her") + NOUN), F.lit("their"))
+    return replace_words(text, [("her", "them"), *GRAMMATICAL])
 
 
 def replace_names(text: Column, names: Column, placeholder: str = "the candidate") -> Column:
@@ -66,15 +75,16 @@ def deidentify(text: Column, variant: str, names: Column | None = None, placehol
 
 
 def swap_pronouns(text: Column, to: str) -> Column:
-    """To ``"feminine"`` or ``"masculine"``, keeping capitals; his and her are told apart by the next word."""
-    noun = r"(?=\s+[A-Za-z])"
-    rules = [("he", "she"), ("him", "her"), ("himself", "herself"), (rf"his{noun}", "her"), ("his", "hers")] if to == "feminine" else [("she", "he"), ("hers", "his"), ("herself", "himself"), (rf"her{noun}", "his"), ("her", "him")]
-    for w, by in rules:
-        core = w.split("(")[0]
-        rest = w[len(core) :]
-        for form, out in ((core.upper(), by.upper()), (core.capitalize(), by.capitalize())):
+    """To ``"feminine"`` or ``"masculine"``; his and her are told apart by the next word, as in ``grammatical_by_next``.
+
+    A pronoun in capitals stays so, one that begins with a capital begins with one.
+    """
+    rules = [("he", "", "she"), ("him", "", "her"), ("himself", "", "herself"), ("his", NOUN, "her"), ("his", "", "hers")]
+    if to != "feminine":
+        rules = [("she", "", "he"), ("hers", "", "his"), ("herself", "", "himself"), ("her", NOUN, "his"), ("her", "", "him")]
+    for w, rest, by in rules:
+        for form, out in ((w.upper(), by.upper()), (rf"{w[0].upper()}(?i-Uu:{w[1:]})", by.capitalize()), (f"(?i-Uu:{w})", by)):
             text = F.regexp_replace(text, F.lit(rf"(?U)\b{form}\b{rest}"), F.lit(out))
-        text = F.regexp_replace(text, F.lit(rf"(?iU)\b{core}\b{rest}"), F.lit(by))
     return text
 
 
@@ -99,9 +109,9 @@ def cut_words(text: Column, n: int) -> Column:
 
 
 def name_tokens(spans: Column) -> Column:
-    """Distinct lower-case words of some spans, letters only, longer than one."""
-    parts = F.flatten(F.transform(spans, lambda s: F.split(s, r"\s+")))
-    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(F.regexp_replace(p, "[^A-Za-z]", ""))), lambda p: F.length(p) > 1))
+    """Distinct lower-case words of some spans, letters and apostrophes only, longer than one."""
+    parts = F.flatten(F.transform(spans, lambda s: F.split(s, r"(?U)[\s\x1c-\x1f]+")))
+    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(F.regexp_replace(p, "[^A-Za-z']", ""))), lambda p: F.length(p) > 1))
 
 
 def chunked(text: Column, window: int = 1200, overlap: int = 100) -> Column:

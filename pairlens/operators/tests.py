@@ -114,24 +114,42 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def wilcoxon(df: DataFrame, d: str, *by: str) -> DataFrame:
-    """Signed-rank sums of the non-zero differences, and the normal z without continuity correction."""
+    """Signed-rank sums of the non-zero differences, the normal z without continuity correction, and its two-sided p.
+
+    The variance is corrected for ties. p is the normal one at every number of differences.
+    """
     nz = df.filter(F.col(d) != 0).withColumn("m", F.abs(d))
-    r = nz.withColumn("r", average_rank("m", *by))
-    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(d) > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(d) < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    mean, var = F.col("n") * (F.col("n") + 1) / 4.0, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0
-    return g.withColumn("z", (F.col("w_plus") - mean) / F.sqrt(var))
+    r = nz.withColumn("r", average_rank("m", *by)).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(*by, "m")))
+    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"), F.sum(F.when(F.col(d) > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(d) < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
+    mean, var = F.col("n") * (F.col("n") + 1) / 4.0, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("ties") / 48.0
+    return g.withColumn("z", (F.col("w_plus") - mean) / F.sqrt(var)).drop("ties").withColumn("p", normal_two_sided(F.col("z")))
 
 
 def one_sample_t(df: DataFrame, d: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(d).alias("n"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t"))
 
 
+def chi2_tail(x: Column, k: Column) -> Column:
+    """P(chi-square with k degrees of freedom > x), by the finite sum that whole k have."""
+    half, even = x / 2.0, k % 2 == 0
+    first = F.when(even, F.lit(1.0)).otherwise(F.sqrt(half) / (math.sqrt(math.pi) / 2))
+    step = F.when(even, F.lit(1.0)).otherwise(F.lit(1.5))
+    number = F.floor(k / 2).cast("int")  # of terms
+    state = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+    total = F.aggregate(F.sequence(F.lit(0), number), state, lambda s, i: F.struct((s["sum"] + F.when(i < number, s["term"]).otherwise(0.0)).alias("sum"), (s["term"] * half / (i + step)).alias("term")))["sum"]
+    return F.when(even, F.exp(-half) * total).otherwise(normal_two_sided(F.sqrt(x)) + F.exp(-half) * total)
+
+
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H, without tie correction, over the groups of one table."""
-    r = df.withColumn("one", F.lit(1)).withColumn("r", average_rank(value, "one"))
-    g = r.groupBy(group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
+    """Kruskal-Wallis H, corrected for ties, and its chi-square p, over the groups of one table; both null if all values are equal."""
+    r = df.withColumn("one", F.lit(1)).withColumn("r", average_rank(value, "one")).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(value)))
+    g = r.groupBy(group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
     n = F.sum("n")
-    return g.agg(F.count(F.lit(1)).alias("groups"), n.alias("n"), (12.0 / (n * (n + 1)) * F.sum(F.col("s") * F.col("s") / F.col("n")) - 3 * (n + 1)).alias("h"))
+    h = 12.0 / (n * (n + 1)) * F.sum(F.col("s") * F.col("s") / F.col("n")) - 3 * (n + 1)
+    g = g.agg(F.count(F.lit(1)).alias("groups"), n.alias("n"), h.alias("h"), F.sum("ties").alias("ties"))
+    n = F.col("n").cast("double")
+    g = g.withColumn("h", F.col("h") / F.nullif(1 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0)), F.lit(0.0))).drop("ties")
+    return g.withColumn("p", chi2_tail(F.col("h"), F.col("groups") - 1))
 
 
 def independence_baseline(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:

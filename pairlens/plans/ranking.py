@@ -142,11 +142,15 @@ def h6_mcnemar_any_size(spark, sf):
 query()(h6_mcnemar_any_size)
 
 
-@query(f"""WITH {PAIRS}, nz AS (SELECT model, cluster, d, rank() OVER (PARTITION BY model, cluster ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, cluster, abs(d)) - 1) / 2.0 AS r FROM pairs WHERE d <> 0),
-g AS (SELECT model, cluster, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm FROM nz GROUP BY ALL)
-SELECT model, cluster, n, round(wp, 6) AS w_plus, round(wm, 6) AS w_minus, round((wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 6) AS z FROM g""")
+TAIL = "(0.254829592 + e * (-0.284496736 + e * (1.421413741 + e * (-1.453152027 + e * 1.061405429)))) * e"  # of the normal's two-sided p
+
+
+@query(f"""WITH {PAIRS}, nz AS (SELECT model, cluster, d, rank() OVER (PARTITION BY model, cluster ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, cluster, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model, cluster, abs(d)) AS t FROM pairs WHERE d <> 0),
+g AS (SELECT model, cluster, count(*) AS n, sum(t * t - 1) AS ties, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm FROM nz GROUP BY ALL),
+q AS (SELECT *, (wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM g), u AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0::DOUBLE)) AS e FROM q)
+SELECT model, cluster, n, round(wp, 6) AS w_plus, round(wm, 6) AS w_minus, round(z, 6) AS z, round({TAIL} * exp(-z * z / 2), 6) AS p FROM u""")
 def h8_wilcoxon(spark, sf):
-    return rounded(tests.wilcoxon(pairs(spark, sf), "d", "model", "cluster"), "w_plus", "w_minus", "z")
+    return rounded(tests.wilcoxon(pairs(spark, sf), "d", "model", "cluster"), "w_plus", "w_minus", "z", "p")
 
 
 @query(f"""WITH {PAIRS}, g AS (SELECT model, count(d) AS n, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, count(*) FILTER (a > b) AS k FROM pairs GROUP BY model), q AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM g)
@@ -158,11 +162,14 @@ def h8_t_test_and_wilson(spark, sf):
     return t.join(k, "model").withColumn("w", tests.wilson(F.col("k"), F.col("n"))).select("model", "n", six(F.col("t")).alias("t"), six(F.col("w.low")).alias("low"), six(F.col("w.high")).alias("high"))
 
 
-@query(f"""WITH {PAIRS}, c AS (SELECT category, cluster, avg(d) AS v FROM pairs GROUP BY ALL), r AS (SELECT category, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM c), g AS (SELECT category, sum(r) AS s, count(*) AS n FROM r GROUP BY category)
-SELECT count(*) AS groups, sum(n)::BIGINT AS n, round(12.0 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1), 6) AS h FROM g""")
+@query(f"""WITH {PAIRS}, c AS (SELECT category, cluster, avg(d) AS v FROM pairs GROUP BY ALL), r AS (SELECT category, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY v) AS t FROM c), g AS (SELECT category, sum(r) AS s, count(*) AS n, sum(t * t - 1) AS ties FROM r GROUP BY category),
+q AS (SELECT count(*) AS groups, sum(n)::BIGINT AS n, (12.0 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / nullif(1 - sum(ties) / nullif(sum(n)::DOUBLE ** 3 - sum(n), 0), 0) AS h FROM g),
+u AS (SELECT *, groups - 1 AS k, sqrt(h) AS z, 1 / (1 + 0.3275911 * sqrt(h) / sqrt(2.0::DOUBLE)) AS e FROM q)
+SELECT groups, n, round(h, 6) AS h, round(CASE WHEN k % 2 = 0 THEN exp(-h / 2) * coalesce(list_sum(list_transform(range(k // 2), lambda i: (h / 2) ** i / gamma(i + 1))), 0)
+  ELSE {TAIL} * exp(-h / 2) + exp(-h / 2) * coalesce(list_sum(list_transform(range(k // 2), lambda i: (h / 2) ** (i + 0.5) / gamma(i + 1.5))), 0) END, 6) AS p FROM u""")
 def h8_kruskal(spark, sf):
     c = pairs(spark, sf).groupBy("category", "cluster").agg(F.avg("d").alias("v"))
-    return rounded(tests.kruskal(c, "v", "category"), "h")
+    return rounded(tests.kruskal(c, "v", "category"), "h", "p")
 
 
 @query(f"""WITH {PAIRS}, g AS (SELECT model, category, count(*) AS n, avg((a > 0.05)::INTEGER) AS px, avg((b > 0.04)::INTEGER) AS py, count(*) FILTER ((a > 0.05) = (b > 0.04)) AS same FROM pairs GROUP BY ALL)

@@ -26,8 +26,8 @@ def apply(spark, f, *rows):
 def test_next_word_rules(spark):
     pos = lambda t: T.deidentify(t, "gram_pos")
     a, b, c, d = apply(spark, pos, "John praised him yesterday.", "Mary praised her yesterday.", "John said his was selected.", "Mary said hers was selected.")
-    assert a == "john praised them yesterday." and b == "mary praised them yesterday." and c != d
-    assert apply(spark, pos, "Her book. I saw her.", "her", "HER the") == ["their book. i saw them.", "them", "them the"]
+    assert a == "john praised them yesterday." and b == "mary praised their yesterday." and c != d
+    assert apply(spark, pos, "Her book. I saw her.", "her", "HER the", "told her again", "her against") == ["their book. i saw them.", "them", "their the", "told them again", "their against"]
     full = lambda t: T.deidentify(t, "full")
     e, f = apply(spark, full, "John said his was selected.", "John said hers was selected.")
     assert e == f
@@ -35,9 +35,59 @@ def test_next_word_rules(spark):
         T.deidentify(F.lit("x"), "other")
 
 
+def test_next_word_rules_over_all_documents(spark):
+    """Row by row against one pass of Python's own regular expressions."""
+    import re
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if r["text"]}
+    extra = ["her Is", "Her isn't", "his, well", "He told HER\u2003again and her\x1cbook", "hers her his HIS Him himself", "she's her's"]
+    docs |= {-1 - i: t for i, t in enumerate(extra)}
+
+    def noun(text, end):
+        token = re.match("[A-Za-z']*", text[end:].lstrip())[0].lower()
+        return token != "" and token not in T.STOP
+
+    def rewritten(text, choose):
+        return re.sub(r"\b(he|she|him|her|his|hers|himself|herself)\b", lambda m: choose(m[0], noun(text, m.end())), text, flags=re.IGNORECASE | re.ASCII)
+
+    def cased(old, new):
+        return new.upper() if old.isupper() else new.capitalize() if old[0].isupper() else new
+
+    pos = {**dict(T.GRAMMATICAL)}
+    girl = {"he": "she", "him": "her", "himself": "herself"}
+    boy = {"she": "he", "hers": "his", "herself": "himself"}
+    df = spark.createDataFrame(list(docs.items()), "i long, t string")
+    got = df.select("i", T.deidentify(F.col("t"), "gram_pos", lowercase=False).alias("p"), T.swap_pronouns(F.col("t"), "feminine").alias("f"), T.swap_pronouns(F.col("t"), "masculine").alias("m")).collect()
+    for r in got:
+        t = docs[r["i"]]
+        assert r["p"] == rewritten(t, lambda w, n: ("their" if n else "them") if w.lower() == "her" else pos[w.lower()])
+        assert r["f"] == rewritten(t, lambda w, n: cased(w, ("her" if n else "hers") if w.lower() == "his" else girl.get(w.lower(), w)) if w.lower() in (*girl, "his") else w)
+        assert r["m"] == rewritten(t, lambda w, n: cased(w, ("his" if n else "him") if w.lower() == "her" else boy.get(w.lower(), w)) if w.lower() in (*boy, "her") else w)
+
+
+def test_tied_ranks(spark):
+    """Textbook values, with ties: signed ranks of 1 1 2 2 3 -1, and three groups."""
+    from pairlens.operators import tests as S
+
+    w = S.wilcoxon(spark.createDataFrame([(1, float(x)) for x in (1, 1, 2, 2, 3, -1, 0)], "g int, d double"), "d", "g").first()
+    assert (w["n"], w["w_plus"], w["w_minus"]) == (6, 19.0, 2.0)
+    var = 6 * 7 * 13 / 24 - (27 - 3 + 8 - 2) / 48
+    assert abs(w["z"] - 8.5 / var**0.5) < 1e-9 and abs(w["p"] - math.erfc(8.5 / var**0.5 / 2**0.5)) < 1e-6
+    k = S.kruskal(spark.createDataFrame([(g, float(x)) for g, v in {"a": (1, 1, 2), "b": (2, 3, 3), "c": (4, 5, 5)}.items() for x in v], "g string, v double"), "v", "g").first()
+    ranks = {"a": 1.5 + 1.5 + 3.5, "b": 3.5 + 5.5 + 5.5, "c": 7 + 8.5 + 8.5}
+    h = (12 / 90 * sum(s * s / 3 for s in ranks.values()) - 30) / (1 - 4 * 6 / (729 - 9))
+    assert k["n"] == 9 and abs(k["h"] - h) < 1e-9 and abs(k["p"] - math.exp(-h / 2)) < 1e-9
+    df = spark.createDataFrame([(3.841458820694124, 1), (7.814727903251179, 3), (9.487729036781154, 4)], "x double, k long")
+    assert all(abs(r[0] - 0.05) < 1e-6 for r in df.select(S.chi2_tail(F.col("x"), F.col("k"))).collect())
+    assert S.kruskal(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "g string, v double"), "v", "g").first()["h"] is None
+
+
 def test_swaps(spark):
     assert apply(spark, lambda t: T.swap_pronouns(t, "feminine"), "He saw HIM; His dog is his.", "himself") == ["She saw HER; Her dog is hers.", "herself"]
     assert apply(spark, lambda t: T.swap_pronouns(t, "masculine"), "She saw HER; Her dog is hers.") == ["He saw HIM; His dog is his."]
+    assert apply(spark, lambda t: T.swap_pronouns(t, "feminine"), "his and HiS hat", "his", "HIS") == ["hers and Her hat", "hers", "HERS"]
+    assert apply(spark, lambda t: T.swap_pronouns(t, "masculine"), "her and hER hat, Hers", "HERSELF") == ["him and his hat, His", "HIMSELF"]
+    assert apply(spark, lambda t: T.name_tokens(F.split(t, ";")), "Ann O'Brien;A. Lee") == [["ann", "o'brien", "lee"]]
     assert apply(spark, T.pronoun_gender, "he him his", "she", "she hers he", "her she her") == ["M", None, None, "F"]
 
 
