@@ -50,9 +50,6 @@ class Model:
     cuts: dict[str, float] = field(default_factory=dict)
     other_cut: float = 0.5  # of a language that has too few labels
 
-    def cut(self, lang: str) -> float:
-        return self.cuts.get(lang, self.other_cut) if lang else 0.5
-
     def pooled(self, f: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Word vectors, the largest filter values of each document, and all filter values."""
         n = len(f)
@@ -276,22 +273,25 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     Null text counts as empty; a text without words gets the score of no filter firing. Repeated rows get
     equal results, an empty table an empty one. Columns named like the three results are replaced.
     """
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(model)  # of fixed size
-    keep = [c for c in (keep_columns or docs.columns) if c not in results]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    score, threshold, rejected = results
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shipped.value
-        for batch in batches:
-            data, off = K.flat(batch.column(0))
+        for texts in batches:
+            data, off = K.flat(texts)
+            got = np.empty(len(texts))
             for lo, hi in K.pieces(off, 1 << 19):
                 row, f = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                score = model.score(model.logits(row, f, hi - lo))
-                part = batch.slice(lo, hi - lo)
-                cut = np.array([model.cut(x) for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(score), pa.array(cut, pa.float64()), pa.array(score >= cut)], [*keep, *results])
-
-    sent = docs.select(F.col(text_col).alias("__text"), lang.alias("__lang"), *[F.col(f"`{c}`") for c in keep])
-    return sent.mapInArrow(run, f"{fields}{', ' if keep else ''}{results[0]} double, {results[1]} double, {results[2]} boolean")
+                got[lo:hi] = model.score(model.logits(row, f, hi - lo))
+            yield pa.array(got)
+
+    # only the text goes to Python and only a number comes back; nondeterministic, as a filter on the score would else have it computed again
+    of = F.arrow_udf(scored, "double").asNondeterministic()
+    cut = F.lit(model.other_cut)
+    if model.cuts:
+        cut = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(model.cuts.items()) for x in pair]), lang), cut)
+    keep = [F.col(f"`{c}`") for c in keep_columns or docs.columns if c not in results]
+    out = docs.select(*keep, of(F.col(text_col)).alias(score), F.when(lang == "", 0.5).otherwise(cut).alias(threshold))
+    return out.withColumn(rejected, F.col(score) >= F.col(threshold))
