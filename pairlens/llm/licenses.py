@@ -7,17 +7,60 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Short texts that name each licence, and what marks a header line and a licence file.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License, CC BY 4.0",
-    "GPL-3.0": "This program is free software under the GNU General Public License, GPL version 3",
-    "ISC": "Permission to use, copy, modify, and distribute this software under the ISC License",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, MPL version 2.0",
-    "Proprietary": "All rights reserved. Unauthorized copying is prohibited",
+# Texts of each licence (whole, its notice, and how it is named in a line), and what marks a header line,
+# a blank line of any comment style, and a licence file.
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details.
+You should have received a copy of the GNU {kind} General Public License along with this {what}."""
+
+
+def _gnu(name: str, kind: str, n: str, what: str = "program") -> list[str]:
+    return [_GNU.format(kind=kind, n=n, what=what), f"This work is licensed under the GNU {kind} General Public License, version {n}", f"This {what} is free software under the GNU {kind} General Public License, {name} version {n}", f"GNU {kind.upper()} GENERAL PUBLIC LICENSE Version {n}"]
+
+
+TEXTS = {
+    "AGPL-3.0": _gnu("AGPL", "Affero", "3"),
+    "Apache-2.0": [
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "Licensed under the Apache License, Version 2.0",
+    ],
+    "BSD-2-Clause": [f"{_BSD_2}\n{_BSD_END}", _BSD_2, "Released under the BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": [f"{_BSD_2}\n{_BSD_3}\n{_BSD_END}", "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
+    "CC-BY-4.0": ["This work is licensed under the Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
+    "CC-BY-NC-4.0": ["This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"],
+    "CC-BY-SA-4.0": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work, which is released under CC0 1.0 Universal", "Licensed under CC0 1.0"],
+    "GPL-2.0": _gnu("GPL", "", "2"),
+    "GPL-3.0": _gnu("GPL", "", "3"),
+    "ISC": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Released under the ISC License",
+    ],
+    "LGPL-2.1": _gnu("LGPL", "Lesser", "2.1", "library"),
+    "LGPL-3.0": _gnu("LGPL", "Lesser", "3", "library") + _gnu("LGPL", "Lesser", "3")[:1],
+    "MIT": [
+        f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+{_AS_IS}""",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "Released under the MIT License",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Released under the Mozilla Public License 2.0"],
+    "Proprietary": ["All rights reserved. Unauthorized copying is prohibited", "Proprietary and confidential. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Released under the Unlicense"],
 }
+TEMPLATES = {k: [*texts, f"SPDX-License-Identifier: {k}"] for k, texts in TEXTS.items()}
+BLANK = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 HEADER = r"(?i)licen[cs]e|copyright|all rights reserved|creative commons|\bspdx\b|permission to use"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
@@ -26,35 +69,35 @@ def _tokens(text):
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def weights(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(licence, token, unit weight) rows, idf of the templates' tokens, and the idf of any other token."""
+def weights(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
+    """(licence, text's number, token, unit weight) rows, idf of the templates' tokens by licences, and the idf of any other token."""
     import re
     from collections import Counter
 
-    tf = {k: Counter(re.findall("[a-z0-9]+", t.lower())) for k, t in templates.items()}
-    df = Counter(t for c in tf.values() for t in c)
-    idf = {t: math.log((1 + len(tf)) / (1 + n)) + 1 for t, n in df.items()}
+    tf = {(k, i): Counter(re.findall("[a-z0-9]+", t.lower())) for k, texts in templates.items() for i, t in enumerate(texts)}
+    df = Counter(t for k in templates for t in {t for (of, _), c in tf.items() if of == k for t in c})
+    idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
-    for k, c in tf.items():
+    for (k, i), c in tf.items():
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
-        rows += [(k, t, n * idf[t] / norm) for t, n in c.items()]
-    return rows, idf, math.log(1 + len(tf)) + 1
+        rows += [(k, i, t, n * idf[t] / norm) for t, n in c.items()]
+    return rows, idf, math.log(1 + len(templates)) + 1
 
 
-def best_template(texts: DataFrame, text: str, least: float, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def best_template(texts: DataFrame, text: str, least: float, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """``text, licence, score`` of the distinct texts that reach ``least``; of equal scores the first name.
 
-    The templates' weights are a fixed table of some hundred rows, the only thing broadcast.
+    The templates' weights are a fixed table of some thousand rows, the only thing broadcast.
     """
     spark = texts.sparkSession
     rows, idf, other = weights(templates)
-    table = F.broadcast(spark.createDataFrame([(k, t, w, idf[t]) for k, t, w in rows], "licence string, t string, w double, idf double"))
+    table = F.broadcast(spark.createDataFrame(rows, "licence string, v int, t string, w double"))
     words = F.broadcast(spark.createDataFrame(sorted(idf.items()), "t string, idf double"))
     one = texts.select(text).distinct()
     tf = one.select(text, F.explode(_tokens(F.col(text))).alias("t")).groupBy(text, "t").agg(F.count(F.lit(1)).alias("n"))
     weighed = tf.join(words, "t", "left").select(text, "t", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("x"))
     norm = weighed.groupBy(text).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(table.drop("idf"), "t").groupBy(text, "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = weighed.join(table, "t").groupBy(text, "licence", "v").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(norm, text).select(text, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
     return scored.groupBy(text).agg(F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("licence"), F.max("score").alias("score"))
 
@@ -62,8 +105,8 @@ def best_template(texts: DataFrame, text: str, least: float, templates: dict[str
 def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
     """``id, path, licence, score, via`` of every file.
 
-    A file's own licence (via ``header``) is the best template of its header lines, the lines that HEADER finds,
-    by the cosine of TF-IDF vectors. Files named like LICENCE_FILE are compared whole too (via ``file``) and give their
+    A file's own licence (via ``header``) is the best template of its header lines, the lines that HEADER finds, and of
+    the paragraphs that hold one (to the next line without a letter or digit), by the cosine of TF-IDF vectors. Files named like LICENCE_FILE are compared whole too (via ``file``) and give their
     directory that licence. Files without one inherit from the nearest directory above (via the directory's path);
     else all three are null. Lines and directories are made distinct before anything is computed or joined for them.
 
@@ -72,9 +115,10 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     wins, then the first name.
     """
     f = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    f = f.withColumn("key", F.xxhash64("path", "text"))
+    f = f.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.length("path").cast("string"), F.lit("-")), F.coalesce("path", F.lit("")), "text")))
     is_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    lines = f.filter(F.col("text").rlike(HEADER)).select("key", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(HEADER)).distinct()
+    blocks = F.concat(F.split("text", "\n"), F.split("text", BLANK))
+    lines = f.filter(F.col("text").rlike(HEADER)).select("key", F.explode(blocks).alias("line")).filter(F.col("line").rlike(HEADER)).distinct()
     whole = f.filter(is_file).select("key", F.col("text").alias("line")).distinct()
     scored = best_template(lines.select("line").unionByName(whole.select("line")), "line", least)
     of = lambda x, via: x.join(scored, "line").select("key", "licence", "score", F.lit(via).alias("via"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import queries as q
-from .licenses import HEADER, LICENCE_FILE, TEMPLATES
+from .licenses import BLANK, HEADER, LICENCE_FILE, TEMPLATES
 
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
@@ -28,19 +28,19 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
     "op2_license_scan": f"""
-WITH tpl(licence, body) AS (VALUES {", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())}),
-tt AS (SELECT licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS t FROM tpl),
-tf AS (SELECT licence, t, count(*) AS n FROM tt GROUP BY ALL),
-idf AS (SELECT t, ln((1 + {len(TEMPLATES)}) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY t),
-tw AS (SELECT licence, t, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY licence)) AS w FROM tf JOIN idf USING (t)),
+WITH tpl(licence, v, body) AS (VALUES {", ".join(f"('{k}', {i}, '{t}')" for k, texts in TEMPLATES.items() for i, t in enumerate(texts))}),
+tt AS (SELECT licence, v, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS t FROM tpl),
+tf AS (SELECT licence, v, t, count(*) AS n FROM tt GROUP BY ALL),
+idf AS (SELECT t, ln((1 + {len(TEMPLATES)}) / (1.0 + count(DISTINCT licence))) + 1 AS idf FROM tf GROUP BY t),
+tw AS (SELECT licence, v, t, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY licence, v)) AS w FROM tf JOIN idf USING (t)),
 f AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(CASE WHEN length(text) <= 200 AND regexp_matches(text, '(?i)licen[cs]e') THEN source || CASE WHEN lang = 'en' THEN '' ELSE '/' || lang END || '/LICENSE' END,
   source || '/' || lang || '/' || doc_id || '.txt') AS path FROM documents),
-lines AS (SELECT DISTINCT doc_id, path, line, 'header' AS via FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM f) WHERE regexp_matches(line, '{HEADER}')
+lines AS (SELECT DISTINCT doc_id, path, line, 'header' AS via FROM (SELECT doc_id, path, unnest(string_split(text, chr(10)) || string_split_regex(text, '{BLANK}')) AS line FROM f) WHERE regexp_matches(line, '{HEADER}')
   UNION SELECT doc_id, path, text, 'file' FROM f WHERE regexp_matches(path, '{LICENCE_FILE}')),
 lt AS (SELECT line, t, count(*) AS n FROM (SELECT line, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS t FROM (SELECT DISTINCT line FROM lines)) GROUP BY ALL),
 lw AS (SELECT line, t, n * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS x FROM lt LEFT JOIN idf USING (t)),
 nm AS (SELECT line, sqrt(sum(x * x)) AS norm FROM lw GROUP BY line),
-sc AS (SELECT line, licence, round(sum(x * w) / any_value(norm), 6) AS score FROM lw JOIN tw USING (t) JOIN nm USING (line) GROUP BY ALL HAVING score >= 0.5),
+sc AS (SELECT line, licence, v, round(sum(x * w) / any_value(norm), 6) AS score FROM lw JOIN tw USING (t) JOIN nm USING (line) GROUP BY ALL HAVING score >= 0.5),
 own AS (SELECT doc_id, path, licence, score, via FROM lines JOIN sc USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, via, licence) = 1),
 g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS above, licence, score FROM own WHERE regexp_matches(path, '{LICENCE_FILE}') QUALIFY row_number() OVER (PARTITION BY above ORDER BY score DESC, licence) = 1)
 SELECT f.doc_id, f.path, coalesce(o.licence, g1.licence, g2.licence) AS licence, coalesce(o.score, g1.score, g2.score) AS score, CASE WHEN o.doc_id IS NOT NULL THEN o.via ELSE coalesce(g1.above, g2.above) END AS via

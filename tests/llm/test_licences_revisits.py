@@ -20,10 +20,42 @@ def cosine(text):
     x = {t: n * idf.get(t, other) for t, n in tf.items()}
     norm = math.sqrt(sum(v * v for v in x.values()))
     s = Counter()
-    for k, t, w in rows:
+    for k, i, t, w in rows:
         if t in x:
-            s[k] += x[t] * w / norm
-    return {k: round(v, 6) for k, v in s.items()}
+            s[k, i] += x[t] * w / norm
+    return {k: round(max(v for (of, _), v in s.items() if of == k), 6) for k in {k for k, _ in s}}
+
+
+def named(text):
+    return max(sorted(cosine(text).items()), key=lambda x: x[1])
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEXTS))
+def test_each_licence_is_itself(name):
+    for text in licenses.TEMPLATES[name]:
+        assert named(f"/* Copyright (c) 2020 Jane Roe */ {text}" if len(text) > 300 else text)[0] == name
+    assert named(f"# SPDX-License-Identifier: {name}") == (name, 1.0)
+
+
+def test_lines_of_the_tables():
+    for text, name in (
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the MIT License.", "MIT"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ):
+        got = named(text)
+        assert got[0] == name and got[1] > 0.5
+    for text in ("SPDX-License-Identifier: LicenseRef-mine", "You need a driving licence for this", "Copyright 2020 Jane Roe"):
+        assert named(text)[1] < 0.5
+
+
+def test_broken_notice(spark):
+    """A notice over several comment lines is compared as one block, below other code too."""
+    body = licenses.TEXTS["LGPL-3.0"][0].split()
+    lines = ["/*", " * Copyright 2020 Jane Roe", " *", *[" * " + " ".join(body[i : i + 9]) for i in range(0, len(body), 9)], " */", "", "int x;"]
+    mit = "MIT\n\nCopyright (c) 2020 Jane Roe\n\n" + licenses.TEXTS["MIT"][0]
+    files = [(1, "a/x.c", "\n".join(lines)), (2, "b/LICENSE", mit), (3, "b/c/y.c", "int y;")]
+    got = {r["doc_id"]: (r["licence"], r["via"]) for r in licenses.licence_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got[1] == ("LGPL-3.0", "header") and got[2][0] == "MIT" and got[3] == ("MIT", "b")
 
 
 def test_licences(spark):
