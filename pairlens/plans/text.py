@@ -9,13 +9,6 @@ from ..functions.scalars import six
 from .fixtures import table
 from .registry import query
 
-EN = "documents WHERE lang = 'en'"
-
-
-def english(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'")
-
-
 def low(*words: str) -> str:
     """(from, to) word rules in RE2, applied in turn."""
     out = "text"
@@ -28,11 +21,11 @@ FIXED = ("he", "they", "she", "they", "him", "them", "his", "their", "hers", "th
 UNIFORM = "regexp_replace(text, '\\b(himself|herself|hers|him|her|his|she|he)\\b', 'they', 'gi')"
 
 
-@query(f"SELECT doc_id, md5(lower({UNIFORM})) AS full_text, md5(lower({low('her', 'their', *FIXED)})) AS her_their, md5(lower({low('her', 'them', *FIXED)})) AS her_them, md5(lower(text)) AS plain FROM {EN}")
+@query(f"SELECT doc_id, md5(lower({UNIFORM})) AS full_text, md5(lower({low('her', 'their', *FIXED)})) AS her_their, md5(lower({low('her', 'them', *FIXED)})) AS her_them, md5(lower(text)) AS plain FROM documents")
 def f1_f3_f4_deidentify(spark, sf):
     t = F.col("text")
     v = lambda k: F.md5(T.deidentify(t, k))
-    return english(spark, sf).select("doc_id", v("full").alias("full_text"), v("gram_her_their").alias("her_their"), v("gram_her_them").alias("her_them"), v("none").alias("plain"))
+    return table(spark, sf, "documents").select("doc_id", v("full").alias("full_text"), v("gram_her_their").alias("her_their"), v("gram_her_them").alias("her_them"), v("none").alias("plain"))
 
 
 @query()
@@ -42,16 +35,16 @@ def f5_f6_next_word_rules(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.deidentify(t, "gram_pos")).alias("by_next"), F.md5(T.swap_pronouns(t, "feminine")).alias("feminine"), F.md5(T.swap_pronouns(t, "masculine")).alias("masculine"))
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\bthing\\b', 'the candidate', 'gi'), '\\bthe\\b', 'the candidate', 'gi')) AS names_only FROM {EN}")
+@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\bthing\\b', 'the candidate', 'gi'), '\\bthe\\b', 'the candidate', 'gi')) AS names_only FROM documents")
 def f2_replace_names(spark, sf):
     names = F.array(F.lit("the"), F.lit(" thing "), F.lit(""), F.lit("the"))
-    return english(spark, sf).select("doc_id", F.md5(T.deidentify(F.col("text"), "names_only", names, lowercase=False)).alias("names_only"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.deidentify(F.col("text"), "names_only", names, lowercase=False)).alias("names_only"))
 
 
-@query(f"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(he|him|his|himself)\\b')) AS m, len(regexp_extract_all(text, '(?i)\\b(she|her|hers|herself)\\b')) AS f FROM {EN})
+@query(f"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(he|him|his|himself)\\b')) AS m, len(regexp_extract_all(text, '(?i)\\b(she|her|hers|herself)\\b')) AS f FROM documents)
 SELECT doc_id, CASE WHEN m - f >= 2 THEN 'M' WHEN f - m >= 2 THEN 'F' END AS gender FROM c""")
 def f7_pronoun_gender(spark, sf):
-    return english(spark, sf).select("doc_id", T.pronoun_gender(F.col("text")).alias("gender"))
+    return table(spark, sf, "documents").select("doc_id", T.pronoun_gender(F.col("text")).alias("gender"))
 
 
 @query("""WITH t AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS c FROM documents)
@@ -61,10 +54,10 @@ def f11_f12_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.collapse(t)).alias("collapsed"), T.n_words(t).alias("words"), F.md5(T.cut_words(t, 30)).alias("first_30"))
 
 
-@query("""SELECT doc_id, (1 + (greatest(length(text) - 1, 0) // 1100))::INTEGER AS chunks, md5(substr(text, 1, 1200)) AS first_chunk, md5(substr(text, 1101, 1200)) AS second_chunk FROM documents""")
+@query("""SELECT doc_id, i::INTEGER AS chunk, md5(substr(text, 1100 * i + 1, 1200)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(1 + greatest(length(text) - 1, 0) // 1100)) AS i FROM documents)""")
 def f14_chunked(spark, sf):
-    c = table(spark, sf, "documents").select("doc_id", T.chunked(F.col("text")).alias("c"))
-    return c.select("doc_id", F.size("c").alias("chunks"), F.md5(F.get("c", 0)).alias("first_chunk"), F.md5(F.coalesce(F.get("c", 1), F.lit(""))).alias("second_chunk"))
+    c = table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunked(F.col("text"))).alias("chunk", "c"))
+    return c.select("doc_id", "chunk", F.md5("c").alias("chunk_md5"))
 
 
 @query("""SELECT doc_id, ((CASE WHEN 400 - 320 > 0 AND length(text) >= 0 THEN '…' ELSE '' END) || substr(text, 81, least(400 + 5 + 320, length(text)) - 80) || (CASE WHEN 725 < length(text) THEN '…' ELSE '' END)) AS window FROM documents WHERE length(text) > 400""")
@@ -93,13 +86,13 @@ def f10_span_edits(spark, sf):
 TOKENS = "list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Z][A-Za-z]+'), lambda p: lower(regexp_replace(p, '[^A-Za-z]', '', 'g'))), lambda p: length(p) > 1))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, {TOKENS} AS found FROM {EN}), r AS (SELECT doc_id, lang, found, list_filter(found, lambda x: length(x) > 4) AS long_ones, list_filter(found, lambda x: x[1] IN ('t', 'a')) AS listed FROM d)
+@query(f"""WITH d AS (SELECT doc_id, lang, {TOKENS} AS found FROM documents), r AS (SELECT doc_id, lang, found, list_filter(found, lambda x: length(x) > 4) AS long_ones, list_filter(found, lambda x: x[1] IN ('t', 'a')) AS listed FROM d)
 SELECT count(*) AS docs, sum(len(long_ones))::BIGINT AS long_tokens, sum(len(list_intersect(long_ones, listed)))::BIGINT AS both, round(sum(len(list_intersect(long_ones, listed))) / sum(len(long_ones)), 6) AS recall, round(sum(len(list_intersect(long_ones, listed))) / sum(len(listed)), 6) AS precision,
 round(avg(CASE WHEN len(found) > 0 THEN len(list_intersect(long_ones, listed)) / len(list_distinct(list_concat(long_ones, listed, ['zz']))) END), 6) AS jaccard FROM r""")
 def f13_f15_u5_z16_z17_coverage(spark, sf):
     """Two name detectors against each other: token sets, recall, precision, overlap."""
     found = T.name_tokens(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z]+"), F.lit(0)))
-    d = english(spark, sf).select("doc_id", found.alias("found"))
+    d = table(spark, sf, "documents").select("doc_id", found.alias("found"))
     r = d.select("found", F.filter("found", lambda x: F.length(x) > 4).alias("long_ones"), F.filter("found", lambda x: F.substring(x, 1, 1).isin("t", "a")).alias("listed"))
     r = r.withColumn("both", F.size(F.array_intersect("long_ones", "listed"))).withColumn("any", F.size(F.array_union(F.array_union("long_ones", "listed"), F.array(F.lit("zz")))))
     return r.agg(
@@ -108,18 +101,18 @@ def f13_f15_u5_z16_z17_coverage(spark, sf):
     )
 
 
-@query(f"""WITH t AS (SELECT unnest({TOKENS}) AS token FROM {EN}) SELECT token, count(*) AS docs FROM t GROUP BY token ORDER BY docs DESC, token LIMIT 40""")
+@query(f"""WITH t AS (SELECT unnest({TOKENS}) AS token FROM documents) SELECT token, count(*) AS docs FROM t GROUP BY token ORDER BY docs DESC, token LIMIT 40""")
 def t3_most_common_tokens(spark, sf):
     found = T.name_tokens(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z]+"), F.lit(0)))
-    return english(spark, sf).select(F.explode(found).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "token").limit(40)
+    return table(spark, sf, "documents").select(F.explode(found).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "token").limit(40)
 
 
-@query(f"""WITH v AS (SELECT doc_id, source, unnest(['none', 'full', 'gram']) AS variant, unnest([lower(text), lower({UNIFORM}), lower({low('her', 'their', *FIXED)})]) AS t, lower(text) AS base FROM {EN})
+@query(f"""WITH v AS (SELECT doc_id, source, unnest(['none', 'full', 'gram']) AS variant, unnest([lower(text), lower({UNIFORM}), lower({low('her', 'their', *FIXED)})]) AS t, lower(text) AS base FROM documents)
 SELECT variant, count(*) AS docs, round(100.0 * count(*) FILTER (t = base) / count(*), 6) AS pct_identical, count(DISTINCT md5(t)) AS distinct_texts, sum(length(t) - length(base))::BIGINT AS grown FROM v GROUP BY variant""")
 def z12_a28_deid_effect(spark, sf):
     t = F.col("text")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), T.deidentify(t, k).alias("t")) for n, k in (("none", "none"), ("full", "full"), ("gram", "gram_her_their"))])).alias("v")
-    v = english(spark, sf).select("doc_id", F.lower("text").alias("base"), each).select("doc_id", "base", "v.*")
+    v = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("base"), each).select("doc_id", "base", "v.*")
     return v.groupBy("variant").agg(
         F.count(F.lit(1)).alias("docs"), six(100.0 * F.count_if(F.col("t") == F.col("base")) / F.count(F.lit(1))).alias("pct_identical"), F.count_distinct(F.md5("t")).alias("distinct_texts"),
         F.sum((F.length("t") - F.length("base")).cast("long")).alias("grown"),
