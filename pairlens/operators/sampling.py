@@ -38,10 +38,13 @@ def per_stratum(df: DataFrame, n: int, seed: str, key: str, *by: str) -> DataFra
 
 
 def filled_pools(queries: DataFrame, members: DataFrame, size: int, on: int, seed: str) -> DataFrame:
-    """Pools of ``size``: up to ``on`` members of the query's category, the rest from the others, no member twice."""
+    """Pools of ``size``: up to ``on`` members of the query's category, the rest from the others, no member twice.
+
+    The queries are a stated, small set; members are read once against them and cut to the pool's size before the shuffle.
+    """
     m = members.crossJoin(F.broadcast(queries)).withColumn("on_category", F.col("category") == F.col("query_category"))
     w = Window.partitionBy("query", "on_category").orderBy(hash_order(seed, F.col("query"), F.col("member")), "member")
-    r = m.withColumn("r", F.row_number().over(w))
+    r = m.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size)  # so each task sends ``size`` rows of a window at most
     n_on = F.least(F.max(F.when(F.col("on_category"), F.col("r")).otherwise(0)).over(Window.partitionBy("query")), F.lit(on))
     r = r.withColumn("n_on", n_on)
     return r.filter((F.col("on_category") & (F.col("r") <= on)) | (~F.col("on_category") & (F.col("r") <= size - F.col("n_on")))).select("query", "member", "on_category")

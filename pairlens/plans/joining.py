@@ -206,13 +206,13 @@ def g3_g4_g7_stratified_sample(spark, sf):
     return sampling.per_stratum(o, 8, "draw", "key", "stratum")
 
 
-@query(f"""WITH q AS (SELECT DISTINCT source AS query, lang AS qc FROM documents WHERE source IN ('src1', 'src2', 'src3')), m AS (SELECT query, doc_id AS member, lang = qc AS on_category FROM documents, q),
+@query(f"""WITH q AS (SELECT DISTINCT source AS query, lang AS qc FROM documents), m AS (SELECT query, doc_id AS member, lang = qc AS on_category FROM documents, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query, qc, on_category ORDER BY {H.format("'pool|' || query || '|' || member")}, member) AS r FROM (SELECT query || '-' || qc AS query, qc, member, on_category FROM (SELECT query, qc, doc_id AS member, lang = qc AS on_category FROM documents, q))),
 n AS (SELECT *, least(max(CASE WHEN on_category THEN r ELSE 0 END) OVER (PARTITION BY query), 5) AS n_on FROM r)
 SELECT query, member, on_category FROM n WHERE (on_category AND r <= 5) OR (NOT on_category AND r <= 20 - n_on)""")
 def g2_filled_pools(spark, sf):
     d = table(spark, sf, "documents")
-    q = d.filter(F.col("source").isin("src1", "src2", "src3")).select(F.concat_ws("-", "source", "lang").alias("query"), F.col("lang").alias("query_category")).distinct()
+    q = d.select(F.concat_ws("-", "source", "lang").alias("query"), F.col("lang").alias("query_category")).distinct()
     m = d.select(F.col("doc_id").alias("member"), F.col("lang").alias("category"))
     return sampling.filled_pools(q, m, 20, 5, "pool")
 

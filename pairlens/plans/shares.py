@@ -16,7 +16,7 @@ def rounded(df, *cols):
     return df.select([six(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-DRAWS = 200
+DRAWS = 1000
 
 
 def interval_sql(key: str, stratum: str, table: str, draws: int, seed: str, by: str) -> str:
