@@ -80,3 +80,16 @@ def bf16(x: pd.Series) -> pd.Series:
 def decimal(x: Column) -> Column:
     """The shortest decimal of a double, exactly; means of these tie where the written numbers do."""
     return x.cast("string").cast("decimal(38,18)")
+
+
+def construction(mode: Column, in_window: Column) -> Column:
+    """How a pair of texts was built; an unknown mode is an error, not a group of its own."""
+    swap = F.when(in_window, "swap_in_window").otherwise("swap_truncated")
+    return F.when(mode == "inject", "prepended").when(mode == "swap", swap).otherwise(F.raise_error(F.concat(F.lit("unknown construction mode "), F.coalesce(mode, F.lit("null")))))
+
+
+def drop_reason(title: Column, pct: Column) -> Column:
+    """Why a label was dropped; one that no rule explains is an error rather than a guess."""
+    unclear = ((pct >= 30) & (pct < 40)) | ((pct > 60) & (pct <= 70))
+    said = F.raise_error(F.concat(F.lit("no reason to drop a label with a share of "), pct.cast("string")))
+    return F.when(F.coalesce(F.trim(title), F.lit("")) == "", "no title").when(pct.isNull(), "suppressed").when(unclear, "ambiguous share").otherwise(said)

@@ -139,3 +139,44 @@ def occupancy(counts: DataFrame, value: str, *by: str) -> DataFrame:
     w = Window.partitionBy(*by)
     p = counts.withColumn("p", F.col(value) / F.sum(value).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("p"))))
     return p.groupBy(*by).agg((1.0 / F.sum(F.col("p") * F.col("p"))).alias("effective"), F.sum(F.when(F.col("r") <= 3, F.col("p"))).alias("top3"), F.count(F.lit(1)).alias("holders"))
+
+
+def headline(pairs: DataFrame, *by: str) -> DataFrame:
+    """The figures an audit opens with, of pairs whose category is not dropped: sizes, shares, contrast, ties, and the scores' number and range.
+
+    Distinct scores are counted over both sides of the pairs, in a step of their own.
+    """
+    kept = pairs.filter(F.col("category") != "drop")
+    half = half_wins(F.col("a"), F.col("b"))
+    in_ = lambda k, x: F.sum(F.when(F.col("category") == k, x))
+    n = lambda k: F.count_if(F.col("category") == k)
+    g = kept.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), n("a").alias("n_a"), n("b").alias("n_b"), n("neutral").alias("n_neutral"), share(F.sum(half), F.count(F.lit(1))).alias("share_a"),
+        (F.try_divide(50.0 * in_("a", half), n("a")) - F.try_divide(50.0 * in_("b", half), n("b"))).alias("contrast"), (100.0 * F.count_if(F.col("a") == F.col("b")) / F.count(F.lit(1))).alias("pct_tie"),
+        F.min(F.least("a", "b")).alias("least"), F.max(F.greatest("a", "b")).alias("most"), F.avg(F.abs("d")).alias("mean_gap"),
+    )
+    scores = kept.select(*by, F.explode(F.array("a", "b")).alias("x")).groupBy(*by).agg(F.count_distinct("x").alias("distinct_scores"))
+    return g.join(scores, list(by))
+
+
+def construction_stats(pairs: DataFrame, built: str, *by: str) -> DataFrame:
+    """n, ties, share and mean gap by how a pair was built, and how many times the group's mean gap all of ``by`` have."""
+    sums = pairs.groupBy(*by, built).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_ties"), F.sum(half_wins(F.col("a"), F.col("b"))).alias("half"), F.sum(F.abs("d")).alias("gap"),
+    )
+    whole = sums.groupBy(*by).agg((F.sum("gap") / F.sum("n")).alias("all_gap"))
+    gap = F.col("gap") / F.col("n")
+    return sums.join(whole, list(by)).select(*by, built, "n", "n_ties", share(F.col("half"), F.col("n")).alias("share_a"), gap.alias("mean_gap"), F.try_divide("all_gap", gap).alias("ratio"))
+
+
+def set_statistics(models: DataFrame, model: str, before: str, after: str, variants: dict[str, list]) -> DataFrame:
+    """Medians and counts over the models, for each variant without the models it names. ``models`` has one row a model."""
+    out = None
+    for name, without in variants.items():
+        kept = models.filter(~F.col(model).isin(without)) if without else models
+        one = kept.agg(
+            F.count(F.lit(1)).alias("models"), F.median(before).alias("median_before"), F.median(after).alias("median_after"),
+            F.count_if(F.col(after) > F.col(before)).alias("n_above"), F.median(F.col(after) - F.col(before)).alias("median_change"),
+        ).select(F.lit(name).alias("variant"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -225,3 +225,17 @@ def test_flips_and_every_nth_without_all_pairs_or_a_whole_table_in_one_task(spar
         assert (x["n"], x["only_original"], x["only_other"], x["both_in"]) == (60, ins.count((True, False)), ins.count((False, True)), ins.count((True, True)))
     nth = sampling.every_nth(spark.range(1000), 9, 5, ["id"])
     assert "Limit" in nth._jdf.queryExecution().optimizedPlan().toString() and sorted(r[0] for r in nth.collect()) == [0, 9, 18, 27, 36]
+
+
+def test_unexplained_rows_are_errors(spark):
+    from pairlens.functions.scalars import construction, drop_reason
+
+    df = spark.createDataFrame([("inject", None, " ", None), ("swap", True, "x", None), ("swap", False, "x", 30), ("swap", None, "x", 70)], "mode string, inside boolean, title string, pct int")
+    got = df.select(construction(F.col("mode"), F.col("inside")).alias("c"), drop_reason(F.col("title"), F.col("pct")).alias("r")).collect()
+    assert [r["c"] for r in got] == ["prepended", "swap_in_window", "swap_truncated", "swap_truncated"]
+    assert [r["r"] for r in got] == ["no title", "suppressed", "ambiguous share", "ambiguous share"]
+    for pct in (40, 60, 20):
+        with pytest.raises(Exception, match="no reason"):
+            spark.createDataFrame([("x", pct)], "t string, p int").select(drop_reason(F.col("t"), F.col("p"))).collect()
+    with pytest.raises(Exception, match="unknown construction"):
+        spark.createDataFrame([("other",)], "m string").select(construction(F.col("m"), F.lit(True))).collect()
