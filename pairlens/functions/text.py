@@ -153,3 +153,14 @@ def strip_html(html: Column) -> Column:
     for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(c))
     return collapse(text)
+
+
+def differs_in_window(a: Column, b: Column, n: int) -> Column:
+    """Do two forms of a text differ in the characters that a scorer reads?"""
+    return ~F.substring(a, 1, n).eqNullSafe(F.substring(b, 1, n))
+
+
+def variant_and_case(condition: Column) -> Column:
+    """The text variant of a condition and whether it lower-cases: only ``lowercase_only`` does, and changes nothing else."""
+    folded = condition == "lowercase_only"
+    return F.struct(F.when(folded, "none").otherwise(condition).alias("variant"), folded.alias("lowercase"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import pronoun_gender
+
 
 class Violation(ValueError):
     """An integrity constraint does not hold."""
@@ -86,3 +88,17 @@ def within_pairs(df: DataFrame, cell: list[str], item: str, *values: str) -> Dat
 def scored_once(requests: DataFrame, key: list[str], score) -> DataFrame:
     """Score each distinct key once and give the score to every request."""
     return requests.join(score(requests.select(*key).distinct()), key)
+
+
+def carried_gender(docs: DataFrame, names: DataFrame, key: str, spans: Column, text: Column) -> DataFrame:
+    """What gender a text shows: that of the first token of its names that ``names`` (name, gender) knows, else that of its pronouns.
+
+    ``key, carried, gender, source``; all null where there is no sign. The tokens are joined, so the name table
+    may be of any size; of a document one row leaves the tasks.
+    """
+    tokens = docs.select(F.col(key), F.posexplode(F.split(F.array_join(spans, " "), r"\s+")).alias("at", "token"))
+    known = tokens.withColumn("name", F.lower(F.regexp_replace("token", "[^A-Za-z']", ""))).join(names.select("name", "gender"), "name")
+    first = known.groupBy(key).agg(F.min_by(F.struct("token", "gender"), "at").alias("got"))
+    shown = docs.select(F.col(key), pronoun_gender(text).alias("by_pronoun")).join(first, key, "left")
+    named = F.col("got").isNotNull()
+    return shown.select(key, F.col("got.token").alias("carried"), F.coalesce("got.gender", "by_pronoun").alias("gender"), F.when(named, "name").when(F.col("by_pronoun").isNotNull(), "pronoun").alias("source"))

@@ -108,3 +108,15 @@ def rank_metrics(rows: DataFrame, by: str = "pool", score: str = "score", releva
 def first_of(df: DataFrame, n: int, order: list[Column], *by: str) -> DataFrame:
     """The first n rows of each group in an explicit order."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
+
+
+def insertion_order_shortlists(pool: DataFrame, order: str, retrieve: int, depths: list[int], by: str = "pool", first: str = "first_score", second: str = "score", marked: str = "marked") -> DataFrame:
+    """A diagnostic: what shortlists hold when ties go to whoever was inserted first, re-ranking a retrieved list and all members.
+
+    In the re-ranking of a retrieved list its own order breaks ties.
+    """
+    w = Window.partitionBy(by)
+    r = pool.withColumn("got", F.row_number().over(w.orderBy(F.desc(first), order))).withColumn("alone", F.row_number().over(w.orderBy(F.desc(second), order)))
+    r = r.withColumn("kept", F.row_number().over(w.orderBy(F.col("got") > retrieve, F.desc(second), "got")))
+    top = [x for k in depths for x in (F.count_if((F.col("kept") <= k) & (F.col("got") <= retrieve) & F.col(marked)).alias(f"pipe_top{k}"), F.count_if((F.col("alone") <= k) & F.col(marked)).alias(f"alone_top{k}"))]
+    return r.groupBy(by).agg(*top)

@@ -53,3 +53,17 @@ def duplicates(prints: DataFrame, name: str) -> DataFrame:
 def scale_match(stats: DataFrame) -> Column:
     """Are two runs on one scale: slope near 1, correlation high, medians close."""
     return F.col("slope").between(0.8, 1.25) & (F.col("r") >= 0.9) & (F.abs("median_shift") <= 0.1 * F.col("range"))
+
+
+def canary(scores: DataFrame, score: str, documents: str, *by: str) -> DataFrame:
+    """Is a trial run fit to go on: a score for each document, all finite, and not all one value? Null scores count as missing."""
+    x = F.col(score)
+    finite = F.coalesce(F.bool_and(~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(True))
+    g = scores.groupBy(*by).agg(F.count(x).alias("n_scores"), F.count_distinct(documents).alias("n_docs"), finite.alias("finite"), F.count_distinct(score).alias("n_distinct"))
+    return g.withColumn("passed", (F.col("n_scores") == F.col("n_docs")) & F.col("finite") & (F.col("n_distinct") > 1))
+
+
+def changed_labels(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
+    """Keys whose label differs, a key of one side alone included: ``key, old_label, new_label``."""
+    both = old.select(key, F.col(label).alias("old_label")).join(new.select(key, F.col(label).alias("new_label")), key, "full_outer")
+    return both.filter(~F.col("old_label").eqNullSafe(F.col("new_label")))

@@ -82,3 +82,31 @@ def permuted(items: DataFrame, key: str, draws: int, seed: str, *by: str) -> Dat
     spark = items.sparkSession
     rows = items.select(*by, key).distinct().crossJoin(spark.range(draws).select(F.col("id").alias("b")))
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by, "b").orderBy(hash_int(seed, F.col("b"), F.col(key)), key)))
+
+
+def cutoff_contrasts(sums: DataFrame, key: str, draws: int, seed: str, cut: str) -> DataFrame:
+    """By cut: category a's share minus b's with its interval, clusters resampled within cut and category.
+
+    ``sums`` has a row a cut and cluster: its category under that cut, ``half`` and ``n``. A cut without clusters of
+    both categories has no contrast.
+    """
+    typed = sums.filter(F.col("category").isin("a", "b")).withColumn("stratum", F.concat_ws("/", F.col(cut).cast("string"), "category"))
+    of = lambda k, x: F.sum(F.when(F.col("category") == k, x))
+    gap = lambda t: 50.0 * of("a", t * F.col("half")) / of("a", t * F.col("n")) - 50.0 * of("b", t * F.col("half")) / of("b", t * F.col("n"))
+    drawn = weights(typed, key, draws, seed, "stratum").join(typed, ["stratum", key]).groupBy(cut, "b").agg(gap(F.col("times")).alias("value"))
+    found = interval(drawn, "value", cut).select(cut, "low", "high", (F.col("low") > 0).alias("above_zero"), (F.col("high") < 0).alias("below_zero"))
+    return typed.groupBy(cut).agg(gap(F.lit(1)).alias("contrast")).join(found, cut)
+
+
+def mean_change(rows: DataFrame, unit: str, before: str, after: str, draws: int, seed: str, *by: str, slack: float = 1e-12) -> DataFrame:
+    """Levels before and after, and the mean over units of the units' mean change with an interval that resamples the units.
+
+    ``up`` and ``down`` count rows that change by more than ``slack``. Only sums by unit are resampled.
+    """
+    d = F.col(after) - F.col(before)
+    s = rows.groupBy(*by, unit).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(before).alias("x"), F.sum(after).alias("y"), F.avg(d).alias("d"), F.count_if(d > slack).alias("up"), F.count_if(d < -slack).alias("down"), F.lit(1).alias("one"),
+    )
+    level = s.groupBy(*by).agg((F.sum("x") / F.sum("n")).alias("before"), (F.sum("y") / F.sum("n")).alias("after"), F.sum("up").alias("up"), F.sum("down").alias("down"))
+    change = ratio_bootstrap(s, "d", "one", unit, draws, seed, *by).select(*by, F.col("point").alias("change"), "low", "high")
+    return level.join(change, list(by)) if by else level.crossJoin(change)

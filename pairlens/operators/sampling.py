@@ -54,3 +54,15 @@ def every_nth(df: DataFrame, step: int, most: int, order: list[str]) -> DataFram
     first = df.orderBy(*order).limit(step * most)  # no later row is taken, so only these are numbered in one task
     r = first.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
     return r.filter((F.col("i") % step == 0) & (F.col("i") < step * most)).drop("i")
+
+
+def handcheck(items: DataFrame, document: str, strata: list[str], each: int, rounds: int, seed: str, *parts: str) -> DataFrame:
+    """Rounds of cases for checking by hand: ``each`` of every stratum a round, and no document twice in any round.
+
+    Of a document's items one can be drawn, the first by hash over document, strata and ``parts``; within a stratum the documents' hashes
+    say which round takes them, so that rounds never need each other's results. Only the first cases of a stratum are kept.
+    """
+    order = hash_int(seed, *[F.col(c) for c in (document, *strata, *parts)])
+    one = items.groupBy(document).agg(F.min_by(F.struct(*strata, *parts), F.struct(order, *strata, *parts)).alias("x"), F.min(order).alias("h")).select(document, "x.*", "h")
+    at = one.withColumn("at", F.row_number().over(Window.partitionBy(*strata).orderBy("h", document)) - 1).filter(F.col("at") < each * rounds)
+    return at.select(document, *strata, *parts, (F.floor(F.col("at") / each) + 1).cast("int").alias("round"))

@@ -180,3 +180,29 @@ def set_statistics(models: DataFrame, model: str, before: str, after: str, varia
         ).select(F.lit(name).alias("variant"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def indeterminate(intervals: DataFrame, models: DataFrame, model: str) -> DataFrame:
+    """How many models' closed interval holds 50, over all of ``models``; one without an interval is an error, not left out."""
+    said = F.raise_error(F.concat(F.lit("no interval for "), F.col(model).cast("string")))
+    all_ = models.select(model).distinct().join(intervals, model, "left").withColumn("holds", F.when(F.col("low").isNull() | F.col("high").isNull(), said.cast("boolean")).otherwise(F.lit(50.0).between(F.col("low"), F.col("high"))))
+    return all_.agg(F.count(F.lit(1)).alias("models"), F.count_if("holds").alias("indeterminate"))
+
+
+def residue(identical: Column, win: Column, tie: Column, loss: Column) -> dict[str, Column]:
+    """Percentages among the pairs that are still different, from those of all pairs; null where none is.
+
+    Pairs of identical text are ties; the other ties are between different texts.
+    """
+    left = F.nullif(100.0 - identical, F.lit(0.0))
+    ties = F.greatest(tie - identical, F.lit(0.0))
+    of = lambda x: F.try_divide(100.0 * x, left)
+    return {"pct_of_pairs": 100.0 - identical, "pct_a": of(win), "pct_tie": of(ties), "pct_b": of(loss), "share_a": of(win + 0.5 * ties)}
+
+
+def slates(ranked: DataFrame, depths: list[int], marked: str, *by: str, rank: str = "rank") -> DataFrame:
+    """By group, and over all (``by`` null): the percentage of marked members in the first places, as ratios of sums, and among all members."""
+    top = [x for k in depths for x in (F.count_if((F.col(rank) <= k) & F.col(marked)).alias(f"m{k}"), F.count_if(F.col(rank) <= k).alias(f"n{k}"))]
+    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(marked).alias("m"), *top)
+    pct = lambda x, y: F.try_divide(100.0 * F.sum(x), F.sum(y))
+    return sums.rollup(*by).agg(F.sum("n").alias("members"), pct("m", "n").alias("pct_all"), *[pct(f"m{k}", f"n{k}").alias(f"pct_top{k}") for k in depths])

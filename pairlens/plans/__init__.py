@@ -1,6 +1,6 @@
 """Every query of the library on the provided tables."""
 
-from . import joining, plugged, ranking, reports, shares, streams, text  # noqa: F401
+from . import design, joining, plugged, ranking, reports, shares, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

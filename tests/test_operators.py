@@ -3,13 +3,14 @@
 import gzip
 import json
 import math
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairlens.functions import scalars
 from pairlens.functions import text as T
-from pairlens.operators import joins, ranking, reconcile, resample, shares, tests
+from pairlens.operators import joins, ranking, reconcile, resample, sampling, shares, tests
 from pairlens.sinks import render, writers
 from pairlens.sources import readers
 from pairlens.streaming import budget
@@ -239,3 +240,51 @@ def test_unexplained_rows_are_errors(spark):
             spark.createDataFrame([("x", pct)], "t string, p int").select(drop_reason(F.col("t"), F.col("p"))).collect()
     with pytest.raises(Exception, match="unknown construction"):
         spark.createDataFrame([("other",)], "m string").select(construction(F.col("m"), F.lit(True))).collect()
+
+
+def test_name_tables_of_every_layout(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "names.zip", "w") as z:
+        z.writestr("yob1990.txt", "Ann,F,300\nBob,M,150\nKim,F,100\n")
+        z.writestr("in/yob1991.txt", "Bob,M,90\nKim,M,100\nbad line\n")
+        z.writestr("readme.txt", "Zed,M,900\n")
+    (tmp_path / "plain.txt").write_text("Ann,F,300\nBob,M,240\nKim,F,100\nKim,M,100\n")
+    (tmp_path / "sex.csv").write_text("First_Name,Sex,births\n Ann ,female,300\nBob,m,240\nKim,F,100\nKim,M,100\nX,?,900\n")
+    (tmp_path / "share.csv").write_text("name,pct_female,count\nann,100,300\nBOB,0,240\nKim,50,200\nX,y,900\n")
+    for f in ("names.zip", "plain.txt", "sex.csv", "share.csv"):
+        got = readers.name_genders(spark, str(tmp_path / f)).orderBy("name").collect()
+        assert [tuple(r) for r in got] == [("ann", "F", 1.0, 300), ("bob", "M", 1.0, 240)], f
+    small, none = str(tmp_path / "plain.txt"), str(tmp_path / "none")
+    (tmp_path / "large").write_text("x" * 5000)
+    assert readers.first_existing(spark, "x", none, small, str(tmp_path / "large")).endswith("large")
+    assert readers.first_existing(spark, "x", none, small) == small
+    with pytest.raises(FileNotFoundError, match="names: nothing"):
+        readers.first_existing(spark, "names", none)
+
+
+def test_canary_and_intervals_are_strict(spark):
+    rows = [("ok", 1, 0.5), ("ok", 2, 0.25), ("one", 1, 0.5), ("one", 2, 0.5), ("nan", 1, 0.5), ("nan", 2, float("nan")), ("inf", 1, 0.1), ("inf", 2, float("-inf")), ("gap", 1, 0.1), ("gap", 2, None), ("gap", 3, 0.2)]
+    got = {r["g"]: (r["finite"], r["passed"]) for r in reconcile.canary(spark.createDataFrame(rows, "g string, d int, s double"), "s", "d", "g").collect()}
+    assert got == {"ok": (True, True), "one": (True, False), "nan": (False, False), "inf": (False, False), "gap": (True, False)}
+    i = spark.createDataFrame([("a", 40.0, 50.0), ("b", 51.0, 60.0)], "model string, low double, high double")
+    assert tuple(shares.indeterminate(i, i, "model").first()) == (2, 1)
+    with pytest.raises(Exception, match="no interval for c"):
+        shares.indeterminate(i, i.select("model").union(spark.createDataFrame([("c",)], "model string")), "model").collect()
+    old, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, l string"), spark.createDataFrame([(1, "a"), (3, "a"), (4, "b")], "k int, l string")
+    assert sorted(tuple(r) for r in reconcile.changed_labels(old, new, "k", "l").collect()) == [(2, "b", None), (3, None, "a"), (4, None, "b")]
+
+
+def test_carried_gender_of_hard_texts(spark):
+    names = spark.createDataFrame([("ann", "F"), ("o'neil", "M"), ("he", "M")], "name string, gender string")
+    rows = [(1, ["Bo Ann.", "O'Neil"], "he he him"), (2, [], "She said her name"), (3, None, None), (4, ["Zed"], ""), (5, ["(O'NEIL)"], "x"), (6, ["  "], "he")]
+    d = spark.createDataFrame(rows, "id int, spans array<string>, text string")
+    got = {r["id"]: tuple(r)[1:] for r in joins.carried_gender(d, names, "id", F.col("spans"), F.col("text")).collect()}
+    assert got == {1: ("Ann.", "F", "name"), 2: (None, "F", "pronoun"), 3: (None, None, None), 4: (None, None, None), 5: ("(O'NEIL)", "M", "name"), 6: (None, None, None)}
+
+
+def test_handcheck_takes_no_document_twice(spark):
+    items = spark.range(400).select(F.expr("id % 90 as doc"), F.expr("if(id % 3 = 0, 'x', 'y') as kind"), F.expr("id % 2 as ref"), F.col("id").alias("start"))
+    got = sampling.handcheck(items, "doc", ["kind", "ref"], 4, 3, "s", "start").collect()
+    docs = [r["doc"] for r in got]
+    assert len(docs) == len(set(docs)) and {r["round"] for r in got} == {1, 2, 3}
+    per = [(r["kind"], r["ref"], r["round"]) for r in got]
+    assert max(per.count(p) for p in per) == 4
