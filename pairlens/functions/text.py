@@ -164,3 +164,13 @@ def variant_and_case(condition: Column) -> Column:
     """The text variant of a condition and whether it lower-cases: only ``lowercase_only`` does, and changes nothing else."""
     folded = condition == "lowercase_only"
     return F.struct(F.when(folded, "none").otherwise(condition).alias("variant"), folded.alias("lowercase"))
+
+
+def title_of(text: Column, name: Column, surname: Column) -> Column:
+    """A text that begins with a given name and a surname, if there is one."""
+    return F.concat_ws(" ", F.initcap(name), F.when(surname != "", surname), text)
+
+
+def match_case(like: Column, word: Column) -> Column:
+    """``word`` in capitals, or with one at its start, as ``like`` is written."""
+    return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(word)).when(F.substring(like, 1, 1) == F.upper(F.substring(like, 1, 1)), F.initcap(word)).otherwise(word)

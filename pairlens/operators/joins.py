@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import pronoun_gender
+from ..functions.scalars import pick
+from ..functions.text import match_case, pronoun_gender, swap_pronouns, title_of
 
 
 class Violation(ValueError):
@@ -102,3 +103,30 @@ def carried_gender(docs: DataFrame, names: DataFrame, key: str, spans: Column, t
     shown = docs.select(F.col(key), pronoun_gender(text).alias("by_pronoun")).join(first, key, "left")
     named = F.col("got").isNotNull()
     return shown.select(key, F.col("got.token").alias("carried"), F.coalesce("got.gender", "by_pronoun").alias("gender"), F.when(named, "name").when(F.col("by_pronoun").isNotNull(), "pronoun").alias("source"))
+
+
+def forms(docs: DataFrame, names: DataFrame, surnames: list[str], seed: str, mode: str = "auto", most_names: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A masculine and a feminine form of each document that differ in gender markers alone.
+
+    ``docs`` has ``carried`` and ``gender`` of ``carried_gender``; ``names`` has ``name, gender, count, twin``. ``swap``: the text
+    and its swapped twin, where it shows a gender and the swap changes it. ``inject``: a name before the text,
+    drawn by hash from the ``most_names`` most frequent masculine ones that have a twin, the text's pronouns set to agree.
+    ``auto``: swap where possible, else inject. With ``swap``, documents without a pair have null forms and mode.
+    """
+    low = F.lower(F.regexp_replace("carried", "[^A-Za-z']", ""))
+    d = docs.withColumn("__low", low).join(names.select(F.col("name").alias("__low"), F.col("twin").alias("__twin")), "__low", "left")
+    feminine, masculine = swap_pronouns(F.col(text), "feminine"), swap_pronouns(F.col(text), "masculine")
+    given = match_case(F.col("carried"), F.col("__twin"))
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.col("carried"), F.lit(r"\E\b"))
+    renamed = lambda t: F.when(F.col("__twin").isNotNull(), F.regexp_replace(t, quoted, given)).otherwise(t)
+    other = F.when(F.col("gender") == "M", renamed(feminine)).when(F.col("gender") == "F", renamed(masculine))
+    d = d.withColumn("__other", other if mode != "inject" else F.lit(None).cast("string"))
+    swapped = F.col("__other").isNotNull() & (F.col("__other") != F.col(text))
+    best = names.filter((F.col("gender") == "M") & F.col("twin").isNotNull()).orderBy(F.desc("count"), "name").limit(most_names)
+    pool = best.agg(F.sort_array(F.collect_list(F.struct("name", "twin"))).alias("__pool"))  # of most_names entries
+    d = d.crossJoin(F.broadcast(pool))
+    drawn = F.when(F.size("__pool") > 0, F.element_at("__pool", (pick(F.greatest(F.size("__pool"), F.lit(1)), seed, F.col(key)) + 1).cast("int")))
+    sur = F.element_at(F.array(*map(F.lit, surnames or [""])), (pick(len(surnames) or 1, seed, "surname", F.col(key)) + 1).cast("int"))
+    d = d.withColumn("mode", F.when(swapped, "swap").when(F.lit(mode != "swap") & drawn.isNotNull(), "inject")).withColumn("__n", drawn)
+    pair = lambda kept, name, body: F.when(F.col("mode") == "swap", F.when(F.col("gender") == kept, F.col(text)).otherwise(F.col("__other"))).when(F.col("mode") == "inject", title_of(body, F.col(f"__n.{name}"), sur))
+    return d.select(key, "mode", pair("M", "name", masculine).alias("male_text"), pair("F", "twin", feminine).alias("female_text"))

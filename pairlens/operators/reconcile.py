@@ -67,3 +67,30 @@ def changed_labels(old: DataFrame, new: DataFrame, key: str, label: str) -> Data
     """Keys whose label differs, a key of one side alone included: ``key, old_label, new_label``."""
     both = old.select(key, F.col(label).alias("old_label")).join(new.select(key, F.col(label).alias("new_label")), key, "full_outer")
     return both.filter(~F.col("old_label").eqNullSafe(F.col("new_label")))
+
+
+def completed(design: DataFrame, records: DataFrame, model: str, query: str, at: str, server: str) -> DataFrame:
+    """By model: has it exactly the design's queries, since when and until when were they scored, and by which servers?"""
+    d = design.select(model, query).distinct().withColumn("wanted", F.lit(True))
+    r = records.groupBy(model, query).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("x"), F.max(at).alias("y"), F.collect_set(server).alias("s"))
+    both = d.join(r, [model, query], "full_outer")
+    return both.groupBy(model).agg(
+        F.count("wanted").alias("wanted"), F.count("n").alias("done"), F.bool_and(F.col("wanted").isNotNull() & F.col("n").isNotNull()).alias("complete"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
+        F.min("x").alias("scored_from"), F.max("y").alias("scored_to"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))), ",").alias("served_by"),
+    )
+
+
+def check_status(status: Column, baseline: Column, *measured: Column) -> list[Column]:
+    """Status of a repeat run's check, and its measurements: a run without banked scores only met itself, so it measured nothing.
+
+    A status that is there already stays, with its measurements.
+    """
+    banked = F.coalesce(baseline.startswith("banked"), F.lit(False))
+    return [F.coalesce(status, F.when(banked, "checked").otherwise("skipped")), *[F.when(status.isNotNull() | banked, m) for m in measured]]
+
+
+def manifest(runs: DataFrame, model: str, revision: str, role: str) -> DataFrame:
+    """One row a model: its revision, its roles together. A model without a revision, or with two, is an error."""
+    g = runs.groupBy(model).agg(F.count_distinct(revision).alias("k"), F.min(revision).alias(revision), F.array_join(F.sort_array(F.collect_set(role)), ",").alias("roles"))
+    said = F.raise_error(F.concat(F.col(model).cast("string"), F.lit(" has "), F.col("k").cast("string"), F.lit(" revisions")))
+    return g.select(model, F.when(F.col("k") == 1, F.col(revision)).otherwise(said.cast(runs.schema[revision].dataType)).alias(revision), "roles")

@@ -66,3 +66,23 @@ def handcheck(items: DataFrame, document: str, strata: list[str], each: int, rou
     one = items.groupBy(document).agg(F.min_by(F.struct(*strata, *parts), F.struct(order, *strata, *parts)).alias("x"), F.min(order).alias("h")).select(document, "x.*", "h")
     at = one.withColumn("at", F.row_number().over(Window.partitionBy(*strata).orderBy("h", document)) - 1).filter(F.col("at") < each * rounds)
     return at.select(document, *strata, *parts, (F.floor(F.col("at") / each) + 1).cast("int").alias("round"))
+
+
+def canaries(items: DataFrame, unit: str, query: str, document: str, units: int, seed: str) -> DataFrame:
+    """A trial run: some units by hash, the first query of each against the first document of each, and which document is its own.
+
+    ``units`` squared rows, whatever the size of ``items``.
+    """
+    one = items.groupBy(unit).agg(F.min(F.struct(query, document)).alias("x")).orderBy(hash_int(seed, F.col(unit)), unit).limit(units)
+    asked = one.select(F.col(unit).alias("asked"), F.col(f"x.{query}").alias(query))
+    answers = one.select(F.col(unit).alias("shown"), F.col(f"x.{document}").alias(document))
+    return asked.crossJoin(F.broadcast(answers)).withColumn("own", F.col("asked") == F.col("shown"))
+
+
+def positions(rows: DataFrame, query: str, sides: list[str]) -> DataFrame:
+    """The layout of requests: each query's distinct documents numbered from 0 in the order of their text, and where each row's sides are."""
+    each = rows.select(query, F.explode(F.array(*sides)).alias("doc")).distinct()
+    at = each.withColumn("at", F.row_number().over(Window.partitionBy(query).orderBy("doc")) - 1)
+    for s in sides:
+        rows = rows.join(at.select(query, F.col("doc").alias(s), F.col("at").alias(f"{s}_at")), [query, s])
+    return rows

@@ -206,3 +206,14 @@ def slates(ranked: DataFrame, depths: list[int], marked: str, *by: str, rank: st
     sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(marked).alias("m"), *top)
     pct = lambda x, y: F.try_divide(100.0 * F.sum(x), F.sum(y))
     return sums.rollup(*by).agg(F.sum("n").alias("members"), pct("m", "n").alias("pct_all"), *[pct(f"m{k}", f"n{k}").alias(f"pct_top{k}") for k in depths])
+
+
+def significance_overview(models: DataFrame, model: str, effect: str, p: str, adjusted: str, alpha: float = 0.05) -> DataFrame:
+    """One row over the models: how many by sign and significance, the effects' median and extremes, and who is an exception."""
+    e, low, holm = F.col(effect), F.col(p) < alpha, F.col(adjusted) < alpha
+    names = lambda x: F.array_join(F.sort_array(F.collect_list(F.when(x, F.col(model)))), ",")
+    return models.agg(
+        F.count(F.lit(1)).alias("n_models"), F.count_if(e < 0).alias("n_negative"), F.count_if(low).alias("n_low"), F.count_if(holm).alias("n_adjusted_low"),
+        F.count_if(low & (e < 0)).alias("n_negative_low"), F.count_if(low & (e > 0)).alias("n_positive_low"), F.count_if(holm & (e < 0)).alias("n_negative_adjusted_low"),
+        F.median(e).alias("median"), F.min(e).alias("least"), F.max(e).alias("most"), names(e >= 0).alias("not_negative"), names(~holm).alias("not_adjusted_low"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scalars import band, hash_int, six
-from ..operators import joins, ranking, reconcile, resample, sampling, shares
+from ..operators import joins, ranking, reconcile, resample, sampling, shares, tests
 from .fixtures import BAND, H, PAIRS, POOLS, labels, pairs, pools, table
 from .registry import query
 from .shares import DRAWS, interval_sql, rounded
@@ -149,3 +149,96 @@ def a29_z9_ledger(spark, sf):
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     g = table(spark, sf, "events").groupBy(F.col("event_type").alias("model"))
     return g.agg(F.count(F.lit(1)).alias("requests"), (F.round(F.sum("value"), 4)).alias("tokens"), day(F.min("ts")).alias("first_day"), day(F.max("ts")).alias("last_day"), F.count_distinct("user_id").alias("served_by"))
+
+
+SECOND = "(quantity % 7 - 3)"
+
+
+@query(f"""WITH {PAIRS}, g AS (SELECT category, count(*) AS n, count(*) FILTER (d > 0) / count(*) AS p, count(*) FILTER ({SECOND} > 0) / count(*) AS q, count(*) FILTER ((d > 0) = ({SECOND} > 0)) AS same FROM pairs WHERE category <> 'drop' GROUP BY category),
+o AS (SELECT sum(n)::BIGINT AS n, sum(same) / sum(n) AS agreement, sum(n * (p * q + (1 - p) * (1 - q))) / sum(n) AS baseline FROM g),
+r AS (SELECT rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS x, rank() OVER (ORDER BY {SECOND}) + (count(*) OVER (PARTITION BY {SECOND}) - 1) / 2.0 AS y FROM (SELECT round(d, 2) AS d, quantity FROM pairs WHERE category <> 'drop'))
+SELECT n, round(agreement, 6) AS agreement, round(baseline, 6) AS baseline, round(agreement - baseline, 6) AS excess, round((SELECT corr(x, y) FROM r), 6) AS rho FROM o""")
+def r5_item_level(spark, sf):
+    """Ranks of values, by counts of the values, so that no task orders all pairs."""
+    p = pairs(spark, sf).filter("category <> 'drop'").withColumn("d2", F.col("quantity") % 7 - 3)
+    ranked = p.select(F.round("d", 2).alias("x"), F.col("d2").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    for c in ("x", "y"):
+        of = ranked.groupBy(c).agg(F.sum("n").alias("k"))  # one row a value
+        below = F.sum("k").over(Window.orderBy(c)) - F.col("k")
+        ranked = ranked.join(of.select(c, (below + (F.col("k") + 1) / 2.0).alias(f"r{c}")), c)
+    n, s = F.col("n"), F.sum
+    x, y = F.col("rx"), F.col("ry")
+    cov = lambda a, b: s(n * a * b) - s(n * a) * s(n * b) / s(n)
+    rho = ranked.agg(s(n).alias("n"), (cov(x, y) / F.sqrt(cov(x, x) * cov(y, y))).alias("rho"))
+    same = tests.independence_baseline(p.withColumn("up", F.col("d") > 0).withColumn("up2", F.col("d2") > 0), "up", "up2", "category")
+    return rounded(same.crossJoin(rho).withColumn("excess", F.col("agreement") - F.col("baseline")), "agreement", "baseline", "excess", "rho")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT p_brand AS model, ({H.format("'e|' || p_brand")} % 2001 - 1500) / 1000.0 AS effect, ({H.format("'p|' || p_brand")} % 1000) / 20000.0 AS p FROM part),
+r AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, model) + 1) * p) AS raw FROM p), h AS (SELECT *, max(raw) OVER (ORDER BY p, model) AS adj FROM r)
+SELECT count(*) AS n_models, count(*) FILTER (effect < 0) AS n_negative, count(*) FILTER (p < 0.04) AS n_low, count(*) FILTER (adj < 0.04) AS n_adjusted_low, count(*) FILTER (p < 0.04 AND effect < 0) AS n_negative_low, count(*) FILTER (p < 0.04 AND effect > 0) AS n_positive_low,
+count(*) FILTER (adj < 0.04 AND effect < 0) AS n_negative_adjusted_low, round(median(effect), 6) AS median, round(min(effect), 6) AS least, round(max(effect), 6) AS most, coalesce(string_agg(model, ',' ORDER BY model) FILTER (effect >= 0), '') AS not_negative, coalesce(string_agg(model, ',' ORDER BY model) FILTER (adj >= 0.04), '') AS not_adjusted_low FROM h""")
+def z10_significance_overview(spark, sf):
+    m = table(spark, sf, "part").select(F.col("p_brand").alias("model")).distinct()
+    m = m.withColumn("effect", (F.pmod(hash_int("e", F.col("model")), F.lit(2001)) - 1500) / 1000.0).withColumn("p", F.pmod(hash_int("p", F.col("model")), F.lit(1000)) / 20000.0)
+    return rounded(shares.significance_overview(tests.holm(m, "p", "model"), "model", "effect", "p", "p_holm", 0.04), "median", "least", "most")
+
+
+@query("""WITH d AS (SELECT DISTINCT l_returnflag AS model, o_orderkey % 50 AS query FROM lineitem, orders WHERE o_orderkey % 97 < 60 AND l_orderkey = o_orderkey), r AS (SELECT l_returnflag AS model, l_orderkey % 50 AS query, l_quantity::INTEGER AS pos, l_linestatus AS server FROM lineitem WHERE l_linenumber <= 2 AND NOT (l_returnflag = 'A' AND l_orderkey % 50 = 3)),
+q AS (SELECT model, query, count(*) AS n FROM r GROUP BY ALL), b AS (SELECT coalesce(d.model, q.model) AS model, d.query AS dq, n FROM d FULL JOIN q ON d.model = q.model AND d.query = q.query),
+g AS (SELECT model, count(dq) AS wanted, count(n) AS done, bool_and(dq IS NOT NULL AND n IS NOT NULL) AS complete, coalesce(sum(n), 0)::BIGINT AS records FROM b GROUP BY model), s AS (SELECT model, min(pos) AS scored_from, max(pos) AS scored_to, string_agg(DISTINCT server, ',' ORDER BY server) AS served_by FROM r GROUP BY model)
+SELECT * FROM g LEFT JOIN s USING (model)""")
+def z29_completed(spark, sf):
+    line, key = table(spark, sf, "lineitem"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    model, q = F.col("l_returnflag").alias("model"), (F.col("l_orderkey") % 50).alias("query")
+    design = line.join(key.filter("l_orderkey % 97 < 60"), "l_orderkey").select(model, q)
+    done = line.filter("l_linenumber <= 2 and not (l_returnflag = 'A' and l_orderkey % 50 = 3)")
+    return reconcile.completed(design, done.select(model, q, F.col("l_quantity").cast("int").alias("at"), F.col("l_linestatus").alias("server")), "model", "query", "at", "server")
+
+
+@query("""SELECT event_id, coalesce(status, CASE WHEN banked THEN 'checked' ELSE 'skipped' END) AS status, CASE WHEN status IS NOT NULL OR banked THEN value END AS diff
+FROM (SELECT event_id, value, CASE WHEN event_id % 4 = 0 THEN 'checked' END AS status, coalesce(CASE WHEN event_id % 5 > 0 THEN event_type END = 'error', false) AS banked FROM events)""")
+def z13_check_status(spark, sf):
+    e = table(spark, sf, "events")
+    base = F.when(F.col("event_id") % 5 > 0, F.when(F.col("event_type") == "error", "banked scores").otherwise("own"))
+    status, diff = reconcile.check_status(F.when(F.col("event_id") % 4 == 0, "checked"), base, F.col("value"))
+    return e.select("event_id", status.alias("status"), diff.alias("diff"))
+
+
+@query("""SELECT 'm' || c_nationkey AS model, 'r' || (c_nationkey % 5) AS revision, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS roles FROM customer GROUP BY ALL""")
+def z45_manifest(spark, sf):
+    k = F.col("c_nationkey")
+    runs = table(spark, sf, "customer").select(F.concat(F.lit("m"), k).alias("model"), F.concat(F.lit("r"), k % 5).alias("revision"), F.col("c_mktsegment").alias("role"))
+    return reconcile.manifest(runs, "model", "revision", "role")
+
+
+@query(f"""WITH {PAIRS}, u AS (SELECT cluster, min((orderkey, partkey)) AS x FROM pairs GROUP BY cluster), o AS (SELECT cluster, x[1] AS orderkey, x[2] AS partkey FROM u ORDER BY {H.format("'canary|' || cluster")}, cluster LIMIT 12)
+SELECT a.cluster AS asked, a.orderkey, b.cluster AS shown, b.partkey, a.cluster = b.cluster AS own FROM o a, o b""")
+def g8_canaries(spark, sf):
+    return sampling.canaries(pairs(spark, sf), "cluster", "orderkey", "partkey", 12, "canary")
+
+
+@query("""WITH d AS (SELECT l_orderkey, unnest([l_partkey, l_suppkey]) AS doc FROM lineitem), a AS (SELECT l_orderkey, doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY doc)::INTEGER - 1 AS at_ FROM (SELECT DISTINCT * FROM d))
+SELECT l.l_orderkey, l_linenumber, l.l_partkey, l.l_suppkey, x.at_ AS l_partkey_at, y.at_ AS l_suppkey_at FROM lineitem l JOIN a x ON l.l_orderkey = x.l_orderkey AND l.l_partkey = x.doc JOIN a y ON l.l_orderkey = y.l_orderkey AND l.l_suppkey = y.doc""")
+def z28_request_layout(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return sampling.positions(rows, "l_orderkey", ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_partkey_at", "l_suppkey_at")
+
+
+@query("""WITH t AS (SELECT lower(c_mktsegment) AS k, arg_min(c_acctbal, c_custkey) AS pct FROM customer WHERE c_custkey % 3 > 0 GROUP BY ALL), n AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT c_mktsegment FROM customer)
+SELECT name, coalesce(printf('%.2f%%', pct), 'n/a') AS shown FROM n LEFT JOIN t ON lower(trim(name)) = k""")
+def z43_name_lookup(spark, sf):
+    """The first entry of a name in any case, or ``n/a``."""
+    c = table(spark, sf, "customer")
+    t = c.filter("c_custkey % 3 > 0").groupBy(F.lower("c_mktsegment").alias("k")).agg(F.min_by("c_acctbal", "c_custkey").alias("pct"))
+    n = table(spark, sf, "part").select(F.col("p_brand").alias("name")).union(c.select("c_mktsegment")).distinct()
+    return n.join(t, F.lower(F.trim("name")) == F.col("k"), "left").select("name", F.when(F.col("pct").isNotNull(), F.format_string("%.2f%%", "pct")).otherwise("n/a").alias("shown"))
+
+
+@query()
+def f9_forms(spark, sf):
+    """Two forms of every document; rules with look-ahead, held by the tests."""
+    d = f8_carried_gender(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    names = d.filter("carried is not null").groupBy(F.lower("carried").alias("name")).agg(F.min("gender").alias("gender"), F.count(F.lit(1)).alias("count")).withColumn("twin", F.reverse("name"))
+    got = joins.forms(d, names, ["Reed", "Stone", "Lake"], "forms")
+    return got.select("doc_id", "mode", F.md5("male_text").alias("male"), F.md5("female_text").alias("female"))

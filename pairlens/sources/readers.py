@@ -141,3 +141,10 @@ def name_genders(spark: SparkSession, path: str, min_confidence: float = 0.95, m
     p = F.try_divide(F.col("m").cast("double"), F.col("f") + F.col("m"))
     gender = F.when(p >= min_confidence, "M").when(1 - p >= min_confidence, "F")
     return g.filter(F.col("f") + F.col("m") >= min_count).select("name", gender.alias("gender"), F.greatest(p, 1 - p).alias("p"), (F.col("f") + F.col("m")).alias("count")).filter("gender is not null")
+
+
+def resumed_log(spark: SparkSession, path: str, schema: str, key: list[str], order: str, fingerprint: str, column: str = "sample_hash") -> DataFrame:
+    """As ``score_log``, for resuming a run: a line that another configuration or sample wrote is an error."""
+    log = score_log(spark, path, schema, key, order)
+    must_be_empty(log.filter(~F.col(column).eqNullSafe(F.lit(fingerprint))), f"{path} was written for another sample")
+    return log

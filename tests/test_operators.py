@@ -288,3 +288,31 @@ def test_handcheck_takes_no_document_twice(spark):
     assert len(docs) == len(set(docs)) and {r["round"] for r in got} == {1, 2, 3}
     per = [(r["kind"], r["ref"], r["round"]) for r in got]
     assert max(per.count(p) for p in per) == 4
+
+
+def test_forms_differ_in_markers_alone(spark):
+    names = spark.createDataFrame([("bob", "M", 9, "ann"), ("ann", "F", 9, "bob"), ("tom", "M", 5, "sue"), ("rob", "M", 8, None)], "name string, gender string, count long, twin string")
+    rows = [(1, "Bob took his bag, he said.", "Bob", "M"), (2, "ANN and her dog; ANNA stays", "ANN", "F"), (3, "she saw it", None, None), (4, "no marker", None, "M"), (5, None, None, None), (6, "", None, None)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, carried string, gender string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in joins.forms(d, names, ["Reed"], "s").collect()}
+    assert got[1] == ("swap", "Bob took his bag, he said.", "Ann took her bag, she said.")
+    assert got[2] == ("swap", "BOB and his dog; ANNA stays", "ANN and her dog; ANNA stays")
+    assert got[3] in {("inject", f"{m} Reed he saw it", f"{f} Reed she saw it") for m, f in (("Bob", "Ann"), ("Tom", "Sue"))}
+    assert got[4][0] == "inject" and got[4][1].endswith(" Reed no marker") and got[4][2].endswith(" Reed no marker") and got[4][1] != got[4][2]
+    assert len(got) == 6 and got[6][0] == "inject"
+    only = {r["doc_id"]: r["mode"] for r in joins.forms(d, names, [], "s", mode="swap").collect()}
+    assert only == {1: "swap", 2: "swap", 3: None, 4: None, 5: None, 6: None}
+    assert {r["mode"] for r in joins.forms(d, names.limit(0), [], "s", mode="inject").collect()} == {None}
+
+
+def test_logs_and_manifests_of_other_runs_are_errors(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"k": "a", "at": 1, "sample_hash": "x"}\n{"k": "b", "at": 2, "sample_hash": "x"}\n{"torn')
+    read = lambda h: readers.resumed_log(spark, str(tmp_path / "log.jsonl"), "k string, at int, sample_hash string", ["k"], "at", h)
+    assert read("x").count() == 2
+    with pytest.raises(joins.Violation, match="another sample"):
+        read("y")
+    runs = spark.createDataFrame([("a", "1", "x"), ("a", "1", "y"), ("b", "1", "x"), ("b", "2", "x"), ("c", None, "x")], "model string, revision string, role string")
+    assert tuple(reconcile.manifest(runs.filter("model = 'a'"), "model", "revision", "role").first()) == ("a", "1", "x,y")
+    for m, k in (("b", 2), ("c", 0)):
+        with pytest.raises(Exception, match=f"{m} has {k} revisions"):
+            reconcile.manifest(runs.filter(F.col("model") == m), "model", "revision", "role").collect()
