@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment
 from .common import table
+from .conversations import audit_conversations, damaged, repaired_digests
 from .decontaminate import benchmark_hits
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_classes
 from .lm_score import lm_score
 from .licenses import licence_scan
 from .packing import pack
+from .quality import quality
 from .repeats import drop_repeats
 from .revisits import resolve_revisits
 from .secret_scan import secret_scan, written_spans
@@ -99,3 +102,22 @@ def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = resolve_revisits(records)
     said = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return got.select("record_id", "url", "response_id", "outcome", said.alias("headers"))
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality(table(spark, sf_dir, "documents"))
+    failed = F.array_contains("failed", "few_words") | F.array_contains("failed", "repeats")
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.size("host_failed") == 0)).alias("kept"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations, then audits and repairs what is left; a conversation without rows left has zeros."""
+    rows = table(spark, sf_dir, "conversations")
+    bad = damaged(rows)
+    return repaired_digests(bad, audit_conversations(bad), known=rows)

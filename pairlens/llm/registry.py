@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import queries as q
+from .quality import RULES
 from .licenses import BLANK, HEADER, LICENCE_FILE, TEMPLATES
 
 QUERIES = {
@@ -18,6 +19,9 @@ QUERIES = {
     "op8_packing": q.op8_packing,
     "op9_jaccard_join": q.op9_jaccard_join,
     "op10_decontamination": q.op10_decontamination,
+    "op11_token_alignment": q.op11_token_alignment,
+    "op12_quality_rules": q.op12_quality_rules,
+    "op13_structure_repair": q.op13_structure_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -53,6 +57,23 @@ rev AS (SELECT 3 * i + 1 AS record_id, url, 10 * i + 25 AS ts, CASE WHEN i % 5 =
 j AS (SELECT r.record_id, r.url, p.i, p.tag, r.etag, r.h FROM rev r ASOF LEFT JOIN (SELECT *, 10 * i AS t FROM p) p ON p.url = r.url AND r.ts >= p.t)
 SELECT record_id, url, CASE WHEN i IS NOT NULL AND coalesce(etag = tag, true) THEN 3 * i END AS response_id, CASE WHEN i IS NULL THEN 'missing' WHEN coalesce(etag = tag, true) THEN 'resolved' ELSE 'stale' END AS outcome,
 CASE WHEN i IS NOT NULL AND coalesce(etag = tag, true) THEN 'content-type=text/html;' || coalesce(h, 'date=' || (10 * i) || ';vary=accept') END AS headers FROM j""",
+    "op12_quality_rules": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS g, lead(w, 4) OVER o IS NOT NULL AS whole FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM g WHERE whole QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) x(k) GROUP BY doc_id),
+c AS (SELECT d.doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, unnest([{", ".join(f"{{'rule': '{r}', 'fails': {sql}}}" for r, sql in RULES.items())}]) AS f FROM c),
+h AS (SELECT source, f.rule AS rule, count(*)::DOUBLE AS n, count(*) FILTER (f.fails)::DOUBLE AS k FROM f WHERE source IS NOT NULL GROUP BY ALL),
+m AS (SELECT rule, count(*) AS hosts, sum(n) AS total, sum(n * n) AS squares, sum(k) / sum(n) AS m, sum(k * k / n) AS part FROM h GROUP BY rule),
+p AS (SELECT *, m * (1 - m) * (total - squares / total - (hosts - 1)) AS room FROM m),
+v AS (SELECT *, CASE WHEN hosts > 1 AND room > 0 THEN 1 / least(0.999, greatest(0.001, (part - total * m * m - m * (1 - m) * (hosts - 1)) / room)) - 1 ELSE 10 END AS weight FROM p),
+bad AS (SELECT DISTINCT source FROM h JOIN v USING (rule) WHERE (k + weight * m) / (n + weight) > 0.5),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.source IS NULL AS kept FROM b LEFT JOIN bad USING (source)""",
 }
 
 if corpus_pipeline.ORACLE_SQL:
