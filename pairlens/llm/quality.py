@@ -17,6 +17,7 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 WHITE = b" \t\n\x0b\x0c\r"
 WINDOW = 5
+SALTS = 64
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 #: Rules of one document, on its counts. A document that fails one is counted against its host under that rule.
 RULES: dict[str, str] = {
@@ -155,8 +156,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
     Null and empty texts have no words. A null host is judged by nobody: its documents have no failed host. Repeated rows
     count once each. An empty table gives no rows; other columns are ignored. Texts are read once; the counts are written
-    and give both the hosts' sums and the result. Only failing hosts are joined back, so a host with a third of
-    all rows is a broadcast or a splittable join, never one task.
+    and give both the hosts' sums and the result. Only failing hosts are joined back, each ``SALTS`` times, to documents dealt by
+    host and salt: a host with a third of all rows lies in that many tasks.
     """
     rows = written(text_counts(docs, [id_col, host_col], text_col), "quality-counts")
     fails = {r: F.expr(sql) for r, sql in rules.items()}
@@ -164,7 +165,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     bad = rates.select(F.col("__1").alias("__host"), F.array_compact(F.array(*[F.when(F.col(f"rate_{r}") > most_failed, F.lit(r)) for r in rules])).alias("host_failed")).filter(F.size("host_failed") > 0)
     own = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in fails.items()]))
     none = F.array().cast("array<string>")
-    return rows.join(bad, F.col("__1") == F.col("__host"), "left").select(F.col("__0").alias(id_col), *COUNTS, own.alias("failed"), F.coalesce("host_failed", none).alias("host_failed"))
+    bad = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__dealt", F.pmod(F.xxhash64("__0", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    return salted.join(bad, (F.col("__1") == F.col("__host")) & (F.col("__dealt") == F.col("__salt")), "left").select(F.col("__0").alias(id_col), *COUNTS, own.alias("failed"), F.coalesce("host_failed", none).alias("host_failed"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", base: tuple[str, ...] = ("few_words", "repeats"), **how) -> DataFrame:
