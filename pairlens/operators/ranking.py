@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int
+from .blocks import hashed
 
 
 def average_rank_desc(score: str, *by: str) -> Column:
@@ -55,14 +58,47 @@ def two_block_rank(pool: DataFrame, k: int, by: str = "pool", first: str = "firs
     return r.withColumn("place", F.when(F.col("retrieved"), r2).otherwise(F.col("r1")))
 
 
-def simulate(pool: DataFrame, draws: int, k: int, s: int, seed: str, by: str = "pool") -> DataFrame:
-    """Two stages with tie-breaks drawn anew: mean number of marked members kept, over draws, and rank gaps."""
+def simulate(pool: DataFrame, draws: int, k: int, s: int, seed: str, by: str = "pool", most: int = 4096) -> DataFrame:
+    """Two stages with tie-breaks drawn anew: mean number of marked members kept, over draws, and rank gaps.
+
+    A pool of at most ``most`` members is ranked in one task, all its draws by array sorts, and returns three numbers; only a larger
+    one is spread as rows of member and draw. Both take the same draws. ``first_score, score, member, marked`` as in ``two_stage``.
+    """
+    sized = pool.join(pool.groupBy(by).agg(F.count(F.lit(1)).alias("__n")), by)
+    small = sized.filter(F.col("__n") <= most).select(by, "member", "first_score", "score", "marked")
+    kind = pool.schema[by].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("member")
+        first, second = (t.column(c).to_numpy().astype(float) for c in ("first_score", "score"))
+        marked = t.column("marked").to_numpy(zero_copy_only=False).astype(bool)
+        n, kept, got, gaps = len(marked), 0.0, 0.0, []
+        x, y = (np.unique(-v, return_inverse=True)[1].astype(np.int64) << 48 for v in (first, second))
+        for b in range(0, draws, 50):
+            tb = hashed(seed, range(b, min(draws, b + 50)), t.column("member").to_pylist())
+            order = np.argsort(x | tb, axis=1, kind="stable")
+            places = np.empty_like(order)
+            np.put_along_axis(places, order, np.broadcast_to(np.arange(1, n + 1), order.shape), 1)
+            inside = order[:, :k]
+            again = np.argsort(y[inside] | np.take_along_axis(tb, inside, 1), axis=1, kind="stable")[:, :s]
+            kept += marked[np.take_along_axis(inside, again, 1)].sum()
+            got += marked[inside].sum()
+            if 0 < marked.sum() < n:
+                gaps.append(places[:, ~marked].mean(1) - places[:, marked].mean(1))
+        gap = float(np.concatenate(gaps).mean()) if gaps else None
+        return pa.table({by: t.column(by).slice(0, 1), "marked": [kept / draws], "retrieved_marked": [got / draws], "gap": pa.array([gap], pa.float64())})
+
+    here = small.groupBy(by).applyInArrow(run, f"`{by}` {kind}, marked double, retrieved_marked double, gap double")
+    return here.unionByName(_simulated_rows(sized.filter(F.col("__n") > most), draws, k, s, seed, by))
+
+
+def _simulated_rows(pool: DataFrame, draws: int, k: int, s: int, seed: str, by: str) -> DataFrame:
     d = pool.crossJoin(pool.sparkSession.range(draws).select(F.col("id").alias("b"))).withColumn("t", hash_int(seed, F.col("b"), F.col("member")))
     w = lambda *p: Window.partitionBy(by, "b", *p)
     d = d.withColumn("r1", F.row_number().over(w().orderBy(F.desc("first_score"), "t", "member"))).withColumn("in", F.col("r1") <= k)
     d = d.withColumn("r2", F.row_number().over(w("in").orderBy(F.desc("score"), "t", "member"))).withColumn("kept", F.col("in") & (F.col("r2") <= s))
     each = d.groupBy(by, "b").agg(
-        F.count_if(F.col("kept") & F.col("marked")).alias("marked"), F.count_if(F.col("in")).alias("retrieved"), F.count_if(F.col("in") & F.col("marked")).alias("retrieved_marked"),
+        F.count_if(F.col("kept") & F.col("marked")).alias("marked"), F.count_if(F.col("in") & F.col("marked")).alias("retrieved_marked"),
         (F.avg(F.when(~F.col("marked"), F.col("r1"))) - F.avg(F.when(F.col("marked"), F.col("r1")))).alias("gap"),
     )
     return each.groupBy(by).agg(F.avg("marked").alias("marked"), F.avg("retrieved_marked").alias("retrieved_marked"), F.avg("gap").alias("gap"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int, six
-from ..operators import ranking, resample, shares, tests
+from ..operators import blocks, ranking, resample, shares, tests
 from .fixtures import H, PAIRS, POOLS, pairs, pools
 from .registry import query
 from .shares import DRAWS, rounded
@@ -41,12 +41,12 @@ def w7_two_block_ranks(spark, sf):
     return ranking.two_block_rank(pools(spark, sf), 10).select("pool", "member", "place")
 
 
-@query(f"""WITH {POOLS}, d AS (SELECT *, {H.format("'sim|' || b || '|' || member")} AS t FROM pools, range(20) x(b)), r AS (SELECT *, row_number() OVER (PARTITION BY pool, b ORDER BY first_score DESC, t, member) AS r1 FROM d),
+@query(f"""WITH {POOLS}, d AS (SELECT *, {H.format("'sim|' || b || '|' || member")} AS t FROM pools, range(200) x(b)), r AS (SELECT *, row_number() OVER (PARTITION BY pool, b ORDER BY first_score DESC, t, member) AS r1 FROM d),
 i AS (SELECT *, r1 <= 10 AS inn FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY pool, b, inn ORDER BY score DESC, t, member) AS r2 FROM i),
 e AS (SELECT pool, b, count(*) FILTER (inn AND r2 <= 3 AND marked) AS marked, count(*) FILTER (inn AND marked) AS rm, avg(r1) FILTER (NOT marked) - avg(r1) FILTER (marked) AS gap FROM k GROUP BY ALL)
 SELECT pool, round(avg(marked), 6) AS marked, round(avg(rm), 6) AS retrieved_marked, round(avg(gap), 6) + 0.0 AS gap FROM e GROUP BY pool""")
 def r1_r2_r3_simulation(spark, sf):
-    return rounded(ranking.simulate(pools(spark, sf), 20, 10, 3, "sim"), "marked", "retrieved_marked", "gap")
+    return rounded(ranking.simulate(pools(spark, sf), 200, 10, 3, "sim"), "marked", "retrieved_marked", "gap")
 
 
 OTHER = f"({H.format("'alt|' || member")} % 21) / 20.0"
@@ -105,7 +105,7 @@ o AS (SELECT model, b, cluster, row_number() OVER (PARTITION BY model, b ORDER B
 s AS (SELECT o.model, b, corr(x.rx, y.ry) AS star FROM o JOIN r x ON x.model = o.model AND x.cluster = o.cluster JOIN r y ON y.model = o.model AND y.at = o.rn GROUP BY ALL), rho AS (SELECT model, corr(rx, ry) AS rho FROM r GROUP BY model)
 SELECT model, round(rho, 6) AS rho, round((1 + count(*) FILTER (abs(star) >= abs(rho) - 1e-12)) / ({DRAWS} + 1.0), 6) AS p FROM s JOIN rho USING (model) GROUP BY ALL""")
 def h3_spearman_permutation(spark, sf):
-    return rounded(tests.spearman_permutation(cluster_points(spark, sf), "pct", "s", "cluster", DRAWS, "perm"), "rho", "p")
+    return rounded(blocks.spearman_permutation(cluster_points(spark, sf), "pct", "s", "cluster", DRAWS, "perm"), "rho", "p")
 
 
 @query(f"""WITH {PAIRS}, c AS (SELECT model, cluster, category, sum(half)::BIGINT AS half FROM w WHERE category IN ('a', 'b') GROUP BY ALL), z AS (SELECT count(*) AS k, count(*) FILTER (category = 'a') AS ka FROM (SELECT DISTINCT cluster, category FROM c)),
@@ -115,7 +115,7 @@ v AS (SELECT model, k * s - ka * t AS v, k * sa - ka * t AS seen FROM s JOIN t U
 SELECT model, round((1 + count(*) FILTER (v >= seen)) / ({DRAWS} + 1.0), 6) AS p_one_sided, round((1 + count(*) FILTER (abs(v) >= abs(seen))) / ({DRAWS} + 1.0), 6) AS p_two_sided FROM v GROUP BY model""")
 def h2_t5_label_permutation(spark, sf):
     sums = shares.cluster_sums(pairs(spark, sf), "model", "cluster", "category")
-    return rounded(tests.label_permutation(sums, "cluster", DRAWS, "lab"), "p_one_sided", "p_two_sided")
+    return rounded(blocks.label_permutation(sums, "cluster", DRAWS, "lab"), "p_one_sided", "p_two_sided")
 
 
 @query(f"""WITH p AS (SELECT p_brand AS key, (1 + {H.format('p_brand')} % 1000) / 1000.0 * 0.05 AS p FROM (SELECT DISTINCT p_brand FROM part)), r AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, key) + 1) * p) AS raw, count(*) OVER () AS m FROM p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, bias_label, direction, six, winner
-from ..operators import resample, shares
+from ..operators import blocks, resample, shares
 from .fixtures import BAND, HALF, H, PAIRS, pairs
 from .registry import query
 
@@ -169,7 +169,7 @@ FROM times t JOIN c ON t.category = c.category AND t.cluster = c.cluster GROUP B
 SELECT model, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(stddev_samp(value), 6) AS sd, round(100.0 * count(*) FILTER (value > 0) / count(value), 6) AS pct_positive FROM v GROUP BY model""")
 def b2_contrast_bootstrap(spark, sf):
     sums = shares.cluster_sums(pairs(spark, sf).filter("category in ('a', 'b')"), "model", "cluster", "category")
-    return rounded(resample.interval(resample.draw_contrasts(sums, "cluster", DRAWS, "contrast"), "value", "model"), "low", "high", "sd", "pct_positive")
+    return rounded(blocks.intervals(blocks.contrast_draws(sums, "cluster", DRAWS, "contrast")), "low", "high", "sd", "pct_positive")
 
 
 @query(f"""WITH {PAIRS}, c AS (SELECT model, cluster, category, name, sum(half)::BIGINT AS half, count(*) AS n FROM w WHERE category IN ('a', 'b') GROUP BY ALL), {interval_sql('cluster', 'category', 'c', DRAWS, 'two', 'category')},
@@ -180,7 +180,7 @@ FROM times t JOIN c ON t.category = c.category AND t.cluster = c.cluster JOIN ti
 SELECT model, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(stddev_samp(value), 6) AS sd, round(100.0 * count(*) FILTER (value > 0) / count(value), 6) AS pct_positive FROM v GROUP BY model""")
 def b2_two_way_bootstrap(spark, sf):
     sums = shares.cluster_sums(pairs(spark, sf).filter("category in ('a', 'b')"), "model", "cluster", "category", "name")
-    return rounded(resample.interval(resample.two_way_contrasts(sums, "cluster", "name", DRAWS, "two"), "value", "model"), "low", "high", "sd", "pct_positive")
+    return rounded(blocks.intervals(blocks.contrast_draws(sums, "cluster", DRAWS, "two", "name")), "low", "high", "sd", "pct_positive")
 
 
 def one_stratum(seed: str, key: str, table: str, draws: int = DRAWS) -> str:
@@ -225,7 +225,7 @@ v AS (SELECT t.model, b, 50.0 * sum(times * half) / sum(times * n) AS value FROM
 SELECT model, round(low, 6) AS low, round(high, 6) AS high, low <= 50 AND 50 <= high AS holds_50, CASE WHEN low > 50 THEN 'a' WHEN high < 50 THEN 'b' ELSE 'unclear' END AS direction FROM i""")
 def b3_p10_p11_neutral_level(spark, sf):
     c = shares.cluster_sums(pairs(spark, sf).filter("category = 'neutral'"), "model", "cluster")
-    got = resample.ratio_bootstrap(c, "half", "n", "cluster", 1000, "neutral", "model", scale=50.0)
+    got = blocks.intervals(blocks.level_draws(c, "cluster", 1000, "neutral"))
     return got.select("model", six(F.col("low")).alias("low"), six(F.col("high")).alias("high"), F.lit(50).between(F.col("low"), F.col("high")).alias("holds_50"), direction(F.col("low"), F.col("high")).alias("direction"))
 
 
