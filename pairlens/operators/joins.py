@@ -11,6 +11,7 @@ from ..functions.text import match_case, pronoun_gender, swap_pronouns, title_of
 
 class Violation(ValueError):
     """An integrity constraint does not hold."""
+from .prefix import nearest  # noqa: F401  (a join by value)
 
 
 def must_be_empty(violations: DataFrame, message: str) -> None:
@@ -59,24 +60,6 @@ def by_prefix(probe: DataFrame, code: str, table: DataFrame, full: str) -> DataF
     return probe.join(best, code, "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, value: str, key: str, out: str, *by: str) -> DataFrame:
-    """For each row of ``left``, the row of ``right`` whose value is nearest, the smaller key among equals.
-
-    The neighbours below and above come from one sort of both tables together (running last and next value),
-    so no row is compared with all others. Equal values of ``right`` are first cut to their smallest key.
-    """
-    r = right.groupBy(*by, value).agg(F.min(key).alias("__k"))
-    both = left.select(*by, value, key).withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(f"struct<v:double,k:{dict(right.dtypes)[key]}>"))
-    other = r.select(*by, value, F.lit(None).cast(dict(left.dtypes)[key]).alias(key), F.lit(0).alias("__side"), F.struct(F.col(value).cast("double").alias("v"), F.col("__k").alias("k")).alias("__r"))
-    w = Window.partitionBy(*by)
-    u = both.unionByName(other)
-    u = u.withColumn("__lo", F.last("__r", True).over(w.orderBy(value, "__side").rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("__hi", F.last("__r", True).over(w.orderBy(F.desc(value), "__side").rowsBetween(Window.unboundedPreceding, 0)))
-    lo, hi = F.abs(F.col(value) - F.col("__lo.v")), F.abs(F.col(value) - F.col("__hi.v"))
-    best = F.when(F.col("__lo").isNull(), F.col("__hi.k")).when(F.col("__hi").isNull(), F.col("__lo.k")).when(lo < hi, F.col("__lo.k")).when(hi < lo, F.col("__hi.k")).otherwise(F.least("__lo.k", "__hi.k"))
-    return u.filter("__side = 1").select(*by, key, value, best.alias(out))
-
-
 def within_pairs(df: DataFrame, cell: list[str], item: str, *values: str) -> DataFrame:
     """Unordered pairs of a cell's items, each once."""
     l, r = df.alias("l"), df.alias("r")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int
 from .blocks import hashed
+from .prefix import ranks
 
 
 def average_rank_desc(score: str, *by: str) -> Column:
@@ -25,37 +26,45 @@ def ordinal_rank(score: str, tb: str, *by: str) -> Column:
 def cutoff_ties(pool: DataFrame, depths: list[int], score: str = "score", by: str = "pool") -> DataFrame:
     """By pool and depth k: are the k-th and the next score equal, and how many the average-rank rule would select.
 
-    A pool of at most k members has no tie at the cut-off.
+    A pool of at most k members has no tie at the cut-off. Members are counted by score first; of a pool's scores only as many as
+    the largest depth needs are ordered, and Spark cuts to those before it shuffles.
     """
-    ranked = pool.withColumn("rn", ordinal_rank(score, "tb", by)).withColumn("avg_rank", average_rank_desc(score, by))
+    counts = pool.groupBy(by, score).agg(F.count(F.lit(1)).alias("n"))
+    top = first_of(counts, max(depths) + 1, [F.desc(score)], by)
+    w = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    places = top.withColumn("last", F.sum("n").over(w)).withColumn("first", F.col("last") - F.col("n") + 1)
     grid = pool.sparkSession.createDataFrame([(k,) for k in depths], "k int")
-    at = ranked.crossJoin(F.broadcast(grid))
-    g = at.groupBy(by, "k").agg(
-        F.max(F.when(F.col("rn") == F.col("k"), F.col(score))).alias("x"), F.max(F.when(F.col("rn") == F.col("k") + 1, F.col(score))).alias("y"),
-        F.count_if(F.col("avg_rank") <= F.col("k")).alias("by_average_rank"),
+    g = places.crossJoin(F.broadcast(grid)).groupBy(by, "k").agg(
+        F.max((F.col("first") <= F.col("k")) & (F.col("last") > F.col("k"))).alias("tie"),
+        F.sum(F.when((F.col("first") + F.col("last")) / 2.0 <= F.col("k"), F.col("n")).otherwise(0)).alias("by_average_rank"),
     )
-    return g.select(by, "k", F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("tie"), "by_average_rank")
+    return g.select(by, "k", "tie", "by_average_rank")
 
 
 def two_stage(pool: DataFrame, retrieve: list[int], keep: list[int], by: str = "pool", first: str = "first_score", second: str = "score", tb: str = "tb") -> DataFrame:
     """Retrieve the best by the first score, re-rank them by the second, keep the best: for a grid of both depths.
 
-    Returns ``by, K, S, kept, marked`` (how many of those kept are marked) and the same for the second score alone.
+    Returns ``by, K, S, kept, marked`` (how many of those kept are marked) and the same for the second score alone. Each
+    order is cut to the largest depth before it is shuffled, so the size of a pool does not matter.
     """
     spark = pool.sparkSession
     grid = spark.createDataFrame([(k, s) for k in retrieve for s in keep if s <= k], "K int, S int")
-    r = pool.withColumn("r1", ordinal_rank(first, tb, by)).withColumn("alone", ordinal_rank(second, tb, by))
-    inside = r.crossJoin(F.broadcast(grid.select("K").distinct())).filter(F.col("r1") <= F.col("K")).withColumn("r2", ordinal_rank(second, tb, by, "K"))
+    best = lambda order, n, name: pool.withColumn(name, ordinal_rank(order, tb, by)).filter(F.col(name) <= n)
+    inside = best(first, max(retrieve), "r1").crossJoin(F.broadcast(grid.select("K").distinct())).filter(F.col("r1") <= F.col("K")).withColumn("r2", ordinal_rank(second, tb, by, "K"))
     both = inside.join(F.broadcast(grid), "K").groupBy(by, "K", "S").agg(F.count_if(F.col("r2") <= F.col("S")).alias("kept"), F.count_if((F.col("r2") <= F.col("S")) & F.col("marked")).alias("marked"))
-    alone = r.crossJoin(F.broadcast(grid.select("S").distinct())).groupBy(by, "S").agg(F.count_if((F.col("alone") <= F.col("S")) & F.col("marked")).alias("marked_alone"))
+    alone = best(second, max(keep), "alone").crossJoin(F.broadcast(grid.select("S").distinct())).groupBy(by, "S").agg(F.count_if((F.col("alone") <= F.col("S")) & F.col("marked")).alias("marked_alone"))
     return both.join(alone, [by, "S"])
 
 
-def two_block_rank(pool: DataFrame, k: int, by: str = "pool", first: str = "first_score", second: str = "score") -> DataFrame:
-    """Final place of every member: retrieved ones by the second score, the rest behind by the first."""
-    r = pool.withColumn("r1", ordinal_rank(first, "tb", by)).withColumn("retrieved", F.col("r1") <= k)
-    r2 = F.row_number().over(Window.partitionBy(by, "retrieved").orderBy(F.desc(second), "tb"))
-    return r.withColumn("place", F.when(F.col("retrieved"), r2).otherwise(F.col("r1")))
+def two_block_rank(pool: DataFrame, k: int, by: str = "pool", first: str = "first_score", second: str = "score", tb: str = "tb", member: str = "member") -> DataFrame:
+    """Final place of every member: retrieved ones by the second score, the rest behind by the first.
+
+    All members are ranked by ``prefix.ranks``, so a pool may lie in many tasks; a window only orders the k retrieved ones of a pool.
+    """
+    r = ranks(pool, [by], first, [tb, member]).drop("avg_rank").withColumnRenamed("rank", "r1")
+    inside = r.filter(F.col("r1") <= k).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(second), tb)).cast("long"))
+    rest = r.filter(F.col("r1") > k).withColumn("place", F.col("r1"))
+    return inside.withColumn("retrieved", F.lit(True)).unionByName(rest.withColumn("retrieved", F.lit(False)))
 
 
 def simulate(pool: DataFrame, draws: int, k: int, s: int, seed: str, by: str = "pool", most: int = 4096) -> DataFrame:
@@ -109,7 +118,7 @@ def counterfactual_flips(pool: DataFrame, forms: Column, depths: list[int], by:
 
     ``forms`` is the counterfactual score. rank' = 1 + the number of others ahead of it: one running count of the
     real rows over real and counterfactual rows in one order of score and tie-break, less the member's own row.
-    A member is in its pool once; scores and tie-breaks are not null.
+    A member is in its pool once; scores and tie-breaks are not null. A pool is ordered in one task: ``shortlist_flips`` takes larger ones.
     """
     p = pool.withColumn("other", forms).withColumn("rank", ordinal_rank(score, tb, by))
     kinds = F.array(F.struct(F.lit(0).alias("real"), F.col("other").cast("double").alias("at")), F.struct(F.lit(1).alias("real"), F.col(score).cast("double").alias("at")))
@@ -125,6 +134,29 @@ def counterfactual_flips(pool: DataFrame, forms: Column, depths: list[int], by:
     )
 
 
+def shortlist_flips(pool: DataFrame, forms: Column, depths: list[int], by: str = "pool", member: str = "member", score: str = "score", tb: str = "tb") -> DataFrame:
+    """As ``counterfactual_flips``, for short lists of pools of any size.
+
+    ``forms`` is the counterfactual score. Whether a member is among the best k is decided by the k others ahead of it, so a pool
+    is cut to its best ones, one more than the largest depth, before anything is shuffled, and every member is held against
+    that short list. A member is in its pool once; scores and tie-breaks are not null.
+    """
+    most = max(depths)
+    entry = F.struct((-F.col(score).cast("double")).alias("s"), F.col(tb).alias("t"), F.col(member).alias("m"))
+    best = first_of(pool, most + 1, [F.desc(score), F.col(tb)], by).groupBy(by).agg(F.sort_array(F.collect_list(entry)).alias("best"))
+    p = pool.select(by, member, F.struct((-F.col(score).cast("double")).alias("s"), F.col(tb).alias("t")).alias("real"), F.struct((-forms.cast("double")).alias("s"), F.col(tb).alias("t")).alias("other")).join(best, by)
+    ahead = lambda x: F.size(F.filter("best", lambda e: (e["m"] != F.col(member)) & ((e["s"] < x["s"]) | ((e["s"] == x["s"]) & (e["t"] < x["t"])))))
+    r = p.select(ahead(F.col("real")).alias("a"), ahead(F.col("other")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    grid = pool.sparkSession.createDataFrame([(k,) for k in depths], "k int")
+    x = r.crossJoin(F.broadcast(grid))
+    a, b = F.col("a") < F.col("k"), F.col("b") < F.col("k")
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    return x.groupBy("k").agg(
+        F.sum("n").alias("n"), count(a != b).alias("flips"), count(a & ~b).alias("only_original"), count(b & ~a).alias("only_other"),
+        (count(a & ~b) - count(b & ~a)).alias("net"), count(a & b).alias("both_in"), count(~a & ~b).alias("both_out"),
+    )
+
+
 def rank_metrics(rows: DataFrame, by: str = "pool", score: str = "score", relevant: str = "marked", order: str = "member", k: int = 10) -> DataFrame:
     """By set: top-1 shared among tied leaders, reciprocal average rank of the best relevant one, nDCG at k."""
     w = Window.partitionBy(by)

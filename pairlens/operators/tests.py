@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .prefix import value_ranks
 from .resample import permuted
 
 
@@ -116,11 +117,13 @@ def normal_two_sided(z: Column) -> Column:
 def wilcoxon(df: DataFrame, d: str, *by: str) -> DataFrame:
     """Signed-rank sums of the non-zero differences, the normal z without continuity correction, and its two-sided p.
 
-    The variance is corrected for ties. p is the normal one at every number of differences.
+    The variance is corrected for ties. p is the normal one at every number of differences. Differences are counted by size, and
+    only the counts are ranked.
     """
-    nz = df.filter(F.col(d) != 0).withColumn("m", F.abs(d))
-    r = nz.withColumn("r", average_rank("m", *by)).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(*by, "m")))
-    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"), F.sum(F.when(F.col(d) > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(d) < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
+    nz = df.filter(F.col(d) != 0).groupBy(*by, F.abs(d).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(d) > 0).alias("up"))
+    r = value_ranks(nz, list(by), "m")
+    n, rank = F.col("n"), F.col("avg_rank")
+    g = r.groupBy(*by).agg(F.sum(n * n * n - n).alias("ties"), F.sum(rank * F.col("up")).alias("w_plus"), F.sum(rank * (n - F.col("up"))).alias("w_minus"), F.sum("n").alias("n"))
     mean, var = F.col("n") * (F.col("n") + 1) / 4.0, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("ties") / 48.0
     return g.withColumn("z", (F.col("w_plus") - mean) / F.sqrt(var)).drop("ties").withColumn("p", normal_two_sided(F.col("z")))
 
@@ -142,8 +145,9 @@ def chi2_tail(x: Column, k: Column) -> Column:
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """Kruskal-Wallis H, corrected for ties, and its chi-square p, over the groups of one table; both null if all values are equal."""
-    r = df.withColumn("one", F.lit(1)).withColumn("r", average_rank(value, "one")).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(value)))
-    g = r.groupBy(group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
+    cells = df.filter(F.col(value).isNotNull()).groupBy(value, group).agg(F.count(F.lit(1)).alias("k"))
+    r = value_ranks(cells.groupBy(value).agg(F.sum("k").alias("t")), [], value, "t").join(cells, value)
+    g = r.groupBy(group).agg(F.sum(F.col("avg_rank") * F.col("k")).alias("s"), F.sum("k").alias("n"), F.sum((F.col("t") * F.col("t") - 1) * F.col("k")).alias("ties"))
     n = F.sum("n")
     h = 12.0 / (n * (n + 1)) * F.sum(F.col("s") * F.col("s") / F.col("n")) - 3 * (n + 1)
     g = g.agg(F.count(F.lit(1)).alias("groups"), n.alias("n"), h.alias("h"), F.sum("ties").alias("ties"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, decimal, hash_int, significant, six, stars
-from ..operators import joins, reconcile, sampling
+from ..operators import joins, prefix, reconcile, sampling
 from .fixtures import BAND, H, PAIRS, POOLS, labels, pairs, pools, table
 from .registry import query
 from .shares import rounded
@@ -104,7 +104,7 @@ lo AS (SELECT l.k, l.v, r.v AS rv, r.k AS rk FROM l ASOF LEFT JOIN r ON l.v >= r
 SELECT lo.k AS p_partkey, lo.v AS p_retailprice, CASE WHEN lo.rk IS NULL THEN hi.rk WHEN hi.rk IS NULL THEN lo.rk WHEN lo.v - lo.rv < hi.rv - lo.v THEN lo.rk WHEN hi.rv - lo.v < lo.v - lo.rv THEN hi.rk ELSE least(lo.rk, hi.rk) END AS nearest FROM lo JOIN hi USING (k)""")
 def j13_nearest_value(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    return joins.nearest(p.filter("p_partkey % 2 = 1"), p.filter("p_partkey % 2 = 0"), "p_retailprice", "p_partkey", "nearest").select("p_partkey", "p_retailprice", "nearest")
+    return prefix.nearest(p.filter("p_partkey % 2 = 1"), p.filter("p_partkey % 2 = 0"), "p_retailprice", "p_partkey", "nearest").select("p_partkey", "p_retailprice", "nearest")
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey % 3 = 0), m AS (SELECT n_nationkey AS k, upper(n_name) AS v FROM nation WHERE n_nationkey % 2 = 0), q AS (SELECT n_nationkey AS k FROM nation)

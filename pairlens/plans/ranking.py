@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int, six
-from ..operators import blocks, ranking, resample, shares, tests
+from ..operators import blocks, prefix, ranking, resample, shares, tests
 from .fixtures import H, PAIRS, POOLS, pairs, pools
 from .registry import query
 from .shares import DRAWS, rounded
@@ -17,8 +17,8 @@ W = Window.partitionBy
 @query(f"""WITH {POOLS} SELECT pool, member, rank() OVER s + (count(*) OVER (PARTITION BY pool, score) - 1) / 2.0 AS avg_rank, row_number() OVER (PARTITION BY pool ORDER BY score DESC, tb)::INTEGER AS rank
 FROM pools WINDOW s AS (PARTITION BY pool ORDER BY score DESC)""")
 def w1_w2_ranks(spark, sf):
-    p = pools(spark, sf)
-    return p.select("pool", "member", ranking.average_rank_desc("score", "pool").alias("avg_rank"), ranking.ordinal_rank("score", "tb", "pool").alias("rank"))
+    p = prefix.ranks(pools(spark, sf).select("pool", "member", "score", "tb"), ["pool"], "score", ["tb", "member"])
+    return p.select("pool", "member", "avg_rank", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""WITH {POOLS}, r AS (SELECT *, rank() OVER (PARTITION BY pool ORDER BY score DESC) + (count(*) OVER (PARTITION BY pool, score) - 1) / 2.0 AS ar, row_number() OVER (PARTITION BY pool ORDER BY score DESC, tb) AS rn FROM pools), k(k) AS (VALUES (1), (3), (5), (10))
@@ -38,7 +38,7 @@ def t1_t2_r4_two_stage_grid(spark, sf):
 @query(f"""WITH {POOLS}, r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY first_score DESC, tb) AS r1 FROM pools), p AS (SELECT *, r1 <= 10 AS retrieved FROM r)
 SELECT pool, member, (CASE WHEN retrieved THEN row_number() OVER (PARTITION BY pool, retrieved ORDER BY score DESC, tb) ELSE r1 END)::INTEGER AS place FROM p""")
 def w7_two_block_ranks(spark, sf):
-    return ranking.two_block_rank(pools(spark, sf), 10).select("pool", "member", "place")
+    return ranking.two_block_rank(pools(spark, sf), 10).select("pool", "member", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH {POOLS}, d AS (SELECT *, {H.format("'sim|' || b || '|' || member")} AS t FROM pools, range(200) x(b)), r AS (SELECT *, row_number() OVER (PARTITION BY pool, b ORDER BY first_score DESC, t, member) AS r1 FROM d),
@@ -58,7 +58,7 @@ SELECT k, count(*) AS n, count(*) FILTER ((rank <= k) <> (other_rank <= k)) AS f
 count(*) FILTER (rank <= k AND other_rank > k) - count(*) FILTER (rank > k AND other_rank <= k) AS net, count(*) FILTER (rank <= k AND other_rank <= k) AS both_in, count(*) FILTER (rank > k AND other_rank > k) AS both_out FROM r, k GROUP BY k""")
 def w4_r7_a13_p9_flips(spark, sf):
     other = F.pmod(hash_int(F.lit("alt"), F.col("member")), F.lit(21)) / 20.0
-    return ranking.counterfactual_flips(pools(spark, sf), other, [1, 3, 5])
+    return ranking.shortlist_flips(pools(spark, sf), other, [1, 3, 5])
 
 
 RANKED = f"""{POOLS}, r AS (SELECT *, rank() OVER (PARTITION BY pool ORDER BY score DESC) + (count(*) OVER (PARTITION BY pool, score) - 1) / 2.0 AS ar FROM pools), i AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY ar, member) AS i, min(ar) OVER (PARTITION BY pool) AS best FROM r),

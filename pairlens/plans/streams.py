@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import six
+from ..operators import prefix
 from ..streaming import budget
 from .fixtures import table
 from .registry import query
@@ -29,8 +28,9 @@ def x6_stalls(spark, sf):
 @query("""WITH p AS (SELECT event_type, ts, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY event_type) AS total FROM events), s AS (SELECT event_type, floor(4 * done / total)::INTEGER AS step, ts FROM p)
 SELECT event_type, step, epoch_us(min(ts)) AS at FROM s WHERE step > 0 GROUP BY ALL""")
 def x5_x7_milestones(spark, sf):
-    w = Window.partitionBy("event_type")
-    p = events(spark, sf).select("event_type", "ts", F.row_number().over(w.orderBy("ts", "event_id")).alias("done"), F.count(F.lit(1)).over(w).alias("total"))
+    e = events(spark, sf).select("event_type", "ts", "event_id")
+    total = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"))
+    p = prefix.ranks(e, ["event_type"], "ts", ["event_id"], descending=False).withColumnRenamed("rank", "done").join(total, "event_type")
     return budget.milestones(p, F.col("total"), 4, "event_type").select("event_type", "step", F.unix_micros("at").alias("at"))
 
 
@@ -52,9 +52,6 @@ def x6_sessions(spark, sf):
 
 @query("""WITH r AS (SELECT user_id, event_id, value, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events) SELECT user_id, event_id, round(total, 4) AS total, floor(total / 500)::BIGINT AS batch FROM r""")
 def w10_x8_running_total(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = events(spark, sf).select("user_id", "event_id", F.sum("value").over(w).alias("total"))
+    e = events(spark, sf).select("user_id", "event_id", "ts", "value")
+    r = prefix.running(e, ["user_id"], ["ts", "event_id"], {"before": "value"}).withColumn("total", F.col("before") + F.coalesce("value", F.lit(0.0)))
     return r.select("user_id", "event_id", F.round("total", 4).alias("total"), F.floor(F.col("total") / 500).alias("batch"))
-
-
-_ = six
