@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prefix
-from ..streaming import budget
+from ..streaming import budget, monitor
 from .fixtures import table
 from .registry import query
 from .shares import rounded
@@ -55,3 +55,16 @@ def w10_x8_running_total(spark, sf):
     e = events(spark, sf).select("user_id", "event_id", "ts", "value")
     r = prefix.running(e, ["user_id"], ["ts", "event_id"], {"before": "value"}).withColumn("total", F.col("before") + F.coalesce("value", F.lit(0.0)))
     return r.select("user_id", "event_id", F.round("total", 4).alias("total"), F.floor(F.col("total") / 500).alias("batch"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY user_id) AS total, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events),
+s AS (SELECT user_id::VARCHAR AS job, ts, done, total, after, CASE WHEN done = total THEN 'finished' WHEN event_type = 'error' THEN 'FAILED' ELSE 'running' END AS status FROM n),
+e AS (SELECT job, 'done ' || q AS event, ts FROM s, (SELECT unnest([25, 50, 75, 100]) AS q) WHERE done >= total * q / 100 UNION ALL SELECT job, 'problem', ts FROM s WHERE status = 'FAILED' UNION ALL SELECT job, 'finished', ts FROM s WHERE status = 'finished')
+SELECT job, event, epoch_us(min(ts)) AS at FROM e GROUP BY ALL UNION ALL SELECT job, 'stall', epoch_us(ts) FROM s WHERE status = 'running' AND after > ts + INTERVAL 12 HOUR""")
+def x2_x6_s28_status_events(spark, sf):
+    """Users' events as the statuses of jobs: what a monitor says of them, each once, and the silences of running ones."""
+    e = events(spark, sf).select("user_id", "ts", "event_id", "event_type")
+    n = prefix.ranks(e, ["user_id"], "ts", ["event_id"], descending=False).join(e.groupBy("user_id").agg(F.count(F.lit(1)).alias("total")), "user_id")
+    status = F.when(F.col("rank") == F.col("total"), "finished").when(F.col("event_type") == "error", "FAILED").otherwise("running")
+    s = n.select(F.col("user_id").cast("string").alias("job"), status.alias("status"), F.lit(None).cast("string").alias("canary"), F.col("rank").alias("done"), "total", F.col("ts").alias("updated"))
+    return monitor.watched(s, 12 * 3600).select("job", "event", F.unix_micros("at").alias("at"))
