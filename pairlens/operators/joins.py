@@ -11,7 +11,7 @@ from ..functions.text import match_case, pronoun_gender, swap_pronouns, title_of
 
 class Violation(ValueError):
     """An integrity constraint does not hold."""
-from .prefix import nearest  # noqa: F401  (a join by value)
+from .prefix import nearest, running  # noqa: F401  (nearest is a join by value)
 
 
 def must_be_empty(violations: DataFrame, message: str) -> None:
@@ -113,3 +113,27 @@ def forms(docs: DataFrame, names: DataFrame, surnames: list[str], seed: str, mod
     d = d.withColumn("mode", F.when(swapped, "swap").when(F.lit(mode != "swap") & drawn.isNotNull(), "inject")).withColumn("__n", drawn)
     pair = lambda kept, name, body: F.when(F.col("mode") == "swap", F.when(F.col("gender") == kept, F.col(text)).otherwise(F.col("__other"))).when(F.col("mode") == "inject", title_of(body, F.col(f"__n.{name}"), sur))
     return d.select(key, "mode", pair("M", "name", masculine).alias("male_text"), pair("F", "twin", feminine).alias("female_text"))
+
+
+def banked(triples: DataFrame, banks: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """``triples`` with each bank's score, null where it has none; a bank that has a key twice is an error, as its score would be a guess."""
+    out = triples
+    for name, bank in banks.items():
+        once = bank.groupBy(*key).agg(F.min(name).alias(name), F.count(F.lit(1)).alias("__n"))
+        once = once.select(*key, F.when(F.col("__n") > 1, F.raise_error(F.concat_ws(" ", F.lit(f"{name} is there more than once for"), *[F.col(k).cast("string") for k in key])).cast(bank.schema[name].dataType)).otherwise(F.col(name)).alias(name))
+        out = out.join(once, key, "left")
+    return out
+
+
+def cross_half_wins(left: DataFrame, right: DataFrame, cell: list[str], value: str) -> DataFrame:
+    """By cell: ``pairs``, all left times all right rows, and ``half``, 2 for each pair that left wins and 1 for each tie.
+
+    The pairs are never made: rows are counted by value, and a running count of the right ones says how many each left value beats.
+    Cells without rows on both sides have no row.
+    """
+    one = left.filter(F.col(value).isNotNull()).groupBy(*cell, value).agg(F.count(F.lit(1)).alias("__l"), F.lit(0).cast("long").alias("__r"))
+    two = right.filter(F.col(value).isNotNull()).groupBy(*cell, value).agg(F.lit(0).cast("long").alias("__l"), F.count(F.lit(1)).alias("__r"))
+    counts = one.unionByName(two).groupBy(*cell, value).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
+    r = running(counts, cell, [value], {"__below": "__r"})
+    g = r.groupBy(*cell).agg((F.sum("__l") * F.sum("__r")).alias("pairs"), F.sum(F.col("__l") * (2 * F.col("__below") + F.col("__r"))).alias("half"))
+    return g.filter("pairs > 0")

@@ -50,8 +50,13 @@ def duplicates(prints: DataFrame, name: str) -> DataFrame:
     return prints.groupBy("n", "f1", "f2").agg(F.count(F.lit(1)).alias("members"), F.min(name).alias("stays")).filter("members > 1").select("stays", "members")
 
 
-def scale_match(stats: DataFrame) -> Column:
-    """Are two runs on one scale: slope near 1, correlation high, medians close."""
+def scale_statistics(both: DataFrame, x: str, y: str, *by: str) -> DataFrame:
+    """What ``scale_match`` looks at, of two runs' values for the same keys."""
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.corr(x, y).alias("r"), (F.median(y) - F.median(x)).alias("median_shift"), (F.max(x) - F.min(x)).alias("range"))
+
+
+def scale_match() -> Column:
+    """Are two runs on one scale: slope near 1, correlation high, medians close. On ``scale_statistics``."""
     return F.col("slope").between(0.8, 1.25) & (F.col("r") >= 0.9) & (F.abs("median_shift") <= 0.1 * F.col("range"))
 
 

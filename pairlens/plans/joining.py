@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, decimal, hash_int, significant, six, stars
-from ..operators import joins, prefix, reconcile, sampling
+from ..operators import embedding, joins, prefix, reconcile, sampling
 from .fixtures import BAND, H, PAIRS, POOLS, labels, pairs, pools, table
 from .registry import query
 from .shares import rounded
@@ -74,7 +74,8 @@ def a26_fingerprint(spark, sf):
     return f.select("model", "n", F.col("f1").cast("double").alias("f1"), F.col("f2").cast("double").alias("f2"))
 
 
-@query("""WITH m AS (SELECT 'x' AS model, * FROM supplier UNION ALL SELECT 'y', * FROM supplier UNION ALL SELECT 'z', * FROM supplier WHERE s_suppkey > 5) SELECT 'x' AS stays, 2::BIGINT AS members""")
+@query("""WITH m AS (SELECT 'x' AS model, * FROM supplier UNION ALL SELECT 'y', * FROM supplier UNION ALL SELECT 'z', * FROM supplier WHERE s_suppkey > 5), k AS (SELECT model, md5(string_agg(s_suppkey || '|' || s_name, ';' ORDER BY s_suppkey, s_name)) AS k FROM m GROUP BY model)
+SELECT min(model) AS stays, count(*) AS members FROM k GROUP BY k HAVING count(*) > 1""")
 def a27_duplicates(spark, sf):
     s = table(spark, sf, "supplier")
     m = s.withColumn("model", F.lit("x")).unionByName(s.withColumn("model", F.lit("y"))).unionByName(s.filter("s_suppkey > 5").withColumn("model", F.lit("z")))
@@ -268,7 +269,7 @@ def math_rounding(spark, sf):
     return table(spark, sf, "part").select("p_partkey", six(x / 997).alias("x"), stars(x / 99999).alias("stars"), six(significant(x)).alias("sig4"))
 
 
-@query()
+@query("""WITH f AS (SELECT p_partkey, p_retailprice AS x, p_retailprice::FLOAT::DOUBLE AS f, pow(2.0, floor(log2(p_retailprice::FLOAT::DOUBLE)) - 7) AS unit FROM part) SELECT p_partkey, round_even(f / unit, 0) * unit AS rounded, round_even(f / unit, 0) * unit = x AS exact FROM f""")
 def z4_p15_bf16(spark, sf):
     from ..functions.scalars import bf16
 
@@ -276,14 +277,52 @@ def z4_p15_bf16(spark, sf):
     return table(spark, sf, "part").select("p_partkey", bf16(x).alias("rounded"), (bf16(x) == x).alias("exact"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), c AS (SELECT label, list_transform(range(1, 65), lambda i: 0.0) AS z FROM e GROUP BY label) SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 5) AS score FROM e a JOIN e b ON b.vec_id = (SELECT min(vec_id) FROM e)""")
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT label, arg_min(v, vec_id) AS q FROM e WHERE label IS NOT NULL GROUP BY label), s AS (SELECT vec_id, e.label AS own, q.label, list_dot_product(v, q.q) AS score FROM e, q)
+SELECT vec_id, round(max(score) FILTER (label = own), 5) AS own_score, round(max(score), 5) AS best_score, count(*) AS queries FROM s GROUP BY vec_id""")
 def s27_embedding_scores(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    probe = e.orderBy("vec_id").limit(1).select(F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return e.crossJoin(F.broadcast(probe)).select("vec_id", F.round(dot, 5).alias("score"))
+    """Every vector against the query of each label, its first vector: own label's score, and the best."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    queries = e.filter("label is not null").groupBy("label").agg(F.min_by("v", "vec_id").alias("v"))
+    got = embedding.scored_against(e, queries, "vec_id", "label")
+    return got.select("vec_id", F.round("own_score", 5).alias("own_score"), F.round("best_score", 5).alias("best_score"), "queries")
 
 
 @query(f"""WITH {PAIRS} SELECT model, category, count(*) FILTER (template = 'F') AS f, count(*) FILTER (template = 'O') AS o FROM pairs GROUP BY ALL""")
 def a10_pivot(spark, sf):
     return pairs(spark, sf).groupBy("model", "category").pivot("template", ["F", "O"]).agg(F.count(F.lit(1))).select("model", "category", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT model, cluster, query, a, count(*) AS n FROM pairs GROUP BY ALL), d AS (SELECT model, cluster, query, b, count(*) AS n FROM pairs GROUP BY ALL)
+SELECT model, cluster, query, sum(c.n * d.n)::BIGINT AS pairs, sum(c.n * d.n * CASE WHEN a > b THEN 2 WHEN a = b THEN 1 ELSE 0 END)::BIGINT AS half FROM c JOIN d USING (model, cluster, query) GROUP BY ALL""")
+def j11_cross_in_cells(spark, sf):
+    """Every a of a cell against every b of it: half wins over the whole cross product, from counts of values."""
+    p = pairs(spark, sf)
+    cell = ["model", "cluster", "query"]
+    return joins.cross_half_wins(p.select(*cell, F.col("a").alias("v")), p.select(*cell, F.col("b").alias("v")), cell, "v").select(*cell, "pairs", "half")
+
+
+KEYS = "o_custkey % 50 AS occupation, o_orderpriority AS query_type, o_orderkey % 7 AS name_pair, o_orderstatus AS template"
+
+
+@query(f"""WITH k AS (SELECT {KEYS}, o_orderkey, o_totalprice FROM orders), t AS (SELECT DISTINCT occupation, query_type, name_pair, template FROM k), one AS (SELECT occupation, query_type, name_pair, template, max(o_totalprice) AS first FROM k WHERE o_orderkey % 97 <> 0 GROUP BY ALL), two AS (SELECT occupation, query_type, name_pair, template, min(o_totalprice) AS second FROM k WHERE o_orderkey % 89 <> 0 GROUP BY ALL)
+SELECT template, count(*) AS triples, count(*) FILTER (first IS NULL) AS no_first, count(*) FILTER (second IS NULL) AS no_second, count(*) FILTER (first > second) AS higher, count(*) FILTER (first = second) AS identical FROM t LEFT JOIN one USING (occupation, query_type, name_pair, template) LEFT JOIN two USING (occupation, query_type, name_pair, template) GROUP BY template""")
+def j2_j5_two_banks(spark, sf):
+    """Triples with the scores of two banks by their key of four columns: what each lacks, and where both say the same."""
+    key = ["occupation", "query_type", "name_pair", "template"]
+    k = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("occupation"), F.col("o_orderpriority").alias("query_type"), (F.col("o_orderkey") % 7).alias("name_pair"), F.col("o_orderstatus").alias("template"), "o_orderkey", "o_totalprice")
+    one = k.filter("o_orderkey % 97 <> 0").groupBy(*key).agg(F.max("o_totalprice").alias("first"))
+    two = k.filter("o_orderkey % 89 <> 0").groupBy(*key).agg(F.min("o_totalprice").alias("second"))
+    banks = joins.banked(k.select(*key).distinct(), {"first": one, "second": two}, key)
+    return banks.groupBy("template").agg(
+        F.count(F.lit(1)).alias("triples"), F.count_if(F.col("first").isNull()).alias("no_first"), F.count_if(F.col("second").isNull()).alias("no_second"),
+        F.count_if(F.col("first") > F.col("second")).alias("higher"), F.count_if(F.col("first") == F.col("second")).alias("identical"),
+    )
+
+
+@query(f"""WITH {RUNS}, b AS (SELECT pool, o.d AS x, t.d * 1.02 + 0.01 AS y FROM one o JOIN two t USING (pool, member)), s AS (SELECT pool, count(*) AS n, regr_slope(y, x) AS slope, corr(x, y) AS r, median(y) - median(x) AS shift, max(x) - min(x) AS range FROM b GROUP BY pool)
+SELECT pool, n, round(slope, 6) AS slope, round(r, 6) AS r, slope BETWEEN 0.8 AND 1.25 AND r >= 0.9 AND abs(shift) <= 0.1 * range AS same_scale FROM s""")
+def c6_scale_match(spark, sf):
+    """Are two runs of a pool on one scale?"""
+    one, two = runs(spark, sf)
+    both = one.withColumnRenamed("d", "x").join(two.select("pool", "member", (F.col("d") * 1.02 + 0.01).alias("y")), ["pool", "member"])
+    return rounded(reconcile.scale_statistics(both, "x", "y", "pool").withColumn("same_scale", reconcile.scale_match()).select("pool", "n", "slope", "r", "same_scale"), "slope", "r")

@@ -125,23 +125,23 @@ def h1_w11_holm(spark, sf):
     return rounded(tests.bonferroni(tests.holm(p, "p", "key"), "p"), "p", "p_holm", "p_bonferroni")
 
 
-FACT = "CASE WHEN b + c = 0 THEN 1.0 WHEN b + c <= 20 THEN least(1.0, 2.0 * (SELECT sum(factorial(b + c)::DOUBLE / (factorial(i::INTEGER)::DOUBLE * factorial((b + c - i)::INTEGER)::DOUBLE)) FROM range(0, least(b, c) + 1) t(i)) / pow(2.0, b + c)) END"
+#: The exact p from logarithms of the counts of outcomes, the largest taken out before they are added.
+LOGS = "list_transform(range(0, least(b, c) + 1), lambda i: lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::DOUBLE))"
+FACT = "CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2.0 * exp(list_max(l)) * list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) END"
 
 
-@query(f"""WITH {POOLS}, g AS (SELECT pool, (count(*) FILTER (marked AND score > 0.9))::INTEGER AS b, (count(*) FILTER (NOT marked AND score > 0.9))::INTEGER AS c FROM pools GROUP BY pool) SELECT pool, b::BIGINT AS b, c::BIGINT AS c, round({FACT}, 6) AS p FROM g""")
+@query(f"""WITH {POOLS}, g AS (SELECT pool, (count(*) FILTER (marked AND score > 0.9))::INTEGER AS b, (count(*) FILTER (NOT marked AND score > 0.9))::INTEGER AS c FROM pools GROUP BY pool) SELECT pool, b::BIGINT AS b, c::BIGINT AS c, round({FACT}, 6) AS p FROM (SELECT *, {LOGS} AS l FROM g)""")
 def h6_h7_mcnemar(spark, sf):
     p = pools(spark, sf).groupBy("pool").agg(F.count_if(F.col("marked") & (F.col("score") > 0.9)).alias("b"), F.count_if(~F.col("marked") & (F.col("score") > 0.9)).alias("c"))
     return p.select("pool", "b", "c", six(tests.mcnemar(F.col("b"), F.col("c"))).alias("p"))
 
 
+@query(f"WITH {PAIRS}, g AS (SELECT model, count(*) FILTER (a > b) AS b, count(*) FILTER (a < b) AS c FROM pairs GROUP BY model), l AS (SELECT *, {LOGS} AS l FROM g) SELECT model, b, c, round({FACT}, 6) AS p FROM l")
 def h6_mcnemar_any_size(spark, sf):
     p = pairs(spark, sf).groupBy("model").agg(F.count_if(F.expr("a > b")).alias("b"), F.count_if(F.expr("a < b")).alias("c"))
     return p.select("model", "b", "c", six(tests.mcnemar(F.col("b"), F.col("c"))).alias("p"))
 
 
-query()(h6_mcnemar_any_size)
-
-
 TAIL = "(0.254829592 + e * (-0.284496736 + e * (1.421413741 + e * (-1.453152027 + e * 1.061405429)))) * e"  # of the normal's two-sided p
 
 
