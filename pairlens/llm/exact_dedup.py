@@ -54,19 +54,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise=None) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise=None, hash_text=content_hash) -> DataFrame:
+    """``docs`` with one row of each text, the one ``exact_dedup`` keeps; all columns stay.
 
-    Of rows repeated with the same id and text one stays. Rows with a null id stay if they are not the copy
-    of a row with an id, one for each text.
+    A row goes or stays by its id and its text together, so an id that stands for several texts loses only the ones that
+    another id keeps. Of rows repeated with the same id and text one stays. Rows with a null id stay if they are not
+    the copy of a row with an id, one for each text. Null text counts as empty.
     """
-    said = written(exact_dedup(docs, id_col, text_col, keep, normalise), "exact")
-    gone = said.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    null_gone = not said.filter(F.col(id_col).isNull() & ~F.col("kept")).isEmpty()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sha = F.sha2(normalise(text) if normalise else text, 256)
+    said = written(exact_dedup(docs, id_col, text_col, keep, normalise, hash_text), "exact")
+    gone = said.filter(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
     again = not said.filter("kept").groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty()
-    out = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    if null_gone:  # null ids can't be told apart by id
-        sha = F.sha2((normalise or (lambda t: t))(F.coalesce(F.col(text_col), F.lit(""))), 256)
-        named = said.filter(F.col(id_col).isNotNull()).select(F.col("text_sha256").alias("__sha")).distinct()
-        out = out.join(named, F.col(id_col).isNull() & (sha == F.col("__sha")), "left_anti")
-    return out.dropDuplicates([id_col, text_col]) if again else out
+    rows = docs.withColumn("__own", sha)
+    out = rows.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__sha")), "left_anti")
+    return (out.dropDuplicates([id_col, "__own"]) if again else out).drop("__own")

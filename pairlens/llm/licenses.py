@@ -56,7 +56,7 @@ The above copyright notice and this permission notice shall be included in all c
         "Released under the MIT License",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Released under the Mozilla Public License 2.0"],
-    "Proprietary": ["All rights reserved. Unauthorized copying is prohibited", "Proprietary and confidential. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited"],
+    "Proprietary": ["Proprietary and confidential. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited"],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Released under the Unlicense"],
 }
 TEMPLATES = {k: [*texts, f"SPDX-License-Identifier: {k}"] for k, texts in TEXTS.items()}
@@ -85,7 +85,7 @@ def weights(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[tuple[str
 
 
 def best_template(texts: DataFrame, text: str, least: float, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """``text, licence, score`` of the distinct texts that reach ``least``; of equal scores the first name.
+    """``k, licence, score`` of the distinct texts that reach ``least``, k the MD5 of the text; of equal scores the first name.
 
     The templates' weights are a fixed table of some thousand rows, the only thing broadcast.
     """
@@ -93,13 +93,14 @@ def best_template(texts: DataFrame, text: str, least: float, templates: dict[str
     rows, idf, other = weights(templates)
     table = F.broadcast(spark.createDataFrame(rows, "licence string, v int, t string, w double"))
     words = F.broadcast(spark.createDataFrame(sorted(idf.items()), "t string, idf double"))
-    one = texts.select(text).distinct()
-    tf = one.select(text, F.explode(_tokens(F.col(text))).alias("t")).groupBy(text, "t").agg(F.count(F.lit(1)).alias("n"))
-    weighed = tf.join(words, "t", "left").select(text, "t", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("x"))
-    norm = weighed.groupBy(text).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(table, "t").groupBy(text, "licence", "v").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = dots.join(norm, text).select(text, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
-    return scored.groupBy(text).agg(F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("licence"), F.max("score").alias("score"))
+    # a text travels once, to be made distinct; its tokens carry its 128 bits alone, so the work grows with its length
+    one = texts.select(F.unhex(F.md5(text)).alias("k"), F.col(text).alias("__text")).dropDuplicates(["k"])
+    tf = one.select("k", F.explode(_tokens(F.col("__text"))).alias("t")).groupBy("k", "t").agg(F.count(F.lit(1)).alias("n"))
+    weighed = tf.join(words, "t", "left").select("k", "t", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("x"))
+    norm = weighed.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(table, "t").groupBy("k", "licence", "v").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scored = dots.join(norm, "k").select("k", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
+    return scored.groupBy("k").agg(F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("licence"), F.max("score").alias("score"))
 
 
 def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
@@ -121,7 +122,7 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     lines = f.filter(F.col("text").rlike(HEADER)).select("key", F.explode(blocks).alias("line")).filter(F.col("line").rlike(HEADER)).distinct()
     whole = f.filter(is_file).select("key", F.col("text").alias("line")).distinct()
     scored = best_template(lines.select("line").unionByName(whole.select("line")), "line", least)
-    of = lambda x, via: x.join(scored, "line").select("key", "licence", "score", F.lit(via).alias("via"))
+    of = lambda x, via: x.select("key", F.unhex(F.md5("line")).alias("k")).join(scored, "k").select("key", "licence", "score", F.lit(via).alias("via"))
     best = F.struct(-F.col("score"), "licence")
     own = of(lines, "header").unionByName(of(whole, "file")).groupBy("key").agg(F.min_by(F.struct("licence", "score", "via"), F.struct(-F.col("score"), F.col("via"), F.col("licence"))).alias("own"))
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), ""))

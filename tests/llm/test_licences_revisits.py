@@ -121,3 +121,23 @@ def test_sql(spark, name):
     names = [d[0] for d in res.description]
     want = Counter(tuple(str(r[names.index(c)]) for c in cols) for r in res.fetchall())
     assert Counter(tuple(str(r[c]) for c in cols) for r in df.collect()) == want and sorted(names) == cols
+
+
+def test_work_grows_with_a_texts_length(spark):
+    """One paragraph of 200,000 words that names a licence; the time of a tenth of it bounds it."""
+    import time
+
+    def took(n):
+        files = spark.createDataFrame([(1, "a/x.txt", " ".join(f"w{i % 50_000}" for i in range(n)) + " license Released under the MIT License")], "doc_id long, path string, text string")
+        began = time.perf_counter()
+        assert licenses.licence_scan(files).collect()[0]["licence"] is None  # a line in a sea of other words
+        return time.perf_counter() - began
+
+    took(1000)
+    small = took(20_000)
+    assert took(200_000) < 10 * small + 20
+
+
+def test_rights_reserved_alone_is_no_licence():
+    assert named("All rights reserved.")[1] < 0.5
+    assert named("All rights reserved. Unauthorized copying is prohibited.")[0] == "Proprietary" and named("All rights reserved. Unauthorized copying is prohibited.")[1] > 0.5

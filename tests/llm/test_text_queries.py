@@ -188,3 +188,27 @@ def test_what_base_spans_leave_of_a_run_is_scanned(spark):
     got = secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), model).collect()
     found = {r["doc_id"]: [r["text"][x["s"] : x["e"]].strip("/") for x in r["markov"]] for r in got}
     assert found == {0: [token], 1: [token, token[::-1]], 2: [], 3: [token], 4: []}
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_an_id_with_several_texts_loses_only_copies(spark, keep):
+    rows_ = [(3, "B", 1), (7, "A", 2), (7, "B", 3), (7, "A", 4), (None, "A", 5), (None, "C", 6), (None, "C", 7), (8, None, 8), (8, "", 9), (9, None, 10)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, extra int")
+    for weak in (exact_dedup.content_hash, lambda t: F.substring(F.md5(t), 1, 1)):
+        got = exact_dedup.drop_copies(df, keep=keep, hash_text=weak)
+        assert got.columns == df.columns
+        kept = Counter((r["doc_id"], r["text"] or "") for r in got.collect())
+        best = min if keep == "min" else max
+        want = Counter()
+        for t in {t or "" for _, t, _ in rows_}:
+            ids = [i for i, x, _ in rows_ if (x or "") == t and i is not None]
+            want[best(ids) if ids else None, t] += 1
+        assert kept == want
+
+
+def test_pipeline_stage_keeps_the_texts_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(3, "B"), (7, "A"), (7, "B")], "doc_id long, text string")
+    got = corpus_pipeline.drop_exact_copies(spark, df, SF).collect()
+    assert sorted(map(tuple, got)) == [(3, "B"), (7, "A")]
