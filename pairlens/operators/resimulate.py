@@ -26,7 +26,7 @@ def stacked(pairs: DataFrame, pool: list[str], pair: str, scores: dict[str, Colu
 
     ``pairs`` has one row a pool and pair. A pool that holds a pair twice is an error: its slots would not say which name they hold.
     """
-    slot = F.struct(F.col(pair).cast("string").alias("pair"), *[scores[k].cast("double").alias(k) for k in ("first_m", "first_f", "second_m", "second_f")])
+    slot = F.struct(F.col(pair).cast("string").alias("pair"), *[c.cast("double").alias(k) for k, c in scores.items()])
     got = pairs.groupBy(*pool).agg(F.array_sort(F.collect_list(slot)).alias("slots"))
     twice = F.size(F.array_distinct(F.transform("slots", lambda s: s["pair"]))) < F.size("slots")
     return got.withColumn("slots", F.when(twice, F.raise_error(F.lit("a pool holds a pair twice"))).otherwise(F.col("slots")))
@@ -197,6 +197,37 @@ def simulate(pools: DataFrame, pool: str, repeats: int, k: int, s: int, seed: st
     return spread(pools, pool).mapInArrow(run, schema)
 
 
+def replayed(pools: DataFrame, pool: str, repeats: int, k: int, s: int, seed: str) -> DataFrame:
+    """Does a replay of banked scores give the shortlist that live scores of the retrieved documents give?
+
+    ``pools`` as ``stacked``, whose slots also hold live_m and live_f. Each pool's ``kept_replay, kept_live, identical``: marked
+    members kept by either score, and the share of tie-breaks, the same for both, whose shortlists hold the same members.
+    """
+    names = pair_names(pools)
+    others = [c for c in pools.columns if c != "slots"]
+    schema = ", ".join([*(f"`{c}` {pools.schema[c].dataType.simpleString()}" for c in others), "members long, kept_replay double, kept_live double, identical double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches, 2 * len(names)):
+            slots = batch.column("slots").to_pylist()
+            pool_names = [str(x) for x in batch.column(pool).to_pylist()]
+            bank = Block(slots, names, pool_names, seed, repeats)
+            live = Block([[{**x, "second_m": x["live_m"], "second_f": x["live_f"]} for x in p] for p in slots], names, pool_names, seed, 0)
+            lists = []
+            for second in (bank.second, live.second):
+                e, r = _dense(np.where(bank.ok, bank.first, -np.inf)), _dense(np.where(bank.ok, second, -np.inf))
+                inside = np.argsort(e[:, None, :] | bank.tb, axis=2, kind="stable")[:, :, :k]
+                at = np.arange(len(slots))[:, None, None]
+                again = np.argsort(r[at, inside] | np.take_along_axis(bank.tb, inside, 2), axis=2, kind="stable")[:, :, :s]
+                lists.append(np.sort(np.take_along_axis(inside, again, 2), axis=2))
+            good = bank.marked & bank.ok
+            kept = [good[np.arange(len(slots))[:, None, None], x].sum(2).mean(1) for x in lists]
+            same = (lists[0] == lists[1]).all(2).mean(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(bank.ok.sum(1)), *map(pa.array, kept), pa.array(same)], [*others, "members", "kept_replay", "kept_live", "identical"])
+
+    return spread(pools, pool).mapInArrow(run, schema)
+
+
 def leave_one_pair_out(pools: DataFrame, pool: str, by: str, repeats: int, k: int, s: int, seed: str) -> DataFrame:
     """``by, pair, pct_marked``: the share kept without each pair, tie-breaks of the documents that are left as before; null pair: nothing left out."""
     names = pair_names(pools)
