@@ -131,6 +131,16 @@ def apply_spans(text: Column, spans: Column) -> Column:
     return F.aggregate(F.coalesce(backwards, F.array().cast("array<struct<start:int,end:int,by:string>>")), text, lambda t, s: F.overlay(t, s["by"], s["start"] + 1, s["end"] - s["start"]))
 
 
+def checked_spans(text: Column, spans: Column) -> Column:
+    """As ``apply_spans``, of (start, end, by, sha256) spans: one whose text has another digest, or that reaches into the next, stops the job."""
+    ordered = F.array_sort(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,by:string,sha256:string>>")))
+    moved = F.exists(ordered, lambda s: F.sha2(F.substring(text, s["start"] + 1, s["end"] - s["start"]), 256) != s["sha256"])
+    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda x, y: F.coalesce(x["end"] > y["start"], F.lit(False)))
+    edits = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["by"].alias("by")))
+    stop = lambda why: F.raise_error(F.lit(why)).cast("string")
+    return F.when(moved, stop("a span is not where its label says")).when(F.exists(pairs, lambda x: x), stop("spans overlap")).otherwise(apply_spans(text, edits))
+
+
 def title_case(text: Column) -> Column:
     """Capital first letters; words all in capitals stay."""
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(F.upper(w) == w, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))), " ")
