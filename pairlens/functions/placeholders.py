@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 SLOT = re.compile(r"\{\{(.+?)(?:\|([^{}|]*))?\}\}")
 PATH = re.compile(r"\[([^\[\]]+)\]")
-ALLOWED = re.compile(r"[\s\d.+*/()-]*")  # besides paths
-FORMAT = re.compile(r"\.\d+f|d|s")
+ALLOWED = re.compile(r"[\s\d.+*/()-]*\Z")  # besides paths
+FORMAT = re.compile(r"(\.\d+f|d|s)\Z")
 
 
 def path(dotted: str) -> str:
@@ -23,7 +23,7 @@ def value(doc: str, expression: str) -> Column:
 
     Only numbers, ``+ - * /`` and brackets may stand between the paths: SQL's own rules read them, nothing else gets through.
     """
-    if not ALLOWED.fullmatch(PATH.sub("", expression)):
+    if not ALLOWED.match(PATH.sub("", expression)):
         raise ValueError(f"not arithmetic over [paths]: {expression}")
     for p in PATH.findall(expression):
         if "'" in p or "\\" in p:
@@ -37,13 +37,13 @@ def filled(doc: str, template: str) -> Column:
     parts, at = [], 0
     for m in SLOT.finditer(template):
         form = m[2] or "s"
-        if not FORMAT.fullmatch(form):
+        if not FORMAT.match(form):
             raise ValueError(f"unknown format {form}")
         parts.append(F.lit(template[at : m.start()]))
         at = m.end()
         if form == "s":
-            p = PATH.fullmatch(m[1].strip())
-            if not p:
+            p = PATH.match(m[1].strip())
+            if not p or p.end() != len(m[1].strip()):
                 raise ValueError(f"a format is needed for {m[1]}")
             parts.append(F.coalesce(F.try_variant_get(F.col(doc), path(p[1]), "string"), F.raise_error(F.lit(f"unresolved path {p[1]}")).cast("string")))
         elif form == "d":
