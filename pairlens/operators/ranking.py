@@ -12,6 +12,9 @@ from .blocks import hashed
 from .prefix import ranks
 
 
+SALTS = 64
+
+
 def average_rank_desc(score: str, *by: str) -> Column:
     """1 is best; tied scores share their mean rank."""
     w = Window.partitionBy(*by).orderBy(F.desc(score))
@@ -139,12 +142,13 @@ def shortlist_flips(pool: DataFrame, forms: Column, depths: list[int], by: str =
 
     ``forms`` is the counterfactual score. Whether a member is among the best k is decided by the k others ahead of it, so a pool
     is cut to its best ones, one more than the largest depth, before anything is shuffled, and every member is held against
-    that short list. A member is in its pool once; scores and tie-breaks are not null.
+    that short list, which goes out ``SALTS`` times so that a large pool's members are dealt to as many tasks. A member is in its pool once; scores and tie-breaks are not null.
     """
     most = max(depths)
     entry = F.struct((-F.col(score).cast("double")).alias("s"), F.col(tb).alias("t"), F.col(member).alias("m"))
     best = first_of(pool, most + 1, [F.desc(score), F.col(tb)], by).groupBy(by).agg(F.sort_array(F.collect_list(entry)).alias("best"))
-    p = pool.select(by, member, F.struct((-F.col(score).cast("double")).alias("s"), F.col(tb).alias("t")).alias("real"), F.struct((-forms.cast("double")).alias("s"), F.col(tb).alias("t")).alias("other")).join(best, by)
+    best = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    p = pool.select(by, member, F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int").alias("__salt"), F.struct((-F.col(score).cast("double")).alias("s"), F.col(tb).alias("t")).alias("real"), F.struct((-forms.cast("double")).alias("s"), F.col(tb).alias("t")).alias("other")).join(best, [by, "__salt"])
     ahead = lambda x: F.size(F.filter("best", lambda e: (e["m"] != F.col(member)) & ((e["s"] < x["s"]) | ((e["s"] == x["s"]) & (e["t"] < x["t"])))))
     r = p.select(ahead(F.col("real")).alias("a"), ahead(F.col("other")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     grid = pool.sparkSession.createDataFrame([(k,) for k in depths], "k int")
