@@ -21,6 +21,7 @@ MERGES = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False,
 SPACE_MARK = "▁"
 SETTLED = "Ͱ"  # below it, letters, numbers and white space are the same to all Unicode tables
 CHUNK = 1 << 21  # bytes of text at a time
+LONG = 2000  # characters of a word
 
 
 class BytePairs:
@@ -55,6 +56,7 @@ class BytePairs:
 
             ranks = {b: i for i, b in enumerate(self.bytes) if b and i < 256 + len(merged)}
             self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         out: list = [None] * len(texts)
@@ -62,6 +64,9 @@ class BytePairs:
         for i, t in enumerate(texts):
             if self.fast and (t.isascii() or max(t) < SETTLED):
                 out[i] = self.fast.encode_ordinary(t)
+            elif self.fast and len(t) > LONG and max(map(len, t.split()), default=0) > LONG:
+                # the file's own tokenizer takes time with the square of a word's length; its splitter does not
+                out[i] = [x for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(t) for x in self.piece.encode_ordinary(t[a:b])]
             else:
                 slow.append(i)
         if slow:

@@ -1,11 +1,13 @@
 """Token alignment against a plain loop over byte positions."""
 
+import base64
 import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 
 from pairlens.llm import alignment, queries
 
@@ -22,6 +24,10 @@ def plain(texts):
 
     tok, sp = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     tok.encode_special_tokens = True
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # the same vocabulary: only for words so long that the first takes minutes
+    of_text = lambda t: fast.encode_ordinary(t) if max(map(len, t.split()), default=0) > 1500 else tok.encode(t, add_special_tokens=False).ids
     marks = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letter = {chr(b): b for b in marks} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in marks)}
     of_a = lambda i: bytes(letter[c] for c in tok.id_to_token(i))
@@ -32,14 +38,14 @@ def plain(texts):
 
     out, linked = [], []
     for t in texts:
-        a, b = (tok.encode(f" {t}", add_special_tokens=False).ids, sp.encode(t)) if t else ([], [])
+        a, b = (of_text(f" {t}"), sp.encode(t)) if t else ([], [])
         wanted = f" {t}".encode()
         if not t or b"".join(map(of_a, a)) != wanted or b"".join(map(of_b, b)) != wanted:
             out.append(None)
             linked.append({})
             continue
         ends_a, ends_b = np.cumsum([len(of_a(i)) for i in a]), np.cumsum([len(of_b(i)) for i in b])
-        cuts = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
+        cuts = np.intersect1d(ends_a, ends_b)
         groups = defaultdict(lambda: ([], []))
         for side, ids, ends in ((0, a, ends_a), (1, b, ends_b)):
             for i, e in zip(ids, ends.tolist(), strict=True):
@@ -86,7 +92,8 @@ def test_fast_encoder_equals_the_files_own():
     enc = alignment.BytePairs(A)
     assert enc.fast is not None
     texts = [f" a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2\n{chr(c)} \n {chr(c)}'s" for c in range(0x370)]
-    texts += [t or "" for t in documents().values()]
+    texts += [t or "" for t in documents().values() if max(map(len, (t or "").split()), default=0) < 1500]
+    texts += ["日本語" * 800 + " ab。" + "𝄞é" * 1100, " " * 2100 + "語" * 2001 + "1" * 2001 + "'s\n\n x"]
     slow = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert enc(texts) == slow
 
