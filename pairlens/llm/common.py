@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-_folders: dict[str, SparkSession] = {}  # of this driver's applications
+_folders: dict[str, tuple] = {}  # of this driver's applications, with what deletes them after the session has ended
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/pairlens/{spark.sparkContext.applicationId}"
     if folder not in _folders:
-        _folders[folder] = spark
+        _folders[folder] = _hadoop(spark)
         atexit.register(_sweep, folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -55,17 +56,22 @@ def together(tables: list[DataFrame]) -> DataFrame:
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.written_path for t in tables])
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+def _hadoop(spark: SparkSession) -> tuple:
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _delete(hadoop: tuple, path: str) -> None:
+    jvm, settings = hadoop
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(settings).delete(folder, True)
 
 
 def _sweep(folder: str) -> None:
-    """At the driver's end: all tables of the application, if its context still runs."""
-    spark = _folders.pop(folder)
-    if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc().isStopped() is False:
-        _delete(spark, folder)
+    """At the driver's end: all tables of the application, whether or not the session was stopped before."""
+    try:
+        _delete(_folders.pop(folder), folder)
+    except (Py4JError, OSError):  # the JVM has ended already
+        pass
 
 
 def forget(spark: SparkSession) -> None:
@@ -79,4 +85,4 @@ def forget(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` once all that is made from them is written itself."""
     for df in tables:
-        _delete(df.sparkSession, df.written_path)
+        _delete(_hadoop(df.sparkSession), df.written_path)

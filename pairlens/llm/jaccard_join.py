@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bloom import Filter
-from .common import forget, together, written
+from .common import discard, forget, together, written
 from .components import components
 
 U = K.U
@@ -123,7 +123,7 @@ def names(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 128, rounds: int = 2, hubs_each: int = 3, most_bits: int = 8192) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 128, rounds: int = 2, hubs_each: int = 3, most_bits: int = 8192, block: int = 1000) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least p / q of their word shingles.
 
     One row per document: ``id, n_shingles, component_id``, the smallest id reachable by links, itself
@@ -134,7 +134,9 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     compared with the members outside the largest class of its segment, and only if sizes and
     the sketches' Hamming distance, which is never more than the sets' difference, allow a link: sketches as long as
     the sets leave hardly more than the pairs close to the threshold. Every
-    comparison is of whole sets. Classes are connected components of the links found; links inside a class
+    comparison is of whole sets. No segment is one task's: its members are dealt over parts of about ``block``, what
+    is said of the segment goes to every part, and the last comparison is of parts with parts, each pair of parts a group of
+    its own. Classes are connected components of the links found; links inside a class
     that could not change it are not looked for.
 
     A text without words (null, empty) has no shingles, links with nothing and is its own component. A null id
@@ -176,6 +178,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     often = written(src.mapInArrow(all_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "keys")
     forget(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Filter(often, "key", most_filter_mb))
+    discard(often)
 
     def rows_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["id", "n", "node", "key", "band", "spare"]
@@ -193,14 +196,20 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     rows = scanned.filter(F.col("key").isNull()).drop("key", "band", "spare")
     keys = scanned.filter(F.col("key").isNotNull()).select("key", "node", "band", "spare")
 
-    met = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n")).filter("hub < top").select("key", "n")
+    # ``of``: how often a key occurs, at least the number of its nodes, by which they are dealt over parts
+    parts = lambda number: F.floor(number / F.lit(block)).cast("int")
+    part = lambda number, *seed: F.pmod(F.xxhash64("node", *seed), parts(number) + 1).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), parts(number)))
+    met = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("of")).filter("hub < top").select("key", "of")
+    met = written(met, "met")  # so the join is of two plain exchanges, which Spark can split
     # A linked pair shares more than ``spare`` keys, so its rarest shared key is among none's ``spare`` most frequent ones:
     # each node leaves these out, the keys of common phrases before all others.
-    by_frequency = Window.partitionBy("node", "band").orderBy(F.desc("n"), "key")
-    few = keys.join(met, "key").distinct().withColumn("at", F.row_number().over(by_frequency)).filter("at > spare").select("key", "node", "band")
+    by_frequency = Window.partitionBy("node", "band").orderBy(F.desc("of"), "key")
+    few = keys.join(met, "key").distinct().withColumn("at", F.row_number().over(by_frequency)).filter("at > spare").select("key", "node", "band", "of", part(F.col("of")).alias("part"))
     few = written(few, "rare-keys")
-    met = few.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key")
-    meets = written(few.join(met, "key", "left_semi"), "meetings")
+    still = few.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.max("of").alias("of")).filter("hub < top")
+    meets = written(few.join(still.select("key", every(F.col("of")).alias("part")), ["key", "part"], "left_semi"), "meetings")
+    discard(met, few)
     forget(docs.sparkSession)
 
     # whole sets and folded sketches of the nodes that meet any other, from one row of each
@@ -258,20 +267,19 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         near = pairs.join(one("a"), "a").join(one("b"), "b").filter(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
         return near.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
-    def open_keys(known: DataFrame) -> DataFrame:
-        """Meetings whose nodes are in different classes as yet, with the nodes' classes."""
-        placed = meets.join(known, "node", "left").select("key", "node", "band", F.coalesce("component", "node").alias("component"))
-        apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        return placed.join(apart, "key", "left_semi")
+    def open_keys(known: DataFrame, turn: int) -> DataFrame:
+        """Meetings whose nodes are in different classes as yet, with the nodes' classes and one of the key's nodes as its hub."""
+        placed = meets.join(known, "node", "left").select("key", "part", "node", "band", "of", F.coalesce("component", "node").alias("component"))
+        hub = F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(turn))).alias("hub")
+        apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("of").alias("of"), hub).filter("x < y")
+        return placed.join(apart.select("key", "hub", every(F.col("of")).alias("part")), ["key", "part"])
 
     spark = docs.sparkSession
     known = spark.createDataFrame([], "node long, component long")
     none = written(spark.createDataFrame([], "a long, b long"), "links")
     links, tried = [none], [none]
     for turn in range(rounds):
-        here = open_keys(known)
-        hubs = here.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(turn))).alias("hub"))
-        meet = here.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("v"))
+        meet = open_keys(known, turn).filter(F.col("component") != F.col("hub.component")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("v"))
         best = Window.partitionBy("node").orderBy(F.desc("v"), F.xxhash64("node", "hub"))
         star = meet.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= hubs_each).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         star = written(star.join(together(tried), ["a", "b"], "left_anti"), "stars")
@@ -285,30 +293,43 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     facts = whole.select("node", "n", *[f"s{j}" for j in range(WORDS)], "own", "here", "next")
 
     def apart(left: DataFrame) -> DataFrame:
-        """Pairs of nodes of different classes that meet in ``left`` and whose sizes and sketches allow a link."""
-        by_class = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        largest = by_class.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
-        left = left.join(largest, "key").join(facts, "node").withColumn("sketch", F.when(F.col("band") == F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("own", "here", "next", "band")
-        left = written(left.withColumn("inner", F.col("component") == F.col("largest")).drop("largest"), "open-sketches")
-        side = lambda c: left.select("key", *[F.col(x).alias(f"{c}_{x}") for x in left.columns if x != "key"])
+        """Pairs, not tried as yet, of nodes of different classes that meet in ``left`` and whose sizes and sketches allow a link."""
+        by_class = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.max("of").alias("of"))
+        of_key = by_class.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("members"), (F.sum("m") - F.max("m")).alias("outer"), F.max("of").alias("of"))
+        left = left.join(of_key.select("key", "largest", "members", "outer", every(F.col("of")).alias("part")), ["key", "part"]).drop("part", "of")
+        left = left.join(facts, "node").withColumn("sketch", F.when(F.col("band") == F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("own", "here", "next", "band")
+        left = left.withColumn("inner", F.col("component") == F.col("largest")).withColumn("at_l", part(F.col("members"))).withColumn("at_r", part(F.col("outer"), F.lit(1))).drop("largest")
+        left = written(left, "open-sketches")
+
+        def side(c: str, df: DataFrame) -> DataFrame:
+            return df.select(*[F.col(x).alias(f"{c}_{x}") for x in left.columns if x not in ("members", "outer")])
+
+        # a member meets the parts of all outer members of its key, each pair of parts where it is dealt to
+        l = side("l", left.withColumn("at_r", every(F.col("outer"))))
+        r = side("r", left.filter("not inner").withColumn("at_l", every(F.col("members"))))  # of the largest class of a key no two members meet
         gap = sum((F.bit_count(F.col(f"l_s{j}").bitwiseXOR(F.col(f"r_s{j}"))) for j in range(WORDS)), F.lit(0))
         whole_gap = F.aggregate(F.zip_with("l_sketch", "r_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        l, r = side("l"), side("r").filter("not r_inner")  # of the largest class of a key no two members meet
         possible = (
-            (l["key"] == r["key"])
+            (F.col("l_key") == F.col("r_key"))
+            & (F.col("l_at_l") == F.col("r_at_l"))
+            & (F.col("l_at_r") == F.col("r_at_r"))
             & (F.col("l_component") != F.col("r_component"))
             & (F.col("l_inner") | (F.col("l_node") < F.col("r_node")))
             & (F.least("l_n", "r_n") * q >= F.greatest("l_n", "r_n") * p)
             & (gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
             & (whole_gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
         )
-        return l.join(r, possible).select(F.least("l_node", "r_node").alias("b"), F.greatest("l_node", "r_node").alias("a")).distinct()
+        pairs = l.join(r, possible).select(F.least("l_node", "r_node").alias("b"), F.greatest("l_node", "r_node").alias("a")).distinct()
+        rest = written(pairs.join(together(tried), ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        discard(left)
+        return rest
 
     # A linked pair mostly shares several keys: an eighth of the keys finds most links, and what they bring into one class
     # is not compared again. Then all keys, whatever is open.
     for share in (8, 1):
-        left = open_keys(known).filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
-        rest = written(apart(written(left, "open")).join(together(tried), ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        left = written(open_keys(known, rounds).filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).drop("hub"), "open")
+        rest = apart(left)
+        discard(left)
         tried.append(rest)
         links.append(written(linked(rest), "links"))
         known = written(components(together(links)), "classes")

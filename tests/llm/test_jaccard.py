@@ -66,6 +66,20 @@ def test_classes(spark, n, p):
     assert Counter(map(tuple, got)) == brute(docs, n, p, 100)
 
 
+def test_a_thousand_near_texts_without_links(spark):
+    """One phrase in all of them, so that they meet, but hardly any link: parts meet parts, none is left out."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    base = rnd.choices(words, k=60)
+    docs = [(i, " ".join(base[: rnd.choice([38, 40])] + rnd.choices(words, k=rnd.choice([12, 14])))) for i in range(1000)]
+    docs += [(1000 + i, docs[17 * i][1] + " " + rnd.choice(words)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 5, 80, 100)
+    assert 900 < len({c for _, _, c in want}) <= 1010
+    for block in (1000, 64):
+        assert Counter(map(tuple, jaccard_join.similar_classes(df, block=block).collect())) == want
+
+
 def test_query_and_hard_rows(spark):
     assert Counter(map(tuple, queries.op9_jaccard_join(spark, SF).collect())) == brute(documents().items(), 3, 90, 100)
     assert Counter(map(tuple, jaccard_join.similar_classes(hard(spark), 3, 90).collect())) == brute(HARD, 3, 90, 100)
