@@ -277,7 +277,12 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     spark = docs.sparkSession
     known = spark.createDataFrame([], "node long, component long")
     none = written(spark.createDataFrame([], "a long, b long"), "links")
-    links, tried = [none], [none]
+    tried = [none]
+
+    def merged(known: DataFrame, new: DataFrame) -> DataFrame:
+        """The classes after new links: those known are stars already, so only they and the new links are gone through."""
+        return written(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "classes")
+
     for turn in range(rounds):
         meet = open_keys(known, turn).filter(F.col("component") != F.col("hub.component")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("v"))
         best = Window.partitionBy("node").orderBy(F.desc("v"), F.xxhash64("node", "hub"))
@@ -287,8 +292,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         new = written(linked(star), "links")
         if new.isEmpty():
             break
-        links.append(new)
-        known = written(components(together(links)), "classes")
+        known = merged(known, new)
 
     facts = whole.select("node", "n", *[f"s{j}" for j in range(WORDS)], "own", "here", "next")
 
@@ -331,8 +335,9 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         rest = apart(left)
         discard(left)
         tried.append(rest)
-        links.append(written(linked(rest), "links"))
-        known = written(components(together(links)), "classes")
+        new = written(linked(rest), "links")
+        if not new.isEmpty():
+            known = merged(known, new)
     # a class's smallest id by way of its nodes, so that rows are joined by node alone and never gathered by class
     nodes = smallest.join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
     best = nodes.groupBy("c").agg(F.min("id").alias("best"))
