@@ -134,7 +134,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     compared with the members outside the largest class of its segment, and only if sizes and
     the sketches' Hamming distance, which is never more than the sets' difference, allow a link: sketches as long as
     the sets leave hardly more than the pairs close to the threshold. Every
-    comparison is of whole sets. No segment is one task's: its members are dealt over parts of about ``block``, what
+    comparison is of whole sets. But for the first join of keys with their counts, which Spark may split, a segment's members are dealt over parts of about ``block``, what
     is said of the segment goes to every part, and the last comparison is of parts with parts, each pair of parts a group of
     its own. Classes are connected components of the links found; links inside a class
     that could not change it are not looked for.
