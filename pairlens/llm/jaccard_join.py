@@ -281,7 +281,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
 
     def merged(known: DataFrame, new: DataFrame) -> DataFrame:
         """The classes after new links: those known are stars already, so only they and the new links are gone through."""
-        return written(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "classes")
+        return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
 
     for turn in range(rounds):
         meet = open_keys(known, turn).filter(F.col("component") != F.col("hub.component")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("v"))

@@ -124,3 +124,27 @@ def test_components(spark):
         root[y] = x
     assert all(got[x] == find(x) for x in root if x in got) and all(x in got for a, b in edges if a != b for x in (a, b))
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1_000_000])
+def test_components_of_small_chunks(spark, chunk):
+    """Long paths in either order, a hub, a clique and repeated edges, where tasks alone can finish nothing and where they finish all."""
+    rnd = random.Random(5)
+    path = rnd.sample(range(1000, 2000), 200)
+    edges = [(i, i + 1) for i in range(100)] + list(zip(path, path[1:])) + [(5000, i) for i in range(4900, 5000)] + [(6000 + i, 6000 + j) for i in range(12) for j in range(12)] * 2
+    rnd.shuffle(edges)
+    got = components.components(spark.createDataFrame([*edges, (8000, 8000), (None, 3), (4, None)], "a long, b long"), chunk).collect()
+    want = {i: 0 for i in range(101)} | {i: min(path) for i in path} | {i: 4900 for i in range(4900, 5001)} | {6000 + i: 6000 for i in range(12)}
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+
+
+def test_forest():
+    rnd = np.random.default_rng(2)
+    for _ in range(30):
+        a, b = rnd.integers(-40, 40, (2, rnd.integers(1, 60)))
+        node, least = components.forest(a, b)
+        label = {int(x): int(x) for x in [*a, *b]}
+        for _ in range(len(a)):
+            for x, y in zip(a.tolist(), b.tolist()):
+                label[x] = label[y] = min(label[x], label[y])
+        assert dict(zip(node.tolist(), least.tolist())) == {k: v for k, v in label.items() if k != v}
