@@ -26,6 +26,20 @@ def ordinal_rank(score: str, tb: str, *by: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tb))
 
 
+def target_ranks(pool: DataFrame, targets: DataFrame, score: str = "score", tb: str = "tb", by: str = "pool") -> DataFrame:
+    """``pool, rank, members`` for each pool's target, whose row of ``targets`` (one a pool) holds its pool, score and tie-break.
+
+    The rank is one more than the number of members ahead of it, so no pool is sorted: members ahead are counted before the shuffle of the counts,
+    and both sides meet by pool and a salt, so a pool with a third of the members lies in many tasks. A null score is behind all others;
+    a pool without a target has no row.
+    """
+    salted = pool.withColumn("salt", F.pmod(F.xxhash64(tb), F.lit(SALTS)))
+    t = targets.select(by, F.col(score).alias("of"), F.col(tb).alias("tie"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    above = F.col(score).isNotNull() & (F.col("of").isNull() | (F.col(score) > F.col("of")))
+    ahead = above | (F.col(score).eqNullSafe(F.col("of")) & (F.col(tb) < F.col("tie")))
+    return salted.join(t, [by, "salt"]).groupBy(by).agg((F.count_if(ahead) + 1).alias("rank"), F.count(F.lit(1)).alias("members"))
+
+
 def cutoff_ties(pool: DataFrame, depths: list[int], score: str = "score", by: str = "pool") -> DataFrame:
     """By pool and depth k: are the k-th and the next score equal, and how many the average-rank rule would select.
 

@@ -21,6 +21,15 @@ def w1_w2_ranks(spark, sf):
     return p.select("pool", "member", "avg_rank", F.col("rank").cast("int").alias("rank"))
 
 
+@query(f"""WITH {POOLS}, r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC, tb) AS rank, count(*) OVER (PARTITION BY pool) AS members, row_number() OVER (PARTITION BY pool ORDER BY first_score DESC, tb) AS first FROM pools)
+SELECT pool, rank, members, rank <= 3 AS top_3 FROM r WHERE first = 1""")
+def w14_target_rank(spark, sf):
+    """Where the first scores' best member of each pool lies by the second scores."""
+    p = pools(spark, sf)
+    best = p.groupBy("pool").agg(F.min_by(F.struct("score", "tb"), F.struct(-F.col("first_score"), F.col("tb"))).alias("t")).select("pool", "t.score", "t.tb")
+    return ranking.target_ranks(p, best).withColumn("top_3", F.col("rank") <= 3)
+
+
 @query(f"""WITH {POOLS}, r AS (SELECT *, rank() OVER (PARTITION BY pool ORDER BY score DESC) + (count(*) OVER (PARTITION BY pool, score) - 1) / 2.0 AS ar, row_number() OVER (PARTITION BY pool ORDER BY score DESC, tb) AS rn FROM pools), k(k) AS (VALUES (1), (3), (5), (10))
 SELECT pool, k, coalesce(max(score) FILTER (rn = k) = max(score) FILTER (rn = k + 1), false) AS tie, count(*) FILTER (ar <= k) AS by_average_rank FROM r, k GROUP BY ALL""")
 def w5_a14_r11_cutoff_ties(spark, sf):

@@ -316,3 +316,13 @@ def test_logs_and_manifests_of_other_runs_are_errors(spark, tmp_path):
     for m, k in (("b", 2), ("c", 0)):
         with pytest.raises(Exception, match=f"{m} has {k} revisions"):
             reconcile.manifest(runs.filter(F.col("model") == m), "model", "revision", "role").collect()
+
+
+def test_target_ranks(spark):
+    """Ties go by the tie-break, null scores are last, a pool without a target has no row."""
+    rows = [("a", 0.5, "x"), ("a", 0.5, "b"), ("a", 0.9, "z"), ("a", None, "a"), ("a", None, "c"), ("b", 0.1, "q"), ("c", 1.0, "r")]
+    pool = spark.createDataFrame(rows, "pool string, score double, tb string")
+    at = lambda *t: {r["pool"]: (r["rank"], r["members"]) for r in ranking.target_ranks(pool, spark.createDataFrame(t, pool.schema)).collect()}
+    assert at(("a", 0.5, "x"), ("b", 0.1, "q")) == {"a": (3, 5), "b": (1, 1)}
+    assert at(("a", None, "c")) == {"a": (5, 5)}
+    assert at(("a", 0.9, "z"), ("d", 0.1, "t")) == {"a": (1, 5)}
