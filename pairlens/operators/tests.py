@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sinks.shared import kept
 from .prefix import value_ranks
 from .resample import permuted
 
@@ -144,8 +145,11 @@ def chi2_tail(x: Column, k: Column) -> Column:
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H, corrected for ties, and its chi-square p, over the groups of one table; both null if all values are equal."""
-    cells = df.filter(F.col(value).isNotNull()).groupBy(value, group).agg(F.count(F.lit(1)).alias("k"))
+    """Kruskal-Wallis H, corrected for ties, and its chi-square p, over the groups of one table; both null if all values are equal.
+
+    The counts are written once: a mean that is computed again may differ in its last digit, and would not meet its own rank.
+    """
+    cells = kept(df.filter(F.col(value).isNotNull()).groupBy(value, group).agg(F.count(F.lit(1)).alias("k")), "cells")
     r = value_ranks(cells.groupBy(value).agg(F.sum("k").alias("t")), [], value, "t").join(cells, value)
     g = r.groupBy(group).agg(F.sum(F.col("avg_rank") * F.col("k")).alias("s"), F.sum("k").alias("n"), F.sum((F.col("t") * F.col("t") - 1) * F.col("k")).alias("ties"))
     n = F.sum("n")
