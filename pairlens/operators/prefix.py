@@ -1,9 +1,9 @@
 """Ranks, running sums and neighbours in groups of any size.
 
 Rows are dealt by ranges of (group, value, tie), so a group that holds a third of all rows lies in a third of the tasks. A task
-numbers its rows where they lie. Only the first and last group of a task can go on in others: the sums that they carry are
-two rows a task, whatever the data, and are added by a broadcast of that proven size. The dealt rows are written once, since
-what is added has to fit the very ranges that were counted. A task holds its own range, whose size Spark sets.
+numbers its rows in pieces of at most ``PIECE`` rows, so it holds one piece of its range at a time, however large Spark makes that. Only
+the first and last group of a piece can go on in others: the sums that they carry are two rows a piece, whatever the data, and are
+added by a broadcast of that proven size. The dealt rows are written once, since what is added has to fit the very pieces that were counted.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..sinks.shared import kept
 
+PIECE = 100_000  # rows
+
 
 def changes(columns: list[pa.Array], n: int) -> np.ndarray:
     """Rows that differ from the row before in one of the columns; null equals null. The first row differs."""
@@ -42,22 +44,41 @@ def at_edges(new: np.ndarray) -> np.ndarray:
     return (begin == 0) | (begin == begin[-1]) if len(new) else new
 
 
-def _ranged(df: DataFrame, order: list[Column], add: Callable[[pa.Table], dict[str, pa.Array]], more: str, name: str) -> DataFrame:
-    """``df`` dealt and sorted by ``order``, with each task's number and the columns that ``add`` makes of its whole range; written."""
+def pieces(batches: Iterator[pa.RecordBatch], by: list[str], most: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of at most ``most`` rows and a batch, cut where a group begins if one begins there."""
+    held, n = [], 0
+
+    def joined() -> pa.Table:
+        return pa.Table.from_batches(held).combine_chunks()
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= most:
+            t = joined()
+            begin = int(starts(changes([t.column(c) for c in by], n))[-1]) or n
+            yield t.slice(0, begin).combine_chunks()
+            held, n = t.slice(begin).to_batches(), n - begin
+    if n:
+        yield joined()
+
+
+def _ranged(df: DataFrame, by: list[str], order: list[Column], add: Callable[[pa.Table], dict[str, pa.Array]], more: str, name: str) -> DataFrame:
+    """``df`` dealt and sorted by ``order``, with each piece's number and the columns that ``add`` makes of its rows; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        have = [b for b in batches if b.num_rows]
-        if have:
-            t = pa.Table.from_batches(have).combine_chunks()
-            t = t.append_column("__pid", pa.array(np.full(t.num_rows, TaskContext.get().partitionId(), np.int32)))
+        task = TaskContext.get().partitionId() << 32
+        for i, t in enumerate(pieces(batches, by, PIECE)):
+            t = t.append_column("__pid", pa.array(np.full(t.num_rows, task + i, np.int64)))
             for c, v in add(t).items():
                 t = t.append_column(c, v)
             yield from t.to_batches(max_chunksize=10_000)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return kept(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{schema}, __pid int, {more}"), name)
+    return kept(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{schema}, __pid long, {more}"), name)
 
 
 def _before(by: list[str]):
@@ -65,7 +86,7 @@ def _before(by: list[str]):
 
 
 def _joined(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join to a table of at most two rows a task; nulls meet nulls."""
+    """Left join to a table of at most two rows a piece; nulls meet nulls."""
     few = few.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
     on = F.lit(True)
     for i, k in enumerate(keys):
@@ -88,7 +109,7 @@ def ranks(df: DataFrame, by: list[str], value: str, tie: list[str], descending:
         size = np.diff(np.append(np.flatnonzero(same), n))[np.cumsum(same) - 1]
         return {"__pos": pa.array(np.arange(n) - begin), "__first": pa.array(first - begin), "__same": pa.array(size), "__eg": pa.array(at_edges(group)), "__et": pa.array(at_edges(same))}
 
-    t = _ranged(df, order, add, "__pos long, __first long, __same long, __eg boolean, __et boolean", "ranks")
+    t = _ranged(df, by, order, add, "__pos long, __first long, __same long, __eg boolean, __et boolean", "ranks")
     groups = t.filter("__eg").groupBy(*by, "__pid").agg(F.count(F.lit(1)).alias("__n")).withColumn("__carry", F.coalesce(F.sum("__n").over(_before(by)), F.lit(0))).drop("__n")
     ties = t.filter("__et").groupBy(*by, value, "__pid").agg(F.count(F.lit(1)).alias("__n"))
     ties = ties.select(*by, value, "__pid", F.coalesce(F.sum("__n").over(_before([*by, value])), F.lit(0)).alias("__ahead"), F.sum("__n").over(Window.partitionBy(*by, value)).alias("__total"))
@@ -99,23 +120,33 @@ def ranks(df: DataFrame, by: list[str], value: str, tie: list[str], descending:
 
 
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
-    """``df`` with, for each ``new: column`` of ``sums``, the sum of the column over the rows before, in each group. Null counts as nothing."""
+    """``df`` with, for each ``new: column`` of ``sums``, the sum of the column over the rows before, in each group. Null counts as nothing.
+
+    Fractions are added one by one in the order of the rows, from each group's first, as SQL's windows add them: no other group's sum
+    is in between, which would leave its rounding in this one. Only a group that lies in several pieces adds their sums.
+    """
 
     def add(t: pa.Table) -> dict[str, pa.Array]:
         n = t.num_rows
         group = changes([t.column(b) for b in by], n)
-        begin = starts(group)
+        begin, edge = starts(group), np.append(np.flatnonzero(group), n)
         out = {}
         for i, c in enumerate(sums.values()):
             x = pc.fill_null(t.column(c), 0).to_numpy()
-            total = np.concatenate([[0], np.cumsum(x)])
-            out[f"__s{i}"] = pa.array(total[:-1] - total[begin])
+            if kinds[i] == "long":
+                total = np.concatenate([[0], np.cumsum(x)])
+                out[f"__s{i}"] = pa.array(total[:-1] - total[begin])
+            else:
+                before = np.zeros(n)
+                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    np.cumsum(x[lo : hi - 1], out=before[lo + 1 : hi])
+                out[f"__s{i}"] = pa.array(before)
         return out | {"__eg": pa.array(at_edges(group))}
 
     kinds = ["long" if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") else "double" for c in sums.values()]
     df = df.withColumns({f"__x{i}": F.col(f"`{c}`").cast(k) for i, (c, k) in enumerate(zip(sums.values(), kinds, strict=True))})
     sums = {new: f"__x{i}" for i, new in enumerate(sums)}
-    t = _ranged(df, [F.col(f"`{c}`") for c in [*by, *order]], add, ", ".join([*(f"__s{i} {k}" for i, k in enumerate(kinds)), "__eg boolean"]), "running")
+    t = _ranged(df, by, [F.col(f"`{c}`") for c in [*by, *order]], add, ", ".join([*(f"__s{i} {k}" for i, k in enumerate(kinds)), "__eg boolean"]), "running")
     groups = t.filter("__eg").groupBy(*by, "__pid").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
     groups = groups.select(*by, "__pid", *[F.coalesce(F.sum(f"__t{i}").over(_before(by)), F.lit(0)).alias(f"__c{i}") for i in range(len(sums))])
     got = _joined(t, groups, [*by, "__pid"])
@@ -152,7 +183,7 @@ def nearest(left: DataFrame, right: DataFrame, value: str, key: str, out: str, *
         return {"__lv": pick(v, below), "__lk": pick(k, below), "__hv": pick(v, above), "__hk": pick(k, above), "__eg": pa.array(at_edges(group))}
 
     order = [*(F.col(f"`{b}`") for b in by), F.col("__v"), F.col("__side"), F.col(f"`{key}`")]
-    t = _ranged(both, order, add, f"__lv double, __lk {kind}, __hv double, __hk {kind}, __eg boolean", "nearest")
+    t = _ranged(both, list(by), order, add, f"__lv double, __lk {kind}, __hv double, __hk {kind}, __eg boolean", "nearest")
     point = F.struct(F.col("__v").alias("v"), F.col("__rk").alias("k"))
     edge = t.filter("__eg").groupBy(*by, "__pid").agg(F.max(F.when(F.col("__side") == 0, point)).alias("__last"), F.min(F.when(F.col("__side") == 0, point)).alias("__next"))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__pid")

@@ -90,3 +90,34 @@ def test_short_lists_are_cut_before_the_shuffle(spark):
     df = table(spark).select(F.col("g").alias("pool"), F.col("i").alias("member"), F.col("v").alias("score"), F.col("v").alias("first_score"), F.col("i").alias("tb"), (F.col("i") % 2 == 0).alias("marked"))
     for got in (ranking.shortlist_flips(df, 7 - F.col("score"), [1, 3]), ranking.two_stage(df, [5], [3]), ranking.cutoff_ties(df, [3])):
         assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_group_is_added_from_its_own_first_row(split):
+    """SQL's window adds a group's fractions one by one; sums of the groups before leave no rounding in them."""
+    rnd = random.Random(3)
+    values = [[round(rnd.random() * 100, 2) for _ in range(40)] for _ in range(60)]
+    df = split.createDataFrame([(g, i, x) for g, v in enumerate(values) for i, x in enumerate(v)], "g int, i int, x double").repartition(1)
+    split.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {(r["g"], r["i"]): r["s"] for r in prefix.running(df, ["g"], ["i"], {"s": "x"}).collect()}
+    finally:
+        split.conf.set("spark.sql.shuffle.partitions", "8")
+    for g, v in enumerate(values):
+        total = 0.0
+        for i, x in enumerate(v):
+            assert got[g, i] == total
+            total += x
+
+
+def test_a_task_holds_a_piece_of_its_range(split, monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"g": [j // 7 for j in range(i, i + 10)], "v": list(range(i, i + 10))}) for i in range(0, 200, 10)]
+    cut = list(prefix.pieces(iter(batches), ["g"], 25))
+    assert max(t.num_rows for t in cut) < 25 + 10 and [x for t in cut for x in t.column("v").to_pylist()] == list(range(200))
+    assert all(a.column("g")[-1] != b.column("g")[0] for a, b in zip(cut[:-1], cut[1:], strict=True))  # small groups stay whole
+    assert [t.num_rows for t in prefix.pieces(iter(batches), [], 25)] == [30, 30, 30, 30, 30, 30, 20]
+    monkeypatch.setattr(prefix, "PIECE", 50)
+    test_running_sums(split)
+    test_ranks(split, 7, True)
+    test_nearest(split, ["g"])
