@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -86,18 +87,28 @@ def signed_rank_p(twice_ranks: np.ndarray, w2: int) -> float:
 def wilcoxon_exact(df: DataFrame, d: str, *by: str, most: int = 200) -> DataFrame:
     """``by, n, w_plus, p`` of the non-zero differences: the exact distribution over all signs, null where a group has over ``most`` of them.
 
-    Differences are counted by size; a group of up to ``most`` differences sends its ranks to one call.
+    Differences are counted by size; a group of up to ``most`` differences sends its ranks to one call. A larger one is known by its
+    number before any rank is listed, so no list is longer than ``most``.
     """
     nz = df.filter(F.col(d) != 0).groupBy(*by, F.abs(d).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(d) > 0).alias("up"))
+    w_plus = F.sum(F.col("avg_rank") * F.col("up")).alias("w_plus")
     r = value_ranks(nz, list(by), "m")
-    small = F.sum("n").alias("n")
-    g = r.groupBy(*by).agg(small, F.sum(F.col("avg_rank") * F.col("up")).alias("w_plus"), F.slice(F.sort_array(F.collect_list(F.struct((2 * F.col("avg_rank")).cast("long").alias("r"), F.col("n").alias("k")))), 1, most + 1).alias("ranks"))
-
-    @F.pandas_udf(DoubleType())
-    def p(ranks: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else signed_rank_p(np.repeat([e["r"] for e in x], [e["k"] for e in x]), round(2 * v)) for x, v in zip(ranks, w, strict=True)], dtype=float)
-
-    got = g.withColumn("p", p(F.when(F.col("n") <= most, F.col("ranks")), F.col("w_plus")))
+    sizes = r.groupBy(*by).agg(F.sum("n").alias("__all"), w_plus)
+    met = F.lit(True)
+    for b in by:
+        met = met & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    small = r.alias("l").join(sizes.filter(F.col("__all") <= most).alias("r"), met, "left_semi")
+    listed = small.groupBy(*by).agg(F.sum("n").alias("n"), w_plus, F.sort_array(F.collect_list(F.struct((2 * F.col("avg_rank")).cast("long").alias("r"), F.col("n").alias("k")))).alias("ranks"))
+
+    @F.arrow_udf(DoubleType())
+    def p(ranks: pa.Array, w: pa.Array) -> pa.Array:
+        each, off = ranks.flatten(), np.cumsum(np.append(0, ranks.value_lengths().to_numpy()))
+        twice, k = each.field("r").to_numpy(), each.field("k").to_numpy()
+        return pa.array([signed_rank_p(np.repeat(twice[lo:hi], k[lo:hi]), round(2 * v)) for lo, hi, v in zip(off[:-1], off[1:], w.to_pylist(), strict=True)], pa.float64())
+
+    got = listed.select(*by, "n", "w_plus", p("ranks", "w_plus").alias("p"))
+    large = sizes.filter(F.col("__all") > most).select(*by, F.col("__all").alias("n"), "w_plus", F.lit(None).cast("double").alias("p"))
+    got = got.unionByName(large)
     return got.select(*by, "n", "w_plus", F.nanvl("p", F.lit(None).cast("double")).alias("p"))
 
 

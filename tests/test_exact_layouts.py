@@ -124,3 +124,11 @@ def test_layouts(spark, tmp_path):
     for wrong in ({"config__cut_words": 50}, {"config__owner_line": False}, {"config__missing": "x"}):
         with pytest.raises(Exception, match="not the condition"):
             layouts.condition(c, **wrong).collect()
+
+
+def test_large_groups_list_no_ranks(spark):
+    df = spark.createDataFrame([(g, float(i)) for g, n in ((1, 6), (2, 7), (3, 400)) for i in range(1, n + 1)], "g int, d double")
+    got = {r["g"]: (r["n"], r["w_plus"], r["p"]) for r in exact.wilcoxon_exact(df, "d", "g", most=6).collect()}
+    assert got == {1: (6, 21.0, 2 / 64), 2: (7, 28.0, None), 3: (400, 80200.0, None)}
+    plan = exact.wilcoxon_exact(df, "d", "g", most=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("collect_list") :].index("LeftSemi") > 0  # the size is known before a list is made
