@@ -119,7 +119,11 @@ def simulate(pool: DataFrame, draws: int, k: int, s: int, seed: str, by: str = "
 
 
 def _simulated_rows(pool: DataFrame, draws: int, k: int, s: int, seed: str, by: str) -> DataFrame:
-    d = pool.crossJoin(pool.sparkSession.range(draws).select(F.col("id").alias("b"))).withColumn("t", hash_int(seed, F.col("b"), F.col("member")))
+    """Rows of member and draw, dealt by pool and draw: a pool's draws lie in as many tasks, which sort and spill."""
+    few = pool.select(by, "member", "first_score", "score", "marked")
+    d = few.crossJoin(F.broadcast(pool.sparkSession.range(draws).select(F.col("id").alias("b")))).withColumn("t", hash_int(seed, F.col("b"), F.col("member")))
+    # said outright: rows dealt by pool alone would do for the windows below, and bring all draws of a pool into one task
+    d = d.repartition(max(draws, int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by, "b")
     w = lambda *p: Window.partitionBy(by, "b", *p)
     d = d.withColumn("r1", F.row_number().over(w().orderBy(F.desc("first_score"), "t", "member"))).withColumn("in", F.col("r1") <= k)
     d = d.withColumn("r2", F.row_number().over(w("in").orderBy(F.desc("score"), "t", "member"))).withColumn("kept", F.col("in") & (F.col("r2") <= s))

@@ -122,3 +122,11 @@ def test_blocks_equal_rows(spark):
         alike(blocks.intervals(blocks.level_draws(sums, "cluster", 100, "s", block=size)), level.select("model", "low", "high", "sd", "pct_positive"))
     with pytest.raises(ValueError):
         blocks.collected(spark.range(blocks.MOST_CELLS + 1), "id")
+
+
+def test_the_draws_of_a_large_pool_lie_in_many_tasks(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("pool"), F.col("id").alias("member"), (F.col("id") % 5 / 4.0).alias("first_score"), (F.col("id") % 7 / 6.0).alias("score"), (F.col("id") % 2 == 0).alias("marked"))
+    few, rows = ranking.simulate(df, 12, 10, 3, "t"), ranking.simulate(df, 12, 10, 3, "t", most=10)
+    assert sorted(map(str, few.collect())) == sorted(map(str, rows.collect()))
+    plan = ranking._simulated_rows(df.join(df.groupBy("pool").agg(F.count(F.lit(1)).alias("__n")), "pool"), 12, 10, 3, "t", "pool")._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(pool" in x and "b#" in x and "REPARTITION_BY_NUM" in x for x in plan.splitlines())
