@@ -173,11 +173,12 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
     row, at``: where each segment occurs, row being a hash of id and text.
 
     Anchors that occur under more than one id are found by grouped minima and go to a Bloom filter of bounded
-    size, with which a second scan keeps the segments that can agree with another one; beyond that size there is
-    no filter and all are kept. Segments of equal bytes are one, with their smallest id. Where an
+    size, with which a second scan keeps the segments that can agree with another one; with more anchors the
+    filter is coarser and more are kept. Segments of equal bytes are one, with their smallest id. Where an
     anchor has different segments, a third scan fetches their bytes, which meet by anchor, in buckets of about
     ``bucket_rows``, each one enhanced suffix array. An anchor with more than
-    ``group_rows`` different segments is not one bucket's work: its windows are grouped by their bytes' hash instead.
+    ``group_rows`` different segments is not one bucket's work: its windows are grouped by their bytes' hash instead,
+    as another scan cuts them. No table holds the segments' bytes: they go from the scan to their bucket.
     Texts are told apart by 64-bit hashes of their bytes.
     """
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
@@ -249,7 +250,8 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
     forget(docs.sparkSession)
     differ = docs.sparkSession.sparkContext.broadcast(Filter(many, "anchor", most_filter_mb))
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[tuple]:
+        """Id, anchor, windows, hash, start and bytes of the segments whose anchor is crowded, or is not."""
         seen: dict[int, int] = {}
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -257,19 +259,34 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
             for lo, hi in K.pieces(off, 1 << 18):
                 part, base = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 row, start, windows, anchor = segments(part, base, least)
-                keep = np.flatnonzero(differ.value.may_hold(anchor))
+                keep = np.flatnonzero(np.isin(K.signed(anchor), crowded.value) if hot else differ.value.may_hold(anchor))
+                if not hot and len(crowded.value):
+                    keep = keep[~np.isin(K.signed(anchor[keep]), crowded.value)]
                 seg = content(part, start[keep], windows[keep] + least - 1, least)
                 new = _lower(seen, seg, ids[lo:hi][row[keep]])
                 keep, seg = keep[new], seg[new]
-                raw = part.tobytes()
-                blobs = [raw[a : a + k + least - 1] for a, k in zip(start[keep].tolist(), windows[keep].tolist(), strict=True)]
-                for a in range(0, len(seg), 50_000):
-                    b = slice(a, a + 50_000)
-                    k = keep[b]
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(seg[b])), pa.array(ids[lo:hi][row[k]]), pa.array(K.signed(anchor[k])), pa.array(windows[k].astype(np.int32)), pa.array(blobs[a : a + 50_000], pa.binary())], ["seg", "id", "anchor", "windows", "bytes"])
+                yield ids[lo:hi][row[keep]], anchor[keep], windows[keep], seg, start[keep], part
+
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, anchor, windows, seg, start, part in fetch(batches, False):
+            raw = part.tobytes()
+            blobs = [raw[a : a + k + least - 1] for a, k in zip(start.tolist(), windows.tolist(), strict=True)]
+            for a in range(0, len(seg), 50_000):
+                b = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(seg[b])), pa.array(ids[b]), pa.array(K.signed(anchor[b])), pa.array(windows[b].astype(np.int32)), pa.array(blobs[b], pa.binary())], ["seg", "id", "anchor", "windows", "bytes"])
+
+    def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, windows, seg, start, part in fetch(batches, True):
+            for lo in range(0, len(seg), 2000):
+                k = windows[lo : lo + 2000].astype(np.int64)
+                offset = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                of = np.repeat(np.arange(lo, lo + len(k)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(seg[of].view(np.int64)), pa.array(ids[of]), pa.array(offset.astype(np.int32)), pa.array(K.signed(content(part, start[of] + offset, np.full(len(of), least), least)))], ["seg", "id", "f", "window"])
 
-    met = src.mapInArrow(fetch, "seg long, id long, anchor long, windows int, bytes binary")
-    size = many.agg(F.sum(F.when(F.col("n") <= group_rows, F.col("n"))).alias("cold"), F.count_if(F.col("n") > group_rows).alias("hot")).first()
+    top = many.filter(F.col("n") > group_rows).select("anchor")  # at most one in group_rows segments
+    crowded = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in top.collect()), np.int64))
+    met = src.mapInArrow(cold, "seg long, id long, anchor long, windows int, bytes binary")
+    size = many.agg(F.sum(F.when(F.col("n") <= group_rows, F.col("n"))).alias("cold")).first()
     buckets = max(1, int(size["cold"] or 0) // bucket_rows)
 
     def suffixes(table: pa.Table) -> pa.Table:
@@ -298,29 +315,15 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text
         stop = begin + np.diff(np.append(first, len(m)))
         return pa.table({"seg": pa.array(seg[of[first]]), "f": pa.array(begin.astype(np.int32)), "t": pa.array(stop.astype(np.int32)), "m": pa.array(m[first])})
 
-    def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.flat(batch.column(3))
-            seg, low, windows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
-            for lo in range(0, len(seg), 2000):
-                k = windows[lo : lo + 2000]
-                offset = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                of = np.repeat(np.arange(lo, lo + len(k)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(seg[of]), pa.array(low[of]), pa.array(offset.astype(np.int32)), pa.array(K.signed(content(data, off[of] + offset, np.full(len(of), least), least)))], ["seg", "id", "f", "window"])
-
     ranges, used = None, [kinds, many]
-    if size["hot"]:
-        met = written(met, "met-bytes")
-        used.append(met)
-        crowded = F.broadcast(many.filter(F.col("n") > group_rows).select("anchor"))  # at most one in group_rows segments
-        exploded = written(met.join(crowded, "anchor", "left_semi").select("seg", "id", "windows", "bytes").mapInArrow(each_window, "seg long, id long, f int, window long"), "windows")
+    if len(crowded.value):
+        exploded = written(src.mapInArrow(each_window, "seg long, id long, f int, window long"), "windows")
         used.append(exploded)
         smallest = exploded.groupBy("window").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("window", "m")
         ranges = exploded.join(smallest, "window").select("seg", "f", (F.col("f") + 1).alias("t"), "m").distinct()
         # a crowded segment's own repeats
-        own = met.join(crowded, "anchor", "left_semi").groupBy("seg").agg(F.lit(0).alias("f"), F.max("windows").alias("t"), F.min("id").alias("m"))
+        own = kinds.join(F.broadcast(top), "anchor", "left_semi").select("seg", F.lit(0).alias("f"), F.col("windows").alias("t"), F.col("id").alias("m"))
         ranges = ranges.unionByName(own)
-        met = met.join(crowded, "anchor", "left_anti")
     by_array = met.withColumn("b", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("b").applyInArrow(suffixes, "seg long, f int, t int, m long")
     ranges = by_array if ranges is None else ranges.unionByName(by_array)
     # a segment alone with its anchor occurs again as a whole

@@ -75,3 +75,17 @@ def test_maximal_repeats():
         if len(after) > 1 and len(before) > 1:
             full.add((len(s), tuple(sorted(of))))
     assert got == full
+
+
+def test_a_filter_with_too_many_hashes_is_coarser_but_there(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pairlens.llm import bloom
+
+    monkeypatch.setattr(bloom, "GROUP", 300_000)
+    hashes = spark.range(2_000_000).select(F.xxhash64("id").alias("h"))  # 12 bits each would be 2.9 MB
+    some = bloom.Filter(hashes, "h", 1)
+    ask = np.array([r[0] for r in spark.range(3_000_000).filter("id % 1000 = 0").select(F.xxhash64("id")).collect()], np.int64).view(np.uint64)
+    held = some.may_hold(ask)
+    assert held[:2000].all() and held[2000:].mean() < 0.3 and len(some.bits) == 1 << 20
+    assert bloom.Filter(hashes, "h", 0).may_hold(ask).all()
