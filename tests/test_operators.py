@@ -338,3 +338,10 @@ def test_kruskal_computes_its_values_once(spark):
     df = spark.range(60).select((F.col("id") % 3).alias("g"), noisy("id").alias("v"))
     got = S.kruskal(df, "v", "g").first()
     assert got["groups"] == 3 and got["n"] == 60 and got["h"] is not None
+
+
+def test_word_rules_look_for_a_letter_before_a_boundary(spark):
+    assert T.word("he|she") == r"(?iU)(?=[hs])\b(?:he|she)\b"
+    text = "ſhe HERſelf hİm hıś éhe _her hé x-her Her"
+    assert apply(spark, lambda t: T.deidentify(t, "gram_her_them", lowercase=False), text) == ["they themselves them hıś éhe _her hé x-them them"]
+    assert apply(spark, lambda t: T.swap_pronouns(t, "feminine"), "nothing here", None) == ["nothing here", None]
