@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..operators.joins import scored_once
-from .text import chunked
 
 Scorer = Callable[[pd.Series, pd.Series], pd.Series]
 Detector = Callable[[str], list[str]]
@@ -31,10 +31,17 @@ def scored(requests: DataFrame, query: str, doc: str, scorer: Scorer, out: str =
 
 
 def detected(text: Column, detector: Detector, window: int = 1200, overlap: int = 100) -> Column:
-    """Distinct names that a detector finds in overlapping windows of a text, longest first."""
+    """Distinct names that a detector finds in overlapping windows of a text, longest first; none in a null text.
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def udf(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda ps: sorted({n for p in (ps if ps is not None else []) for n in detector(p)}, key=lambda n: (-len(n), n)))
+    Windows are cut as ``chunked`` does, but one at a time: no batch of them is ever held.
+    """
 
-    return udf(chunked(text, window, overlap))
+    def names(t: str | None) -> list[str]:
+        at = range(0, max(len(t) - 1, 0) + 1, window - overlap) if t is not None else ()
+        return sorted({n for i in at for n in detector(t[i : i + window])}, key=lambda n: (-len(n), n))
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def udf(texts: pa.Array) -> pa.Array:
+        return pa.array((names(t.as_py()) for t in texts), pa.list_(pa.string()))
+
+    return udf(text)

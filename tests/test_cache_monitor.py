@@ -95,3 +95,16 @@ def test_guard(spark, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], monitor.STATUS)
     assert monitor.watched(none, 5).count() == 0
+
+
+def test_a_detector_gets_one_window_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from pairlens.functions import plugged
+    from pairlens.functions.text import chunked
+
+    df = spark.createDataFrame([("é" * 2 + "x" * n,) for n in (0, 1, 7, 8, 9, 25)] + [("",), (None,)], "t string")
+    got = df.select(plugged.detected(F.col("t"), lambda w: [w], 10, 3).alias("got"), chunked(F.col("t"), 10, 3).alias("want"), "t").collect()
+    assert all(r["got"] == (sorted(set(r["want"]), key=lambda n: (-len(n), n)) if r["t"] is not None else []) for r in got)
+    plan = df.select(plugged.detected(F.col("t"), lambda w: [w])).drop("t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(sequence" not in plan  # windows are not columns
