@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,11 +77,24 @@ def _sweep(folder: str) -> None:
         pass
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside gets its rows in Python in batches of at most ``rows``: of texts, ten thousand are tens of MB, held twice outside Spark's own memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished, written steps now, not at the driver's next collection."""
+    """Lets Spark's cleaner remove the shuffle files and broadcast tables of finished, written steps now, not at the driver's next collection; unused memory goes back."""
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 

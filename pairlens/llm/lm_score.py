@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import written
+from .common import small_batches, written
 
 U = K.U
 BASE = 1.5  # counts are kept as 1 + floor(log_BASE(count))
@@ -20,6 +20,7 @@ END, START = K.mix(np.array([0xE17D, 0x57A7], U))
 BLOCK_BITS = 19  # of the filter; all bits of a key lie in one block, neighbouring keys in neighbouring blocks
 BLOCK_BYTES = 1 << (BLOCK_BITS - 3)
 PROBES = 5
+WORK_BYTES, BATCH_ROWS = 1 << 20, 2000  # of text whose n-grams a task has in hand; of texts that it is given at once
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -121,7 +122,10 @@ def count_ngrams(docs: DataFrame, used: Column, text_col: str, buckets: int, bit
         size = {1: 0, 2: 0}
 
         def combined(order: int) -> None:
-            held[order] = [_summed(*(np.concatenate(x) for x in zip(*held[order], strict=True)))]
+            key, n = zip(*held[order], strict=True)
+            key, n = np.concatenate(key), np.concatenate(n)
+            held[order] = []  # before the sort
+            held[order] = [_summed(key, n)]
             size[order] = len(held[order][0][0])
 
         def out(order: int) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,6 @@ def count_ngrams(docs: DataFrame, used: Column, text_col: str, buckets: int, bit
                 bucket = bucket_of(key, buckets)[0]
                 first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
                 ends = np.append(first[1:], len(key))
-                n = n.astype(np.uint32)  # of a task's part
                 for lo in range(0, len(first), 1000):
                     f, e = first[lo : lo + 1000], ends[lo : lo + 1000]
                     yield pa.RecordBatch.from_arrays(
@@ -140,11 +143,11 @@ def count_ngrams(docs: DataFrame, used: Column, text_col: str, buckets: int, bit
 
         for batch in batches:
             data, off = K.flat(batch.column(0))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, WORK_BYTES):
                 row, h = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 for order, key in ((1, h), (2, pairs(row, h)[1])):
                     k, n = np.unique(key, return_counts=True)
-                    held[order].append((k, n))
+                    held[order].append((k, n.astype(np.uint32)))  # of a task's part
                     size[order] += len(k)
                     if size[order] > most:
                         combined(order)
@@ -183,7 +186,7 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sort = np.argsort(key)
     key, n = key[sort], n[sort]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n
+    return key[first], np.add.reduceat(n, first, dtype=n.dtype) if len(first) else n
 
 
 def learn(docs: DataFrame, used: Column, text_col: str = "text", bits_per_level: int = 12, most_filter_mb: int = 256, head: int = 1 << 17, weight: float = 0.3, bucket_bytes: int = 1 << 23) -> tuple[Model, DataFrame, DataFrame | None]:
@@ -197,7 +200,8 @@ def learn(docs: DataFrame, used: Column, text_col: str = "text", bits_per_level:
     """
     size = docs.filter(used).agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, size // bucket_bytes)
-    counts = written(count_ngrams(docs, used, text_col, buckets, bits_per_level), "ngrams")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        counts = written(count_ngrams(docs, used, text_col, buckets, bits_per_level), "ngrams")
     parts = counts.filter(F.col("bits").isNotNull())
     by_level = parts.select("order", F.posexplode(F.arrays_zip("keys", "ns", "least")).alias("level", "of")).filter("of.keys > 0")
     rows = by_level.groupBy("order", "level").agg(F.sum("of.keys").alias("keys"), F.sum("of.ns").alias("n"), F.min("of.least").alias("least")).collect()  # some dozens
@@ -397,7 +401,7 @@ def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: st
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, off = K.flat(batch.column(2))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, WORK_BYTES):
                 n = hi - lo
                 of = ngrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield from score_rows(m, of, m.levels(of[2], 1), m.levels(of[4], 2), at, batch.column(0).slice(lo, n), batch.column(1).slice(lo, n))
@@ -405,7 +409,10 @@ def lm_score(docs: DataFrame, used: Column, id_col: str = "doc_id", text_col: st
 
     sent = docs.select(F.col(id_col), used.alias("__used"), F.col(text_col))
     schema = f"row long, id {kind}, used boolean, n_tokens long, n_known long, base double, score double, key long, tf long"
-    scored = written(sent.mapInArrow(run, schema) if parts is None else asked(sent, model, parts, kind, schema), "scored")
+    with small_batches(spark, BATCH_ROWS):
+        scored = written(sent.mapInArrow(run, schema) if parts is None else asked(sent, model, parts, kind, schema), "scored")
+    if shipped:
+        shipped.destroy()  # the filter, of which the driver and every executor hold the blocks
     rest = scored.filter(F.col("key").isNotNull()).select("row", "key", "tf")
     rest = rest.join(counts, "key").groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("more"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -44,6 +44,32 @@ def test_lm_scores(spark):
     assert len(none) == len(HARD) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in none)
 
 
+def test_texts_come_in_small_batches(spark):
+    """A task's working memory follows a batch, and a batch was ten thousand texts; a model that was shipped is let go."""
+    sizes, shipped = [], []
+    ship = spark.sparkContext.broadcast
+    write = lm_score.written
+
+    def spied(df, name):
+        sizes.append((name, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+        return write(df, name)
+
+    def kept(value):
+        shipped.append(ship(value))
+        return shipped[-1]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        lm_score.written, spark.sparkContext.broadcast = spied, kept
+        assert lm_score.lm_score(hard(spark), F.lit(True)).count() == len(HARD)
+    finally:
+        lm_score.written = write
+        del spark.sparkContext.broadcast
+    assert dict(sizes) == {"ngrams": lm_score.BATCH_ROWS, "scored": lm_score.BATCH_ROWS} and lm_score.BATCH_ROWS <= 2000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert len(shipped) == 1 and shipped[0]._jbroadcast is None or not shipped[0]._jbroadcast.isValid()
+
+
 def test_filter_holds_quantised_counts(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(400) if i % (j // 4 + 1) == 0)) for i in range(300)], "doc_id long, text string")
     model, counts = lm_score.fit(docs, F.lit(True))
