@@ -97,6 +97,20 @@ def test_dictionary_equals_alternation(spark):
     assert none.count() == df.count() and none.filter("size(names) > 0").isEmpty()
 
 
+def test_names_meet_texts_without_a_shuffle_of_words(spark):
+    long = "Ann met the old Lee Smith and " * 20_000  # a row of all parts for each word would be some 50 GB
+    df = spark.createDataFrame([(1, long), (2, "ann ANN lee"), (3, "nobody"), (4, "Lee Smith ann")], "doc_id long, text string")
+    want = {"ann lee": {1: ["Ann", "Lee"], 2: ["ANN", "ann", "lee"], 3: [], 4: ["Lee", "ann"]}, "ann/lee smith": {1: ["Lee Smith", "Ann"], 2: ["ANN", "ann"], 3: [], 4: ["Lee Smith", "ann"]}}
+    for listed, by_doc in want.items():
+        names = spark.createDataFrame([(n,) for n in listed.split("/" if "/" in listed else " ")], "name string")
+        texts = df if "/" not in listed else df.filter("doc_id > 1").unionByName(spark.createDataFrame([(1, long[:3000])], df.schema))
+        for most in (200_000, 0):
+            got = dictionary.found_names(texts, names, most_shipped=most)
+            assert {r["doc_id"]: r["names"] for r in got.collect()} == by_doc
+            plan = got._jdf.queryExecution().sparkPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (most > 0)
+
+
 def test_layouts(spark, tmp_path):
     old = {"pool_membership_sha256": "h1", "models": {"m/a": {"rows": [{"pool_id": "p1", "focal_index": 0, "score_male": 0.5, "score_female": 0.25}]}, "m/b": {"rows": []}}}
     new = {"provenance": {"pools": "h2"}, "model": "c", "comparisons": [{"pool": "p2", "index": 3, "scores": [1, 2]}, {"pool": "p3", "focal": 1, "scores": {"male": 3, "female": 4}, "extra": None}]}
