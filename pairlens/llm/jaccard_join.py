@@ -193,6 +193,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.array(K.signed(node[r[b]])), pa.array(K.signed(key[b])), pa.array(band[b]), pa.array(spare[b])], columns)
 
     scanned = written(src.mapInArrow(rows_and_keys, f"id {kind}, n long, node long, key long, band int, spare int"), "signatures")
+    shared.destroy()  # the driver and every executor hold its blocks
     rows = scanned.filter(F.col("key").isNull()).drop("key", "band", "spare")
     keys = scanned.filter(F.col("key").isNotNull()).select("key", "node", "band", "spare")
 
@@ -284,10 +285,13 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
 
     for turn in range(rounds):
+        forget(spark)  # small tables are broadcast by way of the driver, which else holds those of all steps till it runs out of room
         meet = open_keys(known, turn).filter(F.col("component") != F.col("hub.component")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("v"))
         best = Window.partitionBy("node").orderBy(F.desc("v"), F.xxhash64("node", "hub"))
         star = meet.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= hubs_each).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         star = written(star.join(together(tried), ["a", "b"], "left_anti"), "stars")
+        if star.isEmpty():
+            break
         tried.append(star)
         new = written(linked(star), "links")
         if new.isEmpty():
@@ -331,13 +335,18 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     # A linked pair mostly shares several keys: an eighth of the keys finds most links, and what they bring into one class
     # is not compared again. Then all keys, whatever is open.
     for share in (8, 1):
+        forget(spark)
         left = written(open_keys(known, rounds).filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).drop("hub"), "open")
+        if left.isEmpty():  # no key has nodes of two classes: nothing to compare
+            discard(left)
+            continue
         rest = apart(left)
         discard(left)
         tried.append(rest)
         new = written(linked(rest), "links")
         if not new.isEmpty():
             known = merged(known, new)
+    forget(spark)
     # a class's smallest id by way of its nodes, so that rows are joined by node alone and never gathered by class
     nodes = smallest.join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
     best = nodes.groupBy("c").agg(F.min("id").alias("best"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bloom import Filter
+from .common import forget
 
 U = K.U
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 16, (1, 2, 3)
@@ -261,8 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     sent = docs.filter(F.col(id_col).isNotNull()).select(F.xxhash64(id_col), F.col(id_col), lang, F.col(text_col))
     bins = sent.mapInArrow(scored, f"__id {id_kind}, lang string, at int").join(rest, "__id")
     counts_ = [(r["lang"], r["__y"], r["at"], r["count"]) for r in bins.groupBy("lang", "__y", "at").count().collect()]  # 2 * BINS rows a language at most
+    held.destroy()  # the driver and every executor hold their blocks
+    shipped.destroy()
     outside = {y: sum(n for _, y_, _, n in counts_ if y_ == y) for y in (0, 1)}
     model.cuts, model.other_cut = thresholds(counts_, {y: counts.get(y, 0) / max(outside[y], 1) for y in (0, 1)})
+    del got, words, rest, bins, fitted, labelled
+    forget(spark)  # the sample's texts, of which Spark and Python had a copy each in the driver
     return model
 
 
