@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +123,58 @@ def names(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 128, rounds: int = 2, hubs_each: int = 3, most_bits: int = 8192, block: int = 1000) -> DataFrame:
+def dealing(block: int) -> tuple[Callable, Callable]:
+    """Over parts of about ``block`` of a number of members: the part of a row's node, and rows for all parts."""
+    last = lambda number: F.floor(number / F.lit(block)).cast("int")
+    part = lambda number, *seed: F.pmod(F.xxhash64("node", *seed), last(number) + 1).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), last(number)))
+    return part, every
+
+
+def open_pairs(left: DataFrame, facts: DataFrame, p: int, q: int, block: int, each: int = 0, listed: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Pairs (b, a) of nodes of different classes that meet in ``left`` and whose sizes and sketches allow a link; also the written table they are made from.
+
+    each: only members of the same part, of about so many members of a key, meet. 0: all members meet, and a pair that shares several keys
+    comes from the least of them alone. For that a node lists its ``listed`` least keys; a pair whose lists have none in common comes from each key it shares.
+    """
+    part, every = dealing(block)
+    by_class = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.max("of").alias("of"))
+    of_key = by_class.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("members"), (F.sum("m") - F.max("m")).alias("outer"), F.max("of").alias("of"))
+    least = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, listed).alias("keys"))
+    left = left.join(of_key.select("key", "largest", "members", "outer", every(F.col("of")).alias("part")), ["key", "part"]).drop("part", "of")
+    left = left.join(facts, "node").withColumn("sketch", F.when(F.col("band") == F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("own", "here", "next", "band")
+    left = left.withColumn("inner", F.col("component") == F.col("largest")).drop("largest")
+    if each:
+        left = left.withColumn("at_l", dealing(each)[0](F.col("members"), F.col("key"))).withColumn("at_r", F.lit(0))
+    else:
+        left = left.join(least, "node").withColumn("at_l", part(F.col("members"))).withColumn("at_r", part(F.col("outer"), F.lit(1)))
+    left = written(left, "open-sketches")
+
+    def side(c: str, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(x).alias(f"{c}_{x}") for x in left.columns if x not in ("members", "outer")])
+
+    # a member meets the parts of all outer members of its key, each pair of parts where it is dealt to
+    outer = left.filter("not inner")  # of the largest class of a key no two members meet
+    l = side("l", left if each else left.withColumn("at_r", every(F.col("outer"))))
+    r = side("r", outer if each else outer.withColumn("at_l", every(F.col("members"))))
+    gap = sum((F.bit_count(F.col(f"l_s{j}").bitwiseXOR(F.col(f"r_s{j}"))) for j in range(WORDS)), F.lit(0))
+    whole_gap = F.aggregate(F.zip_with("l_sketch", "r_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    possible = (
+        (F.col("l_key") == F.col("r_key"))
+        & (F.col("l_at_l") == F.col("r_at_l"))
+        & (F.col("l_at_r") == F.col("r_at_r"))
+        & (F.col("l_component") != F.col("r_component"))
+        & (F.col("l_inner") | (F.col("l_node") < F.col("r_node")))
+        & (F.least("l_n", "r_n") * q >= F.greatest("l_n", "r_n") * p)
+        & (gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
+        & (whole_gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
+    )
+    if not each:
+        possible = possible & (F.coalesce(F.array_min(F.array_intersect("l_keys", "r_keys")), F.col("l_key")) == F.col("l_key"))
+    return left, l.join(r, possible).select(F.least("l_node", "r_node").alias("b"), F.greatest("l_node", "r_node").alias("a"))
+
+
+def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", most_filter_mb: int = 128, rounds: int = 2, hubs_each: int = 3, most_bits: int = 8192, block: int = 1000, near: int = 64) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least p / q of their word shingles.
 
     One row per document: ``id, n_shingles, component_id``, the smallest id reachable by links, itself
@@ -136,7 +187,8 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     the sets leave hardly more than the pairs close to the threshold. Every
     comparison is of whole sets. But for the first join of keys with their counts, which Spark may split, a segment's members are dealt over parts of about ``block``, what
     is said of the segment goes to every part, and the last comparison is of parts with parts, each pair of parts a group of
-    its own. Classes are connected components of the links found; links inside a class
+    its own; before it, members are compared within parts of about ``near``, so that a large group's many links, of which its class needs
+    few, need not all be found. Classes are connected components of the links found; links inside a class
     that could not change it are not looked for.
 
     A text without words (null, empty) has no shingles, links with nothing and is its own component. A null id
@@ -198,9 +250,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     keys = scanned.filter(F.col("key").isNotNull()).select("key", "node", "band", "spare")
 
     # ``of``: how often a key occurs, at least the number of its nodes, by which they are dealt over parts
-    parts = lambda number: F.floor(number / F.lit(block)).cast("int")
-    part = lambda number, *seed: F.pmod(F.xxhash64("node", *seed), parts(number) + 1).cast("int")
-    every = lambda number: F.explode(F.sequence(F.lit(0), parts(number)))
+    part, every = dealing(block)
     met = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("of")).filter("hub < top").select("key", "of")
     met = written(met, "met")  # so the join is of two plain exchanges, which Spark can split
     # A linked pair shares more than ``spare`` keys, so its rarest shared key is among none's ``spare`` most frequent ones:
@@ -300,47 +350,23 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
 
     facts = whole.select("node", "n", *[f"s{j}" for j in range(WORDS)], "own", "here", "next")
 
-    def apart(left: DataFrame) -> DataFrame:
+    def apart(left: DataFrame, each: int) -> DataFrame:
         """Pairs, not tried as yet, of nodes of different classes that meet in ``left`` and whose sizes and sketches allow a link."""
-        by_class = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.max("of").alias("of"))
-        of_key = by_class.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("members"), (F.sum("m") - F.max("m")).alias("outer"), F.max("of").alias("of"))
-        left = left.join(of_key.select("key", "largest", "members", "outer", every(F.col("of")).alias("part")), ["key", "part"]).drop("part", "of")
-        left = left.join(facts, "node").withColumn("sketch", F.when(F.col("band") == F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("own", "here", "next", "band")
-        left = left.withColumn("inner", F.col("component") == F.col("largest")).withColumn("at_l", part(F.col("members"))).withColumn("at_r", part(F.col("outer"), F.lit(1))).drop("largest")
-        left = written(left, "open-sketches")
-
-        def side(c: str, df: DataFrame) -> DataFrame:
-            return df.select(*[F.col(x).alias(f"{c}_{x}") for x in left.columns if x not in ("members", "outer")])
-
-        # a member meets the parts of all outer members of its key, each pair of parts where it is dealt to
-        l = side("l", left.withColumn("at_r", every(F.col("outer"))))
-        r = side("r", left.filter("not inner").withColumn("at_l", every(F.col("members"))))  # of the largest class of a key no two members meet
-        gap = sum((F.bit_count(F.col(f"l_s{j}").bitwiseXOR(F.col(f"r_s{j}"))) for j in range(WORDS)), F.lit(0))
-        whole_gap = F.aggregate(F.zip_with("l_sketch", "r_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        possible = (
-            (F.col("l_key") == F.col("r_key"))
-            & (F.col("l_at_l") == F.col("r_at_l"))
-            & (F.col("l_at_r") == F.col("r_at_r"))
-            & (F.col("l_component") != F.col("r_component"))
-            & (F.col("l_inner") | (F.col("l_node") < F.col("r_node")))
-            & (F.least("l_n", "r_n") * q >= F.greatest("l_n", "r_n") * p)
-            & (gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
-            & (whole_gap * (q + p) <= (F.col("l_n") + F.col("r_n")) * (q - p))
-        )
-        pairs = l.join(r, possible).select(F.least("l_node", "r_node").alias("b"), F.greatest("l_node", "r_node").alias("a")).distinct()
-        rest = written(pairs.join(together(tried), ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        left, pairs = open_pairs(left, facts, p, q, block, each)
+        rest = written(pairs.distinct().join(together(tried), ["a", "b"], "left_anti").select("a", "b"), "pairs")
         discard(left)
         return rest
 
-    # A linked pair mostly shares several keys: an eighth of the keys finds most links, and what they bring into one class
-    # is not compared again. Then all keys, whatever is open.
-    for share in (8, 1):
+    # A linked pair mostly shares several keys, and a node needs one link into a class: an eighth of the keys, within
+    # parts of ``near`` members, finds most of what changes classes, in rows that grow with the members, not with their square.
+    # What that brings into one class is not compared again. Then all keys, parts with parts, whatever is open.
+    for share, each in ((8, near), (1, 0)):
         forget(spark)
         left = written(open_keys(known, rounds).filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).drop("hub"), "open")
         if left.isEmpty():  # no key has nodes of two classes: nothing to compare
             discard(left)
             continue
-        rest = apart(left)
+        rest = apart(left, each)
         discard(left)
         tried.append(rest)
         new = written(linked(rest), "links")

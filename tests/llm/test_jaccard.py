@@ -80,6 +80,46 @@ def test_a_thousand_near_texts_without_links(spark):
         assert Counter(map(tuple, jaccard_join.similar_classes(df, block=block).collect())) == want
 
 
+def test_a_dense_group_is_not_paired_by_the_square(spark, monkeypatch):
+    """Links are many but each node has few, and pairs share many keys: the join's rows grow with the group, and a pair comes from one key."""
+    made, real = [], jaccard_join.open_pairs
+
+    def counted(*args, **more):
+        left, pairs = real(*args, **more)
+        made.append((pairs.count(), pairs.distinct().count()))
+        return left, pairs
+
+    monkeypatch.setattr(jaccard_join, "open_pairs", counted)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = {}
+    for n in (300, 600):
+        docs = []
+        for i in range(n):
+            w = list(base)
+            for at in rnd.sample(range(2, 118), 3):
+                w[at] = f"x{i}-{at}"
+            docs.append((i, " ".join(w)))
+        made.clear()
+        got = jaccard_join.similar_classes(spark.createDataFrame(docs, "doc_id long, text string"), near=16).collect()
+        assert Counter(map(tuple, got)) == brute(docs, 5, 80, 100)
+        assert len(made) < 2 or made[-1][0] == made[-1][1]
+        rows[n] = sum(m for m, _ in made)
+    assert rows[600] <= max(3 * rows[300], 6000), rows
+
+
+def test_pairs_come_from_one_key(spark):
+    """Two nodes that share 40 keys are one pair, of whatever keys the lists hold; lists without a common key lose none."""
+    s = [0] * jaccard_join.WORDS
+    facts = spark.createDataFrame([(i, 50, *s, 3, s, s) for i in range(4)], "node long, n long, " + ", ".join(f"s{j} long" for j in range(8)) + ", own int, here array<long>, next array<long>")
+    # 0 and 1 share 40 keys, 2 and 3 only their greatest one
+    meets = [(k, 0, n, 3, n, 2) for k in range(40) for n in (0, 1)] + [(k + 40 * n, 0, n, 3, n, 2) for n in (2, 3) for k in range(0, 40)] + [(900, 0, n, 3, n, 2) for n in (2, 3)]
+    left = spark.createDataFrame(meets, "key long, part int, node long, band int, component long, of long")
+    for listed, most in ((32, 2), (1, 2), (0, 41)):
+        pairs = jaccard_join.open_pairs(left, facts, 80, 100, 1000, listed=listed)[1].collect()
+        assert {tuple(r) for r in pairs} == {(0, 1), (2, 3)} and len(pairs) == most
+
+
 def test_query_and_hard_rows(spark):
     assert Counter(map(tuple, queries.op9_jaccard_join(spark, SF).collect())) == brute(documents().items(), 3, 90, 100)
     assert Counter(map(tuple, jaccard_join.similar_classes(hard(spark), 3, 90).collect())) == brute(HARD, 3, 90, 100)
