@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ ODD_SPACE = tuple(map(chr, range(0x1C, 0x20)))  # white space to str.split, not
 
 # The normaliser, splitter and model settings of a tokenizer file for which words can be encoded one by one.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 WORD_BY_WORD = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {
@@ -56,9 +58,10 @@ class Encoder:
             and spec.get("post_processor") is None
             and all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
         )
-        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.known, self.before, self.parts = Tokenizer.from_file(path), most, {}, {}, {}
         # The file's own split pattern, for words of Latin letters (no composition, one-to-one lower case).
-        self.split = regex.compile(WORDS)
+        self.split = regex.compile(WORDS).findall
+        self.split_ascii = re.compile(ASCII_WORDS).findall  # the same pieces of ASCII words in lower case
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
         others = [b for b in range(256) if b not in plain]
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -79,8 +82,11 @@ class Encoder:
         if len(parts) > self.most:
             parts.clear()
         for w in words:
-            if (w.isascii() or max(w) < "\u0250" and "\u0130" not in w) and "<|" not in w:
-                self.known[w] = b"".join([parts.get(x) or self.part(x) for x in self.split.findall(w.lower())])
+            if w.isascii() and "<|" not in w:
+                x = w.lower()
+                self.known[w] = (parts.get(x) or self.part(x)) if w.isalpha() else b"".join([parts.get(x) or self.part(x) for x in self.split_ascii(x)])
+            elif max(w) < "\u0250" and "\u0130" not in w and "<|" not in w:
+                self.known[w] = b"".join([parts.get(x) or self.part(x) for x in self.split(w.lower())])
             else:
                 rare.append(w)
         for i in range(0, len(rare), 20_000):
@@ -92,16 +98,19 @@ class Encoder:
         if not self.by_word or any(c in text for c in ODD_SPACE):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = {w for w in words if w not in known}
-            if len(known) + len(new) > self.most:
-                known.clear()
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.most // 2:  # of the words met before, those that still occur stay
+                self.before, self.known = self.known, {}
                 new = set(words)
-            self.learn(list(new))
-            return b"".join(map(known.__getitem__, words))
+            before, unmet = self.before, []
+            for w in new:
+                if (ids := before.get(w)) is None:
+                    unmet.append(w)
+                else:
+                    self.known[w] = ids
+            self.learn(unmet)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -86,6 +86,23 @@ def test_encoder_equals_tokenizer():
         assert enc(t or "") == np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), (t or "")[:80]
 
 
+def test_encoder_keeps_words_that_still_occur():
+    """New words push out what no longer occurs, not the common words; ASCII words have the pieces that the file's own pattern gives."""
+    from tokenizers import Tokenizer
+
+    enc, met = packing.Encoder(TOK, most=2000), []
+    learn = enc.learn
+    enc.learn = lambda words: (met.extend(words), learn(words))
+    common = [f"common{i}" for i in range(50)]
+    texts = [" ".join([*common, *(f"new{i}x{j}" for j in range(100))]) for i in range(60)]
+    tok = Tokenizer.from_file(TOK)
+    odd = ["it's", "IT'S'll", "a1b22c", "'s't", "x--y''ll", "\x00a\x7f", "don't,", "['re]", "A'VEry", "''m", "9'd9", "_a_B_", "<|", "<|endoftext|>", "a<|endoftext|>b"]
+    for text in [*texts, " ".join(odd)]:
+        assert enc(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(met.count(w) == 1 for w in common)
+    assert len(enc.known) + len(enc.before) <= 2000
+
+
 def check_packing(got, texts):
     from tokenizers import Tokenizer
 
