@@ -78,15 +78,18 @@ def _sweep(folder: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is written inside gets its rows in Python in batches of at most ``rows``: of texts, ten thousand are tens of MB, held twice outside Spark's own memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int, mb: int | None = None) -> Iterator[None]:
+    """What is written inside gets its rows in Python in batches of at most ``rows``, and of some ``mb``: of texts, ten thousand are tens of MB, held twice outside Spark's own memory."""
+    records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {name: spark.conf.get(name) for name in (records, size)}
+    spark.conf.set(records, str(min(rows, int(before[records])) if int(before[records]) > 0 else rows))
+    if mb:
+        spark.conf.set(size, f"{mb}m")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def forget(spark: SparkSession) -> None:

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bloom import Filter
-from .common import discard, forget, together, written
+from .common import discard, forget, small_batches, together, written
 from .components import components
 
 U = K.U
 WORDS = 8  # 64-bit words of a set's folded parity sketch
 LARGEST = 1 << 31  # no text that Spark can hold has more words
+PIECE, BATCH_ROWS, BATCH_MB = 1 << 19, 2000, 8  # bytes of text whose words a task has in hand; what of texts or sets it is given at once
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +202,17 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    def written_by_python(df: DataFrame, name: str) -> DataFrame:
+        """Written of texts or sets that go to Python: both sides of each task hold a batch, outside Spark's own memory."""
+        with small_batches(docs.sparkSession, BATCH_ROWS, BATCH_MB):
+            return written(df, name)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Of each part of a batch: its rows, and (row, key, band, spare) of the nodes that this task has not met before."""
         done: set[int] = set()
         for batch in batches:
             data, off = K.flat(batch.column(1))
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, PIECE):
                 row, g = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 n = hi - lo
                 size, node = np.bincount(row, minlength=n), names(row, g, n)
@@ -227,7 +233,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(key[a : a + 200_000]))], ["key"])
 
     # The keys alone are counted first. Those that occur once, nearly all, are then never sent with their nodes.
-    often = written(src.mapInArrow(all_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "keys")
+    often = written_by_python(src.mapInArrow(all_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "keys")
     forget(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Filter(often, "key", most_filter_mb))
     discard(often)
@@ -244,7 +250,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                 k = len(r[b])
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.array(K.signed(node[r[b]])), pa.array(K.signed(key[b])), pa.array(band[b]), pa.array(spare[b])], columns)
 
-    scanned = written(src.mapInArrow(rows_and_keys, f"id {kind}, n long, node long, key long, band int, spare int"), "signatures")
+    scanned = written_by_python(src.mapInArrow(rows_and_keys, f"id {kind}, n long, node long, key long, band int, spare int"), "signatures")
     shared.destroy()  # the driver and every executor hold its blocks
     rows = scanned.filter(F.col("key").isNull()).drop("key", "band", "spare")
     keys = scanned.filter(F.col("key").isNotNull()).select("key", "node", "band", "spare")
@@ -272,7 +278,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         for batch in batches:
             data, off = K.flat(batch.column(0))
             want = batch.column(1).to_numpy().view(U)
-            for lo, hi in K.pieces(off):
+            for lo, hi in K.pieces(off, PIECE):
                 row, g = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 n = hi - lo
                 ok = np.flatnonzero(names(row, g, n) == want[lo:hi])  # another row of the same id may differ
@@ -297,7 +303,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
                 )
 
     fields = "node long, n long, set binary, " + ", ".join(f"s{j} long" for j in range(WORDS)) + ", own int, here array<long>, next array<long>"
-    whole = written(texts.select("text", "node").mapInArrow(sets, fields).dropDuplicates(["node"]), "sets")
+    whole = written_by_python(texts.select("text", "node").mapInArrow(sets, fields).dropDuplicates(["node"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,8 +332,9 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         return placed.join(apart.select("key", "hub", every(F.col("of")).alias("part")), ["key", "part"])
 
     spark = docs.sparkSession
-    known = spark.createDataFrame([], "node long, component long")
-    none = written(spark.createDataFrame([], "a long, b long"), "links")
+    nothing = spark.range(0)  # createDataFrame would start Python processes on the executors for it, which stay
+    known = nothing.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    none = written(nothing.select(F.col("id").alias("a"), F.col("id").alias("b")), "links")
     tried = [none]
 
     def merged(known: DataFrame, new: DataFrame) -> DataFrame:
@@ -343,7 +350,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         if star.isEmpty():
             break
         tried.append(star)
-        new = written(linked(star), "links")
+        new = written_by_python(linked(star), "links")
         if new.isEmpty():
             break
         known = merged(known, new)
@@ -369,7 +376,7 @@ def similar_classes(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         rest = apart(left, each)
         discard(left)
         tried.append(rest)
-        new = written(linked(rest), "links")
+        new = written_by_python(linked(rest), "links")
         if not new.isEmpty():
             known = merged(known, new)
     forget(spark)

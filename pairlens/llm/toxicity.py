@@ -9,15 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from .bloom import Filter
-from .common import forget
+from .common import forget, small_batches
 
 U = K.U
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 16, (1, 2, 3)
 PREFIXES = (5, 6, 7, 8)  # bytes
 FEATURES = 2 + len(PREFIXES)
+BATCH_ROWS, BATCH_MB = 2000, 8  # of texts that a task is given at once
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     model, seen = fit([(f, int(y), lang, weight[y] / mean) for f, y, lang in zip(words.texts, got["y"], got["lang"], strict=True)], words.features)
     if not seen:
         return model
-    fitted = F.broadcast(spark.createDataFrame([(got["id"].iloc[i].item() if hasattr(got["id"].iloc[i], "item") else got["id"].iloc[i],) for i in seen], f"__id {id_kind}"))
+    ids = pa.array(got["id"].iloc[seen].tolist(), to_arrow_type(docs.schema[id_col].dataType))
+    fitted = F.broadcast(spark.createDataFrame(pa.table({"__id": ids})))  # of rows it would start Python processes on the executors, which stay
     rest = named.filter(F.col("__y").isin(0, 1)).join(fitted, "__id", "left_anti")
     labelled = Filter(rest.select(F.xxhash64("__id").alias("h")), "h", 64)  # lets few others through; the join is exact
     held = spark.sparkContext.broadcast(labelled)
@@ -261,7 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
     sent = docs.filter(F.col(id_col).isNotNull()).select(F.xxhash64(id_col), F.col(id_col), lang, F.col(text_col))
     bins = sent.mapInArrow(scored, f"__id {id_kind}, lang string, at int").join(rest, "__id")
-    counts_ = [(r["lang"], r["__y"], r["at"], r["count"]) for r in bins.groupBy("lang", "__y", "at").count().collect()]  # 2 * BINS rows a language at most
+    with small_batches(spark, BATCH_ROWS, BATCH_MB):
+        counts_ = [(r["lang"], r["__y"], r["at"], r["count"]) for r in bins.groupBy("lang", "__y", "at").count().collect()]  # 2 * BINS rows a language at most
     held.destroy()  # the driver and every executor hold their blocks
     shipped.destroy()
     outside = {y: sum(n for _, y_, _, n in counts_ if y_ == y) for y in (0, 1)}

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairlens.llm import components, jaccard_join, queries
@@ -188,3 +190,35 @@ def test_forest():
             for x, y in zip(a.tolist(), b.tolist()):
                 label[x] = label[y] = min(label[x], label[y])
         assert dict(zip(node.tolist(), least.tolist())) == {k: v for k, v in label.items() if k != v}
+
+
+def test_texts_and_sets_reach_python_in_small_batches(spark, monkeypatch):
+    """What a task holds outside Spark's own memory is bounded: batches, words in hand, and no Python processes beside those of the scans."""
+    given, real = {}, jaccard_join.written
+
+    def seen(df, name):
+        given.setdefault(name, []).append((int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), "MapInArrow" in df._jdf.queryExecution().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("starts Python processes on the executors"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert jaccard_join.similar_classes(docs).count() == docs.count()
+    assert {"keys", "signatures", "sets", "links"} <= {name for name, of in given.items() for _, python in of if python}
+    assert all(rows <= 2000 for of in given.values() for rows, python in of if python)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_words_in_hand_are_bounded():
+    """A task's arrays are of a piece of its texts, some 60 bytes for each byte."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(3000)], k=400)) for _ in range(2000)]
+    data, off = jaccard_join.K.flat(pa.array(texts))
+    tracemalloc.start()
+    for lo, hi in jaccard_join.K.pieces(off, jaccard_join.PIECE):
+        row, g = jaccard_join.shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], 5)
+        jaccard_join.signatures(row, g, np.arange(hi - lo), jaccard_join.Bands(80, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
