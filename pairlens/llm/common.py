@@ -92,6 +92,18 @@ def small_batches(spark: SparkSession, rows: int, mb: int | None = None) -> Iter
             spark.conf.set(name, value)
 
 
+@contextmanager
+def without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside removes its shuffle files as soon as it is written, not at the driver's next collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files and broadcast tables of finished, written steps now, not at the driver's next collection; unused memory goes back."""
     import gc

@@ -28,6 +28,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _P = U(0x9E3779B97F4A7C15 | 1)
 _powers = np.concatenate([np.ones(1, U), np.cumprod(np.full(4095, _P, U))])
+CUT = 1 << 15  # bytes whose hashes are summed at once, so that they stay in a core's own cache
+_at, _over = (np.concatenate([np.ones(1, U), np.cumprod(np.full(CUT - 1, x, U))]) for x in (_P, U(pow(int(_P), -1, 1 << 64))))
+_LOWERED = BYTE[LOWER]
 
 
 def powers(n: int) -> np.ndarray:
@@ -59,8 +62,7 @@ def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lower-cased (A-Z) rows: each word's row, start and end byte, and 64-bit hash."""
-    data = LOWER[data]
-    is_word = inside[data]
+    is_word = inside[LOWER][data]
     begins = is_word.copy()
     begins[1:] &= ~is_word[:-1]
     ends = is_word.copy()
@@ -70,15 +72,26 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = BY_SPACE)
     begins[cut] = is_word[cut]
     ends[cut - 1] = is_word[cut - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    row = np.searchsorted(offsets, starts, "right") - 1
-    if not len(starts):
-        return row, starts, stops, np.zeros(0, U)
-    size = stops - starts
-    at = np.flatnonzero(is_word)
-    first = np.cumsum(size) - size
-    within = np.arange(len(at)) - np.repeat(first, size)
-    h = np.add.reduceat(BYTE[data[at]] * powers(int(size.max()))[within], first)
-    return row, starts, stops, mix(h + size.astype(U))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    return row, starts, stops, mix(_summed(data, starts, stops) + (stops - starts).astype(U)) if len(starts) else np.zeros(0, U)
+
+
+def _summed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Of each word the sum of its bytes' numbers times powers of ``_P``: a difference of running sums, over the power at its start."""
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + CUT, "right")))
+        lo, hi = starts[i], stops[j - 1]
+        if j == i + 1 and hi - lo > CUT:  # a word that is longer
+            out[i] = np.sum(_LOWERED[data[lo:hi]] * powers(int(hi - lo))[: hi - lo], dtype=U)
+        else:
+            run = np.zeros(hi - lo + 1, U)
+            np.cumsum(_LOWERED[data[lo:hi]] * _at[: hi - lo], out=run[1:])
+            first = starts[i:j] - lo
+            out[i:j] = (run[stops[i:j] - lo] - run[first]) * _over[first]
+        i = j
+    return out
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

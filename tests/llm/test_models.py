@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -92,6 +93,51 @@ def test_all_pairs_count_and_a_filter_of_any_size_scores_alike(spark):
         assert whole == asked and whole.total() == d.count()
 
 
+def test_ngrams_of_a_large_filter_go_once(spark, monkeypatch):
+    """Texts are written alone, levels come back with exact counts, and pieces that a scan cuts score alike; ranges are for all texts, learned from or not."""
+    names, write = [], lm_score.written
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(2).cache()
+    score = lambda **k: Counter(map(tuple, lm_score.lm_score(d, F.expr("doc_id % 7 = 2"), bucket_bytes=10_000, **k).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6), F.round("score", 6)).collect()))
+    whole = score()
+
+    def spied(df, name):
+        out = write(df, name)
+        names.append((name, out.columns, {r[0] for r in out.select("order").distinct().collect()} if name == "answers" else out.count()))
+        if name == "pieces":  # each row group becomes a task's
+            out.repartition(7).sortWithinPartitions("piece", "at").write.parquet(out.written_path + "-cut")
+            cut = spark.read.schema(out.schema).parquet(out.written_path + "-cut")
+            cut.written_path = out.written_path
+            return cut
+        return out
+
+    monkeypatch.setattr(lm_score, "written", spied)
+    assert score(most_filter_mb=0) == whole and whole.total() == d.count()
+    assert [n for n, *_ in names] == ["pieces", "answers", "scored"] and names[0][1] == ["piece", "at", "id", "used", "text"] and names[0][2] == d.count()
+    size, buckets = lm_score.ranges(d, "text", 10_000)
+    assert size == sum(len((r["text"] or "").encode()) for r in d.collect()) and buckets == size // 10_000
+    d.unpersist()
+
+
+def test_words_take_little_memory():
+    """The same hashes as byte by byte; what is held beside the text does not grow by tens of bytes a byte."""
+    K = lm_score.K  # noqa: N806
+    texts = ["Some words, AND é", "", None, "x" * (K.CUT + 7) + " b", "a " * K.CUT, "y" * K.CUT]
+    row, starts, stops, h = K.words(*K.flat(pa.array(texts)))
+    data, mask = K.flat(pa.array(texts))[0], (1 << 64) - 1
+    power = [1]
+    for _ in range(K.CUT + 7):
+        power.append(power[-1] * int(K._P) & mask)
+    plain = [sum(int(K.BYTE[K.LOWER[b]]) * power[i] for i, b in enumerate(data[a:e].tolist())) + int(e - a) & mask for a, e in zip(starts[:9].tolist(), stops[:9].tolist(), strict=True)]
+    assert (h[:9] == K.mix(np.array(plain, np.uint64))).all() and (stops - starts)[-1] == K.CUT
+    assert Counter(row.tolist()) == {0: 4, 3: 2, 4: K.CUT, 5: 1}
+    data, offsets = K.flat(pa.array(["some plain words of a text " * 40_000]))
+    tracemalloc.start()
+    K.words(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(data)
+
+
 def test_scores_are_those_of_a_plain_model(spark):
     """Every score by dictionaries of the levels that the filter tells, token by token."""
     docs = {i: t for i, t in documents().items() if t is None or len(t) < 3000}
