@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_wins
-from ..functions.text import deidentify
+from ..functions.text import PRONOUNS, VARIANTS, beside_her, grammatical_by_next, replace_names, replace_words, uniform_pronouns, word
 
 CONDITIONS = ("original", "lowercase_only", "names_only", "pronouns_only", "full", "gram_her_their", "gram_her_them", "gram_pos")
 
@@ -60,19 +60,35 @@ def condition_effect(pairs: DataFrame, male: str, female: str, names: Column | N
     """``condition, pairs, identical, distinct_texts, changed, gap``: what each condition leaves of the difference between a pair's two texts.
 
     identical: pairs whose texts are the same after it; changed: texts that it alters; gap: mean difference of the two lengths.
-    Only the case folding condition lowers case. All conditions of a pair are made in one pass over it.
+    Only the case folding condition lowers case. All conditions of a pair are made in one pass over it: what several share is made once,
+    a text without pronouns has its names replaced alone, and the second of two equal texts is not worked on again.
     """
+    for c in conditions:
+        if c not in (*VARIANTS, "original", "lowercase_only"):
+            raise ValueError(f"unknown condition {c!r}")
     x = pairs.select(F.col(male).alias("m"), F.col(female).alias("f"))
-
-    def said(text: Column, condition: str) -> Column:
-        if condition == "original":
-            return text
-        lowers = condition == "lowercase_only"
-        return deidentify(text, "none" if lowers else condition, names, lowercase=lowers)
-
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), said(F.col("m"), c).alias("a"), said(F.col("f"), c).alias("b")) for c in conditions])).alias("c")
-    r = x.select("m", "f", each).select("m", "f", "c.*")
-    texts = F.explode(F.array(F.struct(F.col("m").alias("before"), F.col("a").alias("after")), F.struct(F.col("f").alias("before"), F.col("b").alias("after")))).alias("t")
-    one = r.groupBy("condition").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("identical"), F.avg((F.length("a") - F.length("b")).cast("double")).alias("gap"))
-    two = r.select("condition", texts).groupBy("condition").agg(F.count_distinct(F.md5("t.after")).alias("distinct_texts"), F.count_if(F.col("t.before") != F.col("t.after")).alias("changed"))
-    return one.join(two, "condition")
+    x = x.withColumn("same", F.coalesce(F.col("m") == F.col("f"), F.lit(False)))
+    for side in "mf":
+        c, n, base = F.col(side), F.col(f"{side}_n"), F.col(f"{side}_b")
+        first = lambda made, what, side=side: made if side == "m" else F.when(F.col("same"), F.col(f"m_{what}")).otherwise(made)
+        x = x.withColumns({f"{side}_p": first(F.coalesce(c.rlike(word("|".join(PRONOUNS))), F.lit(False)), "p"), f"{side}_n": first(c if names is None else replace_names(c, names), "n")})
+        x = x.withColumn(f"{side}_b", first(F.when(F.col(f"{side}_p"), beside_her(n)), "b"))
+        said = {
+            "pronouns_only": uniform_pronouns(c), "full": uniform_pronouns(n), "gram_her_their": replace_words(base, [("her", "their")]),
+            "gram_her_them": replace_words(base, [("her", "them")]), "gram_pos": grammatical_by_next(n),
+        }
+        plain = {"original": c, "lowercase_only": F.lower(c), "none": c, "pronouns_only": c}
+        of = lambda forms, n=n: F.array(*[forms.get(k, n) for k in conditions])
+        made = F.when(F.col(f"{side}_p"), of(plain | said)).otherwise(of(plain))
+        x = x.withColumn(f"{side}_c", first(made, "c"))
+    each = []
+    for i, k in enumerate(conditions):
+        a, b = F.col("m_c")[i], F.col("f_c")[i]
+        gap = F.length(a) - F.length(b)
+        for text, before, one in ((a, F.col("m"), 1), (b, F.col("f"), 0)):
+            counted = [F.lit(one).alias("pairs"), F.when(a == b, one).otherwise(0).alias("identical"), (gap * one if one else F.lit(0)).alias("gap"), F.when(gap.isNotNull(), one).otherwise(0).alias("gaps")]
+            each.append(F.struct(F.lit(k).alias("condition"), F.md5(text).alias("digest"), *counted, F.when(before != text, 1).otherwise(0).alias("changed")))
+    r = x.select(F.explode(F.array(*each)).alias("c")).select("c.*")
+    sums = [F.sum(c).alias(c) for c in ("pairs", "identical", "gap", "gaps", "changed")]
+    r = r.groupBy("condition", "digest").agg(*sums).groupBy("condition").agg(*sums, F.count("digest").alias("distinct_texts"))
+    return r.select("condition", "pairs", "identical", F.try_divide(F.col("gap").cast("double"), F.col("gaps")).alias("gap"), "distinct_texts", "changed")

@@ -41,6 +41,25 @@ def test_conditions(spark):
     assert got["original"]["distinct_texts"] == 2 and got["full"]["distinct_texts"] == 1 and got["original"]["gap"] == -1.0
 
 
+def test_conditions_are_those_of_each_text_alone_in_one_pass(spark):
+    texts = ["He gave HER the thing; her is hers, himself", "no such word, The THING", "She: her\u2028own", "her \u017fhe", "the-she thing he", "", "herself Her her", None, "THE"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in (a, texts[0], texts[6])], "m string, f string")
+    names = F.array(F.lit("the"), F.lit("thing"))
+    got = records.condition_effect(pairs, "m", "f", names)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1  # the texts' rules run once, not for each sum
+    rows = {r["condition"]: r for r in got.collect()}
+    assert set(rows) == set(records.CONDITIONS)
+    for c in records.CONDITIONS:
+        form = lambda t, c=c: t if c == "original" else T.deidentify(t, "none" if c == "lowercase_only" else c, names, lowercase=c == "lowercase_only")
+        made = pairs.select("m", "f", form(F.col("m")), form(F.col("f"))).collect()
+        gaps = [len(a) - len(b) for *_, a, b in made if a is not None and b is not None]
+        want = (len(made), sum(a == b and a is not None for *_, a, b in made), len({x for r in made for x in r[2:]} - {None}), sum(x != y for m, f, a, b in made for x, y in ((m, a), (f, b))))
+        assert (rows[c]["pairs"], rows[c]["identical"], rows[c]["distinct_texts"], rows[c]["changed"]) == want and abs(rows[c]["gap"] - sum(gaps) / len(gaps)) < 1e-9
+    assert records.condition_effect(pairs.limit(0), "m", "f", names).count() == 0
+    with pytest.raises(ValueError, match="unknown"):
+        records.condition_effect(pairs, "m", "f", names, ("other",))
+
+
 def test_precision(spark):
     rows = [("auto", "4.1", "BF16", "bf16"), (None, "4.1", "BF16", "fp32"), (None, "5.0", "F32", "fp32"), (None, "5.0", None, "unverified"), ("float16", None, None, "fp16"), ("int8", "9", None, "int8"), ("auto", None, None, "unverified")]
     df = spark.createDataFrame(rows, "e string, v string, s string, want string")
